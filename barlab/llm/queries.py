@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import chat_format, quality, simhash, toxicity, url_filter
+from barlab.llm import ann, chat_format, quality, simhash, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -36,6 +36,10 @@ def judged(scores: DataFrame, score: str, held_out: Column) -> DataFrame:
     )
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     sample = toxicity.labelled(docs, read(spark, sf_dir, "labels"), "toxic", fold(3) != 1, most=6000)
@@ -61,6 +65,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_url_vocabulary": op5_url_vocabulary,
