@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, chat_format, quality, simhash, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, quality, simhash, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -64,6 +64,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    words = vocabulary()
+    got = bpe.decode(bpe.encode(docs, words, keep=["doc_id"]), words)
+    return got.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
@@ -71,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_vocabulary": op5_url_vocabulary,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": url_filter.oracle(URL_RULES)}
