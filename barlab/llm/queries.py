@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, bpe, chat_format, quality, simhash, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, quality, simhash, substring_dedup, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -84,6 +84,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), batches=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
@@ -92,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": url_filter.oracle(URL_RULES)}
