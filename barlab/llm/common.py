@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space between words, as the word pattern ``[^\x20\x09-\x0D]+`` has it. ``bytes.split()`` splits at the same six.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -77,3 +78,9 @@ def conf_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch: with long texts the default of 10,000 holds too much memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def small_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast hint only if it is counted to have at most
+    `most_rows` rows (some MB); beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most_rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, bpe, chat_format, quality, simhash, substring_dedup, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, line_dedup, quality, simhash, substring_dedup, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -84,6 +84,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return got.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), kept)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), batches=3)
 
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
+    "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": url_filter.oracle(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": url_filter.oracle(URL_RULES), "op9_line_dedup": line_dedup.ORACLE_SQL}
