@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, bpe, chat_format, line_dedup, quality, simhash, substring_dedup, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, decontaminate, line_dedup, quality, simhash, substring_dedup, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -36,6 +36,11 @@ def judged(scores: DataFrame, score: str, held_out: Column) -> DataFrame:
     )
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "items")
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
@@ -95,6 +100,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_ann": op2_ann,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
@@ -105,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op5_url_vocabulary": url_filter.oracle(URL_RULES), "op9_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_url_vocabulary": url_filter.oracle(URL_RULES), "op9_line_dedup": line_dedup.ORACLE_SQL}
