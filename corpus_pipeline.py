@@ -1,12 +1,62 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline over ``documents``: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it returns is
+written as Parquet and read again. All but the last return the columns of docs. Toxic documents go
+(score of 0.7 or more; labels are read only to fit the scorer), repeated lines go, one document of each
+near-duplicate group stays (the smallest doc_id), documents that hold a benchmark item go, and the last
+stage gives the token digests of what is left. Null and empty texts pass through; rows without doc_id
+pass the filters but SimHash, whose key is doc_id. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barlab.llm import decontaminate, line_dedup, queries, simhash, toxicity
+from barlab.llm.common import read, stored
+
+TOXIC = 0.7
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sample = toxicity.labelled(docs, read(spark, sf_dir, "labels"), "toxic", queries.fold(3) != 1, most=6000)
+    return toxicity.score(docs, toxicity.fit(sample), docs.columns).where(F.col("toxicity") < TOXIC).select(*docs.columns)
+
+
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(docs, read(spark, sf_dir, "benchmark")).where("n_items = 0").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.encoded(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("line dedup", remove_repeated_lines),
+    ("simhash near-dedup", remove_near_duplicates),
+    ("benchmark decontamination", remove_benchmark),
+    ("byte-level bpe", tokenize),
+]
 
-STAGES: list = []
+#: The learned scorer of the first stage has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
