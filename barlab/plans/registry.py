@@ -1,5 +1,7 @@
-"""Registered queries over the reference-style bar operators and their DuckDB SQL."""
+"""Registered queries of the bar library and their DuckDB SQL."""
+
+from barlab.plans import feature_queries
 
 FLAGSHIP = "w01_bar_features"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict = dict(feature_queries.Q)
+ORACLE_SQL: dict = dict(feature_queries.S)
