@@ -195,13 +195,13 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFr
     return chosen.select("key", ranks.bound("_ranks", lambda r: fold_word(F.col("key"), r)).alias("value"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 20) -> DataFrame:
     """The `keep` columns and ids (array<int>) of every row's whole text, without special tokens.
 
     Null and empty texts have no ids; rows may repeat; other columns are dropped. The texts aren't shuffled.
     The dictionary of at most `dictionary_words` words takes some 30 bytes each in every task."""
     spark = docs.sparkSession
-    known = LiteralMap.of(vocabulary.whole_words(spark).union(frequent_words(docs, vocabulary, dictionary_words)), 1 << 18)
+    known = LiteralMap.of(vocabulary.whole_words(spark).union(frequent_words(docs, vocabulary, dictionary_words)), 1 << 19)
     ranks = vocabulary.rank_map(spark)
     each = lambda k, r: F.transform(F.col("_words"), lambda w: F.coalesce(k[w], fold_word(w, r)))
     ids = F.flatten(known.bound("_known", lambda k: ranks.bound("_ranks", lambda r: each(k, r))))
