@@ -1,7 +1,8 @@
 """Registered queries of the bar library and their DuckDB SQL."""
 
-from barlab.plans import feature_queries
+from barlab.plans import feature_queries, trade_queries
 
 FLAGSHIP = "w01_bar_features"
-QUERIES: dict = dict(feature_queries.Q)
-ORACLE_SQL: dict = dict(feature_queries.S)
+_PARTS = (feature_queries, trade_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.Q.items()}
+ORACLE_SQL: dict = {k: v for p in _PARTS for k, v in p.S.items()}
