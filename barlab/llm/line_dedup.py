@@ -16,8 +16,8 @@ from barlab.llm.common import WORD_GAP, small_side, stored
 MASK = (1 << 40) - 1
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, WORD_GAP), lambda w: w != "")
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\v\f\r"))
 
 
 def _id(words: Column) -> Column:
@@ -28,7 +28,8 @@ def _id(words: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, at (from 0), words of every line that has words; rows without doc_id or text have none."""
     each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return each.select("doc_id", "at", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    each = each.select("doc_id", "at", trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return each.select("doc_id", "at", F.split("line", WORD_GAP).alias("words"))
 
 
 def _halves(words: Column) -> Column:
@@ -108,7 +109,7 @@ def dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
     Lines without words stay; white space within a line doesn't count. All columns pass; n_lines and
     n_removed are added (replaced if there). Null text: stays null, no lines; a null doc_id: nothing goes.
     doc_id is a key: rows that repeat one lose the same lines, and none on account of each other."""
-    gone = small_side(stored(removed_lines(docs, least_words)), 100_000)
+    gone = removed_lines(docs, least_words)
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
