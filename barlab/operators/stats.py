@@ -77,7 +77,7 @@ def trade_statistics(trades: DataFrame, keys: list[str]) -> DataFrame:
             "breakeven_win_rate": F.when(c("avg_loss") >= 0, 0.0).when(c("avg_win") <= 0, 1.0).otherwise(-c("avg_loss") / F.nullif(c("avg_win") - c("avg_loss"), F.lit(0.0))), "win_rate_ci_lower": low, "win_rate_ci_upper": high,
             "avg_return_ci_lower": c("avg_return") - Z * c("avg_return_standard_error"), "avg_return_ci_upper": c("avg_return") + Z * c("avg_return_standard_error"), "profit_factor": infinite(c("gross_profit"), c("gross_loss")),
             "r_profit_factor": infinite(c("_rp"), c("_rn")), "payoff_ratio": ratio(c("avg_win"), F.abs("avg_loss")), "sharpe_per_trade": ratio(c("avg_return"), c("return_std")), "sortino_per_trade": ratio(c("avg_return"), c("downside_deviation")),
-            "recovery_factor": ratio(c("total_return"), F.abs("max_drawdown")), "system_quality_number": ratio(F.sqrt("trade_count") * c("avg_r_multiple"), F.round("_rs", 12)), "return_contribution": c("gross_profit") - c("gross_loss"),
+            "recovery_factor": ratio(c("total_return"), F.abs("max_drawdown")), "system_quality_number": ratio(F.sqrt("trade_count") * c("avg_r_multiple"), F.when(c("_rs") > 1e-12, c("_rs"))), "return_contribution": c("gross_profit") - c("gross_loss"),
         }
     )
     s = s.withColumns({"win_rate_edge": c("win_rate") - c("breakeven_win_rate"), "expectancy": c("avg_return"), "return_per_exposure_bar": ratio(c("return_contribution"), c("exposure_bars"))})

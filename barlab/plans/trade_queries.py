@@ -182,7 +182,7 @@ st AS (SELECT {keys}, CAST(count(*) AS DOUBLE) AS trade_count, avg(CAST(r > 0 AS
 stat AS (SELECT st.*, CAST(coalesce(w.c, 0) AS DOUBLE) AS max_consecutive_wins, CAST(coalesce(l.c, 0) AS DOUBLE) AS max_consecutive_losses, CAST(coalesce(u.c, 0) AS DOUBLE) AS max_drawdown_duration,
   CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss WHEN gross_profit > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END AS profit_factor, CASE WHEN return_std > 0 THEN avg_return / return_std ELSE 0 END AS sharpe_per_trade,
   CASE WHEN downside_deviation > 0 THEN avg_return / downside_deviation ELSE 0 END AS sortino_per_trade, CASE WHEN abs(max_drawdown) > 0 THEN total_return / abs(max_drawdown) ELSE 0 END AS recovery_factor,
-  CASE WHEN round(rs, 12) > 0 THEN sqrt(trade_count) * avg_r_multiple / round(rs, 12) ELSE 0 END AS system_quality_number, CASE WHEN avg_loss >= 0 THEN 0 WHEN avg_win <= 0 THEN 1 ELSE -avg_loss / (avg_win - avg_loss) END AS breakeven_win_rate,
+  CASE WHEN rs > 1e-12 THEN sqrt(trade_count) * avg_r_multiple / rs ELSE 0 END AS system_quality_number, CASE WHEN avg_loss >= 0 THEN 0 WHEN avg_win <= 0 THEN 1 ELSE -avg_loss / (avg_win - avg_loss) END AS breakeven_win_rate,
   greatest(0, (win_rate + 1.9208 / trade_count - 1.96 * sqrt(win_rate * (1 - win_rate) / trade_count + 3.8416 / (4 * trade_count * trade_count))) / (1 + 3.8416 / trade_count)) AS win_rate_ci_lower,
   least(1, (win_rate + 1.9208 / trade_count + 1.96 * sqrt(win_rate * (1 - win_rate) / trade_count + 3.8416 / (4 * trade_count * trade_count))) / (1 + 3.8416 / trade_count)) AS win_rate_ci_upper
   FROM st LEFT JOIN isl w ON w.f = 'win' AND w.v AND {_eq(keys, 'w')} LEFT JOIN isl l ON l.f = 'loss' AND l.v AND {_eq(keys, 'l')} LEFT JOIN isl u ON u.f = 'under' AND u.v AND {_eq(keys, 'u')})"""
