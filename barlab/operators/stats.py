@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z = 1.96
 EXIT_REASONS = ("stop_loss", "take_profit", "trailing_take_profit", "max_holding", "end_of_data")
@@ -46,7 +47,7 @@ def wilson(rate: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), (centre - spread) / (1 + z2 / n)), F.least(F.lit(1.0), (centre + spread) / (1 + z2 / n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def positive_expectancy(mean: pd.Series, error: pd.Series) -> pd.Series:
     """Normal probability that the true mean is positive; without error 1, 0 or a half. On aggregated rows only."""
     return pd.Series([(1.0 if m > 0 else 0.0 if m < 0 else 0.5) if not e > 0 else 0.5 * (1 + math.erf(m / e / math.sqrt(2))) for m, e in zip(mean, error)])
