@@ -107,3 +107,25 @@ def refill_plan(audit: DataFrame, min_coverage: float | None = None) -> DataFram
 def audit_totals(audit: DataFrame) -> DataFrame:
     """Health of all audited symbols in one row, with linear quantiles of coverage."""
     return audit.agg(F.count("*").alias("symbols"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum("row_count").alias("rows"), (F.sum("actual_count") / F.sum("expected_count")).alias("weighted_coverage"), *(F.expr(f"percentile(coverage_ratio, {q})").alias(f"coverage_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)))
+
+
+def limit_filter_audit(symbols: DataFrame, daily: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Did the limit-open filter have daily bars for each symbol, and how many days did it take out."""
+    rows = daily.groupBy("stock_code").agg(F.count("*").alias("daily_rows"))
+    gone = blocked.groupBy("stock_code").agg(F.count("*").alias("filtered_days"))
+    out = symbols.select("stock_code").distinct().join(rows, "stock_code", "left").join(gone, "stock_code", "left").fillna(0, ["daily_rows", "filtered_days"])
+    return out.select("stock_code", F.when(F.col("daily_rows") == 0, "daily_missing").otherwise("ok").alias("status"), "daily_rows", "filtered_days")
+
+
+def readiness(catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """Cached share of each key: ready, partial or empty."""
+    r = catalog.groupBy(*keys).agg(F.count("*").alias("total_count"), F.count_if(F.col("status") == "cached").alias("cached_count"))
+    r = r.withColumn("coverage_ratio", F.col("cached_count") / F.col("total_count"))
+    return r.withColumn("status", F.when(F.col("cached_count") == 0, "empty").when(F.col("cached_count") == F.col("total_count"), "ready").otherwise("partial"))
+
+
+def symbol_names(requested: DataFrame, metadata: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Names of the requested symbols: metadata before defaults, else ''. Name tables hold one row a symbol."""
+    m, d = metadata.withColumnRenamed("stock_name", "_m"), defaults.withColumnRenamed("stock_name", "_d")
+    out = requested.select("stock_code").distinct().join(m, "stock_code", "left").join(d, "stock_code", "left")
+    return out.select("stock_code", F.coalesce("_m", "_d", F.lit("")).alias("stock_name"))
