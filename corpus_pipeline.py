@@ -1,11 +1,11 @@
-"""Corpus pipeline over ``documents``: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+"""Corpus pipeline over ``documents``: toxicity, line dedup, near-dedup, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; what it returns is
 written as Parquet and read again. All but the last return the columns of docs. Toxic documents go
 (score of 0.7 or more; labels are read only to fit the scorer), repeated lines go, one document of each
-near-duplicate group stays (the smallest doc_id), documents that hold a benchmark item go, and the last
+near-duplicate group (five-word shingles, similarity 0.8 or more) stays (the smallest doc_id), documents that hold a benchmark item go, and the last
 stage gives the token digests of what is left. Null and empty texts pass through; rows without doc_id
-pass the filters but SimHash, whose key is doc_id. An empty table gives an empty result.
+pass the filters but near-dedup, whose key is doc_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import decontaminate, line_dedup, queries, simhash, toxicity
+from barlab.llm import decontaminate, line_dedup, near_dedup, queries, toxicity
 from barlab.llm.common import read, stored
 
 TOXIC = 0.7
@@ -32,7 +32,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return near_dedup.keep_first(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", remove_toxic),
     ("line dedup", remove_repeated_lines),
-    ("simhash near-dedup", remove_near_duplicates),
+    ("near-dedup", remove_near_duplicates),
     ("benchmark decontamination", remove_benchmark),
     ("byte-level bpe", tokenize),
 ]
