@@ -108,9 +108,11 @@ def links(first: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest doc_id; all columns of docs pass.
+    """One row of each near-duplicate group stays, that with the smallest doc_id; all columns of docs pass.
 
-    Groups are the components of all pairs of similarity 0.8 or more. Texts without words are one group."""
+    Groups are the components of all pairs of similarity 0.8 or more. Texts without words are one group.
+    Rows are told apart by doc_id and text: a null doc_id goes only where its group has another row, and
+    of rows that repeat a doc_id those of other groups stay."""
     conf_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("t"), "text")
     texts = stored(rows.select("t", "text").dropDuplicates(["t"]))
@@ -118,5 +120,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "prefix")).alias("p")).select("node", "p.t", "p.n", "p.prefix")
     group = stored(components(links(stored(first), texts)))
     groups = profile.select("t", "node").join(group, "node", "left").select("t", F.coalesce("component", "node").alias("c"))
-    kept = rows.select("doc_id", "t").join(groups, "t").groupBy("c").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    same = rows.select("doc_id", "t").join(groups, "t").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))
+    best = same.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m.t").alias("_u"), F.lit(True).alias("stays"))
+    once = stored(same.select("doc_id", "t", "n").join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_u")), "left").select("doc_id", "t", "n", "stays"))
+    marked = docs.withColumn("_t", _same_text())
+    gone = once.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"))
+    again = once.where("stays AND n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"))
+    row = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u"))
+    single = marked.join(small_side(stored(gone)), row, "left_anti")
+    repeated = marked.join(small_side(stored(again)), row, "left_semi").dropDuplicates(["doc_id", "_t"])
+    return single.union(repeated).drop("_t")

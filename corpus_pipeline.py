@@ -5,7 +5,7 @@ written as Parquet and read again. All but the last return the columns of docs.
 (score of 0.7 or more; labels are read only to fit the scorer), repeated lines go, one document of each
 near-duplicate group (five-word shingles, similarity 0.8 or more) stays (the smallest doc_id), documents that hold a benchmark item go, and the last
 stage gives the token digests of what is left. Null and empty texts pass through; rows without doc_id
-pass the filters but near-dedup, whose key is doc_id. An empty table gives an empty result.
+are filtered like any other, but hold no benchmark item and lose no lines. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -48,3 +48,12 @@ def test_near_dedup_equals_jaccard_brute_force(spark):
     got = near_dedup.keep_first(df)
     assert got.columns == df.columns and sorted(x.doc_id for x in got.collect()) == sorted(set(label.values()))
     assert near_dedup.keep_first(df.limit(0)).count() == 0
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    a, b, c = words(40, 1), words(40, 2), words(40, 3)
+    rows = [(None, a), (None, b), (1, b), (2, c), (2, words(40, 4)), (2, c), (None, a), (3, c + " more"), (None, None), (4, "")]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS n", "'x' AS stays")
+    got = near_dedup.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (1, b), (2, c), (2, words(40, 4)), (4, "")], key=str)
