@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, the rest lower-cased words; windows of `WORDS`
 such tokens are hash-joined with those of the benchmark items. A document holds an item if it has
-at least `SHARE` of the item's distinct windows and the placeholders agree: along the most frequent
-offset, each value in the item must stand for one value in the document. Re-parameterised questions
+at least `SHARE` of the item's distinct windows and the placeholders agree: along one of the offsets that
+have the share, or else the most frequent, each value in the item must stand for one value in the document. Re-parameterised questions
 share all windows and have other, but consistent, values.
 """
 
@@ -67,25 +67,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share: the items that documents hold.
 
     Items of fewer than WORDS tokens can't be told from ordinary text and are never found. Null texts
-    and rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is found."""
+    and rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is found.
+    Every offset that has the share of windows by itself is judged by its values, or else the most frequent
+    ones; one that is consistent is enough."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     cut = items.select("item_id", F.posexplode(window_keys(_plain_tokens(F.col("text")))).alias("pos", "key"))
     grams = stored(cut.groupBy("item_id", "key").agg(F.min("pos").alias("pos")))
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n"))
     words = docs.where("doc_id IS NOT NULL").select("doc_id", _plain_tokens(F.col("text")).alias("w"))
     each = words.select("doc_id", F.posexplode(window_keys(F.col("w"))).alias("at", "key"))
-    met = each.join(small_side(grams), "key").groupBy("doc_id", "item_id", "key").agg(F.min(F.col("at") - F.col("pos")).alias("shift"))
+    met = each.join(small_side(grams), "key").select("doc_id", "item_id", "key", (F.col("at") - F.col("pos")).alias("shift")).distinct()
     met = stored(met)
-    held = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(sizes, "item_id")
-    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select("doc_id", "item_id", (F.col("k") / F.col("n")).alias("share")))
-    shifts = met.join(held, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "shift").count()
-    best = shifts.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("count", -F.col("shift"))).alias("shift"))
+    keys = met.select("doc_id", "item_id", "key").distinct()
+    held = keys.groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(sizes, "item_id")
+    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select("doc_id", "item_id", "n", (F.col("k") / F.col("n")).alias("share")))
+    shifts = stored(met.join(held.select("doc_id", "item_id", "n"), ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "shift", "n").count())
+    most = shifts.groupBy("doc_id", "item_id").agg(F.max("count").alias("most"))
+    whole = F.col("count") >= F.least(SHARE * F.col("n"), F.col("most"))
+    offsets = stored(shifts.join(most, ["doc_id", "item_id"]).where(whole).select("doc_id", "item_id", "shift"))
     theirs = _slots(items, "item_id").withColumnRenamed("value", "old")
-    asked = best.join(theirs, "item_id").withColumn("pos", F.col("pos") + F.col("shift"))
+    asked = offsets.join(theirs, "item_id").withColumn("pos", F.col("pos") + F.col("shift"))
     suspects = docs.join(small_side(stored(asked.select("doc_id").distinct())), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = asked.join(_slots(suspects, "doc_id"), ["doc_id", "pos", "kind"])
-    odd = both.groupBy("doc_id", "item_id", "kind", "old").agg((F.min("value") < F.max("value")).alias("differ")).where("differ")
-    return held.join(odd.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
+    place = ["doc_id", "item_id", "shift"]
+    odd = both.groupBy(*place, "kind", "old").agg((F.min("value") < F.max("value")).alias("differ")).where("differ")
+    sound = offsets.join(odd.select(*place).distinct(), place, "left_anti").select("doc_id", "item_id").distinct()
+    return held.join(sound, ["doc_id", "item_id"], "left_semi").drop("n")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

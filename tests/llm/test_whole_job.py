@@ -2,7 +2,7 @@
 
 import random
 
-from barlab.llm import near_dedup
+from barlab.llm import decontaminate, near_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -57,3 +57,12 @@ def test_near_dedup_judges_rows_not_ids(spark):
     got = near_dedup.keep_first(df)
     assert got.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (1, b), (2, c), (2, words(40, 4)), (4, "")], key=str)
+
+
+def test_decontamination_looks_at_every_copy(spark):
+    item = "if one crate holds 12 apples then how many apples do 12 such crates hold when none of them is lost"
+    odd = item.replace("12 apples", "30 apples").replace("12 such", "45 such")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, odd + " . " + item), (2, odd), (3, odd + " . " + words(20, 1) + " " + odd), (4, odd + " . " + odd + " . " + item.replace("12", "7")), (5, item + " . " + odd)]
+    got = {r.doc_id: r["items"] for r in decontaminate.judge(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == {1: "1", 2: "", 3: "", 4: "1", 5: "1"}
