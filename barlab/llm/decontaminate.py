@@ -9,7 +9,9 @@ share all windows and have other, but consistent, values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.llm.common import small_side, stored
@@ -23,18 +25,28 @@ UNITS = (
     "months", "month", "years", "year", "percent", "dollars", "dollar", "euros", "euro", "cents", "degrees",
 )
 _NAME = r"([\p{L},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
+# Words that open a sentence without being a name.
+_OPENERS = (
+    "a|an|the|this|that|these|those|if|when|where|who|whom|whose|what|which|why|how|in|on|at|by|for|from|to|of|with|as|and|or|but|so|then|there|it|its|is|are|was|were|"
+    "do|does|did|can|could|will|would|should|has|have|had|he|she|they|we|you|i|his|her|their|our|my|your|after|before|while|during|each|every|all|some|any|no|not|one|let|given|"
+    "suppose|find|calculate|compute|determine|question|answer"
+)
+_CAPITAL = rf"(?!(?i:{_OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
+_ANY_NAME = rf"(^|[^\p{{L}}\p{{N}}])({_CAPITAL}(?: {_CAPITAL})*)"
 _NUMBER = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
 _UNIT = rf"({NUMBER}(?:{OPEN}[^{CLOSE}]*{CLOSE})? +)(%|" + "|".join(UNITS) + r")([^\p{L}\p{N}]|$)"
+#: The streams of tokens: two kinds of templates, by what is a name, and the plain words.
+NAMES, PLAIN = {0: _NAME, 1: _ANY_NAME}, 2
 _GAP = rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"
 _STRAY = rf"[{NUMBER}{NAME}{UNIT}{OPEN}{CLOSE}]"
 
 
-def marked(text: Column, values: bool) -> Column:
-    """The text lower-cased with placeholders for names (capitals within a sentence), numbers and units
-    after numbers; with `values`, each is followed by its bracketed value."""
+def marked(text: Column, values: bool, name: str = _NAME) -> Column:
+    """The text lower-cased with placeholders for names (by default capitals within a sentence), numbers and
+    units after numbers; with `values`, each is followed by its bracketed value."""
     v = (lambda k: f"{OPEN}${k}{CLOSE}") if values else (lambda k: "")
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _STRAY, " ")
-    t = F.regexp_replace(t, _NAME, f"$1 {NAME}{v(2)} ")
+    t = F.regexp_replace(t, name, f"$1 {NAME}{v(2)} ")
     t = F.regexp_replace(t, _NUMBER, f" {NUMBER}{v(1)} ")
     return F.regexp_replace(F.lower(t), _UNIT, f"$1{UNIT}{v(2)} $3")
 
@@ -43,56 +55,78 @@ def tokens(mark: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(mark, f"{OPEN}[^{CLOSE}]*{CLOSE}", ""), _GAP), lambda w: w != "")
 
 
-def _plain_tokens(text: Column) -> Column:
-    return F.filter(F.split(marked(text, False), _GAP), lambda w: w != "")
+def _tokens_of(stream: int, text: Column) -> Column:
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+") if stream == PLAIN else F.split(marked(text, False, NAMES[stream]), _GAP)
+    return F.filter(words, lambda w: w != "")
 
 
-def window_keys(words: Column, n: int = WORDS) -> Column:
+def window_keys(words: Column, n: int = WORDS, stream: int = 0) -> Column:
     """Hashes of all windows of n tokens; fewer tokens: none."""
-    whole = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
+    whole = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.lit(stream), F.slice(words, i, n)))
     return F.when(F.size(words) >= n, whole).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows(rows: DataFrame, key: str, at: str, short: list[int]) -> DataFrame:
+    """key, stream, place and key of the windows of every stream; those of `short` numbers of plain tokens are streams of their own."""
+    out = []
+
+    def keys_of(stream: int, n: int) -> Column:
+        return F.transform(window_keys(F.col("w"), n, stream), lambda k, i: F.struct(F.lit(stream).alias("stream"), i.alias(at), k.alias("key")))
+
+    for stream in (*NAMES, PLAIN):
+        words = rows.select(key, _tokens_of(stream, F.col("text")).alias("w"))
+        keys = F.concat(keys_of(stream, WORDS), *(keys_of(-n, n) for n in short if stream == PLAIN))
+        out.append(words.select(key, F.explode(keys).alias("k")).select(key, "k.*"))
+    return reduce(DataFrame.union, out)
+
+
 def _slots(rows: DataFrame, key: str) -> DataFrame:
-    """key, pos, kind and value of each placeholder."""
-    mark = rows.select(key, marked(F.col("text"), True).alias("m"))
+    """key, stream, pos, kind and value of each placeholder."""
+    return reduce(DataFrame.union, (_stream_slots(rows, key, stream) for stream in NAMES))
+
+
+def _stream_slots(rows: DataFrame, key: str, stream: int) -> DataFrame:
+    mark = rows.select(key, marked(F.col("text"), True, NAMES[stream]).alias("m"))
     split = mark.select(key, tokens(F.col("m")).alias("t"), F.regexp_extract_all("m", F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)).alias("v"))
     is_slot = lambda t: t.isin(NUMBER, NAME, UNIT)
     at = split.select(key, "v", F.transform("t", lambda t, i: F.struct(i.alias("pos"), t.alias("kind"))).alias("all"))
     at = at.select(key, F.arrays_zip(F.filter("all", lambda x: is_slot(x["kind"])).alias("s"), F.col("v").alias("v")).alias("z"))
-    return at.select(key, F.explode("z").alias("z")).select(key, F.col("z.s.pos").alias("pos"), F.col("z.s.kind").alias("kind"), F.col("z.v").alias("value"))
+    return at.select(key, F.explode("z").alias("z")).select(key, F.lit(stream).alias("stream"), F.col("z.s.pos").alias("pos"), F.col("z.s.kind").alias("kind"), F.col("z.v").alias("value"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share: the items that documents hold.
 
-    Items of fewer than WORDS tokens can't be told from ordinary text and are never found. Null texts
-    and rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is found.
+    Each stream of tokens is judged by itself, and one that reaches the share is enough: the templates, the
+    templates with capitals that open a sentence as names too, and the plain words, which have no values to
+    compare. An item of fewer than WORDS words is held where all of them follow each other. Null texts and
+    rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is found.
     Every offset that has the share of windows by itself is judged by its values, or else the most frequent
     ones; one that is consistent is enough."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
-    cut = items.select("item_id", F.posexplode(window_keys(_plain_tokens(F.col("text")))).alias("pos", "key"))
-    grams = stored(cut.groupBy("item_id", "key").agg(F.min("pos").alias("pos")))
-    sizes = grams.groupBy("item_id").agg(F.count("*").alias("n"))
-    words = docs.where("doc_id IS NOT NULL").select("doc_id", _plain_tokens(F.col("text")).alias("w"))
-    each = words.select("doc_id", F.posexplode(window_keys(F.col("w"))).alias("at", "key"))
-    met = each.join(small_side(grams), "key").select("doc_id", "item_id", "key", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    met = stored(met)
-    keys = met.select("doc_id", "item_id", "key").distinct()
-    held = keys.groupBy("doc_id", "item_id").agg(F.count("*").alias("k")).join(sizes, "item_id")
-    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select("doc_id", "item_id", "n", (F.col("k") / F.col("n")).alias("share")))
-    shifts = stored(met.join(held.select("doc_id", "item_id", "n"), ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "shift", "n").count())
-    most = shifts.groupBy("doc_id", "item_id").agg(F.max("count").alias("most"))
+    size = items.select("item_id", "text", F.size(_tokens_of(PLAIN, F.col("text"))).alias("size"))
+    short = sorted(r["size"] for r in size.where(F.col("size").between(1, WORDS - 1)).select("size").distinct().collect())
+    cut = _windows(size, "item_id", "pos", short).join(size.select("item_id", "size"), "item_id").where("stream >= 0 OR stream = -size")
+    grams = stored(cut.groupBy("item_id", "stream", "key").agg(F.min("pos").alias("pos")))
+    pair = ["doc_id", "item_id", "stream"]
+    sizes = grams.groupBy("item_id", "stream").agg(F.count("*").alias("n"))
+    each = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", "at", short).select("doc_id", "at", "key")
+    met = stored(each.join(small_side(grams), "key").select(*pair, "key", (F.col("at") - F.col("pos")).alias("shift")).distinct())
+    held = met.select(*pair, "key").distinct().groupBy(*pair).agg(F.count("*").alias("k")).join(sizes, ["item_id", "stream"])
+    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select(*pair, "n", (F.col("k") / F.col("n")).alias("share")))
+    typed = F.col("stream").isin(*NAMES)
+    shifts = stored(met.join(held.where(typed).select(*pair, "n"), pair).groupBy(*pair, "shift", "n").count())
+    most = shifts.groupBy(*pair).agg(F.max("count").alias("most"))
     whole = F.col("count") >= F.least(SHARE * F.col("n"), F.col("most"))
-    offsets = stored(shifts.join(most, ["doc_id", "item_id"]).where(whole).select("doc_id", "item_id", "shift"))
+    offsets = stored(shifts.join(most, pair).where(whole).select(*pair, "shift"))
     theirs = _slots(items, "item_id").withColumnRenamed("value", "old")
-    asked = offsets.join(theirs, "item_id").withColumn("pos", F.col("pos") + F.col("shift"))
+    asked = offsets.join(theirs, ["item_id", "stream"]).withColumn("pos", F.col("pos") + F.col("shift"))
     suspects = docs.join(small_side(stored(asked.select("doc_id").distinct())), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = asked.join(_slots(suspects, "doc_id"), ["doc_id", "pos", "kind"])
-    place = ["doc_id", "item_id", "shift"]
-    odd = both.groupBy(*place, "kind", "old").agg((F.min("value") < F.max("value")).alias("differ")).where("differ")
-    sound = offsets.join(odd.select(*place).distinct(), place, "left_anti").select("doc_id", "item_id").distinct()
-    return held.join(sound, ["doc_id", "item_id"], "left_semi").drop("n")
+    both = asked.join(_slots(suspects, "doc_id"), ["doc_id", "stream", "pos", "kind"])
+    odd = both.groupBy(*pair, "shift", "kind", "old").agg((F.min("value") < F.max("value")).alias("differ")).where("differ")
+    sound = offsets.join(odd.select(*pair, "shift").distinct(), [*pair, "shift"], "left_anti").select(*pair).distinct()
+    found = held.where(~typed).select(*pair, "share").union(held.join(sound, pair, "left_semi").select(*pair, "share"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

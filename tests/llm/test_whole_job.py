@@ -66,3 +66,15 @@ def test_decontamination_looks_at_every_copy(spark):
     rows = [(1, odd + " . " + item), (2, odd), (3, odd + " . " + words(20, 1) + " " + odd), (4, odd + " . " + odd + " . " + item.replace("12", "7")), (5, item + " . " + odd)]
     got = {r.doc_id: r["items"] for r in decontaminate.judge(spark.createDataFrame(rows, DOCS), bench).collect()}
     assert got == {1: "1", 2: "", 3: "", 4: "1", 5: "1"}
+
+
+def test_decontamination_by_any_case_and_context(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more apples at the market. Tom gives half of them to a friend. How many apples does Tom have left"
+    bench = spark.createDataFrame([(1, tom), (2, "What is the capital of France"), (3, "Name two Noble gases"), (4, "why does Alice own the old mill")], "item_id long, text string")
+    anna = tom.replace("Tom", "Anna").replace("5", "7").replace("3", "4")
+    rows = [
+        (1, "Some page. " + anna + "?"), (2, "Question: What is the capital of France?"), (3, "well, name two noble gases now"), (4, "WHY DOES ALICE OWN THE OLD MILL"),
+        (5, "Berlin is the capital of Germany"), (6, "name the noble gases"), (7, anna.replace("Anna buys", "Bob buys")), (8, "about this: " + anna.replace(". ", " . ")), (9, words(30, 2)),
+    ]
+    got = {r.doc_id: r["items"] for r in decontaminate.judge(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "", 6: "", 7: "", 8: "1", 9: ""}
