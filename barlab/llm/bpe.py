@@ -1,25 +1,32 @@
-"""Byte-level BPE: merges folded by Spark's higher-order functions over a literal rank map.
+"""Byte-level BPE: merges of distinct words folded by Spark's higher-order functions over a literal rank map.
 
-Words are handled as strings of which each character stands for one byte (ISO-8859-1). Map lookups
-in Spark scan the map, so a literal map is an array of small maps, chosen by CRC-32 of the key.
-Frequent words are encoded once and become a literal dictionary of bounded size; all other words are
-folded where they occur, so the result doesn't depend on the dictionary.
+A word starts as the array of its bytes' ids; the fold merges the leftmost pair of least rank, looked up by
+the pair's ids. Every distinct word of a bounded dictionary of frequent words is folded once; the rest, each
+once a document, are folded where they occur, so the result doesn't depend on the dictionary. Texts are cut
+into words and joined with the dictionary's ids columnwise, without a shuffle; decoding concatenates the
+binary pieces of the ids. Map lookups in Spark scan the map, so a literal map is an array of small maps.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import stored
+from barlab.llm.common import flat, small_batches, stored
+from barlab.llm.words import MOST_BYTES, Dictionary, gather, span_hashes, word_starts
 
 NONE = 2_000_000_000
-LONG = 96  # bytes from which a word is merged by rounds instead of step by step
+LONG = 96  # bytes from which a word is cut where no token spans, and merged by rounds
+_CHAR = 0x20000  # a token is the character of this code point plus its id while it is part of a long word
+_SHIFT = 1 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,37 +41,9 @@ def literal(one_row: DataFrame) -> Column:
     return stored(one_row).scalar()
 
 
-def _bucket(key: Column, buckets: int) -> Column:
-    return (F.crc32(key.cast("binary")) % buckets).cast("int")
-
-
-@dataclass(frozen=True)
-class LiteralMap:
-    """A string-keyed map as one literal: an array of maps by CRC-32 of the key."""
-
-    column: Column
-    buckets: int
-
-    @classmethod
-    def of(cls, entries: DataFrame, buckets: int) -> LiteralMap:
-        """From distinct (key, value) rows, of a size that the caller bounds."""
-        own = entries.withColumn("b", _bucket(F.col("key"), buckets)).groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
-        every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
-        listed = F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"])
-        return cls(literal(every.agg(F.transform(listed, lambda x: x["m"]).alias("maps"))), buckets)
-
-    def bound(self, name: str, body: Callable[[LiteralMap], Column]) -> Column:
-        """body with the literal, selected before under that name, however often it looks keys up."""
-        return let(F.col(name), lambda c: body(LiteralMap(c, self.buckets)))
-
-    def __getitem__(self, key: Column) -> Column:
-        """The value, or null."""
-        return F.try_element_at(F.get(self.column, _bucket(key, self.buckets)), key)
-
-
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens as byte strings by rank, and the pattern that cuts texts before merges."""
+    """Tokens as byte strings by rank, one for each single byte among them, and the pattern that cuts texts."""
 
     ranks: dict[bytes, int]
     pattern: str
@@ -74,107 +53,139 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
-    @property
-    def java_pattern(self) -> str:
-        """White space as Unicode has it, which Java's own \\s is not."""
-        return self.pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+    @cached_property
+    def byte_ids(self) -> list[int]:
+        missing = [b for b in range(256) if bytes([b]) not in self.ranks]
+        if missing or max(self.ranks.values()) >= _SHIFT // 2:
+            raise ValueError(f"the vocabulary lacks bytes {missing} or has ranks of {_SHIFT // 2} or more")
+        return [self.ranks[bytes([b])] for b in range(256)]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank that two neighbouring tokens make, by left id x _SHIFT + right id."""
+        r = self.ranks
+        return {r[t[:i]] * _SHIFT + r[t[i:]]: n for t, n in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r}
 
-    def rows(self, spark: SparkSession) -> DataFrame:
-        """key (byte characters), rank, word (the token as text, null if it is not valid UTF-8)."""
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes, and where each id's begin and how many they are (0: no such id)."""
+        first, size, at = np.zeros(max(self.ranks.values(), default=-1) + 2, np.int64), np.zeros(max(self.ranks.values(), default=-1) + 2, np.int64), 0
+        for t, r in self.ranks.items():
+            first[r], size[r] = at, len(t)
+            at += len(t)
+        return np.frombuffer(b"".join(self.ranks), np.uint8), first, size
 
-        def text(t: bytes) -> str | None:
-            try:
-                return t.decode()
-            except UnicodeDecodeError:
-                return None
 
-        listed = [{"key": t.decode("latin-1"), "rank": r, "word": text(t)} for t, r in self.ranks.items()]
-        return spark.createDataFrame(pd.DataFrame(listed), "key string, rank int, word string")
+@dataclass(frozen=True)
+class RankMap:
+    """What the fold looks up, one literal struct: `maps` of pair ranks by hash, `ids` of bytes, `spans` (whether a
+    token holds two bytes side by side, by first x 256 + second) and `chars` of ids."""
 
-    def rank_map(self, spark: SparkSession) -> LiteralMap:
-        return LiteralMap.of(self.rows(spark).select("key", F.col("rank").alias("value")), 1 << 15)
+    column: Column
+    buckets: int = 1 << 17
 
-    def whole_words(self, spark: SparkSession) -> DataFrame:
-        """Tokens that are text: as whole words they need no merges."""
-        return self.rows(spark).where("word IS NOT NULL").select(F.col("word").alias("key"), F.array("rank").alias("value"))
+    @classmethod
+    def of(cls, vocabulary: Vocabulary, spark: SparkSession) -> RankMap:
+        pairs = pd.DataFrame({"key": list(vocabulary.pairs), "rank": list(vocabulary.pairs.values())}, dtype="int64")
+        entries = spark.createDataFrame(pairs, "key long, rank int").withColumn("b", F.pmod(F.hash("key"), F.lit(cls.buckets)))
+        own = entries.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("key", "rank"))).alias("m"))
+        every = spark.range(cls.buckets).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
+        maps = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda x: x["m"]).alias("maps"))
+        spans = np.zeros(1 << 16, bool)
+        for t in vocabulary.ranks:
+            a = np.frombuffer(t, np.uint8).astype(np.int64)
+            spans[a[:-1] * 256 + a[1:]] = True
+        chars = [chr(_CHAR + i) for i in range(max(vocabulary.ranks.values()) + 1)]
+        rest = spark.createDataFrame([(vocabulary.byte_ids, spans.tolist(), chars)], "ids array<int>, spans array<boolean>, chars array<string>")
+        return cls(literal(maps.crossJoin(rest).select(F.struct("maps", "ids", "spans", "chars").alias("ranks"))))
+
+    def bound(self, name: str, body: Callable[[RankMap], Column]) -> Column:
+        """body with the literal, selected before under that name, however often it looks ranks up."""
+        return let(F.col(name), lambda c: body(RankMap(c, self.buckets)))
+
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of two neighbouring ids merged, NONE if they don't merge."""
+
+        def look(key: Column) -> Column:
+            return F.coalesce(F.try_element_at(F.get(self.column["maps"], F.pmod(F.hash(key), F.lit(self.buckets))), key), F.lit(NONE))
+
+        return let(left.cast("long") * _SHIFT + right, look)
+
+
+def _short(ids: Column, ranks: RankMap) -> Column:
+    """Merges the leftmost pair of least rank, pair by pair. i holds the ids between two fences (-1), which
+    merge with nothing; r the ranks of neighbours in i."""
+    start = F.concat(F.array(F.lit(-1)), ids, F.array(F.lit(-1)))
 
-    def pieces(self, spark: SparkSession) -> Column:
-        """Literal array: at each id its bytes as a string of byte characters; no id beyond the last rank."""
-        top = max(self.ranks.values(), default=-1)
-        every = spark.range(top + 1).select(F.col("id").cast("int").alias("rank")).join(self.rows(spark).select("rank", "key"), "rank", "left")
-        return literal(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("pieces")))
+    def merge(e: Column) -> Column:
+        def at(p: Column) -> Column:
+            put = p["r"]
+            i = F.concat(F.slice(e["i"], F.lit(1), p["p"] - 1), F.array(put), F.slice(e["i"], p["p"] + 2, F.lit(NONE)))
+            near = F.array(ranks.rank(F.get(e["i"], p["p"] - 2), put), ranks.rank(put, F.get(e["i"], p["p"] + 1)))
+            return F.struct(i.alias("i"), F.concat(F.slice(e["r"], F.lit(1), p["p"] - 2), near, F.slice(e["r"], p["p"] + 2, F.lit(NONE))).alias("r"))
 
+        def go(m: Column) -> Column:
+            return F.when(m < NONE, let(F.struct(m.alias("r"), F.array_position(e["r"], m).cast("int").alias("p")), at)).otherwise(e)
 
-def words_of(text: Column, vocabulary: Vocabulary) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(vocabulary.java_pattern), F.lit(0))
+        return let(F.array_min(e["r"]), go)
 
+    def fold(i: Column) -> Column:
+        r = F.zip_with(F.slice(i, F.lit(1), F.size(i) - 1), F.slice(i, F.lit(2), F.size(i) - 1), ranks.rank)
+        return F.aggregate(F.sequence(F.lit(2), F.size(ids)), F.struct(i.alias("i"), r.alias("r")), lambda e, _: merge(e), lambda e: F.slice(e["i"], F.lit(2), F.size(e["i"]) - 2))
 
-def byte_chars(word: Column) -> Column:
-    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+    return F.when(F.size(ids) < 2, ids).otherwise(let(start, fold))
 
 
-def _short(chars: Column, rank: Callable[[Column], Column]) -> Column:
-    """Merges the leftmost pair of least rank, pair by pair. The fold keeps each piece with the rank of the
-    pair that it makes with the next one; rank and position in one number find the pair to merge."""
-    n = F.length(chars)
-    one = lambda p, r: F.struct(p.alias("p"), r.cast("long").alias("r"))
-    start = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: one(F.substring(chars, i, F.lit(1)), F.when(i < n, rank(F.substring(chars, i, F.lit(2)))).otherwise(F.lit(NONE))),
-    )
+def _ids_of(chars: Column) -> Column:
+    return F.transform(F.split(chars, ""), lambda c: F.ascii(c) - _CHAR)
 
-    def merge(e: Column) -> Column:
-        def put(m: Column) -> Column:
-            i = (m % 65536).cast("int")  # from 0
-            both = F.concat(F.get(e, i)["p"], F.get(e, i + 1)["p"])
-            last = one(both, F.when(i + 2 < F.size(e), rank(F.concat(both, F.get(e, i + 2)["p"]))).otherwise(F.lit(NONE)))
-            before = F.get(e, i - 1)["p"]
-            new = F.when(i > 0, F.array(one(before, rank(F.concat(before, both))), last)).otherwise(F.array(last))
-            joined = F.concat(F.slice(e, 1, F.greatest(i - 1, F.lit(0))), new, F.slice(e, i + 3, F.size(e)))
-            return F.when(m < NONE * 65536, joined).otherwise(e)
 
-        return let(F.array_min(F.transform(e, lambda x, i: x["r"] * 65536 + i)), put)
+def _rounds(chars: Column, ranks: RankMap) -> Column:
+    """The same for the characters of a long stretch: each round replaces all pairs of the least rank, left to
+    right. Merged tokens rank above the pair, so rounds give what single steps give; there are as many as
+    distinct merges."""
 
-    return F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), start, lambda e, _: merge(e)), lambda x: x["p"])
+    def least(t: Column) -> Column:
+        each = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda x, y: F.concat(x, y))
+        pair = lambda c: F.struct(ranks.rank(F.ascii(c) - _CHAR, F.ascii(F.substring(c, 2, 1)) - _CHAR).alias("r"), c.alias("c"))
+        return F.array_min(F.transform(F.array_distinct(each), pair))
 
+    def step(s: Column) -> Column:
+        def put(m: Column) -> Column:
+            new = F.struct(F.replace(s["s"], m["c"], F.get(ranks.column["chars"], m["r"])).alias("s"), F.lit(False).alias("done"))
+            return F.when(m["r"] < NONE, new).otherwise(F.struct(s["s"].alias("s"), F.lit(True).alias("done")))
 
-def _long(chars: Column, rank: Callable[[Column], Column]) -> Column:
-    """The same for long words: each round replaces all pairs of the least rank, left to right. Merged
-    tokens rank above the pair, so rounds give what single steps give. Brackets are no byte characters."""
-    a, z = "Ā", "ā"
-    start = F.regexp_replace(chars, "(?s)(.)", a + "$1" + z)
+        return F.when(s["done"], s).otherwise(let(least(F.split(s["s"], "")), put))
 
-    def tokens(s: Column) -> Column:
-        return F.split(F.substring(s, F.lit(2), F.length(s) - 2), z + a)
+    return F.aggregate(F.sequence(F.lit(2), F.length(chars)), F.struct(chars.alias("s"), F.lit(False).alias("done")), lambda s, _: step(s), lambda s: _ids_of(s["s"]))
 
-    def least(t: Column) -> Column:
-        pairs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda x, y: F.struct(rank(F.concat(x, y)).alias("r"), x.alias("x"), y.alias("y")))
-        return F.array_min(pairs)
 
-    def round_(s: Column) -> Column:
-        def go(t: Column) -> Column:
-            def put(m: Column) -> Column:
-                old, new = F.concat(F.lit(a), m["x"], F.lit(z + a), m["y"], F.lit(z)), F.concat(F.lit(a), m["x"], m["y"], F.lit(z))
-                return F.when(m["r"] < NONE, F.struct(F.replace(s["s"], old, new).alias("s"), F.lit(False).alias("done"))).otherwise(F.struct(s["s"].alias("s"), F.lit(True).alias("done")))
+def _long(codes: Column, ranks: RankMap) -> Column:
+    """A long word's bytes, cut between bytes that stand side by side in no token: no merge spans these."""
+    after = F.concat(F.slice(codes, F.lit(2), F.size(codes)), F.array(F.lit(-1)))
 
-            return F.when(F.size(t) > 1, let(least(t), put)).otherwise(F.struct(s["s"].alias("s"), F.lit(True).alias("done")))
+    def char(a: Column, b: Column) -> Column:
+        own = F.get(ranks.column["chars"], F.get(ranks.column["ids"], a))
+        return F.when((b < 0) | F.get(ranks.column["spans"], a * 256 + b), own).otherwise(F.concat(own, F.lit(" ")))
 
-        return F.when(s["done"], s).otherwise(let(tokens(s["s"]), go))
+    parts = F.split(F.array_join(F.zip_with(codes, after, char), ""), " ")
+    each = lambda p: F.when(F.length(p) < LONG, _short(_ids_of(p), ranks)).otherwise(_rounds(p, ranks))
+    return F.flatten(F.transform(parts, each))
 
-    steps = F.sequence(F.lit(1), F.length(chars) - 1)
-    return F.aggregate(steps, F.struct(start.alias("s"), F.lit(False).alias("done")), lambda s, _: round_(s), lambda s: tokens(s["s"]))
 
+def fold_word(word: Column, ranks: RankMap) -> Column:
+    """Token ids of one word (not empty) by its folded merges."""
 
-def fold_word(word: Column, ranks: LiteralMap) -> Column:
-    """Token ids of one word (not empty): its own rank if it is a token, else its folded merges."""
-    rank = lambda x: F.coalesce(ranks[x], F.lit(NONE))
+    def merged(codes: Column) -> Column:
+        ids = F.transform(codes, lambda b: F.get(ranks.column["ids"], b))
+        return F.when(F.size(codes) < LONG, let(ids, lambda i: _short(i, ranks))).otherwise(_long(codes, ranks))
 
-    def merged(chars: Column) -> Column:
-        parts = F.when(F.length(chars) == 1, F.array(chars)).when(F.length(chars) < LONG, _short(chars, rank)).otherwise(_long(chars, rank))
-        own = rank(chars)
-        return F.when(own < NONE, F.array(own)).otherwise(F.transform(parts, rank))
+    return let(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c)), merged)
 
-    return let(byte_chars(word), merged)
+
+def _ready(vocabulary: Vocabulary) -> Dictionary:
+    """The tokens themselves: as whole words they need no merges."""
+    own = [(t, r) for t, r in vocabulary.ranks.items() if len(t) <= MOST_BYTES]
+    return Dictionary([t for t, _ in own], np.ones(len(own), np.int64), np.array([r for _, r in own]))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFrame:
@@ -182,35 +193,126 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFr
 
     Counts cover all documents. A threshold on the count, from a histogram of some hundred rows, decides."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(words_of(F.col("text"), vocabulary)).alias("key")).groupBy("key").count().where("count > 1")
-    words = stored(words.join(vocabulary.whole_words(spark).select("key"), "key", "left_anti"))
+    tokens, pattern = spark.sparkContext.broadcast(_ready(vocabulary)), vocabulary.pattern
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text"):
+            data, off = flat(b.column("text"))
+            starts = word_starts(data, off, pattern)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            short = ends - starts <= MOST_BYTES
+            starts, ends = starts[short], ends[short]
+            h1, h2 = span_hashes(data, starts, ends)
+            _, at, n = np.unique(h1, return_index=True, return_counts=True)
+            new = tokens.value.find(h1[at], h2[at]) < 0
+            at, n = at[new], n[new]
+            size = ends[at] - starts[at]
+            keys = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(gather(data, starts[at], size))])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64())], ["key", "n"])
+
+    words = docs.select("text").mapInArrow(count, "key string, n long")
+    words = stored(words.groupBy("key").agg(F.sum("n").alias("count")).where("count > 1"))
     level = F.floor(F.log2("count") * 8).cast("int")
     got, least = 0, NONE
     for row in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         if (got := got + row["count"]) > most:
             break
         least = row["level"]
-    ranks = vocabulary.rank_map(spark)
+    ranks = RankMap.of(vocabulary, spark)
     chosen = words.where(level >= least).repartition(F.col("key")).withColumn("_ranks", ranks.column)
     return chosen.select("key", ranks.bound("_ranks", lambda r: fold_word(F.col("key"), r)).alias("value"))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 20) -> DataFrame:
+def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int) -> Dictionary:
+    """The vocabulary's tokens and the frequent words, at most `most`, with their ids: some 40 bytes each."""
+    own = _ready(vocabulary)
+    got = frequent_words(docs, vocabulary, most).toArrow().combine_chunks()
+    tokens = [t for t in vocabulary.ranks if len(t) <= MOST_BYTES]
+    values = got["value"].combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
+    words = got["key"].cast(pa.large_binary()).to_pylist()
+    return Dictionary(tokens + words, np.concatenate([np.ones(len(tokens), np.int64), values.value_lengths().to_numpy()]), np.concatenate([own.ids, values.flatten().to_numpy()]))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 19) -> DataFrame:
     """The `keep` columns and ids (array<int>) of every row's whole text, without special tokens.
 
     Null and empty texts have no ids; rows may repeat; other columns are dropped. The texts aren't shuffled.
-    The dictionary of at most `dictionary_words` words takes some 30 bytes each in every task."""
+    The dictionary of at most `dictionary_words` words (some 20 MB) goes to every executor. Words of any length
+    are folded; one of LONG bytes or more that tokens span throughout takes a pass for each distinct merge."""
     spark = docs.sparkSession
-    known = LiteralMap.of(vocabulary.whole_words(spark).union(frequent_words(docs, vocabulary, dictionary_words)), 1 << 19)
-    ranks = vocabulary.rank_map(spark)
-    each = lambda k, r: F.transform(F.col("_words"), lambda w: F.coalesce(k[w], fold_word(w, r)))
-    ids = F.flatten(known.bound("_known", lambda k: ranks.bound("_ranks", lambda r: each(k, r))))
-    ready = docs.select(*keep, words_of(F.col("text"), vocabulary).alias("_words"), known.column.alias("_known"), ranks.column.alias("_ranks"))
-    return ready.select(*keep, ids.alias("ids"))
+    known, pattern, kinds = spark.sparkContext.broadcast(dictionary(docs, vocabulary, dictionary_words)), vocabulary.pattern, dict(docs.dtypes)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known.value
+        sizes = np.diff(words.first)
+        for b in small_batches(batches, "text", 4 << 20):
+            data, off = flat(b.column("text"))
+            starts = word_starts(data, off, pattern)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            at = words.find(*span_hashes(data, starts, ends))
+            at[ends - starts > MOST_BYTES] = -1
+            hole = np.flatnonzero(at < 0)
+            size = np.where(at < 0, 0, sizes[at])
+            ids = gather(words.ids, words.first[at], size)
+            ends_ids = np.append(0, np.cumsum(size))
+            row = np.searchsorted(off[1:], starts[hole], "right")
+            raw, rest, rest_n, which = data.tobytes(), [], np.zeros(b.num_rows, np.int64), np.empty(len(hole), np.int64)
+            seen: dict[str, int] = {}
+            last = -1
+            for i, (r, s, e) in enumerate(zip(row.tolist(), starts[hole].tolist(), ends[hole].tolist())):
+                if r != last:
+                    seen, last = {}, r
+                word = raw[s:e].decode()
+                if (k := seen.get(word)) is None:
+                    k = seen[word] = len(seen)
+                    rest.append(word)
+                    rest_n[r] += 1
+                which[i] = k
+            # A row's ids come in stretches, each but the last followed by a word of `rest`.
+            first_word = np.searchsorted(starts, off)
+            cut = np.sort(np.concatenate([ends_ids[hole], ends_ids[first_word[1:]]]), kind="stable")
+            n_holes = np.bincount(row, minlength=b.num_rows)
+            last_of = np.cumsum(n_holes + 1) - 1
+            then = np.full(len(cut), -1, np.int64)
+            inner = np.ones(len(cut), bool)
+            inner[last_of] = False
+            then[inner] = which
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, cut), pa.int32()), pa.array(ids, pa.int32()))
+            parts = pa.StructArray.from_arrays([lists, pa.array(then, pa.int32())], ["ids", "then"])
+            parts = pa.ListArray.from_arrays(pa.array(np.append(0, last_of + 1), pa.int32()), parts)
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rest_n)), pa.int32()), pa.array(rest, pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), parts, more], [*(f"_k{i}" for i in range(len(keep))), "_parts", "_rest"])
+
+    schema = ", ".join([*(f"_k{i} {kinds[k]}" for i, k in enumerate(keep)), "_parts array<struct<ids: array<int>, then: int>>", "_rest array<string>"])
+    found = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(look_up, schema)
+    ranks = RankMap.of(vocabulary, spark)
+    folded = ranks.bound("_ranks", lambda r: F.transform("_rest", lambda w: fold_word(w, r)))
+    nothing = F.array().cast("array<int>")
+    join = lambda f: F.flatten(F.transform("_parts", lambda p: F.concat(p["ids"], F.coalesce(F.get(f, p["then"]), nothing))))
+    ids = F.when(F.size("_rest") == 0, F.get("_parts", F.lit(0))["ids"]).otherwise(let(folded, join))
+    return found.withColumn("_ranks", ranks.column).select(*(F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)), ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds decoded (binary), the bytes of ids; an id that the vocabulary doesn't have adds nothing, null ids give null."""
-    ready = encoded.withColumn("_pieces", vocabulary.pieces(encoded.sparkSession))
-    parts = let(F.col("_pieces"), lambda p: F.transform(F.col("ids"), lambda i: F.get(p, i)))
-    return ready.withColumn("decoded", F.encode(F.array_join(parts, ""), "ISO-8859-1")).drop("_pieces")
+    """Adds decoded (binary): the pieces of a row's ids, copied one after another into one buffer. An id that the
+    vocabulary doesn't have adds nothing, null ids give null; a column of that name is replaced."""
+    pieces = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces())
+    rows = encoded.drop("decoded")
+    kept, kinds = rows.columns, dict(rows.dtypes)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, first, size = pieces.value
+        for b in batches:
+            step = 64
+            for s in range(0, b.num_rows, step):
+                part = b.slice(s, step)
+                lists = part.column("ids")
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                ids = np.where((ids >= 0) & (ids < len(size) - 1), ids, len(size) - 1).astype(np.int64)
+                ends = np.append(0, np.cumsum(size[ids]))
+                off = ends[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))]
+                valid = None if not lists.null_count else pa.array(lists.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
+                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(gather(data, first[ids], size[ids]))])
+                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*kept, "decoded"])
+
+    return rows.mapInArrow(join, ", ".join(f"`{k}` {kinds[k]}" for k in kept) + ", decoded binary")
