@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import flat, small_batches, stored
+from barlab.llm.common import conf_batches, flat, literal, small_batches, stored
 from barlab.llm.words import MOST_BYTES, Dictionary, gather, span_hashes, word_starts
 
-NONE = 2_000_000_000
+MANY = 2_000_000_000
 LONG = 96  # bytes from which a word is cut where no token spans, and merged by rounds
 _CHAR = 0x20000  # a token is the character of this code point plus its id while it is part of a long word
 _SHIFT = 1 << 20
@@ -34,13 +34,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def literal(one_row: DataFrame) -> Column:
-    """The only value of a one-row table as a literal, by way of a small file: it is evaluated once, tasks
-    get its compact bytes, and the optimizer doesn't compare its contents over and over. Spark wants such
-    a column selected by itself before a higher-order function uses it."""
-    return stored(one_row).scalar()
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """Tokens as byte strings by rank, one for each single byte among them, and the pattern that cuts texts."""
@@ -86,7 +79,7 @@ class RankMap:
     @classmethod
     def of(cls, vocabulary: Vocabulary, spark: SparkSession) -> RankMap:
         pairs = pd.DataFrame({"key": list(vocabulary.pairs), "rank": list(vocabulary.pairs.values())}, dtype="int64")
-        entries = spark.createDataFrame(pairs, "key long, rank int").withColumn("b", F.pmod(F.hash("key"), F.lit(cls.buckets)))
+        entries = spark.createDataFrame(pairs, "key long, rank int").withColumn("b", F.pmod(F.floor(F.col("key") / _SHIFT) * 31 + F.col("key") % _SHIFT, F.lit(cls.buckets)).cast("int"))
         own = entries.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("key", "rank"))).alias("m"))
         every = spark.range(cls.buckets).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
         maps = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "m")), lambda x, y: x["b"] - y["b"]), lambda x: x["m"]).alias("maps"))
@@ -103,12 +96,8 @@ class RankMap:
         return let(F.col(name), lambda c: body(RankMap(c, self.buckets)))
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two neighbouring ids merged, NONE if they don't merge."""
-
-        def look(key: Column) -> Column:
-            return F.coalesce(F.try_element_at(F.get(self.column["maps"], F.pmod(F.hash(key), F.lit(self.buckets))), key), F.lit(NONE))
-
-        return let(left.cast("long") * _SHIFT + right, look)
+        """The rank of two neighbouring ids merged, null if they don't merge."""
+        return F.try_element_at(F.get(self.column["maps"], F.pmod(left * 31 + right, F.lit(self.buckets))), left.cast("long") * _SHIFT + right)
 
 
 def _short(ids: Column, ranks: RankMap) -> Column:
@@ -119,14 +108,12 @@ def _short(ids: Column, ranks: RankMap) -> Column:
     def merge(e: Column) -> Column:
         def at(p: Column) -> Column:
             put = p["r"]
-            i = F.concat(F.slice(e["i"], F.lit(1), p["p"] - 1), F.array(put), F.slice(e["i"], p["p"] + 2, F.lit(NONE)))
+            i = F.concat(F.slice(e["i"], F.lit(1), p["p"] - 1), F.array(put), F.slice(e["i"], p["p"] + 2, F.lit(MANY)))
             near = F.array(ranks.rank(F.get(e["i"], p["p"] - 2), put), ranks.rank(put, F.get(e["i"], p["p"] + 1)))
-            return F.struct(i.alias("i"), F.concat(F.slice(e["r"], F.lit(1), p["p"] - 2), near, F.slice(e["r"], p["p"] + 2, F.lit(NONE))).alias("r"))
+            return F.when(put.isNull(), e).otherwise(F.struct(i.alias("i"), F.concat(F.slice(e["r"], F.lit(1), p["p"] - 2), near, F.slice(e["r"], p["p"] + 2, F.lit(MANY))).alias("r")))
 
-        def go(m: Column) -> Column:
-            return F.when(m < NONE, let(F.struct(m.alias("r"), F.array_position(e["r"], m).cast("int").alias("p")), at)).otherwise(e)
-
-        return let(F.array_min(e["r"]), go)
+        least = F.array_min(e["r"])
+        return let(F.struct(least.alias("r"), F.array_position(e["r"], least).cast("int").alias("p")), at)
 
     def fold(i: Column) -> Column:
         r = F.zip_with(F.slice(i, F.lit(1), F.size(i) - 1), F.slice(i, F.lit(2), F.size(i) - 1), ranks.rank)
@@ -147,12 +134,12 @@ def _rounds(chars: Column, ranks: RankMap) -> Column:
     def least(t: Column) -> Column:
         each = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda x, y: F.concat(x, y))
         pair = lambda c: F.struct(ranks.rank(F.ascii(c) - _CHAR, F.ascii(F.substring(c, 2, 1)) - _CHAR).alias("r"), c.alias("c"))
-        return F.array_min(F.transform(F.array_distinct(each), pair))
+        return F.array_min(F.filter(F.transform(F.array_distinct(each), pair), lambda x: x["r"].isNotNull()))
 
     def step(s: Column) -> Column:
         def put(m: Column) -> Column:
             new = F.struct(F.replace(s["s"], m["c"], F.get(ranks.column["chars"], m["r"])).alias("s"), F.lit(False).alias("done"))
-            return F.when(m["r"] < NONE, new).otherwise(F.struct(s["s"].alias("s"), F.lit(True).alias("done")))
+            return F.when(m["r"].isNotNull(), new).otherwise(F.struct(s["s"].alias("s"), F.lit(True).alias("done")))
 
         return F.when(s["done"], s).otherwise(let(least(F.split(s["s"], "")), put))
 
@@ -196,7 +183,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFr
     tokens, pattern = spark.sparkContext.broadcast(_ready(vocabulary)), vocabulary.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 4 << 20):
             data, off = flat(b.column("text"))
             starts = word_starts(data, off, pattern)
             ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -213,7 +200,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFr
     words = docs.select("text").mapInArrow(count, "key string, n long")
     words = stored(words.groupBy("key").agg(F.sum("n").alias("count")).where("count > 1"))
     level = F.floor(F.log2("count") * 8).cast("int")
-    got, least = 0, NONE
+    got, least = 0, MANY
     for row in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         if (got := got + row["count"]) > most:
             break
@@ -233,19 +220,20 @@ def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int) -> Dictionary
     return Dictionary(tokens + words, np.concatenate([np.ones(len(tokens), np.int64), values.value_lengths().to_numpy()]), np.concatenate([own.ids, values.flatten().to_numpy()]))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 19) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 20) -> DataFrame:
     """The `keep` columns and ids (array<int>) of every row's whole text, without special tokens.
 
     Null and empty texts have no ids; rows may repeat; other columns are dropped. The texts aren't shuffled.
-    The dictionary of at most `dictionary_words` words (some 20 MB) goes to every executor. Words of any length
+    The dictionary of at most `dictionary_words` words (some 40 MB) goes to every executor. Words of any length
     are folded; one of LONG bytes or more that tokens span throughout takes a pass for each distinct merge."""
     spark = docs.sparkSession
+    conf_batches(spark)
     known, pattern, kinds = spark.sparkContext.broadcast(dictionary(docs, vocabulary, dictionary_words)), vocabulary.pattern, dict(docs.dtypes)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         sizes = np.diff(words.first)
-        for b in small_batches(batches, "text", 4 << 20):
+        for b in small_batches(batches, "text", 2 << 20):
             data, off = flat(b.column("text"))
             starts = word_starts(data, off, pattern)
             ends = np.append(starts[1:], len(data))[: len(starts)]

@@ -13,7 +13,7 @@ import regex
 
 #: Fixed value: the pattern that the vectorised cut stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Words of more bytes are not hashed: they count as unlike all others.
 MOST_BYTES = 255
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
