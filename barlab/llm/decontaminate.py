@@ -9,12 +9,10 @@ share all windows and have other, but consistent, values.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import small_side, stored
+from barlab.llm.common import literal, small_side, stored
 
 WORDS, SHARE = 5, 0.8
 # Placeholders and value brackets are private-use characters, which texts don't have (they would count as separators).
@@ -24,108 +22,121 @@ UNITS = (
     "lbs", "oz", "ml", "l", "litres", "liters", "s", "sec", "seconds", "min", "minutes", "hours", "hour", "h", "days", "day", "weeks", "week",
     "months", "month", "years", "year", "percent", "dollars", "dollar", "euros", "euro", "cents", "degrees",
 )
-_NAME = r"([\p{L},;:] )(\p{Lu}\p{L}*(?: \p{Lu}\p{L}*)*)"
 # Words that open a sentence without being a name.
-_OPENERS = (
+OPENERS = (
     "a|an|the|this|that|these|those|if|when|where|who|whom|whose|what|which|why|how|in|on|at|by|for|from|to|of|with|as|and|or|but|so|then|there|it|its|is|are|was|were|"
     "do|does|did|can|could|will|would|should|has|have|had|he|she|they|we|you|i|his|her|their|our|my|your|after|before|while|during|each|every|all|some|any|no|not|one|let|given|"
     "suppose|find|calculate|compute|determine|question|answer"
 )
-_CAPITAL = rf"(?!(?i:{_OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{L}}*"
-_ANY_NAME = rf"(^|[^\p{{L}}\p{{N}}])({_CAPITAL}(?: {_CAPITAL})*)"
-_NUMBER = r"(\p{N}+(?:[.,:/]\p{N}+)*)"
-_UNIT = rf"({NUMBER}(?:{OPEN}[^{CLOSE}]*{CLOSE})? +)(%|" + "|".join(UNITS) + r")([^\p{L}\p{N}]|$)"
-#: The streams of tokens: two kinds of templates, by what is a name, and the plain words.
-NAMES, PLAIN = {0: _NAME, 1: _ANY_NAME}, 2
+# Repetition is of single characters only: Java's matcher recurses for each round of a repeated group.
+_CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?i:{OPENERS})(?!\p{{L}}))\p{{Lu}}\p{{L}}*+"
+_NUMBER = r"\p{N}[\p{N}.,:/]*(?<=\p{N})"
+_UNIT = rf"({NUMBER}(?:{OPEN}[^{CLOSE}]*+{CLOSE})? +)(%|" + "|".join(UNITS) + r")(?![\p{L}\p{N}])"
+#: The streams of tokens: templates and plain words. A stream -n is of items of n plain words, fewer than WORDS.
+TEMPLATE, PLAIN = 1, 2
 _GAP = rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"
 _STRAY = rf"[{NUMBER}{NAME}{UNIT}{OPEN}{CLOSE}]"
+_LONGS = 1 << 16  # of the bit table that benchmark windows set
 
 
-def marked(text: Column, values: bool, name: str = _NAME) -> Column:
-    """The text lower-cased with placeholders for names (by default capitals within a sentence), numbers and
-    units after numbers; with `values`, each is followed by its bracketed value."""
+def marked(text: Column, values: bool) -> Column:
+    """The text lower-cased with placeholders for names (runs of capitalised words but sentence openers), numbers
+    and units after numbers; with `values`, each is followed by its bracketed value."""
     v = (lambda k: f"{OPEN}${k}{CLOSE}") if values else (lambda k: "")
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _STRAY, " ")
-    t = F.regexp_replace(t, name, f"$1 {NAME}{v(2)} ")
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}{v(1)} ")
-    return F.regexp_replace(F.lower(t), _UNIT, f"$1{UNIT}{v(2)} $3")
+    t = F.regexp_replace(t, _CAPITAL, NAME + v(0))
+    t = F.replace(t, F.lit(f"{CLOSE} {NAME}{OPEN}"), F.lit(" ")) if values else F.regexp_replace(t, f"(?<={NAME}) {NAME}", "")
+    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}{v(0)} ")
+    return F.regexp_replace(F.lower(t), _UNIT, f"$1{UNIT}{v(2)} ")
 
 
 def tokens(mark: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(mark, f"{OPEN}[^{CLOSE}]*{CLOSE}", ""), _GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(mark, f"{OPEN}[^{CLOSE}]*+{CLOSE}", ""), _GAP), "")
 
 
 def _tokens_of(stream: int, text: Column) -> Column:
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+") if stream == PLAIN else F.split(marked(text, False, NAMES[stream]), _GAP)
-    return F.filter(words, lambda w: w != "")
+    plain = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    return F.array_remove(F.split(marked(text, False), _GAP) if stream == TEMPLATE else plain, "")
 
 
-def window_keys(words: Column, n: int = WORDS, stream: int = 0) -> Column:
+def window_keys(words: Column, n: int = WORDS, stream: int = TEMPLATE) -> Column:
     """Hashes of all windows of n tokens; fewer tokens: none."""
     whole = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.lit(stream), F.slice(words, i, n)))
     return F.when(F.size(words) >= n, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def _windows(rows: DataFrame, key: str, at: str, short: list[int]) -> DataFrame:
-    """key, stream, place and key of the windows of every stream; those of `short` numbers of plain tokens are streams of their own."""
-    out = []
+def _keys(rows: DataFrame, key: str, short: list[int]) -> tuple[DataFrame, list[int]]:
+    """key and, under the name of each stream, the keys of its windows in order."""
+    both = rows.select(key, _tokens_of(TEMPLATE, F.col("text")).alias("t"), _tokens_of(PLAIN, F.col("text")).alias("p"))
+    kinds = [(TEMPLATE, "t", WORDS), (PLAIN, "p", WORDS), *((-n, "p", n) for n in short)]
+    return both.select(key, *(window_keys(F.col(c), n, k).alias(f"k{k}") for k, c, n in kinds)), [k for k, _, _ in kinds]
 
-    def keys_of(stream: int, n: int) -> Column:
-        return F.transform(window_keys(F.col("w"), n, stream), lambda k, i: F.struct(F.lit(stream).alias("stream"), i.alias(at), k.alias("key")))
 
-    for stream in (*NAMES, PLAIN):
-        words = rows.select(key, _tokens_of(stream, F.col("text")).alias("w"))
-        keys = F.concat(keys_of(stream, WORDS), *(keys_of(-n, n) for n in short if stream == PLAIN))
-        out.append(words.select(key, F.explode(keys).alias("k")).select(key, "k.*"))
-    return reduce(DataFrame.union, out)
+def _windows(rows: DataFrame, key: str, at: str, short: list[int], hits: Column | None = None) -> DataFrame:
+    """key, stream, place and key of the windows of every stream; with `hits`, a bit table, only of those whose bit is set."""
+    keyed, streams = _keys(rows, key, short)
+    if hits is not None:
+        keyed = keyed.withColumn("_hits", hits)
 
+    def rows_of(k: int) -> Column:
+        own, places = F.col(f"k{k}"), F.sequence(F.lit(0), F.size(f"k{k}") - 1)
+        is_set = lambda i: F.getbit(F.get("_hits", F.pmod(F.get(own, i), F.lit(_LONGS)).cast("int")), F.pmod(F.shiftright(F.get(own, i), 16), F.lit(64)).cast("int")) == 1
+        some = places if hits is None else F.filter(places, is_set)
+        listed = F.transform(some, lambda i: F.struct(F.lit(k).alias("stream"), i.alias(at), F.get(own, i).alias("key")))
+        return F.when(F.size(own) > 0, listed).otherwise(F.array().cast(f"array<struct<stream:int,{at}:int,key:bigint>>"))
 
-def _slots(rows: DataFrame, key: str) -> DataFrame:
-    """key, stream, pos, kind and value of each placeholder."""
-    return reduce(DataFrame.union, (_stream_slots(rows, key, stream) for stream in NAMES))
+    return keyed.select(key, F.explode(F.concat(*map(rows_of, streams))).alias("k")).select(key, "k.*")
+
+
+def _bit_table(keys: DataFrame) -> Column:
+    """A literal array of _LONGS longs, 512 KB whatever the benchmark's size, with a bit set for each key."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("key", 16), F.lit(64)).cast("int"))
+    own = keys.select(F.pmod("key", F.lit(_LONGS)).alias("id"), bit.alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = keys.sparkSession.range(_LONGS).join(own, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    return literal(every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]).alias("table")))
 
 
-def _stream_slots(rows: DataFrame, key: str, stream: int) -> DataFrame:
-    mark = rows.select(key, marked(F.col("text"), True, NAMES[stream]).alias("m"))
+def _slots(rows: DataFrame, key: str) -> DataFrame:
+    """key, pos, kind and value of each placeholder."""
+    mark = rows.select(key, marked(F.col("text"), True).alias("m"))
     split = mark.select(key, tokens(F.col("m")).alias("t"), F.regexp_extract_all("m", F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1)).alias("v"))
     is_slot = lambda t: t.isin(NUMBER, NAME, UNIT)
     at = split.select(key, "v", F.transform("t", lambda t, i: F.struct(i.alias("pos"), t.alias("kind"))).alias("all"))
     at = at.select(key, F.arrays_zip(F.filter("all", lambda x: is_slot(x["kind"])).alias("s"), F.col("v").alias("v")).alias("z"))
-    return at.select(key, F.explode("z").alias("z")).select(key, F.lit(stream).alias("stream"), F.col("z.s.pos").alias("pos"), F.col("z.s.kind").alias("kind"), F.col("z.v").alias("value"))
+    return at.select(key, F.explode("z").alias("z")).select(key, F.col("z.s.pos").alias("pos"), F.col("z.s.kind").alias("kind"), F.col("z.v").alias("value"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share: the items that documents hold.
 
-    Each stream of tokens is judged by itself, and one that reaches the share is enough: the templates, the
-    templates with capitals that open a sentence as names too, and the plain words, which have no values to
-    compare. An item of fewer than WORDS words is held where all of them follow each other. Null texts and
-    rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is found.
-    Every offset that has the share of windows by itself is judged by its values, or else the most frequent
-    ones; one that is consistent is enough."""
+    The templates and the plain words (which have no values to compare) are judged each by itself, and one that
+    reaches the share is enough. An item of fewer than WORDS words is held where all of them follow each other.
+    Null texts and rows with a null id hold nothing. Repeated rows count once; of items with equal texts each is
+    found. Every offset that has the share of windows by itself is judged by its values, or else the most
+    frequent ones; one that is consistent is enough. Windows whose bit no benchmark window sets are left out
+    before the join; that has no bearing on the result."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     size = items.select("item_id", "text", F.size(_tokens_of(PLAIN, F.col("text"))).alias("size"))
     short = sorted(r["size"] for r in size.where(F.col("size").between(1, WORDS - 1)).select("size").distinct().collect())
     cut = _windows(size, "item_id", "pos", short).join(size.select("item_id", "size"), "item_id").where("stream >= 0 OR stream = -size")
     grams = stored(cut.groupBy("item_id", "stream", "key").agg(F.min("pos").alias("pos")))
-    pair = ["doc_id", "item_id", "stream"]
+    pair = ["doc_id", "item_id"]
     sizes = grams.groupBy("item_id", "stream").agg(F.count("*").alias("n"))
-    each = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", "at", short).select("doc_id", "at", "key")
-    met = stored(each.join(small_side(grams), "key").select(*pair, "key", (F.col("at") - F.col("pos")).alias("shift")).distinct())
-    held = met.select(*pair, "key").distinct().groupBy(*pair).agg(F.count("*").alias("k")).join(sizes, ["item_id", "stream"])
-    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select(*pair, "n", (F.col("k") / F.col("n")).alias("share")))
-    typed = F.col("stream").isin(*NAMES)
-    shifts = stored(met.join(held.where(typed).select(*pair, "n"), pair).groupBy(*pair, "shift", "n").count())
+    each = _windows(docs.where("doc_id IS NOT NULL"), "doc_id", "at", short, _bit_table(grams)).select("doc_id", "at", "key")
+    met = stored(each.join(small_side(grams), "key").select(*pair, "stream", "key", (F.col("at") - F.col("pos")).alias("shift")).distinct())
+    held = met.select(*pair, "stream", "key").distinct().groupBy(*pair, "stream").agg(F.count("*").alias("k")).join(sizes, ["item_id", "stream"])
+    held = stored(held.where(F.col("k") >= SHARE * F.col("n")).select(*pair, "stream", "n", (F.col("k") / F.col("n")).alias("share")))
+    typed = held.where(F.col("stream") == TEMPLATE)
+    shifts = stored(met.where(F.col("stream") == TEMPLATE).join(typed.select(*pair, "n"), pair).groupBy(*pair, "shift", "n").count())
     most = shifts.groupBy(*pair).agg(F.max("count").alias("most"))
     whole = F.col("count") >= F.least(SHARE * F.col("n"), F.col("most"))
     offsets = stored(shifts.join(most, pair).where(whole).select(*pair, "shift"))
-    theirs = _slots(items, "item_id").withColumnRenamed("value", "old")
-    asked = offsets.join(theirs, ["item_id", "stream"]).withColumn("pos", F.col("pos") + F.col("shift"))
+    asked = offsets.join(_slots(items, "item_id").withColumnRenamed("value", "old"), "item_id").withColumn("pos", F.col("pos") + F.col("shift"))
     suspects = docs.join(small_side(stored(asked.select("doc_id").distinct())), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = asked.join(_slots(suspects, "doc_id"), ["doc_id", "stream", "pos", "kind"])
+    both = asked.join(_slots(suspects, "doc_id"), ["doc_id", "pos", "kind"])
     odd = both.groupBy(*pair, "shift", "kind", "old").agg((F.min("value") < F.max("value")).alias("differ")).where("differ")
     sound = offsets.join(odd.select(*pair, "shift").distinct(), [*pair, "shift"], "left_anti").select(*pair).distinct()
-    found = held.where(~typed).select(*pair, "share").union(held.join(sound, pair, "left_semi").select(*pair, "share"))
+    found = held.where(F.col("stream") != TEMPLATE).select(*pair, "share").union(typed.join(sound, pair, "left_semi").select(*pair, "share"))
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
@@ -136,25 +147,34 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.withColumns({"n_items": F.coalesce("n_items", F.lit(0)), "items": F.coalesce("items", F.lit(""))})
 
 
-def _sql_tokens(text: str) -> str:
-    def sql(s: str) -> str:
-        return "'" + s.replace("'", "''") + "'"
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
-    t = f"regexp_replace(coalesce({text}, ''), {sql(_STRAY)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {sql(_NAME)}, {sql(chr(92) + '1 ' + NAME + ' ')}, 'g')"
-    t = f"regexp_replace({t}, {sql(_NUMBER)}, {sql(' ' + NUMBER + ' ')}, 'g')"
-    t = f"regexp_replace(lower({t}), {sql(_UNIT)}, {sql(chr(92) + '1' + UNIT + ' ' + chr(92) + '3')}, 'g')"
-    return f"list_filter(regexp_split_to_array({t}, {sql(_GAP)}), lambda w: w <> '')"
+def _sql_template(text: str) -> str:
+    """Letters and what lies between them are dealt with piece by piece, as DuckDB's patterns don't look around."""
+    t = f"regexp_extract_all(regexp_replace(coalesce({text}, ''), {_sql(_STRAY)}, ' ', 'g'), '\\p{{L}}+|[^\\p{{L}}]+')"
+    is_name = f"regexp_matches(x, '^\\p{{Lu}}') AND NOT regexp_full_match(lower(x), {_sql(OPENERS)}) AND NOT (i > 1 AND regexp_matches(p[i - 1], '\\p{{N}}$'))"
+    t = f"array_to_string(list_transform([{t}], lambda p: array_to_string(list_transform(p, lambda x, i: CASE WHEN {is_name} THEN {_sql(NAME)} ELSE x END), '')), '')"
+    t = f"regexp_replace({t}, '{NAME}( {NAME})+', '{NAME}', 'g')"
+    t = f"regexp_replace({t}, '\\p{{N}}([\\p{{N}}.,:/]*\\p{{N}})?', {_sql(' ' + NUMBER + ' ')}, 'g')"
+    t = f"regexp_replace(lower({t}), '({NUMBER} +)(%|{'|'.join(UNITS)})([^\\p{{L}}\\p{{N}}]|$)', {_sql(chr(92) + '1' + UNIT + ' ' + chr(92) + '3')}, 'g')"
+    return f"list_filter(regexp_split_to_array({t}, {_sql(_GAP)}), lambda w: w <> '')"
 
 
 def oracle() -> str:
-    """DuckDB SQL for judge over windows (the items of these tables have no placeholders to compare)."""
-    grams = lambda ids, table: f"""SELECT DISTINCT {ids}, w[i:i + {WORDS - 1}] AS key
-      FROM (SELECT {ids}, w, unnest(range(1, len(w) - {WORDS - 2})) AS i FROM (SELECT {ids}, {_sql_tokens('text')} AS w FROM {table}))"""
+    """DuckDB SQL for judge over windows of both streams (these tables' copies have no values that disagree, and no
+    item of fewer than WORDS words; tests hold values and short items against brute force)."""
+    plain = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+    def grams(key: str, table: str) -> str:
+        words = f"SELECT {key}, 1 AS stream, {_sql_template('text')} AS w FROM {table} UNION ALL SELECT {key}, 2, {plain} FROM {table}"
+        return f"SELECT DISTINCT {key}, stream, w[i:i + {WORDS - 1}] AS key FROM (SELECT {key}, stream, w, unnest(range(1, len(w) - {WORDS - 2})) AS i FROM ({words}))"
+
     return f"""
 WITH b AS ({grams('item_id', 'benchmark')}), d AS ({grams('doc_id', 'documents')}),
-n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
-h AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN b USING (key) GROUP BY doc_id, item_id),
-f AS (SELECT doc_id, item_id FROM h JOIN n USING (item_id) WHERE k >= {SHARE} * n)
+n AS (SELECT item_id, stream, count(*) AS n FROM b GROUP BY item_id, stream),
+h AS (SELECT doc_id, item_id, stream, count(*) AS k FROM d JOIN b USING (stream, key) GROUP BY doc_id, item_id, stream),
+f AS (SELECT DISTINCT doc_id, item_id FROM h JOIN n USING (item_id, stream) WHERE k >= {SHARE} * n)
 SELECT p.doc_id, count(f.item_id) AS n_items, coalesce(string_agg(CAST(f.item_id AS VARCHAR), ',' ORDER BY f.item_id), '') AS items
 FROM documents p LEFT JOIN f ON f.doc_id = p.doc_id GROUP BY p.doc_id"""
