@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as the word pattern ``[^\x20\x09-\x0D]+`` has it. ``bytes.split()`` splits at the same six.
@@ -38,6 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal(one_row: DataFrame) -> Column:
+    """The only value of a one-row table as a literal, by way of a small file: it is evaluated once, tasks
+    get its compact bytes, and the optimizer doesn't compare its contents over and over. Spark wants such
+    a column selected by itself before a higher-order function uses it."""
+    return stored(one_row).scalar()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,3 +91,13 @@ def small_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
     """A stored table of narrow rows, with a broadcast hint only if it is counted to have at most
     `most_rows` rows (some MB); beyond that the join shuffles both sides."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], total: int, most: int = 10_000) -> DataFrame:
+    """left joined with right, which has each key once and its number n of left's `total` rows; drops n.
+
+    Keys with more than total / most rows are at most `most`, so these are broadcast and left's rows of them stay
+    where they are; all others, none of which is large, shuffle."""
+    hot = F.col("n") * most > total
+    many, few = F.broadcast(right.where(hot).drop("n")), right.where(~hot).drop("n")
+    return left.join(many, on).unionByName(left.join(F.broadcast(many.select(*on)), on, "left_anti").join(few, on))

@@ -1,29 +1,30 @@
 """Substring dedup over a log-structured index of window hashes.
 
-A window is `WINDOW` consecutive words. Of every document the index holds the hashes of a few
-windows of `ANCHOR` words, chosen by the words alone (the least hash in each stretch of
-WINDOW - ANCHOR + 1 of them), so two equal windows always hold an equal anchor. A batch of documents is
-merge-joined with the sorted runs of earlier batches and with itself; anchors that a second document
-has lead to candidate windows, which are verified by a 128-bit digest of their words. Each batch adds a
-run; runs are compacted into one when there are more than a few.
+A window is `WINDOW` consecutive words. Of every document the index holds the hashes of a few windows of
+`ANCHOR` words, chosen by the words alone (the least hash in each stretch of WINDOW - ANCHOR + 1 of them), so
+two equal windows always hold an equal anchor. Once a second document has an anchor, the index also holds the
+128-bit digests of all windows around it. Both kinds are kept in sorted immutable runs, bucketed by hash: each
+batch of documents is merge-joined with the runs of the batches before, its candidate windows are verified by
+their digests, and its entries become new runs. When there are more than a few, they are compacted into one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import conf_batches, small_batches, stored
+from barlab.llm.common import conf_batches, hot_join, partitions, scratch, small_batches, small_side, stored
 
-WINDOW, ANCHOR = 50, 8
+WINDOW, ANCHOR = 50, 24
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
@@ -31,6 +32,12 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter((h(w) for w in words), np.uint64, len(words))
 
 
+def _word_digests(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the words' 128-bit digests."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _rolled(h: np.ndarray, width: int, base: int) -> np.ndarray:
     """Polynomial hashes of all runs of `width` word hashes, by doubling."""
     with np.errstate(over="ignore"):
@@ -56,9 +63,10 @@ def _rolled(h: np.ndarray, width: int, base: int) -> np.ndarray:
         return total ^ total >> np.uint64(29)
 
 
-def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every run of width words."""
-    return _rolled(h, width, 0x9E3779B97F4A7C15), _rolled(h ^ h >> np.uint64(17), width, 0xC2B2AE3D27D4EB4F)
+def windows(words: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every run of width words, from independent hashes of the words."""
+    a, b = _word_digests(words)
+    return _rolled(a, width, 0x9E3779B97F4A7C15), _rolled(b, width, 0xC2B2AE3D27D4EB4F)
 
 
 def anchors(a: np.ndarray) -> np.ndarray:
@@ -101,25 +109,27 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_profile, PROFILE)
 
 
+WINDOWS = "doc_id long, at int, h1 long, h2 long"
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both hashes of the windows that hold a shared anchor."""
     for b in small_batches(batches, "text", 1 << 20):
-        for i, (doc, text, shared) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("shared"))):
-            h = _word_hashes(words_of(text))
-            a = _rolled(h, ANCHOR, 0x9E3779B97F4A7C15)
-            hit = np.isin(a.view(np.int64), shared.values.to_numpy())
-            near = np.zeros(len(h) - WINDOW + 2, np.int64)
+        for doc, text, shared in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("shared")):
+            words = words_of(text)
+            if len(words) < WINDOW:
+                continue
+            hit = np.isin(_rolled(_word_hashes(words), ANCHOR, 0x9E3779B97F4A7C15).view(np.int64), shared.values.to_numpy())
+            near = np.zeros(len(words) - WINDOW + 2, np.int64)
             at = np.flatnonzero(hit)
             np.add.at(near, np.maximum(at - (WINDOW - ANCHOR), 0), 1)
             np.add.at(near, np.minimum(at, len(near) - 2) + 1, -1)
             start = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-            h1, h2 = windows(h, WINDOW)
+            h1, h2 = windows(words)
             for s in range(0, len(start), 1 << 16):
                 k = start[s : s + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), doc)), pa.array(k.astype(np.int32)), pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64))],
-                    ["doc_id", "at", "h1", "h2"],
-                )
+                columns = [pa.array(np.full(len(k), doc)), pa.array(k.astype(np.int32)), pa.array(h1[k].view(np.int64)), pa.array(h2[k].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WINDOWS.split(", ")])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,69 +149,134 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(text)], ["doc_id", "n_removed", "cut_sha256", "kept"])
 
 
-@dataclass
 class Index:
-    """Sorted immutable runs of (hash, doc_id): each anchor hash with the least document that has it."""
-
-    spark: SparkSession
-    most_runs: int = 4
-    runs: list[DataFrame] = field(default_factory=list)
-
-    def add(self, entries: DataFrame) -> None:
-        run = entries.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-        self.runs.append(stored(run.repartition("hash").sortWithinPartitions("hash")))
-        if len(self.runs) > self.most_runs:
-            self.compact()
-
-    def compact(self) -> None:
-        merged = reduce(DataFrame.union, self.runs)
-        self.runs = []
-        self.add(merged)
-
-    def least(self) -> DataFrame:
-        """Each hash with the least document over all runs."""
-        return reduce(DataFrame.union, self.runs).groupBy("hash").agg(F.min("doc_id").alias("first"))
+    """Runs of anchors (hash, doc_id: the least document that has it, shared: whether another has it too) and of
+    windows (h1, h2, doc_id: the least document) under one folder, as tables bucketed and sorted by hash.
+
+    A run is never changed. What runs there are is in the folder's manifest, whose last version holds: a batch
+    that fails before it is committed leaves the index as it was, and another session may go on from the folder."""
+
+    KINDS = {"anchors": ("hash long, doc_id long, shared boolean", ["hash"]), "windows": ("h1 long, h2 long, doc_id long", ["h1", "h2"])}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 0, most_runs: int = 4) -> None:
+        """buckets: of a new index (default: the shuffle partitions); an index that exists keeps its own."""
+        self.spark, self.path, self.most_runs, self.version, self.runs = spark, path, most_runs, 0, []
+        self.buckets = buckets or partitions(spark)
+        try:
+            log = spark.read.parquet(f"{path}/manifest")
+        except AnalysisException:
+            return
+        last = log.where(F.col("version") == log.agg(F.max("version")).first()[0]).collect()
+        self.version, self.buckets, self.runs = last[0].version, last[0].buckets, [(r.kind, r.run) for r in last if r.run]
+        for kind, run in self.runs:
+            schema, keys = self.KINDS[kind]
+            by = ", ".join(keys)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}/{run}'")
+
+    def read(self, kind: str) -> DataFrame:
+        """The entries of all runs of a kind, one for each hash."""
+        return self._least(kind, [self.spark.table(run) for k, run in self.runs if k == kind])
+
+    def _least(self, kind: str, parts: list[DataFrame]) -> DataFrame:
+        schema, keys = self.KINDS[kind]
+        if len(parts) == 1:
+            return parts[0]
+        every = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        shared = [F.max("shared").alias("shared")] if kind == "anchors" else []
+        return every.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), *shared)
+
+    def _write(self, kind: str, entries: DataFrame) -> tuple[str, str]:
+        run, keys = f"barlab_{kind}_{uuid.uuid4().hex}", self.KINDS[kind][1]
+        dealt = entries.repartition(self.buckets, *keys)
+        dealt.write.format("parquet").bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{run}").saveAsTable(run)
+        return kind, run
+
+    def commit(self, **entries: DataFrame) -> None:
+        """Adds a run of each kind; where there are then more than `most_runs` of a kind, they become one."""
+        for kind, rows in entries.items():
+            own = [r for r in self.runs if r[0] == kind] + [self._write(kind, rows)]
+            if len(own) > self.most_runs:
+                own = [self._write(kind, self._least(kind, [self.spark.table(run) for _, run in own]))]
+            self.runs = [r for r in self.runs if r[0] != kind] + own
+        self.version += 1
+        rows = [(self.version, self.buckets, kind, run) for kind, run in self.runs] or [(self.version, self.buckets, "", "")]
+        self.spark.createDataFrame(rows, "version int, buckets int, kind string, run string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+
+def _some(docs: DataFrame, ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """The documents of a stored table of distinct doc_ids; those of at most `most_rows` are broadcast, so that other texts don't shuffle."""
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= most_rows else docs.join(ids, "doc_id", "left_semi")
+
+
+def _holding(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, text and shared anchors of the documents that have any; shared: doc_id, hash."""
+    lists = stored(shared.groupBy("doc_id").agg(F.collect_list("hash").alias("shared")))
+    return _some(docs, lists.select("doc_id")).join(lists, "doc_id").select("doc_id", "text", "shared")
+
+
+def _removed(batch: DataFrame, anchors: DataFrame, texts: DataFrame, index: Index) -> DataFrame:
+    """doc_id, at of the windows of a batch that a document with a smaller doc_id holds; adds the batch to the index.
+
+    batch: doc_id, text; anchors: doc_id, hash of the batch; texts: doc_id, text of all documents up to now."""
+    old = index.read("anchors").withColumnsRenamed({"doc_id": "old", "shared": "was_shared"})
+    own = anchors.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
+    seen = stored(own.join(old, "hash", "left"))
+    again = small_side(stored(seen.where("several OR old IS NOT NULL").select("hash")))
+    found = _holding(batch, anchors.join(again, "hash").select("doc_id", "hash")).mapInArrow(_candidates, WINDOWS)
+    starts = stored(found)
+    # Anchors that had one document till now: its windows around them weren't kept.
+    every = starts.select("doc_id", "h1", "h2", F.lit(1).alias("mine"))
+    if index.runs:
+        late = _holding(texts, seen.where("old IS NOT NULL AND NOT was_shared").select(F.col("old").alias("doc_id"), "hash"))
+        every = every.unionByName(late.mapInArrow(_candidates, WINDOWS).select("doc_id", "h1", "h2", F.lit(0).alias("mine")))
+    both = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("mine").alias("n"))
+    known = index.read("windows").withColumnRenamed("doc_id", "known")
+    owner = stored(both.join(known, ["h1", "h2"], "left").select("h1", "h2", "last", "n", F.least("first", "known").alias("first")))
+    index.commit(
+        anchors=seen.select("hash", F.least("old", "doc_id").alias("doc_id"), (F.col("several") | F.col("old").isNotNull()).alias("shared")),
+        windows=owner.select("h1", "h2", F.col("first").alias("doc_id")),
+    )
+    taken = owner.where("first < last AND n > 0").select("h1", "h2", "first", "n")
+    return hot_join(starts, taken, ["h1", "h2"], starts.count()).where("doc_id > first").select("doc_id", "at")
 
 
-def dedup(docs: DataFrame, batches: int = 1, text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = 1, text: bool = False, index: Index | None = None, history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept, with `text`) for every row of docs (doc_id, text).
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id. Windows are
     judged on the input, whatever is removed. Null and empty texts have no words; white space in what is
     kept becomes one space. doc_id is a key: rows with null doc_ids are compared with none and keep all;
     repeated rows of one doc_id are one document. `batches` > 1 adds the documents in that many slices
-    by doc_id, as an incremental run would; the result is the same. Other columns are not looked at."""
+    by doc_id; the result is the same. With an `index` that earlier calls filled, docs are compared with their
+    documents too; doc_ids must then be above theirs, and `history` has the earlier documents (doc_id, text), of
+    which those are read that had an anchor alone till now. Other columns are not looked at."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs if history is None else history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(docs)
+    index = index or Index(spark, scratch(spark))
     profile = stored(profiles(docs))
     whole = profile.where("doc_id IS NOT NULL AND n_words >= %d" % WINDOW)
-    firsts = whole.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.min_by("anchors", "doc_id").alias("anchors"))
-    firsts = stored(firsts.select(F.col("first_doc").alias("doc_id"), F.explode("anchors").alias("hash")))
-    # Runs by slices of doc_id: earlier runs hold the smaller ids, so each slice looks only backwards.
-    index = Index(docs.sparkSession)
-    edges = firsts.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    lows, highs = [None, *edges], [*edges, None]
-    for low, high in zip(lows, highs):
-        part = firsts
-        part = part if low is None else part.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        index.add(part)
-    met = firsts.join(index.least(), "hash")
-    again = met.where("doc_id > first").select("hash").distinct()
-    shared = firsts.join(again, "hash").groupBy("doc_id").agg(F.collect_list("hash").alias("shared"))
-    found = stored(docs.join(shared, "doc_id").select("doc_id", "text", "shared"))
-    starts = found.mapInArrow(_candidates, "doc_id long, at int, h1 long, h2 long")
-    owner = starts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    gone = starts.join(owner, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    cut = found.select("doc_id", "text").join(gone, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, cut_sha256 string, kept string").dropDuplicates(["doc_id"])
-    copies = whole.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
-    nothing = hashlib.sha256(b"").hexdigest()
-    rows = profile.select("doc_id", "n_words", "kept_sha256", "whole").join(copies, "whole", "left")
+    copies = whole.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.min_by("anchors", "doc_id").alias("anchors"), F.count("*").alias("n"))
+    copies = stored(copies)
+    firsts = copies.select(F.col("first_doc").alias("doc_id"), F.explode("anchors").alias("hash"))
+    # Slices by doc_id: the runs before hold the smaller ids, so each slice looks only backwards.
+    edges = copies.approxQuantile("first_doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    gone = []
+    for low, high in zip([None, *edges], [*edges, None]):
+        inside = F.lit(True) if low is None else F.col("doc_id") > int(low)
+        inside = inside if high is None else inside & (F.col("doc_id") <= int(high))
+        gone.append(stored(_removed(docs.where(inside), firsts.where(inside), texts, index)))
+    starts = reduce(DataFrame.unionByName, gone).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    starts = stored(starts)
+    cut = _some(docs, starts.select("doc_id")).join(starts, "doc_id").select("doc_id", "text", "starts")
+    cut = cut.mapInArrow(_cut, "doc_id long, n_removed long, cut_sha256 string, kept string").dropDuplicates(["doc_id"])
+    again = copies.where("n > 1").select("whole", "first_doc")
+    rows = profile.select("doc_id", "n_words", "kept_sha256", "whole").join(again, "whole", "left")
     rows = rows.join(cut if text else cut.drop("kept"), "doc_id", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))
-    out = rows.select(
+    return rows.select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(nothing)).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("cut_sha256", "kept_sha256")).alias("kept_sha256"),
         *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if text else []),
-    )
-    return out
+    )
