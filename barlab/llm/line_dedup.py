@@ -1,9 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-Edits count in words. Lines within one edit (a word put in, left out or replaced) share a variant: a
-line itself, or the line less one word. Variants are keyed by an order-free hash, one step each;
-rows with equal keys are compared word by word. Before that, lines that share neither their first nor
-their last half with a different line are set aside, as no line within one edit can exist for them.
+Edits count in words. Lines within `edits` of each other (words put in, left out or replaced) share a variant:
+what is left of each without at most so many words. Variants are keyed by an order-free hash, one step for each;
+rows with equal keys are told apart by the words that are left, and compared word by word. For one edit, lines
+that share neither their first nor their last half with a different line are set aside before, as no line within
+the bound can exist for them.
 """
 
 from __future__ import annotations
@@ -11,112 +12,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import WORD_GAP, small_side, stored
+from barlab.llm.common import hot_join, small_side, stored
 
 MASK = (1 << 40) - 1
+_ID, _GONE = "barlab line doc_id", "barlab line gone"
 
 
-def trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\v\f\r"))
+def normal(text: Column) -> Column:
+    """Each run of white space within a line as one space."""
+    return F.regexp_replace(text, r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")
 
 
-def _id(words: Column) -> Column:
-    """The identity of a word sequence, 128 bits."""
-    return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit("line"), words).alias("b"))
+def _id(line: Column) -> Column:
+    """The identity of a line or word sequence, 128 bits."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, at (from 0), words of every line that has words; rows without doc_id or text have none."""
-    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    each = each.select("doc_id", "at", trimmed(F.col("line")).alias("line")).where("line <> ''")
-    return each.select("doc_id", "at", F.split("line", WORD_GAP).alias("words"))
+    """doc_id, at (from 0), line (words with one space between) of every line that has words; rows without doc_id or text have none."""
+    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split(normal(F.col("text")), "\n")).alias("at", "line"))
+    return each.select("doc_id", "at", F.btrim("line", F.lit(" ")).alias("line")).where("line <> ''")
 
 
-def _halves(words: Column) -> Column:
+def n_words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _halves(line: Column, n: Column) -> Column:
     """Keys of the first and the last k words, k half of a pair's shorter line, be this the shorter or the longer one."""
-    n = F.size(words)
 
     def ends(k: Column) -> list[Column]:
-        return [F.xxhash64(F.lit(0), k, F.slice(words, 1, k)), F.xxhash64(F.lit(1), k, F.slice(words, n - k + 1, k))]
+        k = k.cast("int")
+        return [F.xxhash64(F.lit(0), k, F.call_function("substring_index", line, F.lit(" "), k)), F.xxhash64(F.lit(1), k, F.call_function("substring_index", line, F.lit(" "), -k))]
+
+    return F.array_distinct(F.array(*ends(F.floor(n / 2)), *ends(F.floor((n - 1) / 2))))
 
-    return F.array_distinct(F.array(*ends(F.floor(n / 2).cast("int")), *ends(F.floor((n - 1) / 2).cast("int"))))
 
+def _variants(h: Column, edits: int) -> Column:
+    """(gone, key) of the line less every set of at most `edits` words: an exclusive-or and a sum of word hashes; gone: their positions."""
+    low = lambda x: x.bitwiseAND(F.lit(MASK))
+    start = F.struct(
+        F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)).alias("x"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + low(x)).alias("s"), F.array().cast("array<int>").alias("gone"),
+    )
 
-def _variants(h: Column) -> Column:
-    """(i, key) of the line itself (i = -1) and of the line less word i: an exclusive-or and a sum of word hashes."""
-    xor = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    add = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(MASK)))
+    def less(v: Column) -> Column:
+        after = F.coalesce(F.element_at(v["gone"], -1), F.lit(-1)) if edits > 1 else F.lit(-1)
+        one = F.transform(h, lambda x, i: F.struct(v["x"].bitwiseXOR(x).alias("x"), (v["s"] - low(x)).alias("s"), F.concat(v["gone"], F.array(i)).alias("gone")))
+        return F.slice(one, after + 2, F.size(h)) if edits > 1 else one
 
-    def each(t: Column) -> Column:
-        own = F.array(F.struct(F.lit(-1).alias("i"), F.xxhash64(t["x"], t["s"]).alias("key")))
-        less = lambda x, i: F.struct(i.alias("i"), F.xxhash64(t["x"].bitwiseXOR(x), t["s"] - x.bitwiseAND(F.lit(MASK))).alias("key"))
-        return F.concat(own, F.transform(h, less))
+    levels = [F.array(start)]
+    for _ in range(edits):
+        levels.append(F.flatten(F.transform(levels[-1], less)))
+    return F.transform(F.concat(*levels), lambda v: F.struct(v["gone"].alias("gone"), F.xxhash64(v["x"], v["s"]).alias("key")))
 
-    return F.transform(F.array(F.struct(xor.alias("x"), add.alias("s"))), each)[0]
 
+def _without(words: Column, gone: Column) -> Column:
+    return F.filter(words, lambda w, i: ~F.array_contains(gone, i))
 
-def _without(words: Column, i: Column) -> Column:
-    return F.when(i < 0, words).otherwise(F.concat(F.slice(words, 1, i), F.slice(words, i + 2, F.size(words))))
 
+def _parts(gaps: Column) -> Column:
+    """All sub-multisets of a sorted array."""
+    return F.aggregate(gaps, F.array(F.array().cast("array<int>")), lambda acc, g: F.array_distinct(F.concat(acc, F.transform(acc, lambda a: F.concat(a, F.array(g))))))
 
-def near_earlier(lines: DataFrame) -> DataFrame:
-    """id of each line for which an earlier line within one edit exists; lines: id, first (place), words, once each.
 
-    Those that share a variant by leaving out word i are one replacement apart; the one that is the
-    variant is one word short of all others. So the earliest of each is a witness for all, and pairs
-    needn't be listed. Each line is compared with its witness word by word."""
+def near_earlier(lines: DataFrame, edits: int = 1) -> DataFrame:
+    """id of each line for which an earlier line within `edits` exists; lines: id, first (place), words, once each.
+
+    What is left of two lines is equal; each lacks words in some gaps, and the edit distance along it is the sum
+    over gaps of the larger number of lacking words. It is within the bound if the gaps that they have in common
+    are at least both counts less the bound. So for each part of such gaps the earliest line is a witness for all,
+    and pairs needn't be listed. Each line is compared with its witness word by word."""
     hashed = lines.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    each = hashed.select("id", F.explode(_variants(F.col("h"))).alias("v")).select("id", "v.i", "v.key")
+    each = hashed.select("id", F.explode(_variants(F.col("h"), edits)).alias("v")).select("id", "v.gone", "v.key")
     shared = each.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    rows = each.join(shared, "key").join(lines, "id").withColumn("rest", _id(_without(F.col("words"), F.col("i"))))
-    rows = stored(rows.select("id", "i", "rest", "first"))
-    by_word = rows.groupBy("rest", "i").agg(F.min(F.struct("first", "id")).alias("w")).select("rest", "i", "w")
-    same = rows.join(by_word, ["rest", "i"]).where(F.col("i") >= 0).select("id", "i", "first", F.col("w.id").alias("of"), F.col("i").alias("j"), "w")
-    short = by_word.where("i = -1").select("rest", "w")
-    longer = rows.where("i >= 0").join(short, "rest").select("id", "i", "first", F.col("w.id").alias("of"), F.lit(-1).alias("j"), "w")
-    least = by_word.where("i >= 0").groupBy("rest").agg(F.min(F.struct("w", "i")).alias("m"))
-    shorter = rows.where("i = -1").join(least, "rest").select("id", "i", "first", F.col("m.w.id").alias("of"), F.col("m.i").alias("j"), F.col("m.w").alias("w"))
-    pairs = same.union(longer).union(shorter).where("w.first < first")
-    mine, its = lines.select("id", "words"), lines.select(F.col("id").alias("of"), F.col("words").alias("other"))
-    alike = _without(F.col("words"), F.col("i")) == _without(F.col("other"), F.col("j"))
-    return pairs.join(mine, "id").join(its, "of").where(alike).select("id").distinct()
-
-
-def removed_lines(docs: DataFrame, least_words: int = 10) -> DataFrame:
+    rows = each.join(shared, "key").join(lines, "id").withColumn("rest", _id(_without(F.col("words"), F.col("gone"))))
+    gaps = F.transform("gone", lambda d, k: d - k)
+    rows = stored(rows.select("id", "gone", gaps.alias("gaps"), "rest", "first"))
+    index = rows.select("rest", F.size("gaps").alias("b"), F.explode(_parts(F.col("gaps"))).alias("part"), "first", "id", "gone")
+    index = index.groupBy("rest", "b", "part").agg(F.min(F.struct("first", "id", "gone")).alias("w"))
+    need = lambda b: F.greatest(F.size("gaps") + b - edits, F.lit(0))
+    asked = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("b")).where(need(F.col("b")) <= F.least(F.size("gaps"), F.col("b")))
+    asked = asked.select("id", "gone", "first", "rest", "b", F.explode(F.filter(_parts(F.col("gaps")), lambda p: F.size(p) == need(F.col("b")))).alias("part"))
+    pairs = asked.join(index, ["rest", "b", "part"]).where("w.first < first").select("id", "gone", F.col("w.id").alias("of"), F.col("w.gone").alias("its"))
+    mine, other = lines.select("id", "words"), lines.select(F.col("id").alias("of"), F.col("words").alias("other"))
+    alike = _without(F.col("words"), F.col("gone")) == _without(F.col("other"), F.col("its"))
+    return pairs.join(mine, "id").join(other, "of").where(alike).select("id").distinct()
+
+
+def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id, first and words of the lines of firsts (id, first), from the documents that hold them first."""
+    wanted = firsts.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", "first")).alias("wanted"))
+    held = docs.select("doc_id", "text").join(small_side(stored(wanted), 100_000), "doc_id")
+    cut = held.select(F.split(normal(F.col("text")), "\n").alias("lines"), F.explode("wanted").alias("x"))
+    line = F.btrim(F.get("lines", F.col("x.first.at")), F.lit(" "))
+    return cut.select("x.id", "x.first", line.alias("line")).where(_id(F.col("line")) == F.col("id")).groupBy("id", "first").agg(F.split(F.first("line"), " ").alias("words"))
+
+
+def removed_lines(docs: DataFrame, edits: int = 1, least_words: int = 10) -> DataFrame:
     """doc_id and gone (the positions, from 0) of the lines that dedup removes."""
-    lines = lines_of(docs)
-    halves = F.when(F.size("words") >= least_words, _halves(F.col("words"))).otherwise(F.array().cast("array<bigint>"))
-    keys = stored(lines.select("doc_id", "at", _id(F.col("words")).alias("id"), halves.alias("halves")))
-    half = keys.select("id", F.explode("halves").alias("half"))
-    met = half.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("half")
-    hot = stored(half.join(met, "half").select("id").distinct())
+    lines = lines_of(docs).withColumn("n", n_words(F.col("line")))
+    halves = F.when(F.col("n") >= least_words, _halves(F.col("line"), F.col("n")) if edits == 1 else F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    keys = stored(lines.select("doc_id", "at", _id(F.col("line")).alias("id"), halves.alias("halves")))
     place = F.struct("doc_id", "at")
-    firsts = keys.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    full = lines.where(F.size("words") >= least_words).select("words", _id(F.col("words")).alias("id"))
-    full = full.join(small_side(hot), "id").groupBy("id").agg(F.first("words").alias("words"))
-    full = stored(full.join(firsts.select("id", "first"), "id"))
-    near = near_earlier(full).withColumn("near", F.lit(True))
-    flagged = firsts.join(near, "id", "left").where("n > 1 OR near")
-    gone = keys.select("doc_id", "at", "id").join(flagged, "id").where(F.col("near") | (place > F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
-
-
-def dedup(docs: DataFrame, least_words: int = 10) -> DataFrame:
+    firsts = stored(keys.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves")))
+    half = firsts.select("id", F.explode("halves").alias("half"))
+    met = half.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half") if edits == 1 else half.select("half").distinct()
+    near_to = stored(half.join(met, "half").select("id").distinct())
+    full = stored(_texts(docs, firsts.join(small_side(near_to), "id").select("id", "first")))
+    near = near_earlier(full, edits).withColumn("near", F.lit(True))
+    flagged = stored(firsts.drop("halves").join(near, "id", "left").where("n > 1 OR near"))
+    gone = hot_join(keys.select("doc_id", "at", "id"), flagged, ["id"], keys.count())
+    return gone.where(F.col("near") | (place > F.col("first"))).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+
+
+def dedup(docs: DataFrame, edits: int = 1, least_words: int = 10) -> DataFrame:
     """docs with the lines taken out that have an earlier line (by doc_id, then position) within the edit bound.
 
-    The bound is one word for lines of `least_words` words or more, so a tenth at most; shorter lines
-    must have equal words. Lines are judged on the input: one may go because of a line that goes itself.
-    Lines without words stay; white space within a line doesn't count. All columns pass; n_lines and
-    n_removed are added (replaced if there). Null text: stays null, no lines; a null doc_id: nothing goes.
-    doc_id is a key: rows that repeat one lose the same lines, and none on account of each other."""
-    gone = removed_lines(docs, least_words)
+    The bound is `edits` words for lines of `least_words` words or more; shorter lines must have equal words.
+    Variants grow as the power `edits` of a line's words. Lines are judged on the input: one may go because of a
+    line that goes itself. Lines without words stay; white space within a line doesn't count. All columns pass;
+    n_lines and n_removed are added (replaced if there). Null text: stays null, no lines; a null doc_id: nothing
+    goes. doc_id is a key: rows that repeat one lose the same lines, and none on account of each other."""
+    gone = removed_lines(docs, edits, least_words).select(F.col("doc_id").alias(_ID), F.col("gone").alias(_GONE))
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = docs.join(gone.withColumnRenamed("gone", "_gone"), "doc_id", "left").withColumns(
-        {"n_lines": F.coalesce(F.size(lines), F.lit(0)), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)), "_text": text}
-    )
-    return out.withColumn("text", F.col("_text")).drop("_text", "_gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
+    text = F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    out = docs.join(gone, F.col("doc_id") == F.col(_ID), "left")
+    count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return out.withColumns({"n_lines": F.coalesce(count, F.lit(0)), "n_removed": F.coalesce(F.size(_GONE), F.lit(0)), "text": text}).drop(_ID, _GONE)
+
+
+
 
 
 ORACLE_SQL = r"""
