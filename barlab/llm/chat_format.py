@@ -135,7 +135,8 @@ def _digest_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(data, kinds)], cols)
 
     for b in batches:
-        for r in b.to_pylist():
+        for i in range(b.num_rows):
+            r = b.slice(i, 1).to_pylist()[0]  # one part as Python objects at a time
             if r["conv_id"] != now or not rows:
                 now = r["conv_id"]
                 rows.append({"conv_id": now, "n_turns": 0, "turns_sha256": hashlib.sha256(), "loss_chars": 0, "loss_sha256": hashlib.sha256(), "formatted_chars": 0})
@@ -156,6 +157,6 @@ def _digest_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(parts: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its formatted parts in order; a task holds one part at a time."""
+    """One row per conversation, read back from its formatted parts in order; of a batch of parts, which its bytes bound, one at a time becomes Python objects."""
     dealt = parts.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "part")
     return dealt.mapInArrow(_digest_part, DIGEST)

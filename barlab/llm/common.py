@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (as in tests) under a temporary one."""
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one if Spark runs in one JVM (as in tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barlab-"))
@@ -82,7 +84,9 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 8
 
 
 def conf_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch: with long texts the default of 10,000 holds too much memory."""
+    """Fewer rows and at most about 16 MB in an Arrow batch, set in the session: with long texts the default of
+    10,000 rows holds too much memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

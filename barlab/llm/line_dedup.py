@@ -125,19 +125,21 @@ def removed_lines(docs: DataFrame, edits: int = 1, least_words: int = 10) -> Dat
     return gone.where(F.col("near") | (place > F.col("first"))).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
 
 
-def dedup(docs: DataFrame, edits: int = 1, least_words: int = 10) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = 1, least_words: int = 10, counts: bool = True) -> DataFrame:
     """docs with the lines taken out that have an earlier line (by doc_id, then position) within the edit bound.
 
     The bound is `edits` words for lines of `least_words` words or more; shorter lines must have equal words.
     Variants grow as the power `edits` of a line's words. Lines are judged on the input: one may go because of a
     line that goes itself. Lines without words stay; white space within a line doesn't count. All columns pass;
-    n_lines and n_removed are added (replaced if there). Null text: stays null, no lines; a null doc_id: nothing
+    n_lines and n_removed are added (replaced if there) unless `counts` is off. Null text: stays null, no lines; a null doc_id: nothing
     goes. doc_id is a key: rows that repeat one lose the same lines, and none on account of each other."""
     gone = removed_lines(docs, edits, least_words).select(F.col("doc_id").alias(_ID), F.col("gone").alias(_GONE))
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
     text = F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     out = docs.join(gone, F.col("doc_id") == F.col(_ID), "left")
+    if not counts:
+        return out.withColumn("text", text).drop(_ID, _GONE)
     count = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     return out.withColumns({"n_lines": F.coalesce(count, F.lit(0)), "n_removed": F.coalesce(F.size(_GONE), F.lit(0)), "text": text}).drop(_ID, _GONE)
 

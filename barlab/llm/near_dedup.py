@@ -1,10 +1,11 @@
-"""Near-duplicate documents by exact Jaccard similarity of word shingles.
-
-A document is the set of hashes of its lower-cased `WORDS`-word shingles. Two sets of similarity 0.8 or
-more share an element among the first fifth (and one) of each, in any order that holds for all sets, so
-a join on these prefixes finds every such pair. Shingles that a sample of the documents shows to be
-common come last in the order: that keeps the join small and has no bearing on the result. Candidate
-pairs are verified by the whole sets.
+"""Near-duplicate documents by SimHash and the Jaccard similarity of word shingles.
+
+A document is the set of hashes of its lower-cased `WORDS`-word shingles. SimHash fingerprints of these
+shingles, linked through their anchors, propose copies, of which those of similarity 0.8 or more are tied.
+What they don't tie is completed exactly: two sets of similarity 0.8 or more share an element among the first
+fifth (and one) of each, in any order that holds for all sets, so a join on these prefixes finds every such
+pair. Shingles that a sample of the documents shows to be common come last in the order: that keeps the join
+small and has no bearing on the result. Candidate pairs are verified by the whole sets.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barlab.llm import simhash
 from barlab.llm.common import conf_batches, small_batches, small_side, stored
 from barlab.llm.components import components
 from barlab.llm.substring_dedup import _rolled, _word_hashes
@@ -68,9 +70,11 @@ def _profile(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 late = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
                 prefix = np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) else s
                 digest = xxhash.xxh3_128_digest(s.tobytes())
-                rows.append((int.from_bytes(digest[:8], "big", signed=True), len(s), prefix))
-            node, n, prefix = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column("t"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), _lists(list(prefix))], ["t", "node", "n", "prefix"])
+                fp = np.uint64(simhash.fingerprint((text or "").encode(), WORDS)).view(np.int64)
+                rows.append((int.from_bytes(digest[:8], "big", signed=True), len(s), fp, prefix))
+            node, n, fp, prefix = zip(*rows)
+            columns = [b.column("t"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(list(prefix))]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "node", "n", "fp", "prefix"])
 
     return run
 
@@ -82,18 +86,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(mine, "a").join(its, "b").where(alike).select("a", "b")
 
 
+def _proposed(first: DataFrame) -> DataFrame:
+    """(a, b) of sets with equal or linked fingerprints: each with the least set of its own, and these with each other."""
+    least = stored(first.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("k")))
+    own = first.join(least.where("k > 1"), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    near = simhash.links(least.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"})
+    ends = lambda fp, c: least.select(F.col("fp").alias(fp), F.col("a").alias(c))
+    return own.union(near.join(ends("fa", "a"), "fa").join(ends("fb", "b"), "fb").select("a", "b"))
+
+
 def links(first: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) pairs of similarity 0.8 or more, enough to connect each component; first: node, n, prefix, t, once per set.
+    """(a, b) pairs of similarity 0.8 or more, enough to connect each component; first: node, n, fp, prefix, t, once per set.
 
-    Every member of a shared prefix shingle is held against its smallest set first; what that ties into one
+    The pairs that fingerprints propose are verified first. Every member of a shared prefix shingle is held against its smallest set first; what that ties into one
     component isn't paired again, so a large group of near copies stays linear. The others are paired in full."""
     keys = stored(first.select("node", "n", F.posexplode("prefix").alias("at", "key")))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     met = stored(keys.join(small_side(stored(shared)), "key"))
-    wanted = first.join(met.select("node").distinct(), "node", "left_semi").select("node", "t")
+    proposed = stored(_proposed(first))
+    nodes = met.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
+    wanted = first.join(nodes, "node", "left_semi").select("node", "t")
     sets = stored(texts.join(wanted, "t").select("node", "text").mapInArrow(_sets, "node long, set array<long>"))
     least = met.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("m"))
-    star = met.join(least, "key").where("a <> node AND 5L * m >= 4L * n").select("a", F.col("node").alias("b")).distinct()
+    star = met.join(least, "key").where("a <> node AND 5L * m >= 4L * n").select("a", F.col("node").alias("b")).union(proposed).distinct()
     tied = stored(_verified(star, sets))
     group = stored(components(tied))
     now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
@@ -116,8 +131,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     conf_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("t"), "text")
     texts = stored(rows.select("t", "text").dropDuplicates(["t"]))
-    profile = stored(texts.mapInArrow(_profile(_common(texts)), "t struct<a: long, b: long>, node long, n int, prefix array<long>"))
-    first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "prefix")).alias("p")).select("node", "p.t", "p.n", "p.prefix")
+    profile = stored(texts.mapInArrow(_profile(_common(texts)), "t struct<a: long, b: long>, node long, n int, fp long, prefix array<long>"))
+    first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "fp", "prefix")).alias("p")).select("node", "p.t", "p.n", "p.fp", "p.prefix")
     group = stored(components(links(stored(first), texts)))
     groups = profile.select("t", "node").join(group, "node", "left").select("t", F.coalesce("component", "node").alias("c"))
     same = rows.select("doc_id", "t").join(groups, "t").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))

@@ -95,9 +95,8 @@ class _Adam:
         x -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)
 
 
-def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 8, batch: int = 64, rate: float = 0.02, most_bytes: int = 4096, seed: int = 3) -> Network:
-    """Adam on the log loss. Backward passes touch the winning windows only. For each epoch a long
-    text is cut to a random stretch of `most_bytes`; scoring always covers whole texts."""
+def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Network:
+    """Adam on the log loss over whole texts. Backward passes touch the winning windows only."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (256, EMBED)), rng.normal(0, 0.4, (WIDTH, EMBED, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, 2 * FILTERS), 0.0)
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
@@ -108,19 +107,18 @@ def train(texts: list[bytes], y: np.ndarray, *, epochs: int = 8, batch: int = 64
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
             adam.step += 1
-            cut = [texts[i] for i in part]
-            cut = [t if len(t) <= most_bytes else t[(s := rng.integers(len(t) - most_bytes)) : s + most_bytes] for t in cut]
-            n = len(cut)
+            n = len(part)
             tables = net.tables()
             rows, win_at, tops, tap = [], [], [], []
-            for d, t in enumerate(cut):
-                raw = np.frombuffer(t + bytes(max(0, 1 - len(t)) + WIDTH - 1), np.uint8)
-                own = _windows(tables, raw, len(raw) - WIDTH + 1)
-                for s in range(0, len(own), CHUNK):
-                    w = own[s : s + CHUNK].argmax(0)
-                    tops.append(own[s + w, np.arange(FILTERS)])
-                    tap.append(raw[(s + w)[:, None] + np.arange(WIDTH)])
-                    rows.append(d)
+            for d, i in enumerate(part):
+                raw = np.frombuffer(texts[i] + bytes(max(0, 1 - len(texts[i])) + WIDTH - 1), np.uint8)
+                for lo in range(0, len(raw) - WIDTH + 1, _PIECE):
+                    own = _windows(tables, raw[lo : lo + _PIECE + WIDTH - 1], min(_PIECE, len(raw) - WIDTH + 1 - lo))
+                    for s in range(0, len(own), CHUNK):
+                        w = own[s : s + CHUNK].argmax(0)
+                        tops.append(own[s + w, np.arange(FILTERS)])
+                        tap.append(raw[(lo + s + w)[:, None] + np.arange(WIDTH)])
+                        rows.append(d)
             rows, top, tap = np.array(rows), np.array(tops, np.float64), np.array(tap)  # (chunks, F), (chunks, F, WIDTH)
             count = np.bincount(rows, minlength=n)
             first = np.cumsum(count) - count
@@ -152,8 +150,8 @@ def fit(rows: DataFrame, **options) -> Network:
     return train([t.encode() for t in got["text"].to_pylist()], got["label"].to_numpy().astype(float), **options)
 
 
-def score(docs: DataFrame, net: Network, keys: list[str]) -> DataFrame:
-    """The key columns and quality (0 to 1) of every row, over whole texts; a null text counts as empty. No shuffle."""
+def score(docs: DataFrame, net: Network, keys: list[str], name: str = "quality") -> DataFrame:
+    """The key columns and `name` (quality, 0 to 1) of every row, over whole texts; a null text counts as empty. No shuffle."""
     conf_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
 
@@ -161,7 +159,7 @@ def score(docs: DataFrame, net: Network, keys: list[str]) -> DataFrame:
         tables = net.tables()
         for b in small_batches(batches, "text", 2 << 20):
             p = probability(net, pooled(tables, *flat(b.column("text"))))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(p)], [*keys, "quality"])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(p)], [*keys, name])
 
     rows = docs.select(*dict.fromkeys([*keys, "text"]))
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", quality double")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{name}` double")

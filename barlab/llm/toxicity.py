@@ -1,8 +1,9 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document's features are which terms it has. Those whose presence differs between the classes of
-a bounded labelled sample beyond chance get a weight and a factor vector; the rest weigh nothing,
-so long clean documents don't add up noise. The pairwise part learns terms that count only together.
+A document's features are which terms it has. Those get a weight and a factor vector whose presence differs
+between the classes of a bounded labelled sample beyond chance, alone or in a pair beyond what either does
+alone; the rest weigh nothing, so long clean documents don't add up noise. The pairwise part learns terms that
+count only together.
 """
 
 from __future__ import annotations
@@ -56,9 +57,32 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), terms], ["label", "terms"])
 
 
-def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, k: int = 4, epochs: int = 300, seed: int = 7) -> Machine:
+def _paired(rows: np.ndarray, t: np.ndarray, y: np.ndarray, all_: np.ndarray, one: np.ndarray, least_df: int, least_z: float, most: int) -> np.ndarray:
+    """Terms of pairs that more (or fewer) rows of class 1 have together than the higher (lower) rate of the two would give."""
+    often = np.sort(np.argsort(-all_, kind="stable")[:most])
+    often = often[all_[often] >= least_df]
+    at = np.minimum(np.searchsorted(often, t), max(0, len(often) - 1))
+    hit = often[at] == t if len(often) else np.zeros(len(t), bool)
+    x = np.zeros((len(y), len(often)), np.float32)
+    x[rows[hit], at[hit]] = 1
+    both, both_one = x.T @ x, x[y == 1].T @ x[y == 1]
+    rate = one[often] / all_[often]
+    high, low = np.maximum(rate[:, None], rate[None, :]), np.minimum(rate[:, None], rate[None, :])
+    floor = 1 / (len(y) + 1)
+
+    def beyond(p: np.ndarray, sign: int) -> np.ndarray:
+        p = np.clip(p, floor, 1 - floor)
+        return sign * (both_one - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1e-9)) >= least_z
+
+    odd = (both >= 2 * least_df) & (beyond(high, 1) | beyond(low, -1))
+    np.fill_diagonal(odd, False)
+    return often[odd.any(1)]
+
+
+def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_z: float = 6.0, pair_terms: int = 2048, k: int = 4, epochs: int = 300, seed: int = 7) -> Machine:
     """Fits on (text, label 0 or 1) rows, a bounded sample such as `labelled` gives: their distinct
-    terms, a few KB a row, come to the driver. No rows: a machine that says 0.5."""
+    terms, a few KB a row, come to the driver. Pairs are screened among the `pair_terms` terms that most rows of
+    the sample have. No rows: a machine that says 0.5."""
     conf_batches(rows.sparkSession)
     got = rows.select("text", "label").mapInArrow(_featurize, "label int, terms array<int>").toArrow()
     y = got["label"].to_numpy().astype(float)
@@ -72,6 +96,7 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, k: int = 4,
     spread = np.sqrt(np.maximum(all_ * base * (1 - base) * (1 - all_ / (n + 1)), 1e-9))
     z = np.where(all_ >= least_df, (one - all_ * base) / spread, 0)
     kept = np.flatnonzero(np.abs(z) >= least_z)
+    kept = np.union1d(kept, _paired(rows, t, y, all_, one, least_df, least_pair_z, pair_terms))
     bias = float(np.log(base / (1 - base)))
     at = np.searchsorted(kept, t)
     hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == t) if len(kept) else np.zeros(len(t), bool)
@@ -99,7 +124,7 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, k: int = 4,
     return Machine(kept, b0, w, v)
 
 
-def _scorer(machine: Machine, keys: list[str]):
+def _scorer(machine: Machine, keys: list[str], name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.full(1 << BITS, -1, np.int32)
         where[machine.terms] = np.arange(len(machine.terms))
@@ -108,17 +133,17 @@ def _scorer(machine: Machine, keys: list[str]):
             f = where[t]
             r, f = _distinct(rows[f >= 0], f[f >= 0].astype(np.int64), max(1, len(machine.terms)))
             p = machine.score(r, f, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(p)], [*keys, "toxicity"])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(p)], [*keys, name])
 
     return score
 
 
-def score(docs: DataFrame, machine: Machine, keys: list[str]) -> DataFrame:
-    """The key columns and toxicity (0 to 1) of every row, over whole texts; null and empty texts get the bias. No shuffle."""
+def score(docs: DataFrame, machine: Machine, keys: list[str], name: str = "toxicity") -> DataFrame:
+    """The key columns and `name` (toxicity, 0 to 1) of every row, over whole texts; null and empty texts get the bias. No shuffle."""
     conf_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     rows = docs.select(*dict.fromkeys([*keys, "text"]))
-    return rows.mapInArrow(_scorer(machine, keys), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", toxicity double")
+    return rows.mapInArrow(_scorer(machine, keys, name), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{name}` double")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:

@@ -11,8 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Terms of which one is enough (strict), and terms of which several distinct ones are needed (soft).
-STRICT = ("adult", "casino", "escort", "porn", "spam", "viagra", "xxx")
-SOFT = ("bet", "bonus", "cheap", "farm", "free", "hot", "loan", "pills", "poker", "prize", "sex", "win")
+STRICT = (
+    "adult", "bdsm", "camgirl", "camgirls", "casino", "cialis", "cumshot", "dildo", "escort", "escorts", "fetish", "gangbang", "hardcore", "hentai", "hookup", "jackpot", "keygen", "levitra",
+    "malware", "milf", "nsfw", "nude", "nudes", "orgy", "phishing", "porn", "porno", "pornhub", "scam", "sexcam", "sextoys", "slots", "spam", "strapon", "striptease", "swingers", "viagra", "warez", "webcamsex",
+    "xrated", "xvideos", "xxx",
+)
+SOFT = (
+    "babe", "bet", "betting", "bingo", "bitcoin", "bonus", "buy", "cash", "cheap", "clickbait", "coupon", "crack", "credit", "dating", "deal", "deals", "debt", "diet", "discount", "download", "drugs", "earn", "farm", "forex",
+    "free", "gamble", "gift", "girls", "guaranteed", "hack", "hot", "income", "insurance", "lottery", "loan", "loans", "lucky", "mobi", "money", "mortgage", "offer", "payday", "pharmacy", "pills", "poker", "prize", "promo",
+    "replica", "rich", "roulette", "sale", "sex", "sexy", "singles", "stream", "torrent", "weightloss", "win", "winner",
+)
 
 
 @dataclass(frozen=True)
@@ -76,6 +84,17 @@ def vocabulary_hits(strict: Sequence[str], soft: Sequence[str]):
     return hits
 
 
+def terms_of(table: DataFrame, most: int = 100_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms from a table (term, weight): a weight of 1 or more is strict, a lower one above 0 soft.
+
+    Terms are lower-cased, empty and null ones left out; of a term given twice the larger weight counts. Every
+    task holds the vocabulary, so a table of more than `most` terms is an error."""
+    rows = table.select(F.lower("term").alias("term"), "weight").where("term <> '' AND weight > 0").groupBy("term").agg(F.max("weight").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return sorted(r.term for r in rows if r.weight >= 1), sorted(r.term for r in rows if r.weight < 1)
+
+
 def filter_urls(
     pages: DataFrame, rules: Sequence[Rule] = (), *, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, least_soft: int = 2
 ) -> DataFrame:
@@ -83,7 +102,7 @@ def filter_urls(
 
     The longest fitting rule decides; else a url goes that has one strict term or `least_soft`
     distinct soft ones. A null url or one without ``://`` has empty host and path; a null url is allowed.
-    Repeated rows are judged alike, other columns pass, those of the added names are replaced. No shuffle."""
+    The lists are parameters; `terms_of` reads them from a table. Repeated rows are judged alike, other columns pass, those of the added names are replaced. No shuffle."""
     host, path = F.col("host"), F.col("path")
     text, verdict = rule_of(host, path, rules)
     out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
