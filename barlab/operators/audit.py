@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.operators.bars import inconsistent, liquid, normalize_symbol
-
-ETF_WORDS, INDEX_WORDS = ("ETF", "LOF"), ("指数", "INDEX")
+from barlab.operators.bars import BEIJING, SHANGHAI, SHENZHEN, inconsistent, liquid, normalize_symbol
 
 
 def audit_bars(bars: DataFrame) -> DataFrame:
@@ -76,20 +74,33 @@ def upsert_summary(old: DataFrame, merged: DataFrame) -> DataFrame:
     return now.join(before, "stock_code", "left").withColumn("new_rows", F.col("rows") - F.coalesce("_before", F.lit(0))).drop("_before")
 
 
-def wide_to_long(fields: dict[str, DataFrame]) -> DataFrame:
-    """Wide field tables (date and a column for each symbol) to long bars; symbols that lack a field raise at the caller's check."""
+def wide_to_long(fields: dict[str, DataFrame], ids: tuple[str, ...] = ("date",), symbol: Column | None = None) -> DataFrame:
+    """Wide field tables (the id columns and a column for each symbol) to long bars; a symbol that lacks a field has null there.
+
+    symbol: the symbol by the ids and `symbol`, the column's name, which it is by default."""
     long_ = None
     for name, df in fields.items():
-        one = df.unpivot(["date"], [F.col(f"`{c}`") for c in df.columns if c != "date"], "symbol", "value").select("date", "symbol", F.lit(name).alias("field"), "value")
+        one = df.unpivot(list(ids), [F.col(f"`{c}`") for c in df.columns if c not in ids], "symbol", "value").select(*ids, "symbol", F.lit(name).alias("field"), "value")
         long_ = one if long_ is None else long_.unionByName(one)
-    out = long_.groupBy("date", "symbol").pivot("field", list(fields)).agg(F.first("value"))
-    return out.withColumn("stock_code", normalize_symbol(F.col("symbol"))).drop("symbol")
+    out = long_.groupBy(*ids, "symbol").pivot("field", list(fields)).agg(F.first("value"))
+    return out.withColumn("stock_code", normalize_symbol(F.col("symbol") if symbol is None else symbol)).drop("symbol")
+
+
+# Code prefixes and name words of asset types.
+ETF_CODES = ("159", "510", "511", "512", "513", "515", "516", "517", "518", "520", "560", "561", "562", "563", "588")
+ETF_WORDS = ("ETF", "LOF", "基金")
 
 
 def infer_asset_type(symbol: Column, name: Column) -> Column:
-    up, code = F.upper(F.coalesce(name, F.lit(""))), F.substring_index(symbol, ".", 1)
-    has = lambda words: F.coalesce(*[F.when(F.contains(up, F.lit(w)), True) for w in words], F.lit(False))
-    return F.when(has(ETF_WORDS) | F.left(code, F.lit(2)).isin("51", "56", "58", "15"), "etf").when(has(INDEX_WORDS), "index").when(code != "", "stock").otherwise("other")
+    """etf (by name or code), index (by exchange and code), stock (by code) or other, of a normalised symbol."""
+    up, code, exchange = F.upper(F.coalesce(name, F.lit(""))), F.left(symbol, F.lit(3)), F.substring_index(symbol, ".", -1)
+    named = F.lit(False)
+    for w in ETF_WORDS:
+        named = named | F.contains(up, F.lit(w))
+    index = ((exchange == "SH") & code.isin("000", "880")) | ((exchange == "SZ") & (code == "399"))
+    stock = code.isin(*SHANGHAI, *SHENZHEN) | ((exchange == "BJ") & code.isin(*BEIJING))
+    kind = F.when(named | code.isin(*ETF_CODES), "etf").when(index, "index").when(stock, "stock").otherwise("other")
+    return F.when(F.coalesce(symbol, F.lit("")) == "", "other").otherwise(kind)
 
 
 def cache_summary(catalog: DataFrame, keys: list[str]) -> DataFrame:

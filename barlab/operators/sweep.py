@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barlab.operators.tables import written
+
+# Objectives, weights of the score and order of the ranks.
 OBJECTIVES = (("total_return", "max"), ("max_drawdown", "max"), ("monthly_worst_return", "max"), ("monthly_return_std", "min"), ("ulcer_index", "min"), ("trade_count", "max"))
 WEIGHTS = {"total_return": 0.30, "max_drawdown": 0.22, "monthly_worst_return": 0.15, "monthly_return_std": 0.10, "ulcer_index": 0.08, "return_per_exposure_bar": 0.08, "trade_count": 0.07}
 ORDER = (("total_return", False), ("max_drawdown", False), ("monthly_worst_return", False), ("monthly_return_std", True), ("monthly_max_consecutive_losses", True), ("monthly_max_recovery_periods", True), ("trade_count", False), ("case_name", True))
@@ -52,18 +55,31 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def pareto_ranks(table: DataFrame, key: str = "case_name") -> DataFrame:
-    """table with pareto_rank: layer by layer until no case is left. Layers are few; each reads a cached rest."""
-    rest, layer, parts = table.cache(), 0, []
-    while rest.take(1):
-        layer += 1
-        top = pareto_layer(rest, key).cache()
-        parts.append(top.withColumn("pareto_rank", F.lit(layer)))
-        rest = rest.join(top.select(key), key, "left_anti").cache()
-    out = parts[0] if parts else table.withColumn("pareto_rank", F.lit(None).cast("int"))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def dominance(table: DataFrame, key: str = "case_name") -> DataFrame:
+    """(better, worse) for all pairs of cases of which one dominates the other; cases are grid points, not data rows."""
+    n = len(_scores(table))
+    a = table.select(F.col(key).alias("worse"), F.array(*_scores(table)).alias("_a"))
+    b = table.select(F.col(key).alias("better"), F.array(*_scores(table)).alias("_b"))
+    at = range(n)
+    no_less, more = _all([F.col("_b")[i] >= F.col("_a")[i] for i in at]), _any([F.col("_b")[i] > F.col("_a")[i] for i in at])
+    return a.join(b, (F.col("better") != F.col("worse")) & no_less & more).select("better", "worse")
+
+
+def pareto_ranks(table: DataFrame, key: str = "case_name", rounds: int = 6) -> DataFrame:
+    """table with pareto_rank: a case's layer is the length of the longest chain of cases that dominate it.
+
+    The pairs are written once; each round lengthens chains by one, and every few rounds the ranks (one row a
+    case) are written, until they stay as they are."""
+    pairs, cases = written(dominance(table, key)), table.select(F.col(key).alias("_case"))
+    ranks, seen = cases.withColumn("pareto_rank", F.lit(1)), -1
+    while True:
+        for _ in range(rounds):
+            next_ = pairs.join(ranks, pairs["better"] == ranks["_case"]).groupBy(F.col("worse").alias("_case")).agg((F.max("pareto_rank") + 1).alias("_r"))
+            ranks = cases.join(next_, "_case", "left").select("_case", F.coalesce("_r", F.lit(1)).alias("pareto_rank"))
+        ranks = written(ranks)
+        if (total := ranks.agg(F.sum("pareto_rank")).first()[0]) == seen or total is None:
+            return table.join(ranks, table[key] == ranks["_case"]).drop("_case")
+        seen = total
 
 
 def _percentile(x: Column) -> Column:
@@ -92,15 +108,17 @@ def risk_adjusted_scores(table: DataFrame) -> DataFrame:
 
 
 def rank_sweep(table: DataFrame) -> DataFrame:
-    """Adds sweep_rank, risk_adjusted_score and risk_adjusted_rank; ties go by case name."""
-    t = risk_adjusted_scores(table)
+    """Adds sweep_rank, pareto_rank, is_pareto_efficient, risk_adjusted_score and risk_adjusted_rank; ties go by case name."""
+    t = risk_adjusted_scores(pareto_ranks(table)).withColumn("is_pareto_efficient", F.col("pareto_rank") == 1)
     by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in ORDER if c in table.columns]
     return t.withColumns({"sweep_rank": F.row_number().over(Window.orderBy(*by)), "risk_adjusted_rank": F.row_number().over(Window.orderBy(F.desc("risk_adjusted_score"), "case_name"))})
 
 
 def parameter_summary(table: DataFrame, parameters: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """For each value of each parameter: cases and mean, median and deviation of the metrics, and the best case."""
+    """For each value of each parameter: cases, share of Pareto-efficient ones (if ranked), mean, median and deviation of
+    the metrics, and the best case by the first of them."""
     pairs = F.array(*(F.struct(F.lit(p).alias("parameter"), F.col(p).cast("string").alias("value")) for p in parameters))
     rows = table.select("*", F.explode(pairs).alias("p"))
     aggs = [f(m) for m in metrics for f in (lambda m: F.avg(m).alias(f"avg_{m}"), lambda m: F.expr(f"percentile({m}, 0.5)").alias(f"median_{m}"), lambda m: F.stddev_pop(m).alias(f"std_{m}"))]
-    return rows.groupBy("p.parameter", "p.value").agg(F.count("*").alias("cases"), *aggs, F.max_by("case_name", F.struct(F.col(metrics[0]), F.col("case_name"))).alias("best_case"))
+    hits = [F.avg(F.col("is_pareto_efficient").cast("double")).alias("pareto_hit_rate")] if "is_pareto_efficient" in table.columns else []
+    return rows.groupBy("p.parameter", "p.value").agg(F.count("*").alias("cases"), *hits, *aggs, F.max_by("case_name", F.struct(F.col(metrics[0]), F.col("case_name"))).alias("best_case"))

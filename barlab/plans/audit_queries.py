@@ -65,7 +65,7 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(B.round_to_tick(F.col("p_retailprice"), 0.05), 6).alias("ticked"))
 
 
-@add("c08_infer_asset_type", f"WITH {_NORM} SELECT s_suppkey, CASE WHEN substr(stock_code, 1, 2) IN ('51', '56', '58', '15') THEN 'etf' WHEN stock_code <> '' THEN 'stock' ELSE 'other' END AS asset_type FROM nm")
+@add("c08_infer_asset_type", f"WITH {_NORM} SELECT s_suppkey, CASE WHEN stock_code = '' THEN 'other' WHEN substr(stock_code, 1, 3) IN ('159', '510', '588') THEN 'etf' WHEN stock_code LIKE '000%.SH' OR stock_code LIKE '399%.SZ' THEN 'index' WHEN substr(stock_code, 1, 3) IN ('000', '001', '002', '003', '300', '301', '600', '601', '603', '605', '688', '689') OR stock_code LIKE '430%.BJ' THEN 'stock' ELSE 'other' END AS asset_type FROM nm")
 def _(spark, d):
     return raw_symbols(spark, d).select("s_suppkey", A.infer_asset_type(B.normalize_symbol(F.col("raw")), F.lit("")).alias("asset_type"))
 
@@ -162,17 +162,12 @@ def _(spark, d):
     return A.upsert_summary(old, A.upsert(old, b.where(F.month("date") >= 6)))
 
 
-@add("s01_load_window", f"{DAY} SELECT stock_code, date, close FROM bars WHERE stock_code IN ('000001.SZ', '000002.SZ') AND date >= TIMESTAMP '1995-01-01' AND date < TIMESTAMP '1996-01-01'")
+@add("s14_wide_to_long", f"{WEEK} SELECT stock_code, date, open, close FROM bars")
 def _(spark, d):
-    b = day_bars(spark, d)
-    return b.where(F.col("stock_code").isin("000001.SZ", "000002.SZ") & (F.col("date") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("date") < F.lit("1996-01-01").cast("timestamp_ntz"))).select("stock_code", "date", "close")
-
-
-@add("s14_wide_to_long", f"{WEEK} SELECT stock_code, date, open, close FROM bars WHERE stock_code IN ('000001.SZ', '000002.SZ', '000003.SZ')")
-def _(spark, d):
-    b, codes = week_bars(spark, d), ["000001.SZ", "000002.SZ", "000003.SZ"]
-    wide = {c: b.groupBy("date").pivot("stock_code", codes).agg(F.first(c)) for c in ("open", "close")}
-    return A.wide_to_long(wide).where("open IS NOT NULL").select("stock_code", "date", "open", "close")
+    b = week_bars(spark, d).withColumns({"part": F.substring("stock_code", 1, 5), "digit": F.substring("stock_code", 6, 1)})
+    wide = {c: b.groupBy("date", "part").pivot("digit", [str(i) for i in range(10)]).agg(F.first(c)) for c in ("open", "close")}
+    symbol = F.concat("part", "symbol", F.lit(".SZ"))
+    return A.wide_to_long(wide, ("date", "part"), symbol).where("open IS NOT NULL").select("stock_code", "date", "open", "close")
 
 
 _CATALOG = f"""{WEEK}, cat AS (SELECT stock_code, CASE WHEN CAST(substr(stock_code, 1, 6) AS INT) % 2 = 0 THEN '1d' ELSE '60m' END AS timeframe, count(*) AS row_count, max(date) AS "end", CASE WHEN count(*) >= 290 THEN 'cached' ELSE 'missing_file' END AS status FROM bars GROUP BY stock_code)"""
@@ -189,11 +184,6 @@ for _name, _keys in (("a10_cache_by_timeframe", ["timeframe"]), ("a11_cache_by_s
     Q[_name] = lambda spark, d, keys=tuple(_keys): A.cache_summary(catalog(spark, d), list(keys))
 
 
-@add("s10_query_catalog", f"{_CATALOG} SELECT stock_code, timeframe, status FROM cat WHERE timeframe IN ('1d') AND status IN ('cached')")
-def _(spark, d):
-    return catalog(spark, d).where(F.col("timeframe").isin("1d") & F.col("status").isin("cached")).select("stock_code", "timeframe", "status")
-
-
 _CURVE = f"{WEEK}, cu AS (SELECT stock_code AS case_id, date, close / first_value(close) OVER w AS net_value, low / first_value(close) OVER w AS adv FROM bars WINDOW w AS (PARTITION BY stock_code ORDER BY date))"
 _PATH = f"""{_CURVE}, pp AS (SELECT case_id, date, 0 AS step, adv AS value FROM cu WHERE abs(net_value - adv) > 1e-12 UNION ALL SELECT case_id, date, 1, net_value FROM cu),
 dc AS (SELECT *, max(value) OVER (PARTITION BY case_id ORDER BY date, step) AS peak FROM pp), dd AS (SELECT *, value / peak - 1 AS drawdown FROM dc)"""
@@ -281,7 +271,11 @@ def _(spark, d):
     return W.pareto_layer(sweep_table(spark, d).cache()).select("case_name")
 
 
-@add("t02_pareto_ranks")
+_CHAINS = f"""{_SWEEP.replace('WITH ', 'WITH RECURSIVE ', 1)}, dom AS (SELECT b.case_name AS better, a.case_name AS worse FROM sw a JOIN sw b ON {_DOM}),
+ch AS (SELECT case_name, 1 AS pareto_rank FROM sw UNION SELECT worse, pareto_rank + 1 FROM ch JOIN dom ON better = case_name), pk AS (SELECT case_name, max(pareto_rank) AS pareto_rank FROM ch GROUP BY case_name)"""
+
+
+@add("t02_pareto_ranks", f"{_CHAINS} SELECT case_name, pareto_rank FROM pk")
 def _(spark, d):
     return W.pareto_ranks(sweep_table(spark, d)).select("case_name", "pareto_rank")
 
@@ -299,15 +293,21 @@ def _(spark, d):
     return W.risk_adjusted_scores(sweep_table(spark, d)).select("case_name", F.round("risk_adjusted_score", 4).alias("risk_adjusted_score"))
 
 
-@add("t01_rank_sweep", f"{_SCORE} SELECT case_name, row_number() OVER (ORDER BY total_return DESC, max_drawdown DESC, monthly_worst_return DESC, monthly_return_std, trade_count DESC, case_name) AS sweep_rank, row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name) AS risk_adjusted_rank FROM sc")
+@add("j10_dominance", f"{_CHAINS} SELECT better, count(*) AS dominated FROM dom GROUP BY better")
 def _(spark, d):
-    r = W.rank_sweep(sweep_table(spark, d))
-    return r.select("case_name", F.col("sweep_rank").cast("long").alias("sweep_rank"), F.col("risk_adjusted_rank").cast("long").alias("risk_adjusted_rank"))
+    return W.dominance(sweep_table(spark, d)).groupBy("better").agg(F.count("*").alias("dominated"))
+
 
+_RANKED = f"{_CHAINS}, {_SCORE[len(_SWEEP) + 2:]}, rk AS (SELECT sc.*, pareto_rank, row_number() OVER (ORDER BY total_return DESC, max_drawdown DESC, monthly_worst_return DESC, monthly_return_std, trade_count DESC, case_name) AS sweep_rank, row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name) AS risk_adjusted_rank FROM sc JOIN pk USING (case_name))"
 
-@add("a38_parameter_summary", f"""{_SWEEP}, pm AS (SELECT *, CAST(CAST(substr(case_name, 6, 1) AS INT) AS VARCHAR) AS last_digit, CAST(trade_count % 3 AS VARCHAR) AS third FROM sw),
-lg AS (SELECT *, 'last_digit' AS parameter, last_digit AS value FROM pm UNION ALL SELECT *, 'third', third FROM pm) SELECT parameter, value, count(*) AS cases, round(avg(total_return), 6) AS avg_total_return, round(quantile_cont(total_return, 0.5), 6) AS median_total_return, max_by(case_name, (total_return, case_name)) AS best_case FROM lg GROUP BY parameter, value""")
+
+@add("t05_risk_adjusted_ranks", f"{_SCORE} SELECT case_name, row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name) AS risk_adjusted_rank FROM sc")
 def _(spark, d):
-    t = sweep_table(spark, d).withColumns({"last_digit": F.substring("case_name", 6, 1).cast("int"), "third": F.col("trade_count") % 3})
-    p = W.parameter_summary(t, ["last_digit", "third"], ["total_return"])
-    return rounded(p, ["parameter", "value", "cases", "best_case"], ["avg_total_return", "median_total_return"])
+    r = W.risk_adjusted_scores(sweep_table(spark, d))
+    return r.select("case_name", F.expr("row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name)").cast("long").alias("risk_adjusted_rank"))
+
+
+@add("t01_rank_sweep", f"{_RANKED} SELECT case_name, sweep_rank, risk_adjusted_rank, pareto_rank, pareto_rank = 1 AS is_pareto_efficient FROM rk")
+def _(spark, d):
+    r = W.rank_sweep(sweep_table(spark, d))
+    return r.select("case_name", F.col("sweep_rank").cast("long").alias("sweep_rank"), F.col("risk_adjusted_rank").cast("long").alias("risk_adjusted_rank"), "pareto_rank", "is_pareto_efficient")

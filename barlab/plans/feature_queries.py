@@ -386,6 +386,6 @@ def _(spark, d):
     return B.filter_limit_open_days(day, day).select("stock_code", "date", "close")
 
 
-@add("f03_limit_open_in_window", f"{DAY}, {LIMIT} SELECT stock_code, session_date, round(limit_up_open, 6) AS limit_up_open FROM blocked WHERE session_date BETWEEN DATE '1994-01-01' AND DATE '1994-12-31'")
+@add("f03_limit_open_in_window", f"{DAY}, {LIMIT} SELECT stock_code, session_date, round(limit_up_open, 6) AS limit_up_open FROM blocked WHERE session_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'")
 def _(spark, d):
-    return rounded(B.limit_open_dates_in_window(day_bars(spark, d), "1994-01-01", "1994-12-31"), ["stock_code", "session_date"], ["limit_up_open"])
+    return rounded(B.limit_open_dates_in_window(day_bars(spark, d), "1993-01-01", "1997-12-31"), ["stock_code", "session_date"], ["limit_up_open"])

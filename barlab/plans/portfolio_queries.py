@@ -1,4 +1,4 @@
-"""Queries over admission, marks, trigger trades and diagnostics, with DuckDB SQL written separately."""
+"""Queries over marks, trigger trades and diagnostics, with DuckDB SQL written separately."""
 
 from __future__ import annotations
 
@@ -43,18 +43,6 @@ def candidates(spark, d):
     return t.select(F.lit("all").alias("case_id"), "stock_code", "order_id", "strategy_name", "side", F.col("event_type").alias("sector"), (F.col("risk_per_share") / F.col("entry_price")).alias("risk_fraction"), "entry_date", "exit_date", "entry_price", "return_pct")
 
 
-@add("w36_admit_intervals")
-def _(spark, d):
-    a = P.admit_intervals(candidates(spark, d), c=P.Portfolio(max_open_positions=3))
-    return a.select("order_id", "status", "reason", F.round("capital_fraction", 6).alias("capital_fraction"))
-
-
-@add("w37_capital_fraction")
-def _(spark, d):
-    a = P.admit_intervals(candidates(spark, d), c=P.Portfolio(risk_per_trade=0.02, short_margin_rate=1.5, sector_capital_limit={"bull_h1_setup": 0.4}))
-    return a.groupBy("status", "reason").agg(F.count("*").alias("n"), F.round(F.sum("margin_fraction"), 6).alias("margin"))
-
-
 @add("w38_marked_positions", f"""{TRADES}, pos AS (SELECT stock_code, dir * 100 / fill AS u, entry_date, exit_date FROM trades WHERE exit_date > entry_date), sc AS (SELECT DISTINCT stock_code FROM trades), tl AS (SELECT DISTINCT date FROM bars SEMI JOIN sc USING (stock_code)),
 mk AS (SELECT tl.date, pos.u, b.close FROM tl JOIN pos ON tl.date >= entry_date AND tl.date < exit_date ASOF JOIN bars b ON b.stock_code = pos.stock_code AND tl.date >= b.date)
 SELECT tl.date, round(coalesce(sum(u * close), 0), 4) AS position_value, count(u) AS open_positions FROM tl LEFT JOIN mk USING (date) GROUP BY tl.date""")

@@ -224,10 +224,14 @@ _subset("w29_return_streaks", ["max_consecutive_wins", "max_consecutive_losses"]
 _subset("w34_drawdown_duration", ["max_drawdown_duration", "max_drawdown"], "stock_code")
 
 
-@add("c15_positive_expectancy")
+_Z = "abs(avg_return / avg_return_standard_error / sqrt(2))"
+_ERF = f"CASE WHEN {_Z} > 6 THEN 1.0 ELSE 2 / sqrt(pi()) * {_Z} * exp(-{_Z} * {_Z}) * list_reduce(range({S_.TERMS}, 0, -1), lambda a, n: 1 + a * 2 * {_Z} * {_Z} / (2 * n + 1), CAST(1 AS DOUBLE)) END"
+
+
+@add("c15_positive_expectancy", f"""{TRADES}, {stats_sql('stock_code')} SELECT stock_code, round(CASE WHEN avg_return_standard_error > 0 THEN 0.5 * (1 + sign(avg_return) * {_ERF}) WHEN avg_return > 0 THEN 1 WHEN avg_return < 0 THEN 0 ELSE 0.5 END, 6) AS positive_expectancy_probability FROM stat""")
 def _(spark, d):
     s = S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"])
-    return s.select("stock_code", F.round(S_.positive_expectancy("avg_return", "avg_return_standard_error"), 6).alias("positive_expectancy_probability"))
+    return s.select("stock_code", F.round(S_.positive_expectancy(F.col("avg_return"), F.col("avg_return_standard_error")), 6).alias("positive_expectancy_probability"))
 
 
 @add("a23_exit_reasons", f"""{TRADES} SELECT side, count(*) AS exit_count, count(*) FILTER (exit_reason = 'stop_loss') AS stop_loss_count, count(*) FILTER (exit_reason = 'take_profit') AS take_profit_count,

@@ -4,7 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 from barlab.operators.execution import select_non_overlapping
-from barlab.operators.portfolio import Portfolio, admit_intervals
 
 
 def trades(spark, n=120, cases=2, seed=4):
@@ -16,18 +15,6 @@ def trades(spark, n=120, cases=2, seed=4):
     return spark.createDataFrame(rows, "case_id string, stock_code string, order_id string, strategy_name string, side string, sector string, risk_fraction double, entry_date timestamp_ntz, exit_date timestamp_ntz")
 
 
-def test_admission_keeps_limits(spark):
-    c = Portfolio(max_open_positions=3, short_margin_rate=1.5, reserve_cash=0.1, sector_capital_limit={"a": 0.4})
-    got = admit_intervals(trades(spark), c=c).toPandas()
-    assert set(got.status) == {"accepted", "rejected"} and len(got) == 120
-    ok = got[got.status == "accepted"]
-    for t in ok.itertuples():
-        open_ = ok[(ok.case_id == t.case_id) & (ok.entry_date <= t.entry_date) & (ok.exit_date > t.entry_date)]
-        assert len(open_) <= 3 and not open_.stock_code.duplicated().any()
-        assert open_.margin_fraction.sum() <= 0.9 + 1e-9 and open_[open_.sector == "a"].margin_fraction.sum() <= 0.4 + 1e-9
-    assert (ok.margin_fraction - ok.capital_fraction * ok.side.map({"long": 1.0, "short": 1.5})).abs().max() < 1e-12
-
-
 def test_gate_is_greedy_by_entry(spark):
     got = select_non_overlapping(trades(spark), ["case_id"], sequence="order_id").toPandas().sort_values(["case_id", "entry_date", "order_id"])
     for _, g in got.groupby("case_id"):
