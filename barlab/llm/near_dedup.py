@@ -29,12 +29,13 @@ _SAMPLE, _COMMON = 20_000, 4
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer than WORDS words: one shingle of all; no words: none."""
-    words = (text or "").lower().encode().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
-    return np.unique(_rolled(_word_hashes(words), WORDS, 0x9E3779B97F4A7C15)).view(np.int64)
+    parts, words = [], []
+    for words in simhash.word_lists((text or "").lower().encode(), WORDS - 1):
+        parts.append(np.unique(_rolled(_word_hashes(words), WORDS, 0x9E3779B97F4A7C15)))
+    found = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    if not len(found) and words:
+        found = np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    return found.view(np.int64)
 
 
 def _same_text() -> Column:
@@ -47,7 +48,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in small_batches(batches, "text"):
+    for b in small_batches(batches, "text", 2 << 20):
         yield pa.RecordBatch.from_arrays([b.column("node"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["node", "set"])
 
 
@@ -62,13 +63,13 @@ def _common(texts: DataFrame) -> np.ndarray:
 
 def _profile(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 2 << 20):
             rows = []
             for text in b.column("text").to_pylist():
                 s = shingles(text)
                 at = np.searchsorted(common, s)
                 late = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
-                prefix = np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) else s
+                prefix = np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1].copy() if len(s) else s
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 fp = np.uint64(simhash.fingerprint((text or "").encode(), WORDS)).view(np.int64)
                 rows.append((int.from_bytes(digest[:8], "big", signed=True), len(s), fp, prefix))

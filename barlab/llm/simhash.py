@@ -21,10 +21,10 @@ from barlab.llm.common import conf_batches, small_batches, stored
 from barlab.llm.components import components
 
 SEED, BITS = 42, 2
-_PIECE = 4 << 20
+_PIECE = 1 << 18
 
 
-def _word_lists(text: bytes, overlap: int) -> Iterator[list[bytes]]:
+def word_lists(text: bytes, overlap: int) -> Iterator[list[bytes]]:
     """The words of a text in pieces that repeat the last `overlap` words of the piece before."""
     at, carry = 0, []
     while at < len(text):
@@ -39,7 +39,7 @@ def _word_lists(text: bytes, overlap: int) -> Iterator[list[bytes]]:
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the shingles' XXH64; no words: 0."""
     total, n, words = np.zeros(64, np.int64), 0, []
-    for words in _word_lists(text.lower(), shingle - 1):
+    for words in word_lists(text.lower(), shingle - 1):
         if len(words) < shingle:
             continue
         row = b" ".join(words)
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     conf_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, "text"):
+        for b in small_batches(batches, "text", 2 << 20):
             fp = np.array([fingerprint((t or "").encode(), shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

@@ -79,7 +79,7 @@ def _paired(rows: np.ndarray, t: np.ndarray, y: np.ndarray, all_: np.ndarray, on
     return often[odd.any(1)]
 
 
-def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_z: float = 6.0, pair_terms: int = 2048, k: int = 4, epochs: int = 300, seed: int = 7) -> Machine:
+def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_z: float = 6.0, pair_terms: int = 1024, k: int = 4, epochs: int = 300, seed: int = 7) -> Machine:
     """Fits on (text, label 0 or 1) rows, a bounded sample such as `labelled` gives: their distinct
     terms, a few KB a row, come to the driver. Pairs are screened among the `pair_terms` terms that most rows of
     the sample have. No rows: a machine that says 0.5."""
