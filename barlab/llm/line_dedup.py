@@ -56,7 +56,7 @@ def _variants(h: Column, edits: int) -> Column:
     )
 
     def less(v: Column) -> Column:
-        after = F.coalesce(F.element_at(v["gone"], -1), F.lit(-1)) if edits > 1 else F.lit(-1)
+        after = F.coalesce(F.try_element_at(v["gone"], F.lit(-1)), F.lit(-1)) if edits > 1 else F.lit(-1)
         one = F.transform(h, lambda x, i: F.struct(v["x"].bitwiseXOR(x).alias("x"), (v["s"] - low(x)).alias("s"), F.concat(v["gone"], F.array(i)).alias("gone")))
         return F.slice(one, after + 2, F.size(h)) if edits > 1 else one
 
