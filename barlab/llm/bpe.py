@@ -27,6 +27,8 @@ MANY = 2_000_000_000
 LONG = 96  # bytes from which a word is cut where no token spans, and merged by rounds
 _CHAR = 0x20000  # a token is the character of this code point plus its id while it is part of a long word
 _SHIFT = 1 << 20
+STRETCH = 256  # ids whose pieces are concatenated at a time
+_PIECES = "barlab bpe pieces"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,13 +61,12 @@ class Vocabulary:
         r = self.ranks
         return {r[t[:i]] * _SHIFT + r[t[i:]]: n for t, n in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r}
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens' bytes, and where each id's begin and how many they are (0: no such id)."""
-        first, size, at = np.zeros(max(self.ranks.values(), default=-1) + 2, np.int64), np.zeros(max(self.ranks.values(), default=-1) + 2, np.int64), 0
+    def pieces(self, spark: SparkSession) -> Column:
+        """Literal array: at each id its bytes, null where there is no such id."""
+        listed = [None] * (max(self.ranks.values(), default=-1) + 1)
         for t, r in self.ranks.items():
-            first[r], size[r] = at, len(t)
-            at += len(t)
-        return np.frombuffer(b"".join(self.ranks), np.uint8), first, size
+            listed[r] = t
+        return literal(spark.createDataFrame([(listed,)], "pieces array<binary>"))
 
 
 @dataclass(frozen=True)
@@ -282,25 +283,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictiona
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds decoded (binary): the pieces of a row's ids, copied one after another into one buffer. An id that the
-    vocabulary doesn't have adds nothing, null ids give null; a column of that name is replaced."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces())
-    rows = encoded.drop("decoded")
-    kept, kinds = rows.columns, dict(rows.dtypes)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, first, size = pieces.value
-        for b in batches:
-            step = 64
-            for s in range(0, b.num_rows, step):
-                part = b.slice(s, step)
-                lists = part.column("ids")
-                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                ids = np.where((ids >= 0) & (ids < len(size) - 1), ids, len(size) - 1).astype(np.int64)
-                ends = np.append(0, np.cumsum(size[ids]))
-                off = ends[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))]
-                valid = None if not lists.null_count else pa.array(lists.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
-                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [valid, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(gather(data, first[ids], size[ids]))])
-                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*kept, "decoded"])
-
-    return rows.mapInArrow(join, ", ".join(f"`{k}` {kinds[k]}" for k in kept) + ", decoded binary")
+    """Adds decoded (binary): the binary pieces of a row's ids concatenated, in runs of STRETCH and then these, so that a
+    long row isn't copied once for each id. An id that the vocabulary doesn't have adds nothing, null ids give null;
+    a column of that name is replaced."""
+    none = F.lit(b"")
+    ready = encoded.drop("decoded").withColumn(_PIECES, vocabulary.pieces(encoded.sparkSession))
+    starts = F.sequence(F.lit(1), F.size("ids"), F.lit(STRETCH))
+
+    def joined(pieces: Column) -> Column:
+        run = lambda at: F.aggregate(F.slice("ids", at, F.lit(STRETCH)), none, lambda a, i: F.concat(a, F.coalesce(F.get(pieces, i), none)))
+        return F.when(F.size("ids") > 0, F.aggregate(F.transform(starts, run), none, lambda a, x: F.concat(a, x))).when(F.size("ids") == 0, none)
+
+    return ready.withColumn("decoded", let(F.col(_PIECES), joined)).drop(_PIECES)

@@ -84,9 +84,8 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 8
 
 
 def conf_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows and at most about 16 MB in an Arrow batch, set in the session: with long texts the default of
-    10,000 rows holds too much memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Fewer rows in an Arrow batch, set in the session: with long texts the default of 10,000 rows holds too much
+    memory. Spark bounds a batch's bytes by itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
