@@ -88,7 +88,7 @@ _EXP = ["exposure_bars", "return_contribution", "capital_turnover", "avg_capital
 _EXP += ["avg_capital_exposure_per_trade", "avg_margin_exposure_per_trade", "capital_weighted_raw_return", "return_per_exposure_bar", "return_per_capital_exposure_bar", "return_per_margin_exposure_bar"]
 
 
-@add("a22_trade_exposure", f"""{TRADES}, xp AS (SELECT *, holding_bars AS h, 0.1 + 0.05 * (holding_bars % 3) AS c, 0.15 + 0.075 * (holding_bars % 3) AS g, return_pct / 100 AS r FROM trades),
+@add("a22_trade_exposure", f"""{TRADES}, xp AS (SELECT *, CAST(holding_bars AS DOUBLE) AS h, 1e-1 + 5e-2 * (holding_bars % 3) AS c, 15e-2 + 75e-3 * (holding_bars % 3) AS g, return_pct / 100 AS r FROM trades),
 xs AS (SELECT event_type, sum(h) AS exposure_bars, sum(r) AS return_contribution, sum(c) AS capital_turnover, avg(c) AS avg_capital_fraction, max(c) AS max_capital_fraction, sum(g) AS margin_turnover, avg(g) AS avg_margin_fraction, max(g) AS max_margin_fraction, sum(h * c) AS capital_exposure_bars,
   sum(h * g) AS margin_exposure_bars, avg(h * c) AS avg_capital_exposure_per_trade, avg(h * g) AS avg_margin_exposure_per_trade, sum(2 * r * c) / sum(c) AS capital_weighted_raw_return, sum(r) / nullif(sum(h), 0) AS return_per_exposure_bar, sum(r) / nullif(sum(h * c), 0) AS return_per_capital_exposure_bar,
   sum(r) / nullif(sum(h * g), 0) AS return_per_margin_exposure_bar FROM xp GROUP BY event_type) SELECT event_type, {rsql(_EXP)} FROM xs""")
@@ -134,13 +134,13 @@ def decided(spark, d):
 _FUN = ["avg_accepted_capital_fraction", "max_accepted_capital_fraction", "avg_accepted_risk_fraction", "max_accepted_risk_fraction", "avg_accepted_margin_fraction", "max_accepted_margin_fraction", "avg_accepted_actual_risk_pct", "max_accepted_actual_risk_pct", "avg_accepted_actual_chase_pct", "max_accepted_actual_chase_pct"]
 _FUN += ["avg_accepted_actual_reward_to_risk", "min_accepted_actual_reward_to_risk", "avg_executed_actual_risk_pct", "min_executed_actual_reward_to_risk", "acceptance_rate", "rejection_rate", "primary_rejected_reason_rate"]
 _FUNC = ["order_count", "accepted_order_count", "rejected_order_count", "executed_order_count", "accepted_executed_order_count", "primary_rejected_reason_count", *(f"rejected_{r}_count" for r in R.ORDER_REASONS)]
-_DEC = f"""{ORDERS}, {_match()}, dc AS (SELECT *, reason = '' AS ok, 0.1 + 0.01 * (signal_bar_index % 7) AS part, abs(fill - stop_price) / fill AS risk_, abs(fill - signal_price) / signal_price AS chase_, dir * (target_price - fill) / abs(fill - stop_price) AS rr_ FROM m),
+_DEC = f"""{ORDERS}, {_match()}, dc AS (SELECT *, reason = '' AS ok, 1e-1 + 1e-2 * (signal_bar_index % 7) AS part, abs(fill - stop_price) / fill AS risk_, abs(fill - signal_price) / signal_price AS chase_, dir * (target_price - fill) / abs(fill - stop_price) AS rr_ FROM m),
 pr AS (SELECT event_type, reason, n, sum(n) OVER (PARTITION BY event_type) AS t, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, reason) AS k FROM (SELECT event_type, reason, count(*) AS n FROM dc WHERE NOT ok GROUP BY event_type, reason))"""
 
 
 @add("a25_order_funnel", f"""{_DEC}, fs AS (SELECT event_type, count(*) AS order_count, count(*) FILTER (ok) AS accepted_order_count, count(*) FILTER (NOT ok) AS rejected_order_count, count(*) FILTER (ok) AS executed_order_count, count(*) FILTER (ok) AS accepted_executed_order_count,
   {', '.join(f"count(*) FILTER (NOT ok AND reason = '{r}') AS rejected_{r}_count" for r in R.ORDER_REASONS)}, avg(part) FILTER (ok) AS avg_accepted_capital_fraction, max(part) FILTER (ok) AS max_accepted_capital_fraction, avg(part / 10) FILTER (ok) AS avg_accepted_risk_fraction, max(part / 10) FILTER (ok) AS max_accepted_risk_fraction,
-  avg(part * 1.5) FILTER (ok) AS avg_accepted_margin_fraction, max(part * 1.5) FILTER (ok) AS max_accepted_margin_fraction, avg(risk_) FILTER (ok) AS avg_accepted_actual_risk_pct, max(risk_) FILTER (ok) AS max_accepted_actual_risk_pct, avg(chase_) FILTER (ok) AS avg_accepted_actual_chase_pct, max(chase_) FILTER (ok) AS max_accepted_actual_chase_pct,
+  avg(part * 15e-1) FILTER (ok) AS avg_accepted_margin_fraction, max(part * 15e-1) FILTER (ok) AS max_accepted_margin_fraction, avg(risk_) FILTER (ok) AS avg_accepted_actual_risk_pct, max(risk_) FILTER (ok) AS max_accepted_actual_risk_pct, avg(chase_) FILTER (ok) AS avg_accepted_actual_chase_pct, max(chase_) FILTER (ok) AS max_accepted_actual_chase_pct,
   avg(rr_) FILTER (ok) AS avg_accepted_actual_reward_to_risk, min(rr_) FILTER (ok) AS min_accepted_actual_reward_to_risk, avg(risk_) FILTER (ok) AS avg_executed_actual_risk_pct, min(rr_) FILTER (ok) AS min_executed_actual_reward_to_risk, avg(CAST(ok AS INT)) AS acceptance_rate, avg(CAST(NOT ok AS INT)) AS rejection_rate FROM dc GROUP BY event_type)
 SELECT fs.event_type, coalesce(pr.reason, '') AS primary_rejected_reason, coalesce(pr.n, 0) AS primary_rejected_reason_count, {', '.join(c for c in _FUNC if c != 'primary_rejected_reason_count')}, {', '.join(f'round(coalesce({c}, 0), 6) AS {c}' for c in _FUN[:-1])}, round(coalesce(pr.n / pr.t, 0), 6) AS primary_rejected_reason_rate
 FROM fs LEFT JOIN pr ON pr.event_type = fs.event_type AND pr.k = 1""")
