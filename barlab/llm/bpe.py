@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import conf_batches, flat, literal, small_batches, stored
+from barlab.llm.common import conf_batches, flat, let, literal, small_batches, stored
 from barlab.llm.words import MOST_BYTES, Dictionary, gather, span_hashes, word_starts
 
 MANY = 2_000_000_000
@@ -31,11 +31,6 @@ STRETCH = 256  # ids whose pieces are concatenated at a time
 _PIECES = "barlab bpe pieces"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """Tokens as byte strings by rank, one for each single byte among them, and the pattern that cuts texts."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def literal(one_row: DataFrame) -> Column:
     """The only value of a one-row table as a literal, by way of a small file: it is evaluated once, tasks
     get its compact bytes, and the optimizer doesn't compare its contents over and over. Spark wants such

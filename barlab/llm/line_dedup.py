@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import hot_join, small_side, stored
+from barlab.llm.common import hot_join, let, small_side, stored
 
 MASK = (1 << 40) - 1
 _ID, _GONE = "barlab line doc_id", "barlab line gone"
@@ -103,9 +103,10 @@ def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """id, first and words of the lines of firsts (id, first), from the documents that hold them first."""
     wanted = firsts.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("id", "first")).alias("wanted"))
     held = docs.select("doc_id", "text").join(small_side(stored(wanted), 100_000), "doc_id")
-    cut = held.select(F.split(normal(F.col("text")), "\n").alias("lines"), F.explode("wanted").alias("x"))
-    line = F.btrim(F.get("lines", F.col("x.first.at")), F.lit(" "))
-    return cut.select("x.id", "x.first", line.alias("line")).where(_id(F.col("line")) == F.col("id")).groupBy("id", "first").agg(F.split(F.first("line"), " ").alias("words"))
+    line = lambda lines, x: F.btrim(F.get(lines, x["first"]["at"]), F.lit(" "))
+    pick = lambda lines: F.transform("wanted", lambda x: F.struct(x["id"].alias("id"), x["first"].alias("first"), line(lines, x).alias("line")))
+    cut = held.select(F.explode(let(F.split(normal(F.col("text")), "\n"), pick)).alias("x")).select("x.id", "x.first", "x.line")
+    return cut.where(_id(F.col("line")) == F.col("id")).groupBy("id", "first").agg(F.split(F.first("line"), " ").alias("words"))
 
 
 def removed_lines(docs: DataFrame, edits: int = 1, least_words: int = 10) -> DataFrame:
@@ -134,9 +135,9 @@ def dedup(docs: DataFrame, edits: int = 1, least_words: int = 10, counts: bool =
     n_lines and n_removed are added (replaced if there) unless `counts` is off. Null text: stays null, no lines; a null doc_id: nothing
     goes. doc_id is a key: rows that repeat one lose the same lines, and none on account of each other."""
     gone = removed_lines(docs, edits, least_words).select(F.col("doc_id").alias(_ID), F.col("gone").alias(_GONE))
-    lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
-    text = F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE))
+    rest = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(_GONE).isNull(), F.col("text")).otherwise(rest)
     out = docs.join(gone, F.col("doc_id") == F.col(_ID), "left")
     if not counts:
         return out.withColumn("text", text).drop(_ID, _GONE)
