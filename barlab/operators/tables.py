@@ -44,7 +44,7 @@ def save_tables(tables: Mapping[str, DataFrame], folder: str, partition_by: str
     for name, df in tables.items():
         (df.write.mode("overwrite").partitionBy(partition_by) if partition_by else df.write.mode("overwrite")).parquet(f"{folder}/{name}")
         category, priority = CATEGORIES.get(name, ("other", 9))
-        rows = df.sparkSession.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), F.count("*").alias("rows"))
+        rows = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}").agg(F.lit(name).alias("table"), F.lit(category).alias("category"), F.lit(priority).alias("priority"), F.count("*").alias("rows"))
         index = rows if index is None else index.unionByName(rows)
     index.coalesce(1).write.mode("overwrite").parquet(f"{folder}/artifact_index")
     return index.sparkSession.read.parquet(f"{folder}/artifact_index")
