@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, bpe, chat_format, decontaminate, line_dedup, quality, simhash, substring_dedup, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, decontaminate, line_dedup, merkle, quality, simhash, substring_dedup, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -99,6 +99,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), batches=3)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest's proofs of all documents; see merkle.audit."""
+    return merkle.audit(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ann": op2_ann,
@@ -110,5 +115,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_merkle": op11_merkle,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.oracle(),
+    "op5_url_vocabulary": url_filter.oracle(URL_RULES),
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_merkle": merkle.oracle(),
 }
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.oracle(), "op5_url_vocabulary": url_filter.oracle(URL_RULES), "op9_line_dedup": line_dedup.ORACLE_SQL}
