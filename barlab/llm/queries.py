@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm import ann, bpe, chat_format, decontaminate, line_dedup, merkle, quality, simhash, substring_dedup, toxicity, url_filter
+from barlab.llm import ann, bpe, chat_format, decontaminate, line_dedup, merkle, quality, repair, secrets, simhash, substring_dedup, toxicity, url_filter
 from barlab.llm.common import read
 
 URL_RULES = (
@@ -104,6 +104,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's report and repair after the trial damage; see repair.judge."""
+    return repair.judge(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents; see secrets.report."""
+    return secrets.report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ann": op2_ann,
@@ -116,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_merkle": op11_merkle,
+    "op12_repair": op12_repair,
+    "op13_secrets": op13_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.oracle(),
