@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlab.operators import ranks
+from barlab.operators.ranks import checked_broadcast, join_keys, longest_runs, ordinals, quantiles, running
+
 Z = 1.96
 EXIT_REASONS = ("stop_loss", "take_profit", "trailing_take_profit", "max_holding", "end_of_data")
 
@@ -20,23 +23,28 @@ def returns() -> Column:
     return F.coalesce(F.col("return_pct"), F.lit(0.0)) / 100
 
 
-def trade_path(trades: DataFrame, keys: list[str], tie: str = "order_id") -> DataFrame:
-    """trades with r, seq (by exit, else entry, else signal date), equity compounded from 1, and its running peak."""
-    at = F.coalesce("exit_date", "entry_date", "signal_date")
-    w = Window.partitionBy(*keys).orderBy(at.asc_nulls_last(), tie)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumns({"r": returns(), "seq": F.row_number().over(w)}).withColumn("equity", F.product(1 + F.col("r")).over(run))
-    return t.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(run)))
+def _most(df: DataFrame) -> int:
+    return df.agg(F.max("total")).first()[0] or 0
+
 
+def _compounded(placed: DataFrame, keys: list[str], most: int, block: int) -> DataFrame:
+    """Adds equity, compounded from 1 over the places, and its running peak, 1 at least."""
+    p = running(placed, keys, {"equity": ("product", 1 + F.col("r"))}, most, block=block)
+    p = running(p, keys, {"peak": ("max", F.col("equity"))}, most, block=block)
+    return p.withColumn("peak", F.greatest(F.lit(1.0), "peak"))
 
-def _with_runs(path: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the length of the run that each winning, losing or underwater trade stands in: islands are
-    runs between changes, numbered by a running sum."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    for name, flag in (("win", F.col("r") > 0), ("loss", F.col("r") < 0), ("under", F.col("equity") < F.col("peak"))):
-        path = path.withColumn("_g", F.sum((~flag).cast("int")).over(w))
-        path = path.withColumn(f"_run_{name}", F.sum(flag.cast("int")).over(Window.partitionBy(*keys, "_g"))).drop("_g")
-    return path
+
+def _ordered(trades: DataFrame, keys: list[str], tie: str, columns: list[str]) -> DataFrame:
+    """The columns with r, place and total, numbered by exit, else entry, else signal date, then `tie`."""
+    at = F.coalesce(*(c for c in ("exit_date", "entry_date", "signal_date") if c in trades.columns))
+    rows = trades.select(*dict.fromkeys([*keys, *columns]), returns().alias("r"), at.alias("_when"), F.col(tie).alias("_tie"))
+    return ordinals(rows, keys, [F.col("_when").asc_nulls_last(), "_tie"]).drop("_when", "_tie")
+
+
+def trade_path(trades: DataFrame, keys: list[str], tie: str = "order_id", block: int = ranks.BLOCK) -> DataFrame:
+    """trades with r, seq (by exit, else entry, else signal date), equity compounded from 1, and its running peak."""
+    placed = _ordered(ranks.written(trades), keys, tie, trades.columns)
+    return _compounded(placed, keys, _most(placed), block).withColumn("seq", F.col("place") + 1).drop("place", "total")
 
 
 def wilson(rate: Column, n: Column) -> tuple[Column, Column]:
@@ -61,23 +69,67 @@ def positive_expectancy(mean: Column, error: Column) -> Column:
     return F.when(error > 0, 0.5 * (1 + erf(mean / F.when(error > 0, error) / math.sqrt(2)))).otherwise(flat)
 
 
-def trade_statistics(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """The order-free and path statistics of each key's trades."""
-    p = _with_runs(trade_path(trades, keys), keys).withColumn("_q05", F.expr(f"percentile(r, 0.05) OVER (PARTITION BY {', '.join(keys)})"))
+def trade_exposure(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Holding bars, capital and margin turnover of each key's trades, and returns for each bar of exposure.
+
+    Needs return_pct; nulls count as 0. Without holding_bars, capital_fraction or margin_fraction these are 0, without
+    raw_return_pct the return stands for it."""
+    zero = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in trades.columns else F.lit(0.0)
+    h, c, m = map(zero, ("holding_bars", "capital_fraction", "margin_fraction"))
+    raw = zero("raw_return_pct") / 100 if "raw_return_pct" in trades.columns else returns()
+    s = trades.groupBy(*keys).agg(
+        F.sum(h).alias("exposure_bars"), F.sum(returns()).alias("return_contribution"), F.sum(c).alias("capital_turnover"), F.avg(c).alias("avg_capital_fraction"), F.max(c).alias("max_capital_fraction"),
+        F.sum(m).alias("margin_turnover"), F.avg(m).alias("avg_margin_fraction"), F.max(m).alias("max_margin_fraction"), F.sum(h * c).alias("capital_exposure_bars"), F.sum(h * m).alias("margin_exposure_bars"),
+        F.avg(h * c).alias("avg_capital_exposure_per_trade"), F.avg(h * m).alias("avg_margin_exposure_per_trade"), ratio(F.sum(raw * c), F.sum(c)).alias("capital_weighted_raw_return"),
+    )
+    per = {"return_per_exposure_bar": "exposure_bars", "return_per_capital_exposure_bar": "capital_exposure_bars", "return_per_margin_exposure_bar": "margin_exposure_bars"}
+    return s.withColumns({name: ratio(F.col("return_contribution"), F.col(of)) for name, of in per.items()})
+
+
+def _path_statistics(trades: DataFrame, keys: list[str], tie: str, block: int) -> DataFrame:
+    """What depends on the order of trades: total return, worst fall, and the longest winning, losing and underwater runs."""
+    placed = _ordered(trades, keys, tie, [])
+    most = _most(placed)
+    p = _compounded(placed, keys, most, block)
+    ends = p.groupBy(*keys).agg((F.max_by("equity", "place") - 1).alias("total_return"), F.least(F.lit(0.0), F.min(F.col("equity") / F.col("peak") - 1)).alias("max_drawdown"))
+    flags = {"max_consecutive_wins": F.col("r") > 0, "max_consecutive_losses": F.col("r") < 0, "max_drawdown_duration": F.col("equity") < F.col("peak")}
+    runs = longest_runs(p, keys, flags, most, block=block)
+    return join_keys(ends, runs.select(*keys, *(F.col(n).cast("double").alias(n) for n in flags)), keys)
+
+
+def _tail_mean(trades: DataFrame, q: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of the returns up to return_p05."""
+    low = checked_broadcast(q.select(*keys, F.col("return_p05").alias("_low")))
+    tail = join_keys(trades.select(*keys, returns().alias("r")), low, keys).where("r <= _low")
+    return tail.groupBy(*keys).agg(F.avg("r").alias("cvar_95"))
+
+
+_USED = ("exit_date", "entry_date", "signal_date", "return_pct", "raw_return_pct", "holding_bars", "capital_fraction", "margin_fraction", "r_multiple", "mae_pct", "mfe_pct", "mae_r", "mfe_r")
+
+
+def trade_statistics(trades: DataFrame, keys: list[str], tie: str = "order_id", block: int = ranks.BLOCK) -> DataFrame:
+    """The 62 statistics of each key's trades: counts and moments by one aggregate, the path by a segmented scan,
+    quantiles by ranks. Null returns count as 0, null r_multiple, MAE and MFE not at all; null keys are keys. Trades
+    that tie in time go by `tie`. No window holds more than `block` rows of a key."""
     r, pos, neg = F.col("r"), F.col("r") > 0, F.col("r") < 0
-    n, some = F.count("*"), lambda c: F.coalesce(c, F.lit(0.0))
-    base = p.groupBy(*keys).agg(
-        n.cast("double").alias("trade_count"), F.avg(pos.cast("double")).alias("win_rate"), (F.max_by("equity", "seq") - 1).alias("total_return"), F.avg(r).alias("avg_return"),
-        F.stddev_pop(r).alias("return_std"), F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)))).alias("downside_deviation"), some(F.stddev_samp(r) / F.sqrt(n)).alias("avg_return_standard_error"),
-        F.least(F.lit(0.0), F.min(F.col("equity") / F.col("peak") - 1)).alias("max_drawdown"), some(F.sum(F.when(pos, r))).alias("gross_profit"), some(-F.sum(F.when(neg, r))).alias("gross_loss"),
-        some(F.avg(F.when(pos, r))).alias("avg_win"), some(F.avg(F.when(neg, r))).alias("avg_loss"), F.max(r).alias("best_trade"), F.min(r).alias("worst_trade"),
-        *(F.expr(f"percentile(r, {q})").alias(f"return_p{int(q * 100):02d}") for q in (0.05, 0.25, 0.5, 0.75, 0.95)), F.avg("holding_bars").alias("avg_holding_bars"), F.sum("holding_bars").cast("double").alias("exposure_bars"),
-        F.avg("r_multiple").alias("avg_r_multiple"), F.expr("percentile(r_multiple, 0.5)").alias("median_r_multiple"), F.max("r_multiple").alias("best_r_multiple"), F.min("r_multiple").alias("worst_r_multiple"),
-        some(F.sum(F.when(F.col("r_multiple") > 0, F.col("r_multiple")))).alias("_rp"), some(-F.sum(F.when(F.col("r_multiple") < 0, F.col("r_multiple")))).alias("_rn"), F.stddev_pop("r_multiple").alias("_rs"),
-        F.avg("mae_pct").alias("avg_mae_pct"), F.avg("mfe_pct").alias("avg_mfe_pct"), F.avg("mae_r").alias("avg_mae_r"), F.avg("mfe_r").alias("avg_mfe_r"), F.avg(F.when(r <= F.col("_q05"), r)).alias("cvar_95"),
-        *(F.coalesce(F.max(f"_run_{k}"), F.lit(0)).cast("double").alias(name) for k, name in (("win", "max_consecutive_wins"), ("loss", "max_consecutive_losses"), ("under", "max_drawdown_duration"))),
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    used = [c for c in (*keys, tie, *_USED) if c in trades.columns]
+    trades = ranks.written(trades.select(*dict.fromkeys(used)))  # five passes follow
+    optional = {c: F.col(c).cast("double") if c in trades.columns else F.lit(None).cast("double") for c in ("r_multiple", "mae_pct", "mfe_pct", "mae_r", "mfe_r")}
+    p = trades.select(*keys, returns().alias("r"), *((F.col(c) if c in trades.columns else F.lit(None).cast("double")).alias(c) for c in ("holding_bars",)), *(c.alias(n) for n, c in optional.items()))
+    x = F.col("r_multiple")
+    s = p.groupBy(*keys).agg(
+        F.count("*").cast("double").alias("trade_count"), F.avg(pos.cast("double")).alias("win_rate"), F.avg(r).alias("avg_return"), F.stddev_pop(r).alias("return_std"),
+        F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)))).alias("downside_deviation"), some(F.stddev_samp(r) / F.sqrt(F.count("*"))).alias("avg_return_standard_error"),
+        some(F.sum(F.when(pos, r))).alias("gross_profit"), some(-F.sum(F.when(neg, r))).alias("gross_loss"), some(F.avg(F.when(pos, r))).alias("avg_win"), some(F.avg(F.when(neg, r))).alias("avg_loss"),
+        F.max(r).alias("best_trade"), F.min(r).alias("worst_trade"), F.avg(some(F.col("holding_bars").cast("double"))).alias("avg_holding_bars"),
+        some(F.avg(x)).alias("avg_r_multiple"), some(F.max(x)).alias("best_r_multiple"), some(F.min(x)).alias("worst_r_multiple"), F.count(x).alias("_rc"), F.stddev_pop(x).alias("_rs"),
+        some(F.sum(F.when(x > 0, x))).alias("_rp"), some(-F.sum(F.when(x < 0, x))).alias("_rn"), *(some(F.avg(c)).alias(f"avg_{c}") for c in ("mae_pct", "mfe_pct", "mae_r", "mfe_r")),
     )
-    s = base
+    q = quantiles(p, keys, {f"return_p{int(n * 100):02d}": ("r", n) for n in (0.05, 0.25, 0.5, 0.75, 0.95)} | {"median_r_multiple": ("r_multiple", 0.5)})
+    q = ranks.written(q.withColumn("median_r_multiple", some(F.col("median_r_multiple"))))
+    for more in (_path_statistics(trades, keys, tie, block), q, _tail_mean(trades, q, keys), trade_exposure(trades, keys)):
+        s = join_keys(s, more, keys)
     c = F.col
     low, high = wilson(c("win_rate"), c("trade_count"))
     infinite = lambda x, y: F.when(y > 0, x / F.when(y > 0, y)).when(x > 0, F.lit(float("inf"))).otherwise(0.0)
@@ -86,11 +138,11 @@ def trade_statistics(trades: DataFrame, keys: list[str]) -> DataFrame:
             "breakeven_win_rate": F.when(c("avg_loss") >= 0, 0.0).when(c("avg_win") <= 0, 1.0).otherwise(-c("avg_loss") / F.nullif(c("avg_win") - c("avg_loss"), F.lit(0.0))), "win_rate_ci_lower": low, "win_rate_ci_upper": high,
             "avg_return_ci_lower": c("avg_return") - Z * c("avg_return_standard_error"), "avg_return_ci_upper": c("avg_return") + Z * c("avg_return_standard_error"), "profit_factor": infinite(c("gross_profit"), c("gross_loss")),
             "r_profit_factor": infinite(c("_rp"), c("_rn")), "payoff_ratio": ratio(c("avg_win"), F.abs("avg_loss")), "sharpe_per_trade": ratio(c("avg_return"), c("return_std")), "sortino_per_trade": ratio(c("avg_return"), c("downside_deviation")),
-            "recovery_factor": ratio(c("total_return"), F.abs("max_drawdown")), "system_quality_number": ratio(F.sqrt("trade_count") * c("avg_r_multiple"), F.when(c("_rs") > 1e-12, c("_rs"))), "return_contribution": c("gross_profit") - c("gross_loss"),
+            "recovery_factor": ratio(c("total_return"), F.abs("max_drawdown")), "system_quality_number": ratio(F.sqrt("_rc") * c("avg_r_multiple"), F.when(c("_rs") > 1e-12, c("_rs"))),
+            "positive_expectancy_probability": positive_expectancy(c("avg_return"), c("avg_return_standard_error")), "expectancy": c("avg_return"),
         }
     )
-    s = s.withColumns({"win_rate_edge": c("win_rate") - c("breakeven_win_rate"), "expectancy": c("avg_return"), "return_per_exposure_bar": ratio(c("return_contribution"), c("exposure_bars"))})
-    return s.drop("_rp", "_rn", "_rs")
+    return s.withColumn("win_rate_edge", c("win_rate") - c("breakeven_win_rate")).drop("_rp", "_rn", "_rs", "_rc")
 
 
 def with_idle_keys(stats: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

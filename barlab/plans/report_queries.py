@@ -20,7 +20,7 @@ from barlab.plans.audit_queries import _CURVE, _DIRTY, _PATH, _PERIODS, _RANKED,
 from barlab.plans.feature_queries import TREND_EVENTS, WEEK, rounded, rsql
 from barlab.plans.inputs import table, week_bars
 from barlab.plans.portfolio_queries import _DIAG, _USED
-from barlab.plans.trade_queries import ORDERS, TRADES, _match, _sim, outcomes, stats_sql, trend_orders
+from barlab.plans.trade_queries import ORDERS, TRADES, _match, _sim, outcomes, stats_sql, trend_orders, with_fractions
 
 Q: dict = {}
 S: dict = {}
@@ -88,14 +88,9 @@ _EXP = ["exposure_bars", "return_contribution", "capital_turnover", "avg_capital
 _EXP += ["avg_capital_exposure_per_trade", "avg_margin_exposure_per_trade", "capital_weighted_raw_return", "return_per_exposure_bar", "return_per_capital_exposure_bar", "return_per_margin_exposure_bar"]
 
 
-@add("a22_trade_exposure", f"""{TRADES}, xp AS (SELECT *, CAST(holding_bars AS DOUBLE) AS h, 1e-1 + 5e-2 * (holding_bars % 3) AS c, 15e-2 + 75e-3 * (holding_bars % 3) AS g, return_pct / 100 AS r FROM trades),
-xs AS (SELECT event_type, sum(h) AS exposure_bars, sum(r) AS return_contribution, sum(c) AS capital_turnover, avg(c) AS avg_capital_fraction, max(c) AS max_capital_fraction, sum(g) AS margin_turnover, avg(g) AS avg_margin_fraction, max(g) AS max_margin_fraction, sum(h * c) AS capital_exposure_bars,
-  sum(h * g) AS margin_exposure_bars, avg(h * c) AS avg_capital_exposure_per_trade, avg(h * g) AS avg_margin_exposure_per_trade, sum(2 * r * c) / sum(c) AS capital_weighted_raw_return, sum(r) / nullif(sum(h), 0) AS return_per_exposure_bar, sum(r) / nullif(sum(h * c), 0) AS return_per_capital_exposure_bar,
-  sum(r) / nullif(sum(h * g), 0) AS return_per_margin_exposure_bar FROM xp GROUP BY event_type) SELECT event_type, {rsql(_EXP)} FROM xs""")
+@add("a22_trade_exposure", f"{TRADES}, {stats_sql('event_type')} SELECT event_type, {rsql(_EXP)} FROM stat")
 def _(spark, d):
-    m = F.col("holding_bars") % 3
-    t = outcomes(spark, d)[1].withColumns({"capital_fraction": 0.1 + 0.05 * m, "margin_fraction": 0.15 + 0.075 * m, "raw_return_pct": 2 * F.col("return_pct")})
-    return rounded(R.trade_exposure(t, ["event_type"]), ["event_type"], _EXP)
+    return rounded(S_.trade_exposure(with_fractions(outcomes(spark, d)[1]), ["event_type"]), ["event_type"], _EXP)
 
 
 _EQX = [f"{a}_{n}" for n in ("gross_exposure", "margin_exposure", "open_positions", "cash_ratio", "net_exposure") for a in ("avg", "max")] + ["exposure_bar_ratio", "min_cash_ratio", "min_net_exposure"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barlab.operators import detectors as D
@@ -166,10 +168,28 @@ Q["w25_terminal_rejections"] = lambda spark, d: Q["j06_terminal_score"](spark, d
 S["w25_terminal_rejections"] = f"SELECT terminal_reject, count(*) AS n FROM ({S['j06_terminal_score']}) GROUP BY terminal_reject"
 
 
+# Capital and margin fractions of the trades, and a raw return of twice the return, for the exposure statistics.
+FRACTIONS = {"c": "(0.1037193 + 0.0531471 * (holding_bars % 3))", "g": "(0.1519177 + 0.0737291 * (holding_bars % 3))"}
+
+
+def with_fractions(trades):
+    c, g = (F.expr(re.sub(r"(0\.[0-9]+)", r"\1D", FRACTIONS[k])) for k in ("c", "g"))
+    return trades.withColumns({"capital_fraction": c, "margin_fraction": g, "raw_return_pct": 2 * F.col("return_pct")})
+
+
+def erf_sql(z: str, steps: int = 1000) -> str:
+    """The error function of z >= 0 by Simpson's rule; 1 beyond 6."""
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"CASE WHEN {z} > 6 THEN 1.0 ELSE 2 / sqrt(pi()) * {z} / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * exp(-pow({z} * i / {steps}, 2)))) END"
+
+
 def stats_sql(keys: str) -> str:
     k = f"PARTITION BY {keys}"
     run = f"OVER ({k} ORDER BY exit_date, order_id ROWS UNBOUNDED PRECEDING)"
-    return f"""s0 AS (SELECT *, coalesce(return_pct, 0) / 100 AS r, row_number() OVER ({k} ORDER BY exit_date, order_id) AS seq FROM trades),
+    near = lambda sign: f"(win_rate + 1.9208 / trade_count {sign} 1.96 * sqrt(win_rate * (1 - win_rate) / trade_count + 3.8416 / (4 * trade_count * trade_count))) / (1 + 3.8416 / trade_count)"
+    over = lambda x, y: f"CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0 END"
+    factor = lambda x, y: f"CASE WHEN {y} > 0 THEN {x} / {y} WHEN {x} > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END"
+    return f"""s0 AS (SELECT *, coalesce(return_pct, 0) / 100 AS r, CAST(holding_bars AS DOUBLE) AS h, CAST({FRACTIONS['c']} AS DOUBLE) AS c, CAST({FRACTIONS['g']} AS DOUBLE) AS g, row_number() OVER ({k} ORDER BY exit_date, order_id) AS seq FROM trades),
 s1 AS (SELECT *, product(1 + r) {run} AS equity FROM s0), s2 AS (SELECT *, greatest(1, max(equity) {run}) AS peak, quantile_cont(r, 0.05) OVER ({k}) AS q05 FROM s1),
 isl AS (SELECT {keys}, f, v, max(c) AS c FROM (SELECT {keys}, f, v, g, count(*) AS c FROM (SELECT {keys}, f, v, seq - row_number() OVER (PARTITION BY {keys}, f, v ORDER BY seq) AS g
   FROM (SELECT {keys}, seq, unnest(['win', 'loss', 'under']) AS f, unnest([r > 0, r < 0, equity < peak]) AS v FROM s2)) GROUP BY ALL) GROUP BY {keys}, f, v),
@@ -178,31 +198,40 @@ st AS (SELECT {keys}, CAST(count(*) AS DOUBLE) AS trade_count, avg(CAST(r > 0 AS
   coalesce(-sum(r) FILTER (r < 0), 0) AS gross_loss, coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r < 0), 0) AS avg_loss, max(r) AS best_trade, min(r) AS worst_trade, quantile_cont(r, 0.05) AS return_p05,
   quantile_cont(r, 0.25) AS return_p25, quantile_cont(r, 0.5) AS return_p50, quantile_cont(r, 0.75) AS return_p75, quantile_cont(r, 0.95) AS return_p95, avg(r) FILTER (r <= q05) AS cvar_95, avg(holding_bars) AS avg_holding_bars,
   CAST(sum(holding_bars) AS DOUBLE) AS exposure_bars, avg(r_multiple) AS avg_r_multiple, quantile_cont(r_multiple, 0.5) AS median_r_multiple, max(r_multiple) AS best_r_multiple, min(r_multiple) AS worst_r_multiple,
-  stddev_pop(r_multiple) AS rs, avg(mae_pct) AS avg_mae_pct, avg(mfe_r) AS avg_mfe_r FROM s2 GROUP BY {keys}),
-stat AS (SELECT st.*, CAST(coalesce(w.c, 0) AS DOUBLE) AS max_consecutive_wins, CAST(coalesce(l.c, 0) AS DOUBLE) AS max_consecutive_losses, CAST(coalesce(u.c, 0) AS DOUBLE) AS max_drawdown_duration,
-  CASE WHEN gross_loss > 0 THEN gross_profit / gross_loss WHEN gross_profit > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 END AS profit_factor, CASE WHEN return_std > 0 THEN avg_return / return_std ELSE 0 END AS sharpe_per_trade,
-  CASE WHEN downside_deviation > 0 THEN avg_return / downside_deviation ELSE 0 END AS sortino_per_trade, CASE WHEN abs(max_drawdown) > 0 THEN total_return / abs(max_drawdown) ELSE 0 END AS recovery_factor,
-  CASE WHEN rs > 1e-12 THEN sqrt(trade_count) * avg_r_multiple / rs ELSE 0 END AS system_quality_number, CASE WHEN avg_loss >= 0 THEN 0 WHEN avg_win <= 0 THEN 1 ELSE -avg_loss / (avg_win - avg_loss) END AS breakeven_win_rate,
-  greatest(0, (win_rate + 1.9208 / trade_count - 1.96 * sqrt(win_rate * (1 - win_rate) / trade_count + 3.8416 / (4 * trade_count * trade_count))) / (1 + 3.8416 / trade_count)) AS win_rate_ci_lower,
-  least(1, (win_rate + 1.9208 / trade_count + 1.96 * sqrt(win_rate * (1 - win_rate) / trade_count + 3.8416 / (4 * trade_count * trade_count))) / (1 + 3.8416 / trade_count)) AS win_rate_ci_upper
-  FROM st LEFT JOIN isl w ON w.f = 'win' AND w.v AND {_eq(keys, 'w')} LEFT JOIN isl l ON l.f = 'loss' AND l.v AND {_eq(keys, 'l')} LEFT JOIN isl u ON u.f = 'under' AND u.v AND {_eq(keys, 'u')})"""
+  stddev_pop(r_multiple) AS rs, coalesce(sum(r_multiple) FILTER (r_multiple > 0), 0) AS rp, coalesce(-sum(r_multiple) FILTER (r_multiple < 0), 0) AS rn, avg(mae_pct) AS avg_mae_pct, avg(mfe_pct) AS avg_mfe_pct, avg(mae_r) AS avg_mae_r, avg(mfe_r) AS avg_mfe_r,
+  sum(r) AS return_contribution, sum(c) AS capital_turnover, avg(c) AS avg_capital_fraction, max(c) AS max_capital_fraction, sum(g) AS margin_turnover, avg(g) AS avg_margin_fraction, max(g) AS max_margin_fraction, sum(h * c) AS capital_exposure_bars,
+  sum(h * g) AS margin_exposure_bars, avg(h * c) AS avg_capital_exposure_per_trade, avg(h * g) AS avg_margin_exposure_per_trade, sum(2 * r * c) / sum(c) AS capital_weighted_raw_return FROM s2 GROUP BY {keys}),
+sz AS (SELECT *, CASE WHEN avg_loss >= 0 THEN 0 WHEN avg_win <= 0 THEN 1 ELSE -avg_loss / (avg_win - avg_loss) END AS breakeven_win_rate, CASE WHEN avg_return_standard_error > 0 THEN abs(avg_return / avg_return_standard_error / sqrt(2)) END AS z FROM st),
+stat AS (SELECT sz.*, CAST(coalesce(w.c, 0) AS DOUBLE) AS max_consecutive_wins, CAST(coalesce(l.c, 0) AS DOUBLE) AS max_consecutive_losses, CAST(coalesce(u.c, 0) AS DOUBLE) AS max_drawdown_duration, avg_return AS expectancy,
+  {factor('gross_profit', 'gross_loss')} AS profit_factor, {factor('rp', 'rn')} AS r_profit_factor, {over('avg_return', 'return_std')} AS sharpe_per_trade, {over('avg_win', 'abs(avg_loss)')} AS payoff_ratio,
+  {over('avg_return', 'downside_deviation')} AS sortino_per_trade, {over('total_return', 'abs(max_drawdown)')} AS recovery_factor,
+  CASE WHEN rs > 1e-12 THEN sqrt(trade_count) * avg_r_multiple / rs ELSE 0 END AS system_quality_number, win_rate - breakeven_win_rate AS win_rate_edge,
+  greatest(0, {near('-')}) AS win_rate_ci_lower, least(1, {near('+')}) AS win_rate_ci_upper, avg_return - 1.96 * avg_return_standard_error AS avg_return_ci_lower, avg_return + 1.96 * avg_return_standard_error AS avg_return_ci_upper,
+  {over('return_contribution', 'exposure_bars')} AS return_per_exposure_bar, {over('return_contribution', 'capital_exposure_bars')} AS return_per_capital_exposure_bar, {over('return_contribution', 'margin_exposure_bars')} AS return_per_margin_exposure_bar
+  FROM sz LEFT JOIN isl w ON w.f = 'win' AND w.v AND {_eq(keys, 'w')} LEFT JOIN isl l ON l.f = 'loss' AND l.v AND {_eq(keys, 'l')} LEFT JOIN isl u ON u.f = 'under' AND u.v AND {_eq(keys, 'u')})"""
+
+
+EXPECTANCY = f"CASE WHEN avg_return_standard_error > 0 THEN 0.5 * (1 + sign(avg_return) * {erf_sql('z')}) WHEN avg_return > 0 THEN 1 WHEN avg_return < 0 THEN 0 ELSE 0.5 END"
 
 
 def _eq(keys: str, alias: str) -> str:
-    return " AND ".join(f"{alias}.{k} = st.{k}" for k in keys.split(", "))
+    return " AND ".join(f"{alias}.{k} = sz.{k}" for k in keys.split(", "))
 
 
 STATS = [
-    "trade_count", "win_rate", "total_return", "avg_return", "return_std", "downside_deviation", "avg_return_standard_error", "max_drawdown", "gross_profit", "gross_loss", "avg_win", "avg_loss", "best_trade", "worst_trade", "return_p05", "return_p25",
-    "return_p50", "return_p75", "return_p95", "cvar_95", "avg_holding_bars", "exposure_bars", "avg_r_multiple", "median_r_multiple", "best_r_multiple", "worst_r_multiple", "avg_mae_pct", "avg_mfe_r", "max_consecutive_wins", "max_consecutive_losses",
-    "max_drawdown_duration", "profit_factor", "sharpe_per_trade", "sortino_per_trade", "recovery_factor", "system_quality_number", "breakeven_win_rate", "win_rate_ci_lower", "win_rate_ci_upper",
+    "trade_count", "win_rate", "breakeven_win_rate", "win_rate_edge", "win_rate_ci_lower", "win_rate_ci_upper", "total_return", "avg_return", "avg_return_standard_error", "avg_return_ci_lower", "avg_return_ci_upper", "positive_expectancy_probability",
+    "max_drawdown", "profit_factor", "expectancy", "avg_win", "avg_loss", "payoff_ratio", "exposure_bars", "gross_profit", "gross_loss", "return_std", "sharpe_per_trade", "sortino_per_trade", "max_consecutive_wins", "max_consecutive_losses",
+    "avg_holding_bars", "best_trade", "worst_trade", "return_p05", "return_p25", "return_p50", "return_p75", "return_p95", "cvar_95", "max_drawdown_duration", "recovery_factor", "avg_r_multiple", "median_r_multiple", "best_r_multiple",
+    "worst_r_multiple", "r_profit_factor", "system_quality_number", "avg_mae_pct", "avg_mfe_pct", "avg_mae_r", "avg_mfe_r", "return_contribution", "return_per_exposure_bar", "capital_turnover", "avg_capital_fraction", "max_capital_fraction",
+    "margin_turnover", "avg_margin_fraction", "max_margin_fraction", "capital_exposure_bars", "margin_exposure_bars", "avg_capital_exposure_per_trade", "avg_margin_exposure_per_trade", "return_per_capital_exposure_bar",
+    "return_per_margin_exposure_bar", "capital_weighted_raw_return",
 ]
 
 
 def _grouped(name: str, keys: list[str]):
     sql = ", ".join(keys)
-    S[name] = f"{TRADES}, {stats_sql(sql)} SELECT {sql}, {rsql(STATS)} FROM stat"
-    Q[name] = lambda spark, d: rounded(S_.trade_statistics(outcomes(spark, d)[1], keys), keys, STATS)
+    S[name] = f"{TRADES}, {stats_sql(sql)} SELECT {sql}, {rsql(STATS)} FROM (SELECT *, {EXPECTANCY} AS positive_expectancy_probability FROM stat) y"
+    Q[name] = lambda spark, d: rounded(S_.trade_statistics(with_fractions(outcomes(spark, d)[1]), keys), keys, STATS)
 
 
 _grouped("a17_trade_statistics_by_symbol", ["stock_code"])
@@ -224,14 +253,9 @@ _subset("w29_return_streaks", ["max_consecutive_wins", "max_consecutive_losses"]
 _subset("w34_drawdown_duration", ["max_drawdown_duration", "max_drawdown"], "stock_code")
 
 
-_Z = "abs(avg_return / avg_return_standard_error / sqrt(2))"
-_ERF = f"CASE WHEN {_Z} > 6 THEN 1.0 ELSE 2 / sqrt(pi()) * {_Z} * exp(-{_Z} * {_Z}) * list_reduce(range({S_.TERMS}, 0, -1), lambda a, n: 1 + a * 2 * {_Z} * {_Z} / (2 * n + 1), CAST(1 AS DOUBLE)) END"
-
-
-@add("c15_positive_expectancy", f"""{TRADES}, {stats_sql('stock_code')} SELECT stock_code, round(CASE WHEN avg_return_standard_error > 0 THEN 0.5 * (1 + sign(avg_return) * {_ERF}) WHEN avg_return > 0 THEN 1 WHEN avg_return < 0 THEN 0 ELSE 0.5 END, 6) AS positive_expectancy_probability FROM stat""")
+@add("c15_positive_expectancy", f"{TRADES}, {stats_sql('stock_code')} SELECT stock_code, round({EXPECTANCY}, 6) AS positive_expectancy_probability FROM stat")
 def _(spark, d):
-    s = S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"])
-    return s.select("stock_code", F.round(S_.positive_expectancy(F.col("avg_return"), F.col("avg_return_standard_error")), 6).alias("positive_expectancy_probability"))
+    return rounded(S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"]), ["stock_code"], ["positive_expectancy_probability"])
 
 
 @add("a23_exit_reasons", f"""{TRADES} SELECT side, count(*) AS exit_count, count(*) FILTER (exit_reason = 'stop_loss') AS stop_loss_count, count(*) FILTER (exit_reason = 'take_profit') AS take_profit_count,
