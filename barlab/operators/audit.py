@@ -2,48 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.operators.bars import BEIJING, SHANGHAI, SHENZHEN, inconsistent, liquid, normalize_symbol
+from barlab.operators.ranks import BLOCK, checked_broadcast, join_keys, ordinals, previous
+from barlab.operators.tables import written
+
 
+def audit_bars(bars: DataFrame, keys: Sequence[str] = ("stock_code",)) -> DataFrame:
+    """One row for each key: nine counters of faults, the window and the status.
 
-def audit_bars(bars: DataFrame) -> DataFrame:
-    """One row a symbol: rows, duplicates, null, non-positive and inconsistent prices, zero-liquidity bars, window and status."""
+    row_count, start, end and the counters but invalid_date_count are of rows with a date; tradable_count is of those
+    with volume and amount. Any fault but zero volume or amount is a quality_error; else no tradable row is no_window_data."""
     prices = [F.col(c) for c in ("open", "high", "low", "close")]
-    null, flat = F.lit(False), F.lit(False)
-    for p in prices:
-        null, flat = null | p.isNull(), flat | F.coalesce(p <= 0, F.lit(False))
-    a = bars.groupBy("stock_code").agg(
-        F.count("*").alias("row_count"), (F.count("*") - F.countDistinct("date")).alias("duplicate_count"), F.count_if(null).alias("null_price_count"), F.count_if(flat).alias("non_positive_count"),
-        F.count_if(inconsistent()).alias("inconsistent_count"), F.count_if(~liquid()).alias("zero_liquidity_count"), F.min("date").alias("start"), F.max("date").alias("end"),
+    dated = F.col("date").isNotNull()
+    any_of = lambda test, cols: reduce(lambda a, b: a | b, (F.coalesce(test(c), F.lit(False)) for c in cols))
+    traded = [F.col("volume"), F.col("amount")]
+    faults = {
+        "invalid_date_count": ~dated, "invalid_symbol_count": dated & (normalize_symbol(F.col("stock_code")) == ""), "null_price_count": dated & any_of(lambda c: c.isNull(), prices),
+        "non_positive_count": dated & any_of(lambda c: c <= 0, prices), "inconsistent_count": dated & inconsistent(), "null_volume_count": dated & any_of(lambda c: c.isNull(), traded),
+        "zero_volume_count": dated & any_of(lambda c: c == 0, traded), "negative_volume_count": dated & any_of(lambda c: c < 0, traded),
+    }
+    a = bars.groupBy(*keys).agg(
+        F.count("date").alias("row_count"), (F.count("date") - F.countDistinct("date")).alias("duplicate_count"), *(F.count_if(test).alias(n) for n, test in faults.items()),
+        F.count_if(dated & ~liquid()).alias("zero_liquidity_count"), F.count_if(dated & liquid()).alias("tradable_count"), F.min("date").alias("start"), F.max("date").alias("end"),
     )
-    bad = F.col("duplicate_count") + F.col("null_price_count") + F.col("non_positive_count") + F.col("inconsistent_count") > 0
-    return a.withColumn("status", F.when(bad, "quality_error").otherwise("ok"))
+    bad = reduce(lambda a, b: a + b, (F.col(n) for n in (*faults, "duplicate_count") if n != "zero_volume_count")) > 0
+    return a.withColumn("status", F.when(bad, "quality_error").when(F.col("tradable_count") == 0, "no_window_data").otherwise("ok"))
 
 
 def daily_sessions(bars: DataFrame) -> DataFrame:
     return bars.select("stock_code", F.to_date("date").alias("session_date")).distinct()
 
 
-def coverage(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """For each symbol, expected and present points (stock_code, at), and the longest run of missing ones."""
-    present = actual.select("stock_code", "at").distinct().withColumn("here", F.lit(1))
-    j = expected.join(present, ["stock_code", "at"], "left").withColumn("here", F.coalesce("here", F.lit(0)))
-    j = j.withColumn("island", F.expr("sum(here) OVER (PARTITION BY stock_code ORDER BY at)"))
-    gaps = j.where("here = 0").groupBy("stock_code", "island").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    worst = gaps.groupBy("stock_code").agg(F.max("n").alias("max_gap"), F.max_by("first", F.struct(F.col("n"), -F.unix_micros(F.col("first").cast("timestamp")))).alias("max_gap_start"), F.count("*").alias("gap_count"))
-    c = j.groupBy("stock_code").agg(F.count("*").alias("expected_count"), F.sum("here").alias("actual_count"))
-    return c.join(worst, "stock_code", "left").fillna(0, ["max_gap", "gap_count"]).withColumn("coverage_ratio", F.col("actual_count") / F.col("expected_count"))
-
-
-def gap_episodes(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Runs of consecutive missing points with the present points around them."""
-    present = actual.select("stock_code", "at").distinct().withColumn("here", F.col("at"))
-    j = expected.join(present, ["stock_code", "at"], "left")
-    w = "(PARTITION BY stock_code ORDER BY at ROWS BETWEEN {})"
-    j = j.withColumns({"previous_at": F.expr(f"last_value(here) IGNORE NULLS OVER {w.format('UNBOUNDED PRECEDING AND CURRENT ROW')}"), "next_at": F.expr(f"first_value(here) IGNORE NULLS OVER {w.format('CURRENT ROW AND UNBOUNDED FOLLOWING')}"), "island": F.expr("count(here) OVER (PARTITION BY stock_code ORDER BY at)")})
-    return j.where("here IS NULL").groupBy("stock_code", "island").agg(F.min("at").alias("gap_start"), F.max("at").alias("gap_end"), F.count("*").alias("missing_count"), F.first("previous_at").alias("previous_at"), F.first("next_at").alias("next_at")).drop("island")
+def calendar(points: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The expected points (`at`) of each scope, numbered: scope, at, ordinal (from 0), expected_count. Null points are none."""
+    return written(ordinals(written(points.where("at IS NOT NULL").select(*scope, "at").distinct()), scope, ["at"], "ordinal", "expected_count"))
+
+
+def _numbered(actual: DataFrame, days: DataFrame, keys: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """The distinct points of each key that its scope expects, with their ordinals, places and the key's counts."""
+    here = join_keys(actual.where("at IS NOT NULL").select(*keys, "at").distinct(), checked_broadcast(days), [*scope, "at"])
+    return ordinals(written(here.select(*keys, "at", "ordinal", "expected_count")), keys, ["ordinal"], "place", "actual_count")
+
+
+def _missing(numbered: DataFrame, days: DataFrame, keys: Sequence[str], scope: Sequence[str], block: int) -> DataFrame:
+    """Each stretch of missing points: a gap is a jump in ordinals between a point and the one before, or the ends."""
+    most = numbered.agg(F.max("actual_count")).first()[0] or 0
+    p = previous(numbered, keys, ["ordinal", "at"], most, block=block)
+    jump = lambda first, last, before, after: F.struct(first.alias("first"), last.alias("last"), before.alias("previous_at"), after.alias("next_at"))
+    at, none = F.col("at"), F.lit(None).cast(dict(numbered.dtypes)["at"])
+    inner = jump(F.coalesce(F.col("previous_ordinal") + 1, F.lit(0)), F.col("ordinal") - 1, F.col("previous_at"), at)
+    final = F.when(F.col("place") == F.col("actual_count") - 1, jump(F.col("ordinal") + 1, F.col("expected_count") - 1, at, none))
+    gaps = p.select(*keys, F.explode(F.array_compact(F.array(inner, final))).alias("g")).where("g.last >= g.first")
+    gaps = gaps.select(*keys, "g.*", (F.col("g.last") - F.col("g.first") + 1).alias("missing_count"))
+    for ordinal, name in (("first", "gap_start"), ("last", "gap_end")):
+        gaps = join_keys(gaps, checked_broadcast(days.select(*scope, F.col("ordinal").alias(ordinal), F.col("at").alias(name))), [*scope, ordinal])
+    return gaps.drop("first", "last")
+
+
+def gap_episodes(actual: DataFrame, days: DataFrame, keys: Sequence[str] = ("stock_code",), scope: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """keys, gap_start, gap_end, missing_count, previous_at, next_at: runs of consecutive missing points with the present
+    points around them (null at the ends). actual: keys and `at`; days: see `calendar`; scope is among the keys. Keys
+    without any expected point are not among the rows: they have no ends to count from."""
+    return _missing(_numbered(actual, days, keys, scope), days, keys, scope, block).select(*keys, "gap_start", "gap_end", "missing_count", "previous_at", "next_at")
+
+
+def coverage(actual: DataFrame, days: DataFrame, keys: Sequence[str] = ("stock_code",), scope: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """For each key the expected and present points, their ratio, and the gaps: how many, the longest (the first on ties)
+    with its ends, the first and last missing point. Counts follow from the calendar's size, so no key is paired with
+    all points. Points that the calendar lacks don't count."""
+    numbered = written(_numbered(actual, days, keys, scope))
+    counts = numbered.groupBy(*keys).agg(F.max("expected_count").alias("expected_count"), F.count("*").alias("actual_count"))
+    first = F.struct("missing_count", -F.unix_micros(F.col("gap_start").cast("timestamp")))
+    gaps = _missing(numbered, days, keys, scope, block).groupBy(*keys).agg(
+        F.max("missing_count").alias("max_gap"), F.max_by("gap_start", first).alias("max_gap_start"), F.max_by("gap_end", first).alias("max_gap_end"), F.count("*").alias("gap_count"),
+        F.min("gap_start").alias("first_missing"), F.max("gap_end").alias("last_missing"),
+    )
+    return join_keys(counts, gaps, keys, "left").fillna(0, ["max_gap", "gap_count"]).withColumn("coverage_ratio", F.col("actual_count") / F.col("expected_count"))
 
 
 def bucket_end(date: Column, minutes: int) -> Column:
@@ -115,17 +155,13 @@ def refill_plan(audit: DataFrame, min_coverage: float | None = None) -> DataFram
     return audit.withColumns({"action": F.when((F.col("status") != "ok") | low, "fetch").otherwise("cached"), "reason": F.when(F.col("status") != "ok", F.col("status")).when(low, "coverage_below_min").otherwise("")})
 
 
-def audit_totals(audit: DataFrame) -> DataFrame:
-    """Health of all audited symbols in one row, with linear quantiles of coverage."""
-    return audit.agg(F.count("*").alias("symbols"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.sum("row_count").alias("rows"), (F.sum("actual_count") / F.sum("expected_count")).alias("weighted_coverage"), *(F.expr(f"percentile(coverage_ratio, {q})").alias(f"coverage_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)))
-
-
 def limit_filter_audit(symbols: DataFrame, daily: DataFrame, blocked: DataFrame) -> DataFrame:
     """Did the limit-open filter have daily bars for each symbol, and how many days did it take out."""
     rows = daily.groupBy("stock_code").agg(F.count("*").alias("daily_rows"))
     gone = blocked.groupBy("stock_code").agg(F.count("*").alias("filtered_days"))
     out = symbols.select("stock_code").distinct().join(rows, "stock_code", "left").join(gone, "stock_code", "left").fillna(0, ["daily_rows", "filtered_days"])
-    return out.select("stock_code", F.when(F.col("daily_rows") == 0, "daily_missing").otherwise("ok").alias("status"), "daily_rows", "filtered_days")
+    status = F.when(F.col("daily_rows") == 0, "daily_missing").otherwise("ok")
+    return out.select("stock_code", status.alias("status"), F.lit(True).alias("filter_enabled"), "daily_rows", "filtered_days")
 
 
 def readiness(catalog: DataFrame, keys: list[str]) -> DataFrame:

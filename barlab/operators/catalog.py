@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from barlab.operators import audit as A
 from barlab.operators import bars as B
+from barlab.operators.ranks import join_keys, ordinals
 from barlab.operators.stats import ratio
+from barlab.operators.tables import written
 
 TIMEFRAMES = ("1d", "1m", "5m", "15m", "30m", "60m")
 KEYS = ["stock_code", "timeframe"]
@@ -96,15 +98,21 @@ def raise_for_failed_audits(audit: DataFrame, min_coverage: float | None = None,
         raise ValueError("bars did not pass the quality gate: " + "; ".join(f"{r.stock_code}/{r.timeframe}={r.why}" for r in rows))
 
 
+#: Minutes of a bar.
+MINUTES = {"1d": 1440, "1m": 1, "5m": 5, "15m": 15, "30m": 30, "60m": 60}
+
+
 def audit_market(market: DataFrame) -> DataFrame:
-    """audit_bars for each symbol and timeframe, with coverage of the timeframe's own dates (all that any symbol has)."""
-    key = F.concat_ws("|", "stock_code", "timeframe")
-    valid = market.where("date IS NOT NULL").withColumn("stock_code", key)
-    base = A.audit_bars(valid)
-    dates = market.where("date IS NOT NULL").select("timeframe", F.col("date").alias("at")).distinct()
-    grid = valid.select("stock_code", F.substring_index("stock_code", "|", -1).alias("timeframe")).distinct().join(dates, "timeframe").select("stock_code", "at")
-    both = base.join(A.coverage(valid.withColumnRenamed("date", "at"), grid), "stock_code")
-    return both.withColumns({"timeframe": F.substring_index("stock_code", "|", -1), "stock_code": F.substring_index("stock_code", "|", 1)})
+    """audit_bars for each symbol and timeframe, with the coverage of its tradable bars.
+
+    Expected are the timeframe's own dates, all that any symbol has; they are numbered once, so a symbol's missing
+    bars follow from jumps in these numbers. Keys without a tradable bar have no coverage (0 expected)."""
+    bars = market.select(*KEYS, "date", "open", "high", "low", "close", "volume", "amount")
+    days = A.calendar(bars.select("timeframe", F.col("date").alias("at")), ["timeframe"])
+    covered = A.coverage(B.drop_illiquid(bars).withColumnRenamed("date", "at"), days, KEYS, ["timeframe"])
+    minutes = F.element_at(F.create_map(*(F.lit(x) for k, v in MINUTES.items() for x in (k, v))), F.col("timeframe"))
+    out = join_keys(A.audit_bars(bars, KEYS), covered, KEYS, "left").fillna(0, ["expected_count", "actual_count", "coverage_ratio", "max_gap", "gap_count"])
+    return out.withColumn("max_gap_minutes", F.col("max_gap") * minutes)
 
 
 def with_missing(audit: DataFrame, expected: DataFrame) -> DataFrame:
@@ -186,40 +194,66 @@ def _counts(prefix: str, statuses: Sequence[str]) -> list[Column]:
     return [F.count_if(F.col("status") == s).alias(f"{prefix}_{s}_count") for s in statuses]
 
 
-def inventory_signature(rows: DataFrame) -> Column:
-    """Aggregate: SHA-256 of the inventory as JSON in order of its keys, without paths. One line for each symbol and timeframe."""
+#: Inventory rows under one digest of the signature.
+SIGNED_ROWS = 4096
+
+
+def inventory_signature(rows: DataFrame, block: int = SIGNED_ROWS) -> DataFrame:
+    """One row, data_inventory_signature: a digest of the inventory in order of its keys, without paths.
+
+    Rows are JSON lines. Each `block` lines in order have one SHA-256 of them joined by newlines, and so have each
+    `block` digests, until one is left; so no task holds more. It differs from one digest of all lines, except that
+    up to `block` lines are just that. No rows: the digest of an empty text."""
     text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
     line = F.to_json(F.struct(text("end").alias("end"), "rows", text("start").alias("start"), "status", "stock_code", "timeframe"))
-    ordered = F.array_sort(F.collect_list(F.struct("stock_code", "timeframe", line.alias("line"))))
-    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["line"]), ","), F.lit("]")), 256)
+    level = ordinals(written(rows.select(*KEYS, line.alias("line"))), [], [*KEYS, "line"])
+    most = rows.sparkSession.sql("SELECT count(*) AS n FROM {rows}", rows=level).first()["n"]
+    while True:
+        own = F.floor(F.col("place") / block)
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+        level = level.groupBy(own.alias("place")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("line"))
+        most = -(-most // block)
+        if most <= 1:
+            return level.agg(F.coalesce(F.max("line"), F.sha2(F.lit("").cast("binary"), 256)).alias("data_inventory_signature"))
+        level = written(level)
 
 
 def summarize_inventory(rows: DataFrame) -> DataFrame:
+    """The inventory in one row; file_size_bytes counts where there is such a column."""
     hit = F.col("status") == "cached"
+    size = F.coalesce(F.sum("file_size_bytes"), F.lit(0)) if "file_size_bytes" in rows.columns else F.lit(0).cast("long")
     return rows.agg(
         F.count("*").alias("data_inventory_row_count"), F.count_if(hit).alias("data_inventory_cached_count"), F.count_if(~hit).alias("data_inventory_unavailable_count"),
-        *_counts("data_inventory", INVENTORY_STATUSES), F.coalesce(F.sum("rows"), F.lit(0)).alias("data_inventory_total_rows"), inventory_signature(rows).alias("data_inventory_signature"),
-    )
+        *_counts("data_inventory", INVENTORY_STATUSES), F.coalesce(F.sum("rows"), F.lit(0)).alias("data_inventory_total_rows"), size.alias("data_inventory_total_file_size_bytes"),
+    ).crossJoin(inventory_signature(rows))
 
 
 def summarize_limit_audit(rows: DataFrame) -> DataFrame:
     return rows.agg(
-        F.count("*").alias("limit_filter_audit_row_count"), F.count_if(F.col("status") == "ok").alias("limit_filter_ok_count"), F.count_if(F.col("status") != "ok").alias("limit_filter_failed_count"),
-        *_counts("limit_filter", LIMIT_STATUSES), F.coalesce(F.sum("filtered_days"), F.lit(0)).alias("limit_filter_filtered_days"),
+        F.count("*").alias("limit_filter_audit_row_count"), F.count_if(F.col("filter_enabled")).alias("limit_filter_enabled_count"), F.count_if(F.col("status") == "ok").alias("limit_filter_ok_count"),
+        F.count_if(F.col("status") != "ok").alias("limit_filter_failed_count"), *_counts("limit_filter", LIMIT_STATUSES), F.coalesce(F.sum("filtered_days"), F.lit(0)).alias("limit_filter_filtered_days"),
     )
 
 
 def summarize_audit(rows: DataFrame, min_coverage: float | None = None) -> DataFrame:
-    """Health of all audited keys in one row, with linear quantiles of coverage."""
+    """Health of all audited keys in one row of 24 values, with linear quantiles of coverage over the keys that expect bars.
+
+    The bounds of the longest gap are those of its first key in order; '' where nothing is missing. No rows: zeros."""
+    if min_coverage is not None and not 0 < min_coverage <= 1:
+        raise ValueError("the least coverage lies above 0 and not above 1")
     known = F.col("expected_count") > 0
     low = known & (F.col("coverage_ratio") < min_coverage) if min_coverage is not None else F.lit(False)
-    at = F.struct(F.col("max_gap"), -F.unix_micros(F.col("max_gap_start").cast("timestamp")))
-    return rows.agg(
+    first = F.struct(-F.col("max_gap_minutes"), "stock_code", "timeframe")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    text = lambda c: F.coalesce(F.when(F.max("max_gap_minutes") > 0, F.date_format(F.min_by(c, first), "yyyy-MM-dd HH:mm:ss")), F.lit(""))
+    ratios = F.when(known, F.col("coverage_ratio"))
+    return rows.withColumn("_ratio", ratios).agg(
         F.count("*").alias("data_audit_row_count"), F.count_if(F.col("status") == "ok").alias("data_audit_ok_count"), F.count_if(F.col("status") != "ok").alias("data_audit_failed_count"), *_counts("data_audit", AUDIT_STATUSES),
-        F.count_if(low).alias("data_coverage_below_min_count"), ratio(F.count_if(low), F.count_if(known)).alias("data_coverage_below_min_ratio"), F.sum("expected_count").alias("data_expected_rows"),
-        F.sum(F.col("expected_count") - F.col("actual_count")).alias("data_missing_rows"), (F.sum("actual_count") / F.sum("expected_count")).alias("data_weighted_coverage_ratio"), F.min("coverage_ratio").alias("data_min_coverage_ratio"),
-        *(F.expr(f"percentile(coverage_ratio, {q})").alias(f"data_coverage_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)), F.max("max_gap").alias("data_max_gap"), F.max_by("max_gap_start", at).alias("data_max_gap_start_at"),
-        F.sum("zero_liquidity_count").alias("data_zero_volume_amount_rows"), F.sum("non_positive_count").alias("data_non_positive_price_rows"),
+        F.lit(float(min_coverage or 0)).alias("data_min_coverage_threshold"), F.count_if(low).alias("data_coverage_below_min_count"), ratio(F.count_if(low), F.count_if(known)).alias("data_coverage_below_min_ratio"),
+        zero(F.sum("expected_count")).alias("data_expected_rows"), zero(F.sum(F.col("expected_count") - F.col("actual_count"))).alias("data_missing_rows"), ratio(F.sum("actual_count"), F.sum("expected_count")).alias("data_weighted_coverage_ratio"),
+        zero(F.min("_ratio")).alias("data_min_coverage_ratio"), *(zero(F.expr(f"percentile(_ratio, {q})")).alias(f"data_coverage_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)),
+        zero(F.max("max_gap_minutes")).alias("data_max_missing_gap_minutes"), text("max_gap_start").alias("data_max_missing_gap_start_at"), text("max_gap_end").alias("data_max_missing_gap_end_at"),
+        *(zero(F.sum(f"{of}_count")).alias(f"data_{name}_rows") for of, name in (("zero_volume", "zero_volume_amount"), ("non_positive", "non_positive_price"), ("negative_volume", "negative_volume_amount"))),
     )
 
 
@@ -229,9 +263,8 @@ def summarize_management(audit: DataFrame, inventory_rows: DataFrame, limit_rows
     found = F.array(*(F.struct(F.col(f"{i}_count").alias("n"), F.lit(-k).alias("k"), F.lit(i).alias("issue")) for k, i in enumerate(ISSUES)))
     top, total = F.array_max(found), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["n"])
     some = top["n"] > 0
-    return one.withColumns(
-        {"primary_data_issue": F.when(some, top["issue"]).otherwise(""), "primary_data_issue_count": F.when(some, top["n"]).otherwise(0), "primary_data_issue_rate": ratio(top["n"], total)}
-    )
+    issue = {"primary_data_issue": F.when(some, top["issue"]).otherwise(""), "primary_data_issue_count": F.when(some, top["n"]).otherwise(0), "primary_data_issue_rate": ratio(top["n"], total)}
+    return one.withColumns(issue | {"filtered_limit_open_count": F.col("limit_filter_filtered_days")})
 
 
 def update_from_staging(market: DataFrame, staging: DataFrame, timeframe: str, start: str = "", end: str = "") -> DataFrame:

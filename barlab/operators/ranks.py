@@ -74,6 +74,21 @@ def running(df: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str,
     return written(joined.withColumns(total).drop(own_block, *(f"_before_{n}" for n in values)))
 
 
+def previous(df: DataFrame, keys: Sequence[str], columns: Sequence[str], most: int, place: str = "place", block: int = BLOCK) -> DataFrame:
+    """df with previous_<column>, the column's value at the place before (null at the first), for places as in `running`.
+
+    A block's first place has it from the last one of the block before, of which a key has one row a block."""
+    names = {c: f"previous_{c}" for c in columns}
+    if most <= block:
+        return df.withColumns({n: F.lag(c).over(Window.partitionBy(*keys).orderBy(place)) for c, n in names.items()})
+    cut = df.withColumn("_block", F.floor(F.col(place) / block))
+    own = cut.withColumns({n: F.lag(c).over(Window.partitionBy(*keys, "_block").orderBy(place)) for c, n in names.items()})
+    last = cut.where((F.col(place) + 1) % block == 0).select(*keys, (F.col("_block") + 1).alias("_block"), *(F.col(c).alias(f"_last_{c}") for c in columns))
+    first = F.col(place) % block == 0
+    out = join_keys(own, checked_broadcast(written(last)), [*keys, "_block"], "left")
+    return out.withColumns({n: F.when(first, F.col(f"_last_{c}")).otherwise(F.col(n)) for c, n in names.items()}).drop("_block", *(f"_last_{c}" for c in columns))
+
+
 def longest_runs(df: DataFrame, keys: Sequence[str], flags: Mapping[str, Column], most: int, place: str = "place", block: int = BLOCK) -> DataFrame:
     """keys and, for each flag, the most places in a row that have it (a null flag is none). A run is what lies between
     two growths of the running count of places without the flag, so it is counted by a partial aggregate."""

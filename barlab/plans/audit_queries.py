@@ -80,13 +80,6 @@ def dirty(spark, d):
     return x.unionByName(b.where(m == 9))
 
 
-@add("a01_audit", f"""{_DIRTY}, au AS (SELECT stock_code, count(*) AS row_count, count(*) - count(DISTINCT date) AS duplicate_count, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS null_price_count,
-  count(*) FILTER (open > 0 AND high > 0 AND low > 0 AND close > 0 AND (high < greatest(open, close) OR low > least(open, close) OR high < low)) AS inconsistent_count, count(*) FILTER (NOT (coalesce(volume, 0) > 0 AND coalesce(amount, 0) > 0)) AS zero_liquidity_count FROM dirty GROUP BY stock_code)
-SELECT *, CASE WHEN duplicate_count + null_price_count + inconsistent_count > 0 THEN 'quality_error' ELSE 'ok' END AS status FROM au""")
-def _(spark, d):
-    return A.audit_bars(dirty(spark, d)).select("stock_code", "row_count", "duplicate_count", "null_price_count", "inconsistent_count", "zero_liquidity_count", "status")
-
-
 @add("f06_inconsistent_ohlc", f"{_DIRTY} SELECT stock_code, date FROM dirty WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 AND (high < greatest(open, close) OR low > least(open, close) OR high < low)")
 def _(spark, d):
     return dirty(spark, d).where(B.inconsistent()).select("stock_code", "date")
@@ -103,8 +96,8 @@ def _(spark, d):
 
 
 def _grid(spark, d):
-    b = week_bars(spark, d)
-    return b.withColumnRenamed("date", "at"), b.select("stock_code").distinct().crossJoin(b.select(F.col("date").alias("at")).distinct())
+    b = week_bars(spark, d).select("stock_code", F.col("date").alias("at"))
+    return b, A.calendar(b)
 
 
 _GRID = f"""{WEEK}, ex AS (SELECT s.stock_code, t.date AS at_, b.date IS NOT NULL AS here FROM (SELECT DISTINCT stock_code FROM bars) s CROSS JOIN (SELECT DISTINCT date FROM bars) t LEFT JOIN bars b ON b.stock_code = s.stock_code AND b.date = t.date),
@@ -122,13 +115,6 @@ def _(spark, d):
     return A.gap_episodes(*_grid(spark, d))
 
 
-@add("a05_audit_totals", f"""{_GRID}, cv AS (SELECT stock_code, count(*) AS e, count(*) FILTER (here) AS a FROM ex GROUP BY stock_code)
-SELECT count(*) AS symbols, round(sum(a) / sum(e), 6) AS weighted_coverage, round(quantile_cont(a / e, 0.05), 6) AS coverage_p05, round(quantile_cont(a / e, 0.5), 6) AS coverage_p50, round(quantile_cont(a / e, 0.95), 6) AS coverage_p95 FROM cv""")
-def _(spark, d):
-    t = A.audit_totals(A.audit_bars(week_bars(spark, d)).join(A.coverage(*_grid(spark, d)), "stock_code"))
-    return rounded(t, ["symbols"], ["weighted_coverage", "coverage_p05", "coverage_p50", "coverage_p95"])
-
-
 @add("s15_refill_plan", f"{_GRID} SELECT stock_code, CASE WHEN count(*) FILTER (here) / count(*) < 0.95 THEN 'fetch' ELSE 'cached' END AS action FROM ex GROUP BY stock_code")
 def _(spark, d):
     a = A.audit_bars(week_bars(spark, d)).join(A.coverage(*_grid(spark, d)), "stock_code")

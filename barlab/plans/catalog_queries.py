@@ -133,18 +133,78 @@ def _(spark, d):
     return b.groupBy("timeframe", "stock_code").agg(F.count("*").alias("bars"), F.round(F.sum("volume"), 4).alias("volume"))
 
 
-_COV = """gr AS (SELECT s.stock_code, s.timeframe, t.date AS at_, m.date IS NOT NULL AS here FROM (SELECT DISTINCT stock_code, timeframe FROM {mk} WHERE date IS NOT NULL) s JOIN (SELECT DISTINCT timeframe, date FROM {mk} WHERE date IS NOT NULL) t USING (timeframe)
-  LEFT JOIN {mk} m ON m.stock_code = s.stock_code AND m.timeframe = s.timeframe AND m.date = t.date),
-cov AS (SELECT stock_code, timeframe, count(*) AS e, count(*) FILTER (here) AS a FROM gr GROUP BY stock_code, timeframe)"""
-_HEALTH = f"""{_MK}, {_COV.format(mk='mk')}, isl AS (SELECT *, sum(CAST(here AS INT)) OVER (PARTITION BY stock_code, timeframe ORDER BY at_) AS g FROM gr), gp AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM isl WHERE NOT here GROUP BY stock_code, timeframe, g)),
-h1 AS (SELECT count(*) AS data_audit_row_count, count(*) AS data_audit_ok_count, count(*) FILTER (a / e < {LOW}) AS data_coverage_below_min_count, sum(e) AS data_expected_rows, sum(e - a) AS data_missing_rows, round(sum(a) / sum(e), 6) AS data_weighted_coverage_ratio,
-  round(quantile_cont(a / e, 0.05), 6) AS data_coverage_p05, round(quantile_cont(a / e, 0.5), 6) AS data_coverage_p50, round(quantile_cont(a / e, 0.95), 6) AS data_coverage_p95 FROM cov),
-h2 AS (SELECT count(*) AS data_inventory_row_count, count(*) FILTER (status = 'cached') AS data_inventory_cached_count, count(*) FILTER (status = 'missing_file') AS data_inventory_missing_file_count, count(*) FILTER (status = 'no_valid_rows') AS data_inventory_no_valid_rows_count, sum(rows) AS data_inventory_total_rows FROM inv),
-iss AS (SELECT unnest(['data_coverage_below_min', 'data_inventory_missing_file', 'data_inventory_no_valid_rows', 'limit_filter_daily_missing']) AS i, unnest([data_coverage_below_min_count, data_inventory_missing_file_count, data_inventory_no_valid_rows_count, 1]) AS n, unnest([1, 2, 3, 4]) AS k FROM h1, h2),
+def health_sql(mk: str) -> str:
+    """CTEs: au (an audit of the market table mk with coverage of tradable bars), gp (its gaps), h1 (its 24 totals)."""
+    price = lambda test, glue="OR": f" {glue} ".join(test.format(c) for c in ("open", "high", "low", "close"))
+    count = lambda test: f"count(*) FILTER (date IS NOT NULL AND ({test}))"
+    odd = f"{price('{} > 0', 'AND')} AND (high < greatest(open, close) OR low > least(open, close) OR high < low)"
+    return f"""tb AS (SELECT DISTINCT stock_code, timeframe, date FROM {mk} WHERE volume > 0 AND amount > 0 AND date IS NOT NULL),
+gr AS (SELECT s.stock_code, s.timeframe, t.date AS at_, tb.date IS NOT NULL AS here FROM (SELECT DISTINCT stock_code, timeframe FROM tb) s JOIN (SELECT DISTINCT timeframe, date FROM {mk} WHERE date IS NOT NULL) t USING (timeframe)
+  LEFT JOIN tb ON tb.stock_code = s.stock_code AND tb.timeframe = s.timeframe AND tb.date = t.date),
+isl AS (SELECT *, sum(CAST(here AS INT)) OVER (PARTITION BY stock_code, timeframe ORDER BY at_) AS g FROM gr),
+gp AS (SELECT stock_code, timeframe, count(*) AS n, min(at_) AS gap_start, max(at_) AS gap_end FROM isl WHERE NOT here GROUP BY stock_code, timeframe, g),
+cov AS (SELECT stock_code, timeframe, count(*) AS e, count(*) FILTER (here) AS a FROM gr GROUP BY stock_code, timeframe),
+gm AS (SELECT stock_code, timeframe, max(n) AS max_gap, count(*) AS gap_count, min(gap_start) AS first_missing, max(gap_end) AS last_missing FROM gp GROUP BY stock_code, timeframe),
+gx AS (SELECT gp.stock_code, gp.timeframe, min(gap_start) AS max_gap_start, min(gap_end) AS max_gap_end FROM gp JOIN gm USING (stock_code, timeframe) WHERE n = max_gap GROUP BY gp.stock_code, gp.timeframe),
+aa AS (SELECT stock_code, timeframe, count(date) AS row_count, count(date) - count(DISTINCT date) AS duplicate_count, count(*) - count(date) AS invalid_date_count, CAST(0 AS BIGINT) AS invalid_symbol_count, {count(price('{} IS NULL'))} AS null_price_count,
+  {count(price('{} <= 0'))} AS non_positive_count, {count(odd)} AS inconsistent_count, {count('volume IS NULL OR amount IS NULL')} AS null_volume_count, {count('volume = 0 OR amount = 0')} AS zero_volume_count,
+  {count('volume < 0 OR amount < 0')} AS negative_volume_count, {count('NOT (coalesce(volume, 0) > 0 AND coalesce(amount, 0) > 0)')} AS zero_liquidity_count FROM {mk} GROUP BY stock_code, timeframe),
+au AS (SELECT aa.*, coalesce(e, 0) AS expected_count, coalesce(a, 0) AS actual_count, coalesce(a / e, 0) AS coverage_ratio, coalesce(max_gap, 0) AS max_gap, coalesce(gap_count, 0) AS gap_count, first_missing, last_missing, max_gap_start, max_gap_end,
+  coalesce(max_gap, 0) * CASE aa.timeframe WHEN '1d' THEN 1440 ELSE 60 END AS max_gap_minutes,
+  CASE WHEN duplicate_count + invalid_date_count + null_price_count + non_positive_count + inconsistent_count + null_volume_count + negative_volume_count > 0 THEN 'quality_error' WHEN row_count = zero_liquidity_count THEN 'no_window_data' ELSE 'ok' END AS status
+  FROM aa LEFT JOIN cov USING (stock_code, timeframe) LEFT JOIN gm USING (stock_code, timeframe) LEFT JOIN gx USING (stock_code, timeframe)),
+wg AS (SELECT * FROM au ORDER BY max_gap_minutes DESC, stock_code, timeframe LIMIT 1),
+h1 AS (SELECT count(*) AS data_audit_row_count, count(*) FILTER (status = 'ok') AS data_audit_ok_count, count(*) FILTER (status <> 'ok') AS data_audit_failed_count, 0 AS data_audit_missing_file_count, 0 AS data_audit_missing_columns_count,
+  count(*) FILTER (status = 'no_window_data') AS data_audit_no_window_data_count, count(*) FILTER (status = 'quality_error') AS data_audit_quality_error_count, 0 AS data_audit_read_error_count, CAST({LOW} AS DOUBLE) AS data_min_coverage_threshold,
+  count(*) FILTER (expected_count > 0 AND coverage_ratio < {LOW}) AS data_coverage_below_min_count, round(count(*) FILTER (expected_count > 0 AND coverage_ratio < {LOW}) / count(*) FILTER (expected_count > 0), 6) AS data_coverage_below_min_ratio,
+  sum(expected_count) AS data_expected_rows, sum(expected_count - actual_count) AS data_missing_rows, round(sum(actual_count) / sum(expected_count), 6) AS data_weighted_coverage_ratio, round(min(coverage_ratio) FILTER (expected_count > 0), 6) AS data_min_coverage_ratio,
+  {', '.join(f'round(quantile_cont(CASE WHEN expected_count > 0 THEN coverage_ratio END, {q}), 6) AS data_coverage_p{n}' for q, n in ((0.05, '05'), (0.5, '50'), (0.95, '95')))}, max(max_gap_minutes) AS data_max_missing_gap_minutes,
+  (SELECT strftime(max_gap_start, '%Y-%m-%d %H:%M:%S') FROM wg) AS data_max_missing_gap_start_at, (SELECT strftime(max_gap_end, '%Y-%m-%d %H:%M:%S') FROM wg) AS data_max_missing_gap_end_at,
+  sum(zero_volume_count) AS data_zero_volume_amount_rows, sum(non_positive_count) AS data_non_positive_price_rows, sum(negative_volume_count) AS data_negative_volume_amount_rows FROM au)"""
+
+
+_SICK = f"""{_MK}, sick0 AS (SELECT *, {_KEY} % 9 AS k, month(date) AS m FROM mk), sick1 AS (SELECT timeframe, date, stock_code, CASE WHEN k = 4 AND m = 3 THEN -open ELSE open END AS open, CASE WHEN k = 5 AND m = 2 THEN low - 1 ELSE high END AS high, low,
+  CASE WHEN k = 2 AND m = 5 THEN NULL ELSE close END AS close, CASE WHEN m = 7 OR k = 7 THEN 0 WHEN k = 1 AND m = 11 THEN -volume WHEN k = 6 AND m = 4 THEN NULL ELSE volume END AS volume, amount FROM sick0 WHERE timeframe = '60m'
+  UNION ALL SELECT timeframe, date, stock_code, open, high, low, close, volume, amount FROM sick0 WHERE timeframe = '60m' AND k = 3 AND m = 9),
+sick AS (SELECT * FROM sick1 UNION ALL SELECT * FROM mk WHERE timeframe = '1d')"""
+
+
+def sick_market(spark, d):
+    """The market with faults of every kind in its 60m bars."""
+    mk = market(spark, d)
+    w, k, m = mk.where("timeframe = '60m'"), F.substring("stock_code", 1, 6).cast("int") % 9, F.month("date")
+    volume = F.when((m == 7) | (k == 7), 0.0).when((k == 1) & (m == 11), -F.col("volume")).when(~F.coalesce((k == 6) & (m == 4), F.lit(False)), F.col("volume"))
+    odd = w.withColumns({"open": F.when((k == 4) & (m == 3), -F.col("open")).otherwise(F.col("open")), "high": F.when((k == 5) & (m == 2), F.col("low") - 1).otherwise(F.col("high")), "close": F.when(~F.coalesce((k == 2) & (m == 5), F.lit(False)), F.col("close")), "volume": volume})
+    return odd.unionByName(w.where((k == 3) & (m == 9))).unionByName(mk.where("timeframe = '1d'"))
+
+
+_AUDIT = ["row_count", "duplicate_count", "invalid_date_count", "invalid_symbol_count", "null_price_count", "non_positive_count", "inconsistent_count", "null_volume_count", "zero_volume_count", "negative_volume_count", "zero_liquidity_count", "expected_count", "actual_count"]
+_AUDIT += ["max_gap", "max_gap_minutes", "gap_count", "first_missing", "last_missing", "max_gap_start", "max_gap_end", "status"]
+
+
+@add("a01_audit", f"{_SICK}, {health_sql('sick')} SELECT stock_code, timeframe, {', '.join(_AUDIT)}, round(coverage_ratio, 6) AS coverage_ratio FROM au")
+def _(spark, d):
+    return rounded(K.audit_market(sick_market(spark, d)), ["stock_code", "timeframe", *_AUDIT], ["coverage_ratio"])
+
+
+_HEALTH = f"""{_MK}, {health_sql('mk')}, bars AS (SELECT * FROM dayb), {LIMIT},
+h2 AS (SELECT count(*) AS data_inventory_row_count, count(*) FILTER (status = 'cached') AS data_inventory_cached_count, count(*) FILTER (status <> 'cached') AS data_inventory_unavailable_count, count(*) FILTER (status = 'missing_file') AS data_inventory_missing_file_count, 0 AS data_inventory_read_error_count,
+  0 AS data_inventory_missing_columns_count, count(*) FILTER (status = 'no_valid_rows') AS data_inventory_no_valid_rows_count, sum(rows) AS data_inventory_total_rows, 0 AS data_inventory_total_file_size_bytes FROM inv),
+h3 AS (SELECT count(*) AS limit_filter_audit_row_count, count(*) AS limit_filter_enabled_count, count(*) - 1 AS limit_filter_ok_count, 1 AS limit_filter_failed_count, 1 AS limit_filter_daily_missing_count, 0 AS limit_filter_daily_read_error_count, 0 AS limit_filter_daily_missing_columns_count,
+  0 AS limit_filter_daily_quality_error_count, (SELECT count(*) FROM blocked) AS limit_filter_filtered_days, (SELECT count(*) FROM blocked) AS filtered_limit_open_count FROM sym),
+iss AS (SELECT unnest(['data_coverage_below_min', 'data_audit_no_window_data', 'data_audit_quality_error', 'data_inventory_missing_file', 'data_inventory_no_valid_rows', 'limit_filter_daily_missing']) AS i,
+  unnest([data_coverage_below_min_count, data_audit_no_window_data_count, data_audit_quality_error_count, data_inventory_missing_file_count, data_inventory_no_valid_rows_count, 1]) AS n, unnest([1, 2, 3, 4, 5, 6]) AS k FROM h1, h2),
 top AS (SELECT i AS primary_data_issue, n AS primary_data_issue_count, round(n / (SELECT sum(n) FROM iss), 6) AS primary_data_issue_rate FROM iss ORDER BY n DESC, k LIMIT 1)"""
-_H1 = ["data_audit_row_count", "data_audit_ok_count", "data_coverage_below_min_count", "data_expected_rows", "data_missing_rows"]
-_H1R = ["data_weighted_coverage_ratio", "data_coverage_p05", "data_coverage_p50", "data_coverage_p95"]
-_H2 = ["data_inventory_row_count", "data_inventory_cached_count", "data_inventory_missing_file_count", "data_inventory_no_valid_rows_count", "data_inventory_total_rows"]
+_H1 = ["data_audit_row_count", "data_audit_ok_count", "data_audit_failed_count", *(f"data_audit_{s}_count" for s in K.AUDIT_STATUSES), "data_coverage_below_min_count", "data_expected_rows", "data_missing_rows", "data_max_missing_gap_minutes"]
+_H1 += ["data_max_missing_gap_start_at", "data_max_missing_gap_end_at", "data_zero_volume_amount_rows", "data_non_positive_price_rows", "data_negative_volume_amount_rows"]
+_H1R = ["data_min_coverage_threshold", "data_coverage_below_min_ratio", "data_weighted_coverage_ratio", "data_min_coverage_ratio", "data_coverage_p05", "data_coverage_p50", "data_coverage_p95"]
+_H2 = [f"data_inventory_{n}" for n in ("row_count", "cached_count", "unavailable_count", "missing_file_count", "read_error_count", "missing_columns_count", "no_valid_rows_count", "total_rows", "total_file_size_bytes")]
+_H3 = ["limit_filter_audit_row_count", "limit_filter_enabled_count", "limit_filter_ok_count", "limit_filter_failed_count", *(f"limit_filter_{s}_count" for s in K.LIMIT_STATUSES), "limit_filter_filtered_days", "filtered_limit_open_count"]
+
+
+@add("a05_audit_totals", f"{_SICK}, {health_sql('sick')} SELECT {', '.join(_H1 + _H1R)} FROM h1")
+def _(spark, d):
+    return rounded(K.summarize_audit(K.audit_market(sick_market(spark, d)), LOW), _H1, _H1R)
 
 
 def limit_rows(spark, d):
@@ -152,10 +212,10 @@ def limit_rows(spark, d):
     return A.limit_filter_audit(symbols(spark, d), daily, K.B.limit_open_dates(daily))
 
 
-@add("a06_data_management", f"{_HEALTH} SELECT {', '.join(_H1 + _H1R + _H2)}, gp.n AS data_max_gap, 1 AS limit_filter_daily_missing_count, primary_data_issue, primary_data_issue_count, primary_data_issue_rate FROM h1, h2, gp, top")
+@add("a06_data_management", f"{_HEALTH} SELECT {', '.join(_H1 + _H1R + _H2 + _H3)}, primary_data_issue, primary_data_issue_count, primary_data_issue_rate FROM h1, h2, h3, top")
 def _(spark, d):
     h = K.summarize_management(K.audit_market(market(spark, d)), inventory(spark, d), limit_rows(spark, d), LOW)
-    return rounded(h, [*_H1, *_H2, "data_max_gap", "primary_data_issue", "primary_data_issue_count", "limit_filter_daily_missing_count"], [*_H1R, "primary_data_issue_rate"])
+    return rounded(h, [*_H1, *_H2, *_H3, "primary_data_issue", "primary_data_issue_count"], [*_H1R, "primary_data_issue_rate"])
 
 
 @add("s13_experiment_data", f"{_HEALTH} SELECT {', '.join(_H1[:2] + _H2[:2])} FROM h1, h2")
@@ -163,7 +223,7 @@ def _(spark, d):
     return K.load_experiment(market(spark, d), "60m", "1d", symbols(spark, d), min_coverage=LOW)[1].select(*_H1[:2], *_H2[:2])
 
 
-@add("f07_quality_gate", f"{_MK}, {_COV.format(mk='mk')} SELECT stock_code, timeframe, 'coverage_below_min' AS why FROM cov WHERE a / e < {LOW}")
+@add("f07_quality_gate", f"{_MK}, {health_sql('mk')} SELECT stock_code, timeframe, CASE WHEN status <> 'ok' THEN status ELSE 'coverage_below_min' END AS why FROM au WHERE status <> 'ok' OR coverage_ratio < {LOW}")
 def _(spark, d):
     return K.failed_audits(K.audit_market(market(spark, d)), LOW)
 
@@ -176,10 +236,13 @@ def _(spark, d):
 _ISO = "coalesce(strftime({}, '%Y-%m-%dT%H:%M:%S'), '')"
 
 
-@add("c18_inventory_signature", f"""{_MK} SELECT sha256('[' || string_agg('{{"end":"' || {_ISO.format('"end"')} || '","rows":' || rows || ',"start":"' || {_ISO.format('start')} || '","status":"' || status || '","stock_code":"' || stock_code || '","timeframe":"' || timeframe || '"}}', ',' ORDER BY stock_code, timeframe) || ']') AS signature FROM inv""")
+_LINE = f"""'{{"end":"' || {_ISO.format('"end"')} || '","rows":' || rows || ',"start":"' || {_ISO.format('start')} || '","status":"' || status || '","stock_code":"' || stock_code || '","timeframe":"' || timeframe || '"}}'"""
+_SIGNED = ", ".join(f"g{k + 1} AS (SELECT i // 64 AS i, sha256(string_agg(line, chr(10) ORDER BY i)) AS line FROM g{k} GROUP BY i // 64)" for k in range(4))
+
+
+@add("c18_inventory_signature", f"{_MK}, g0 AS (SELECT row_number() OVER (ORDER BY stock_code, timeframe) - 1 AS i, {_LINE} AS line FROM inv), {_SIGNED} SELECT CASE {' '.join(f'WHEN (SELECT count(*) FROM g{k}) = 1 THEN (SELECT max(line) FROM g{k})' for k in range(1, 5))} END AS signature")
 def _(spark, d):
-    i = inventory(spark, d)
-    return i.agg(K.inventory_signature(i).alias("signature"))
+    return K.inventory_signature(inventory(spark, d), block=64).withColumnRenamed("data_inventory_signature", "signature")
 
 
 @add("a08_limit_audit_summary", f"{_MK}, bars AS (SELECT * FROM dayb), {LIMIT} SELECT count(*) AS limit_filter_audit_row_count, count(*) - 1 AS limit_filter_ok_count, 1 AS limit_filter_failed_count, 1 AS limit_filter_daily_missing_count, (SELECT count(*) FROM blocked) AS limit_filter_filtered_days FROM sym")
@@ -201,9 +264,9 @@ def _(spark, d):
     return catalog(spark, d).select("stock_code", "timeframe", L.label(F.col("asset_type"), L.ASSET_TYPES).alias("label"))
 
 
-_LOCAL = f"""{_MK}, va AS (SELECT * FROM mk WHERE date IS NOT NULL), lc AS (SELECT * FROM va WHERE {_KEY} % 3 <> 0 AND NOT ({_KEY} % 3 = 1 AND month(date) IN (2, 3))), {_COV.format(mk='lc')},
-pl AS (SELECT ex.stock_code, ex.timeframe, CASE WHEN cov.e IS NULL OR a / e < {LOW} THEN 'fetch' ELSE 'cached' END AS action, coalesce((SELECT count(*) FROM lc WHERE lc.stock_code = ex.stock_code AND lc.timeframe = ex.timeframe), 0) AS before_rows,
-  coalesce((SELECT count(*) FROM va WHERE va.stock_code = ex.stock_code AND va.timeframe = ex.timeframe), 0) AS staged FROM ex LEFT JOIN cov ON cov.stock_code = ex.stock_code AND cov.timeframe = ex.timeframe)"""
+_LOCAL = f"""{_MK}, va AS (SELECT * FROM mk WHERE date IS NOT NULL), lc AS (SELECT * FROM va WHERE {_KEY} % 3 <> 0 AND NOT ({_KEY} % 3 = 1 AND month(date) IN (2, 3))), {health_sql('lc')},
+pl AS (SELECT ex.stock_code, ex.timeframe, CASE WHEN au.status IS NULL OR au.status <> 'ok' OR coverage_ratio < {LOW} THEN 'fetch' ELSE 'cached' END AS action, coalesce((SELECT count(*) FROM lc WHERE lc.stock_code = ex.stock_code AND lc.timeframe = ex.timeframe), 0) AS before_rows,
+  coalesce((SELECT count(*) FROM va WHERE va.stock_code = ex.stock_code AND va.timeframe = ex.timeframe), 0) AS staged FROM ex LEFT JOIN au ON au.stock_code = ex.stock_code AND au.timeframe = ex.timeframe)"""
 
 
 def local(spark, d):
@@ -235,7 +298,7 @@ def _(spark, d):
     return K.update_from_staging(own, staged, "60m", "1992-01-01", "1998-12-31").groupBy("timeframe", "stock_code").agg(F.count("*").alias("bars"))
 
 
-@add("a45_coverage_frame", f"{_MK}, {_COV.format(mk='mk')} SELECT coalesce(nullif(stock_name, ''), cov.stock_code) || ' · ' || timeframe AS sample, round(a / e, 6) AS coverage, 'ok' AS status, e - a AS missing FROM cov LEFT JOIN nms USING (stock_code)")
+@add("a45_coverage_frame", f"{_MK}, {health_sql('mk')} SELECT coalesce(nullif(stock_name, ''), au.stock_code) || ' · ' || timeframe AS sample, round(coverage_ratio, 6) AS coverage, status, expected_count - actual_count AS missing FROM au LEFT JOIN nms USING (stock_code)")
 def _(spark, d):
     from barlab.operators.reports import coverage_frame
 

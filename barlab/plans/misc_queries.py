@@ -60,7 +60,7 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.round(C.ratio_or_zero(F.lit(100.0), F.col("c_acctbal")), 9).alias("guarded"))
 
 
-@add("a03_limit_filter_audit", f"{DAY}, {LIMIT} SELECT s.stock_code, CASE WHEN count(b.date) = 0 THEN 'daily_missing' ELSE 'ok' END AS status, count(b.date) AS daily_rows, CASE WHEN count(b.date) = 0 THEN 0 ELSE (SELECT count(*) FROM blocked k WHERE k.stock_code = s.stock_code) END AS filtered_days FROM (SELECT DISTINCT stock_code FROM bars UNION SELECT '999999.SH') s LEFT JOIN bars b ON b.stock_code = s.stock_code GROUP BY s.stock_code")
+@add("a03_limit_filter_audit", f"{DAY}, {LIMIT} SELECT s.stock_code, CASE WHEN count(b.date) = 0 THEN 'daily_missing' ELSE 'ok' END AS status, true AS filter_enabled, count(b.date) AS daily_rows, CASE WHEN count(b.date) = 0 THEN 0 ELSE (SELECT count(*) FROM blocked k WHERE k.stock_code = s.stock_code) END AS filtered_days FROM (SELECT DISTINCT stock_code FROM bars UNION SELECT '999999.SH') s LEFT JOIN bars b ON b.stock_code = s.stock_code GROUP BY s.stock_code")
 def _(spark, d):
     day = day_bars(spark, d)
     asked = day.select("stock_code").union(spark.createDataFrame([("999999.SH",)], ["stock_code"]))
