@@ -106,8 +106,13 @@ def simulate(bars: DataFrame, matched: DataFrame, c: Execution = Execution()) ->
         F.min_by(F.when(col("_x").isNotNull(), end(col("_x.reason"), col("_x.price"))), F.when(col("_x").isNotNull(), col("bar_index"))).alias("touch"),
         F.max_by(held, F.when(col("_liq"), col("bar_index"))).alias("last_liquid"), F.max_by(held, "bar_index").alias("last"),
     )
-    t = filled.join(ends.select("order_id", F.coalesce("touch", "last_liquid", "last").alias("e")), "order_id")
-    entry = col("actual_entry_price")
+    return settled(filled.join(ends.select("order_id", F.coalesce("touch", "last_liquid", "last").alias("e")), "order_id"), c)
+
+
+def settled(t: DataFrame, c: Execution) -> DataFrame:
+    """Trades from filled orders with `e`, the exit (reason, price, i, date, and the extremes hi and lo up to it)."""
+    col, d = F.col, F.col("_d")
+    entry, stop = col("actual_entry_price"), col("stop_price")
     t = t.withColumns({"exit_price": slipped(col("e.price"), -d, c), "exit_reason": col("e.reason"), "exit_date": col("e.date"), "holding_bars": col("e.i") - col("entry_index"), "risk_per_share": F.abs(entry - stop)})
     t = t.withColumn("return_pct", (d * (col("exit_price") / entry - 1) - 2 * c.fee_rate) * 100)
     good, bad = F.when(d > 0, col("e.hi")).otherwise(col("e.lo")), F.when(d > 0, col("e.lo")).otherwise(col("e.hi"))

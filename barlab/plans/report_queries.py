@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from barlab.functions import labels as L
 from barlab.operators import bars as B
+from barlab.operators import detectors as D
 from barlab.operators import execution as E
 from barlab.operators import orders as O
+from barlab.operators import passages as X
 from barlab.operators import portfolio as P
 from barlab.operators import reports as R
 from barlab.operators import stats as S_
@@ -192,17 +194,22 @@ def _(spark, d):
     return p.select("stock_code", F.col("priority").cast("long").alias("priority"), "check", "evidence")
 
 
-_GRID = {"risk_reward": [1.5, 3.0], "max_holding_bars": [4, 12]}
-_CASES = f"""{ORDERS.replace(', ord AS (', ', ord_ AS (')}, cases AS (SELECT 'rr' || rr || '-hold' || hold AS case_name, rr, hold FROM (SELECT unnest([1.5, 3.0]) AS rr), (SELECT unnest([4, 12]) AS hold)),
-ord AS (SELECT case_name || '/' || o.order_id AS order_id, o.* EXCLUDE (order_id, target_price), case_name, rr, hold, entry_price + CASE side WHEN 'long' THEN 1 ELSE -1 END * abs(entry_price - stop_price) * rr AS target_price FROM ord_ o CROSS JOIN cases), {_match()}, {_sim().replace('m.entry_index + 12', 'm.entry_index + m.hold')}"""
+_GRID = {"risk_reward": [1.5, 3.0], "max_holding_bars": [4, 12], "strong_close_pos": [0.65, 0.8]}
+_NEAR = f"{ORDERS.replace('confidence, volume, amount FROM ev1', 'confidence, volume, amount, close_pos FROM ev1').replace(', ord AS (', ', ord_ AS (')}"
+_CASES = f"""{_NEAR}, cases AS (SELECT 'rr' || rr || '-hold' || hold || '-close' || strong AS case_name, rr, hold, strong, weak FROM (SELECT unnest([1.5, 3.0]) AS rr), (SELECT unnest([4, 12]) AS hold), (SELECT unnest([65e-2, 8e-1]) AS strong, unnest([35e-2, CAST('{1 - 0.8!r}' AS DOUBLE)]) AS weak)),
+ord AS (SELECT case_name || '/' || o.order_id AS order_id, o.* EXCLUDE (order_id, target_price), case_name, rr, hold, strong, entry_price + CASE side WHEN 'long' THEN 1 ELSE -1 END * abs(entry_price - stop_price) * rr AS target_price
+  FROM ord_ o JOIN cases ON CASE side WHEN 'long' THEN close_pos >= strong ELSE close_pos <= weak END), {_match()}, {_sim().replace('m.entry_index + 12', 'm.entry_index + m.hold')}"""
+
+
+def sweep_cases(spark):
+    name = F.concat(F.lit("rr"), F.col("risk_reward").cast("string"), F.lit("-hold"), F.col("max_holding_bars").cast("string"), F.lit("-close"), F.col("strong_close_pos").cast("string"))
+    return W.sweep_cases(spark, _GRID).drop("case_id").select(name.alias("case_name"), "risk_reward", F.col("max_holding_bars").cast("int").alias("max_holding_bars"), "strong_close_pos")
 
 
 def sweep_trades(spark, d):
-    bars, orders = trend_orders(spark, d)
-    c = W.sweep_cases(spark, _GRID).drop("case_id")
-    c = c.select(F.concat(F.lit("rr"), F.col("risk_reward").cast("string"), F.lit("-hold"), F.col("max_holding_bars").cast("string")).alias("case_name"), "risk_reward", F.col("max_holding_bars").cast("int").alias("max_holding_bars"))
-    matched = E.match_entries(bars, R.with_cases(orders, c))
-    return matched, E.simulate(bars, matched), c
+    bars, cases = T.written(week_bars(spark, d)), sweep_cases(spark)
+    orders_of = lambda strong_close_pos: O.generate_orders(O.judge_signals(D.detect_trend(bars, c=D.Trend(strong_close_pos=strong_close_pos)), bars))
+    return X.sweep_trades(bars, X.sweep_orders(cases, ["strong_close_pos"], orders_of), cases, ["strong_close_pos"]), cases
 
 
 _SW = ["trade_count", "win_rate", "total_return", "avg_return", "max_drawdown", "profit_factor", "avg_r_multiple"]
@@ -210,19 +217,19 @@ _SW = ["trade_count", "win_rate", "total_return", "avg_return", "max_drawdown",
 
 @add("p12_parameter_sweep", f"{_CASES}, {stats_sql('case_name')} SELECT case_name, {rsql(_SW)}, row_number() OVER (ORDER BY total_return DESC, case_name) AS sweep_rank FROM stat")
 def _(spark, d):
-    s = S_.trade_statistics(sweep_trades(spark, d)[1], ["case_name"])
+    s = S_.trade_statistics(sweep_trades(spark, d)[0], ["case_name"])
     return rounded(s.withColumn("sweep_rank", F.expr("row_number() OVER (ORDER BY total_return DESC, case_name)").cast("long")), ["case_name", "sweep_rank"], _SW)
 
 
 @add("a37_case_setup_statistics", f"{_CASES}, {stats_sql('case_name, detector_name, event_type, side')} SELECT case_name, detector_name, event_type, side, {rsql(_SW)} FROM stat")
 def _(spark, d):
     keys = ["case_name", "detector_name", "event_type", "side"]
-    return rounded(S_.trade_statistics(sweep_trades(spark, d)[1], keys), keys, _SW)
+    return rounded(S_.trade_statistics(sweep_trades(spark, d)[0], keys), keys, _SW)
 
 
 @add("u02_case_frames", f"{_CASES}, {stats_sql('case_name, side')} SELECT case_name, 'side' AS dimension, side AS value, round(trade_count, 6) AS trade_count FROM stat UNION ALL SELECT case_name, 'exit_reason', exit_reason, CAST(count(*) AS DOUBLE) FROM trades GROUP BY case_name, exit_reason")
 def _(spark, d):
-    t = sweep_trades(spark, d)[1]
+    t = sweep_trades(spark, d)[0]
     frames = [S_.trade_statistics(t, ["case_name", c]).select("case_name", F.lit(c).alias("dimension"), F.col(c).alias("value"), "trade_count") for c in ("side", "exit_reason")]
     return R.union_frames(frames, ["case_name", "dimension", "value", "trade_count"])
 
@@ -231,10 +238,10 @@ _PAR = ["win_rate", "avg_return", "max_drawdown", "profit_factor", "avg_r_multip
 
 
 @add("a38_parameter_summary", f"""{_CASES}, {stats_sql('case_name')}, obj AS (SELECT *, EXISTS (SELECT 1 FROM stat b WHERE b.total_return >= a.total_return AND b.max_drawdown >= a.max_drawdown AND b.trade_count >= a.trade_count AND (b.total_return > a.total_return OR b.max_drawdown > a.max_drawdown OR b.trade_count > a.trade_count)) AS beaten FROM stat a),
-lg AS (SELECT obj.*, unnest(['risk_reward', 'max_holding_bars']) AS parameter, unnest([CAST(CAST(rr AS DOUBLE) AS VARCHAR), CAST(hold AS VARCHAR)]) AS value FROM obj JOIN cases USING (case_name))
+lg AS (SELECT obj.*, unnest(['risk_reward', 'max_holding_bars', 'strong_close_pos']) AS parameter, unnest([CAST(CAST(rr AS DOUBLE) AS VARCHAR), CAST(hold AS VARCHAR), CAST(strong AS VARCHAR)]) AS value FROM obj JOIN cases USING (case_name))
 SELECT parameter, value, count(*) AS cases, round(avg(CAST(NOT beaten AS INT)), 6) AS pareto_hit_rate, {', '.join(f'round(avg({m}), 6) AS avg_{m}, round(quantile_cont({m}, 0.5), 6) AS median_{m}, round(stddev_pop({m}), 6) AS std_{m}' for m in _PAR)}, max_by(case_name, (win_rate, case_name)) AS best_case FROM lg GROUP BY parameter, value""")
 def _(spark, d):
-    _, t, cases = sweep_trades(spark, d)
+    t, cases = sweep_trades(spark, d)
     s = T.written(S_.trade_statistics(t, ["case_name"]).join(cases, "case_name"))
     p = W.parameter_summary(W.pareto_ranks(s.select("case_name", *cases.columns[1:], *_SW)).withColumn("is_pareto_efficient", F.col("pareto_rank") == 1), list(_GRID), _PAR)
     return rounded(p, ["parameter", "value", "cases", "best_case"], ["pareto_hit_rate", *(f"{f}_{m}" for m in _PAR for f in ("avg", "median", "std"))])
@@ -266,7 +273,7 @@ def _(spark, d):
 @add("s21_saved_sweep", f"""{_CASES} SELECT case_name, count(*) AS trades FROM trades GROUP BY case_name""")
 def _(spark, d):
     folder = f"{T.shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
-    T.save_tables({"trades": sweep_trades(spark, d)[1].drop("metadata")}, folder, partition_by="case_name")
+    T.save_tables({"trades": sweep_trades(spark, d)[0].drop("metadata")}, folder, partition_by="case_name")
     return spark.read.parquet(f"{folder}/trades").groupBy("case_name").agg(F.count("*").alias("trades"))
 
 
