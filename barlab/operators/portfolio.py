@@ -63,25 +63,61 @@ def decision_summary(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumns({"acceptance_rate": F.col("accepted_order_count") / F.col("order_count"), "rejection_rate": F.col("rejected_order_count") / F.col("order_count")})
 
 
-# Check, statistic, (fail below, attention below) or (fail above, attention above).
-CHECKS = (
-    ("trade_sample", "trade_count", "low", 1, 30), ("drawdown_pressure", "max_drawdown", "low", -0.35, -0.20), ("profit_quality", "profit_factor", "low", 1.0, 1.2), ("win_rate_edge", "win_rate_edge", "low", 0.0, 0.03),
-    ("path_risk", "avg_mae_r", "low", -1.2, -0.8), ("monthly_stability", "monthly_worst_return", "low", -0.2, -0.1), ("capital_exposure", "max_margin_exposure", "high", 1.5, 1.0),
-)
+#: Check, statistic, its value where unknown (None: pass), fail and attention by comparison, and a count
+#: without which the check has the given status.
+RULES = (
+    ("data_coverage", "data_weighted_coverage_ratio", None, ("<", 0.95), ("<", 0.98), None),
+    ("trade_sample", "trade_count", 0.0, ("<=", 0.0), ("<", 30.0), None),
+    ("order_acceptance", "acceptance_rate", 0.0, None, ("<", 0.2), ("order_count", "fail")),
+    ("strategy_filter", "strategy_filter_rejection_rate", 0.0, None, (">=", 0.6), None),
+    ("drawdown_pressure", "max_drawdown", 0.0, ("<=", -0.35), ("<=", -0.2), None),
+    ("profit_quality", "profit_factor", 0.0, ("<", 1.0), ("<", 1.2), ("trade_count", "pass")),
+    ("win_rate_edge", "win_rate_edge", None, ("<", 0.0), ("<", 0.03), ("trade_count", "fail")),
+    ("positive_expectancy", "positive_expectancy_probability", None, ("<", 0.5), ("<", 0.75), ("trade_count", "fail")),
+    ("exit_structure", "exit_concentration", 0.0, None, (">=", 0.5), ("trade_count", "fail")),
+    ("monthly_stability", "monthly_worst_return", 0.0, ("<=", -0.2), ("<=", -0.1), None),
+    ("path_risk", "avg_mae_r", 0.0, ("<=", -1.2), ("<=", -0.8), None),
+    ("capital_exposure", "max_margin_exposure", 0.0, (">=", 1.5), (">", 1.0), None),
+)
+CHECKS = tuple(r[0] for r in RULES)
+_ALARMS = ("data_coverage_below_min_count", "data_audit_failed_count")
+
+
+def exit_concentration(reason: Column, rate: Column) -> Column:
+    """The share of the main exit reason where that is the stop or the holding limit; 1 where trades end with the data."""
+    return F.when(reason.isin("stop_loss", "max_holding"), rate).when((reason == "end_of_data") & (rate > 0), 1.0).otherwise(0.0)
 
 
 def diagnostics(stats: DataFrame, key: str) -> DataFrame:
-    """key, check, metric, value and status (pass, attention, fail) for each check whose statistic is there."""
-
-    def row(check: str, metric: str, side: str, fail: float, warn: float) -> Column:
-        v = F.col(metric).cast("double")
-        bad, poor = (v < fail, v < warn) if side == "low" else (v >= fail, v > warn)
-        if metric in ("max_drawdown", "avg_mae_r", "monthly_worst_return"):
-            bad, poor = v <= fail, v <= warn
-        return F.struct(F.lit(check).alias("check"), F.lit(metric).alias("metric"), v.alias("value"), F.when(bad, "fail").when(poor, "attention").otherwise("pass").alias("status"))
-
-    rows = [row(*c) for c in CHECKS if c[1] in stats.columns]
-    return stats.select(key, F.explode(F.array(*rows)).alias("found")).select(key, *(F.col("found")[n].alias(n) for n in ("check", "metric", "value", "status")))
+    """key, check, metric, value and status (pass, attention, fail) of all RULES for each row of stats.
+
+    The rules are a table: each row's statistics become (metric, value), and each rule looks its own up and compares.
+    Statistics that stats lacks are unknown. exit_concentration follows from primary_exit_reason and its rate where
+    these are there. Coverage fails below data_min_coverage_threshold (0.95 if unknown) or where an audit failed."""
+    if {"primary_exit_reason", "primary_exit_reason_rate"} <= set(stats.columns):
+        stats = stats.withColumn("exit_concentration", exit_concentration(F.col("primary_exit_reason"), F.col("primary_exit_reason_rate")))
+    used = {*(r[1] for r in RULES), *(r[5][0] for r in RULES if r[5]), *_ALARMS, "data_min_coverage_threshold"} & set(stats.columns)
+    none = F.lit(None).cast("double")
+    known = F.create_map(*(x for m in sorted(used) for x in (F.lit(m), F.col(m).cast("double")))) if used else F.create_map(F.lit(""), none)
+    bound = lambda t: (F.lit(t[0] if t else None).cast("string"), F.lit(t[1] if t else None).cast("double"))
+    rules = []
+    for check, metric, default, fail, warn, needs in RULES:
+        (fo, fv), (wo, wv) = bound(fail), bound(warn)
+        gate, otherwise = needs or (None, None)
+        fields = {"check": F.lit(check), "metric": F.lit(metric), "default": F.lit(default).cast("double"), "fail_is": fo, "fail_at": fv, "warn_is": wo, "warn_at": wv, "needs": F.lit(gate).cast("string"), "otherwise": F.lit(otherwise).cast("string")}
+        rules.append(F.struct(*(c.alias(n) for n, c in fields.items())))
+    rows = stats.select(key, known.alias("known"), F.explode(F.array(*rules)).alias("r"))
+    at = lambda name: F.try_element_at(F.col("known"), name)
+    rows = rows.withColumns({"value": F.coalesce(at(F.col("r.metric")), F.col("r.default")), "need": F.coalesce(at(F.col("r.needs")), F.lit(0.0)), "alarm": sum((F.coalesce(at(F.lit(a)), F.lit(0.0)) for a in _ALARMS), F.lit(0.0))})
+    coverage = F.col("r.check") == "data_coverage"
+    fail_at = F.when(coverage, F.coalesce(F.nullif(at(F.lit("data_min_coverage_threshold")), F.lit(0.0)), F.col("r.fail_at"))).otherwise(F.col("r.fail_at"))
+    v = F.col("value")
+    beyond = lambda op, t: F.coalesce(F.when(op == "<", v < t).when(op == "<=", v <= t).when(op == ">", v > t).when(op == ">=", v >= t), F.lit(False))
+    status = (
+        F.when(coverage & v.isNotNull() & (F.col("alarm") > 0), "fail").when(v.isNull(), "pass").when(F.col("r.needs").isNotNull() & (F.col("need") <= 0), F.col("r.otherwise"))
+        .when(beyond(F.col("r.fail_is"), fail_at), "fail").when(beyond(F.col("r.warn_is"), F.col("r.warn_at")), "attention").otherwise("pass")
+    )
+    return rows.select(key, "r.check", "r.metric", "value", status.alias("status"))
 
 
 def diagnostic_summary(report: DataFrame, key: str) -> DataFrame:

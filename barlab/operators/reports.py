@@ -112,22 +112,22 @@ def coverage_frame(audit: DataFrame, names: DataFrame) -> DataFrame:
     return out.orderBy("coverage", "sample")
 
 
-# What to do about a check, and the tables to read for it.
+#: What to look into where a check doesn't pass, and the tables of a run to read for it.
 ACTIONS = {
-    "data_coverage": ("先补齐或剔除低覆盖数据，再重新运行回测。", "data_coverage; data_gap_episodes"),
-    "trade_sample": ("先确认策略空间和信号生成是否合理，样本不足时扩大标的或时间窗。", "strategy_space; order_decisions"),
-    "order_acceptance": ("先看拒单和未成交原因，区分信号问题、风险参数问题和撮合问题。", "order_decisions; order_decision_stats"),
-    "strategy_filter": ("先复核过滤器命中原因，确认过滤参数是否过严。", "strategy_filter_decisions; strategy_filter_stats"),
-    "drawdown_pressure": ("先定位最大回撤区间，再复核该区间的持仓方向、仓位和退出。", "drawdown_episodes; drawdown_curve"),
-    "profit_quality": ("先看逐笔收益和交易路径分布，确认亏损是否集中在少数形态。", "trades; trade_path_distribution"),
-    "win_rate_edge": ("先比较实际胜率和盈亏平衡胜率，确认赔率结构是否支持当前入场。", "trades; strategy_stats"),
-    "positive_expectancy": ("先看平均收益置信区间，样本不支持正期望时不要只看单次收益。", "stats; trades"),
-    "exit_structure": ("先看退出原因占比，止损或持有到期过高时复核入场和退出参数。", "exit_reason_stats; trades"),
-    "monthly_stability": ("先下钻最差月度，确认是否由极端行情、样本尾部或单一标的造成。", "monthly_returns"),
-    "path_risk": ("先看 MAE/MFE 和 R 倍数分布，判断止损距离和入场点是否匹配。", "trade_path_distribution; trades"),
-    "capital_exposure": ("先检查组合仓位、保证金和现金比例，确认是否超出资金约束。", "equity_curve; order_decisions"),
+    "data_coverage": ("Refill the symbols with gaps, or leave them out, and run again.", "data_coverage; data_gap_episodes"),
+    "trade_sample": ("Add symbols or time: so few trades say little about the settings.", "trades; setup_stats"),
+    "order_acceptance": ("Count the reject reasons to see whether signals, limits or fills stop the orders.", "order_decisions; order_decision_stats"),
+    "strategy_filter": ("Loosen the filter that rejects the most signals, one at a time.", "filter_decisions; strategy_filter_stats"),
+    "drawdown_pressure": ("Open the deepest episode and list the trades that were on in it.", "drawdown_episodes; equity_curve"),
+    "profit_quality": ("Split profit and loss by setup to find what loses.", "setup_stats; trade_path_distribution"),
+    "win_rate_edge": ("Compare the ratio of mean win to mean loss with the rate of wins it needs.", "stats; detector_stats"),
+    "positive_expectancy": ("Read the interval of the mean return before its value.", "stats; trades"),
+    "exit_structure": ("Move the stop, the target or the holding limit that ends most trades.", "exit_reason_stats; signal_lifecycle_stats"),
+    "monthly_stability": ("Look for one symbol or one event behind the worst month.", "monthly_returns; symbol_stats"),
+    "path_risk": ("Set the stop against how far trades go wrong before they end.", "trade_path_distribution; trades"),
+    "capital_exposure": ("Cut the size of positions or how many are open at once.", "equity_curve; order_decisions"),
 }
-OTHER_ACTION = ("先查看对应诊断明细和产物索引，再定位参数或数据问题。", "experiment_diagnostics; artifact_index")
+OTHER_ACTION = ("Read the report's row and the tables of the run.", "diagnostics; artifact_index")
 
 
 def action_plan(report: DataFrame, key: str, checks: Sequence[str]) -> DataFrame:

@@ -31,10 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: What a result table is for, and how early to read it.
+#: What a result table is for, and how early to read it.
 CATEGORIES = {
-    "stats": ("summary", 1), "diagnostics": ("summary", 1), "trades": ("trades", 2), "order_decisions": ("decisions", 2), "filter_decisions": ("decisions", 3),
-    "equity_curve": ("equity", 2), "drawdown_episodes": ("equity", 3), "period_returns": ("equity", 3), "inventory": ("data", 4), "audit": ("data", 4),
+    "stats": ("summary", 1), "diagnostics": ("summary", 1), "trades": ("trades", 2), "order_decisions": ("decisions", 2), "filter_decisions": ("decisions", 3), "equity_curve": ("equity", 2), "drawdown_episodes": ("equity", 3),
+    "period_returns": ("equity", 3), "monthly_returns": ("equity", 3), "data_inventory": ("data", 4), "data_coverage": ("data", 4), "data_gap_episodes": ("data", 4), "limit_filter_audit": ("data", 4),
+    **{f"{n}_stats": ("breakdown", 3) for n in ("strategy", "detector", "setup", "side", "event_type", "exit_reason", "symbol", "signal_lifecycle")}, "trade_path_distribution": ("breakdown", 3),
+    **{n: ("decisions", 3) for n in ("order_decision_stats", "setup_order_decision_stats", "strategy_filter_stats", "setup_filter_stats")},
 }
 
 

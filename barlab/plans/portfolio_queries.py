@@ -57,21 +57,3 @@ def _(spark, d):
 def _(spark, d):
     m = outcomes(spark, d)[0].withColumn("status", F.when(F.col("reason") == "", "accepted").otherwise("rejected"))
     return rounded(P.decision_summary(m, ["event_type"]), ["event_type", "order_count", "accepted_order_count", "rejected_no_fill_count", "primary_rejected_reason"], ["acceptance_rate"])
-
-
-_DIAG = f"""{TRADES}, {stats_sql('stock_code')}, dg AS (SELECT stock_code, 'trade_sample' AS "check", CASE WHEN trade_count < 1 THEN 2 WHEN trade_count < 30 THEN 1 ELSE 0 END AS sev FROM stat UNION ALL SELECT stock_code, 'drawdown_pressure', CASE WHEN max_drawdown <= -0.35 THEN 2 WHEN max_drawdown <= -0.2 THEN 1 ELSE 0 END FROM stat
-  UNION ALL SELECT stock_code, 'profit_quality', CASE WHEN profit_factor < 1 THEN 2 WHEN profit_factor < 1.2 THEN 1 ELSE 0 END FROM stat UNION ALL SELECT stock_code, 'win_rate_edge', CASE WHEN win_rate - breakeven_win_rate < 0 THEN 2 WHEN win_rate - breakeven_win_rate < 0.03 THEN 1 ELSE 0 END FROM stat)"""
-_USED = ["trade_count", "max_drawdown", "profit_factor", "win_rate_edge"]
-
-
-@add("a40_diagnostic_report", f"{_DIAG} SELECT stock_code, \"check\", CASE sev WHEN 2 THEN 'fail' WHEN 1 THEN 'attention' ELSE 'pass' END AS status FROM dg")
-def _(spark, d):
-    s = S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"]).select("stock_code", *_USED)
-    return P.diagnostics(s, "stock_code").select("stock_code", "check", "status")
-
-
-@add("a41_diagnostic_summary", f"{_DIAG} SELECT stock_code, count(*) FILTER (sev = 2) AS failed, count(*) FILTER (sev = 1) AS attention, CAST(max(sev) AS BIGINT) AS max_severity FROM dg GROUP BY stock_code")
-def _(spark, d):
-    s = S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"]).select("stock_code", *_USED)
-    r = P.diagnostic_summary(P.diagnostics(s, "stock_code"), "stock_code")
-    return r.select("stock_code", "failed", "attention", F.col("max_severity").cast("long").alias("max_severity"))

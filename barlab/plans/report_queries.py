@@ -21,7 +21,6 @@ from barlab.operators.equity import drawdown_statistics, period_returns, return_
 from barlab.plans.audit_queries import _CURVE, _DIRTY, _PATH, _PERIODS, _RANKED, _RSTAT, curve, dirty, sweep_table
 from barlab.plans.feature_queries import TREND_EVENTS, WEEK, rounded, rsql
 from barlab.plans.inputs import table, week_bars
-from barlab.plans.portfolio_queries import _DIAG, _USED
 from barlab.plans.trade_queries import ORDERS, TRADES, _match, _sim, outcomes, stats_sql, trend_orders, with_fractions
 
 Q: dict = {}
@@ -186,14 +185,6 @@ def _(spark, d):
     return rounded(r, ["reason", "orders", "rank"], ["share"])
 
 
-@add("a42_action_plan", f"""{_DIAG}, ac AS (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY sev DESC, list_position(['trade_sample', 'drawdown_pressure', 'profit_quality', 'win_rate_edge'], "check")) AS priority FROM dg WHERE sev > 0)
-SELECT stock_code, priority, "check", CASE "check" WHEN 'trade_sample' THEN 'strategy_space; order_decisions' WHEN 'drawdown_pressure' THEN 'drawdown_episodes; drawdown_curve' WHEN 'profit_quality' THEN 'trades; trade_path_distribution' ELSE 'trades; strategy_stats' END AS evidence FROM ac""")
-def _(spark, d):
-    s = S_.trade_statistics(outcomes(spark, d)[1], ["stock_code"]).select("stock_code", *_USED)
-    p = R.action_plan(P.diagnostics(s, "stock_code"), "stock_code", ["trade_sample", "drawdown_pressure", "profit_quality", "win_rate_edge"])
-    return p.select("stock_code", F.col("priority").cast("long").alias("priority"), "check", "evidence")
-
-
 _GRID = {"risk_reward": [1.5, 3.0], "max_holding_bars": [4, 12], "strong_close_pos": [0.65, 0.8]}
 _NEAR = f"{ORDERS.replace('confidence, volume, amount FROM ev1', 'confidence, volume, amount, close_pos FROM ev1').replace(', ord AS (', ', ord_ AS (')}"
 _CASES = f"""{_NEAR}, cases AS (SELECT 'rr' || rr || '-hold' || hold || '-close' || strong AS case_name, rr, hold, strong, weak FROM (SELECT unnest([1.5, 3.0]) AS rr), (SELECT unnest([4, 12]) AS hold), (SELECT unnest([65e-2, 8e-1]) AS strong, unnest([35e-2, CAST('{1 - 0.8!r}' AS DOUBLE)]) AS weak)),
@@ -254,22 +245,6 @@ def _(spark, d):
     return rounded(S_.trade_statistics(t, ["detector_name"]).join(rejected, "detector_name"), ["detector_name", "rejected"], _SW)
 
 
-@add("p11_experiment_tables", f"""{TRADES}, {stats_sql('stock_code')} SELECT 'trades' AS "table", (SELECT count(*) FROM trades) AS rows UNION ALL SELECT 'order_decisions', (SELECT count(*) FROM m) UNION ALL SELECT 'stats', (SELECT count(*) FROM stat)""")
-def _(spark, d):
-    return saved_run(spark, d).select("table", "rows")
-
-
-def saved_run(spark, d):
-    m, t = outcomes(spark, d)
-    tables = {"trades": t.drop("metadata"), "order_decisions": m.drop("metadata"), "stats": S_.trade_statistics(t, ["stock_code"])}
-    return T.save_tables(tables, f"{T.shared_folder(spark)}/run-{uuid.uuid4().hex}")
-
-
-@add("s20_saved_run", f"""{TRADES}, {stats_sql('stock_code')} SELECT 'trades' AS "table", 'trades' AS category, 2 AS priority, (SELECT count(*) FROM trades) AS rows UNION ALL SELECT 'order_decisions', 'decisions', 2, (SELECT count(*) FROM m) UNION ALL SELECT 'stats', 'summary', 1, (SELECT count(*) FROM stat)""")
-def _(spark, d):
-    return saved_run(spark, d)
-
-
 @add("s21_saved_sweep", f"""{_CASES} SELECT case_name, count(*) AS trades FROM trades GROUP BY case_name""")
 def _(spark, d):
     folder = f"{T.shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
@@ -277,11 +252,6 @@ def _(spark, d):
     return spark.read.parquet(f"{folder}/trades").groupBy("case_name").agg(F.count("*").alias("trades"))
 
 
-@add("s25_artifact_index", f"""{TRADES}, {stats_sql('stock_code')} SELECT 'stats' AS "table", 'summary' AS category, (SELECT count(*) FROM stat) AS rows""")
-def _(spark, d):
-    return T.artifact_index(saved_run(spark, d), "summary", 1).select("table", "category", "rows")
-
-
 @add("a36_symbol_statistics", f"{TRADES}, {stats_sql('stock_code')} SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SZ' AS stock_code, s_name AS stock_name, round(coalesce(trade_count, 0), 6) AS trade_count, round(coalesce(total_return, 0), 6) AS total_return FROM supplier LEFT JOIN stat ON stat.stock_code = lpad(CAST(s_suppkey AS VARCHAR), 6, '0') || '.SZ'")
 def _(spark, d):
     s = table(spark, d, "supplier").select(F.concat(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), F.lit(".SZ")).alias("stock_code"), F.col("s_name").alias("stock_name"))
