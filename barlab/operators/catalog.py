@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.operators import audit as A
@@ -146,18 +146,8 @@ class BacktestData:
     limit_audit: DataFrame
 
 
-def load_backtest_data(
-    market: DataFrame, timeframes: Sequence[str], symbols: DataFrame, start: str = "", end: str = "", *, filter_limit_open: bool = True, strict: bool = True, min_coverage: float | None = None
-) -> BacktestData:
-    """Bars of the timeframes (a key column) without illiquid bars and without sessions that open at the limit.
-
-    Daily bars are read from the first one on, so that the day before `start` is known. A strict run raises where
-    an audit fails; else only keys without any valid bar drop out, by themselves."""
-    daily = load_daily_bars(market, symbols, "", end)
-    parts = [load_bars(market, t, symbols, start, end).withColumn("timeframe", F.lit(t)) for t in timeframes]
-    bars = parts[0]
-    for p in parts[1:]:
-        bars = bars.unionByName(p)
+def backtest_data(bars: DataFrame, daily: DataFrame, symbols: DataFrame, start: str, end: str, filter_limit_open: bool, strict: bool, min_coverage: float | None) -> BacktestData:
+    """What a run reads, from loaded bars (with timeframe) and daily bars that reach back before start."""
     audit = audit_market(bars)
     if strict:
         raise_for_failed_audits(audit, min_coverage)
@@ -169,6 +159,21 @@ def load_backtest_data(
     return BacktestData(liquid, daily, audit, blocked, A.limit_filter_audit(symbols, daily, blocked))
 
 
+def load_backtest_data(
+    market: DataFrame, timeframes: Sequence[str], symbols: DataFrame, start: str = "", end: str = "", *, filter_limit_open: bool = True, strict: bool = True, min_coverage: float | None = None
+) -> BacktestData:
+    """Bars of the timeframes (a key column) of any market table, without illiquid bars and without sessions that open at
+    the limit. Daily bars are read from the first one on; market.load_backtest bounds them on a market table on disk.
+
+    A strict run raises where an audit fails; else only keys without any valid bar drop out, by themselves."""
+    daily = load_daily_bars(market, symbols, "", end)
+    parts = [load_bars(market, t, symbols, start, end).withColumn("timeframe", F.lit(t)) for t in timeframes]
+    bars = parts[0]
+    for p in parts[1:]:
+        bars = bars.unionByName(p)
+    return backtest_data(bars, daily, symbols, start, end, filter_limit_open, strict, min_coverage)
+
+
 def load_experiment(market: DataFrame, timeframe: str, higher: str, symbols: DataFrame, start: str = "", end: str = "", min_coverage: float | None = None) -> tuple[BacktestData, DataFrame]:
     """A run's bars of its timeframe and a different higher one (or ''), and the health of its data in one row."""
     if higher == timeframe:
@@ -267,25 +272,6 @@ def summarize_management(audit: DataFrame, inventory_rows: DataFrame, limit_rows
     return one.withColumns(issue | {"filtered_limit_open_count": F.col("limit_filter_filtered_days")})
 
 
-def update_from_staging(market: DataFrame, staging: DataFrame, timeframe: str, start: str = "", end: str = "") -> DataFrame:
-    """market with one timeframe's staged bars of the window upserted (daily windows are whole days anyway)."""
-    new = load_bars(staging, timeframe, None, start, end).withColumn("timeframe", F.lit(timeframe))
-    both = market.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(*KEYS, "date").orderBy(F.desc("_seq"))
-    return both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_seq")
-
-
-def refill(market: DataFrame, staging: DataFrame, audit: DataFrame, min_coverage: float | None = None, mode: str = "smart") -> tuple[DataFrame, DataFrame]:
-    """(market after, plan): `smart` takes from the staging table only keys that the audit fails, `force` all."""
-    plan = A.refill_plan(audit, min_coverage).select(*KEYS, "action", "reason")
-    if mode == "force":
-        plan = plan.withColumns({"action": F.lit("fetch"), "reason": F.lit("force")})
-    new = staging.join(plan.where("action = 'fetch'").select(*KEYS), KEYS, "left_semi")
-    both = market.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)))
-    last = Window.partitionBy(*KEYS, "date").orderBy(F.desc("_seq"))
-    return both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_seq"), plan
-
-
 def refill_report(plan: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows and coverage of each key before and after a refill."""
     take = lambda df, p: df.select(*KEYS, F.col("status").alias(f"{p}_status"), F.col("row_count").alias(f"{p}_rows"), F.col("coverage_ratio").alias(f"{p}_coverage_ratio"))

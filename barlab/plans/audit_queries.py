@@ -134,13 +134,6 @@ def _(spark, d):
     return A.downsample(b, 15).drop("amount")
 
 
-@add("s03_upsert", f"{WEEK} SELECT stock_code, date, CASE WHEN month(date) >= 6 THEN close * 2 ELSE close END AS close FROM bars WHERE month(date) <= 9 OR month(date) >= 6")
-def _(spark, d):
-    b = week_bars(spark, d)
-    new = b.where(F.month("date") >= 6).withColumn("close", F.col("close") * 2)
-    return A.upsert(b.where(F.month("date") <= 9), new).select("stock_code", "date", "close")
-
-
 @add("s03_upsert_summary", f"{WEEK} SELECT stock_code, count(*) AS rows, count(*) FILTER (month(date) > 9) AS new_rows, min(date) AS start, max(date) AS \"end\" FROM bars GROUP BY stock_code")
 def _(spark, d):
     b = week_bars(spark, d)

@@ -4,11 +4,15 @@ The market table has day bars of all suppliers as 1d and week bars of three in f
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barlab.functions import labels as L
 from barlab.operators import audit as A
 from barlab.operators import catalog as K
+from barlab.operators import market as M
+from barlab.operators import tables as T
 from barlab.plans.audit_queries import _SYMBOLS
 from barlab.plans.feature_queries import LIMIT, rounded
 from barlab.plans.inputs import day_bars, lineitem_bars_sql, table, week_bars
@@ -63,14 +67,32 @@ def catalog(spark, d):
     return K.enrich(inventory(spark, d), names(spark, d))
 
 
-@add("s01_load_bars", f"{_MK} SELECT stock_code, date, close FROM mk WHERE timeframe = '60m' AND date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01'")
+def stored_market(spark, d, rows=None):
+    """The market as a table on disk, and its folder."""
+    folder = f"{T.shared_folder(spark)}/market-{uuid.uuid4().hex}"
+    M.write_market(market(spark, d) if rows is None else rows, folder)
+    return M.read_market(spark, folder), folder
+
+
+_BAR = ["date", "stock_code", "open", "high", "low", "close", "volume", "amount"]
+
+
+def bar_rows(df):
+    return rounded(df, ["timeframe", "stock_code", "date"], _BAR[2:])
+
+
+_BARS_SQL = f"timeframe, stock_code, date, {', '.join(f'round({c}, 6) AS {c}' for c in _BAR[2:])}"
+
+
+@add("s01_load_bars", f"{_MK} SELECT {_BARS_SQL} FROM mk WHERE timeframe = '60m' AND date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01' AND {_KEY} % 5 < 2")
 def _(spark, d):
-    return K.load_bars(market(spark, d), "60m", symbols(spark, d), "1992-01-01", "1998-12-31").select("stock_code", "date", "close")
+    some = symbols(spark, d).where(F.substring("stock_code", 1, 6).cast("int") % 5 < 2)
+    return bar_rows(M.load(stored_market(spark, d)[0], "60m", some, "1992-01-01", "1998-12-31").withColumn("timeframe", F.lit("60m")))
 
 
-@add("s02_load_daily_bars", f"{_MK} SELECT stock_code, date, open, close, volume FROM dayb WHERE date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01'")
+@add("s02_load_daily_bars", f"{_MK} SELECT {_BARS_SQL} FROM mk WHERE timeframe = '1d' AND date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01'")
 def _(spark, d):
-    return K.load_daily_bars(market(spark, d), symbols(spark, d), "1992-01-01", "1998-12-31").select("stock_code", "date", "open", "close", "volume")
+    return bar_rows(M.load(stored_market(spark, d)[0], "1d", symbols(spark, d), "1992-01-01", "1998-12-31").withColumn("timeframe", F.lit("1d")))
 
 
 @add("s05_inventory", f"{_MK} SELECT * FROM inv")
@@ -117,20 +139,18 @@ def _(spark, d):
     return K.B.unique_symbols(twice, "raw", "s_suppkey")
 
 
-_LOADED = f"""{_MK}, bars AS (SELECT * FROM dayb WHERE date < TIMESTAMP '1998-01-01'), {LIMIT}, ld AS (SELECT * FROM mk WHERE date >= TIMESTAMP '1993-01-01' AND date < TIMESTAMP '1998-01-01' AND volume > 0 AND amount > 0
+_LOADED = f"""{_MK}, bars AS (SELECT * FROM dayb WHERE date >= TIMESTAMP '1992-12-22' AND date < TIMESTAMP '1998-01-01'), {LIMIT}, ld AS (SELECT * FROM mk WHERE date >= TIMESTAMP '1993-01-01' AND date < TIMESTAMP '1998-01-01' AND volume > 0 AND amount > 0
   AND NOT EXISTS (SELECT 1 FROM blocked k WHERE k.stock_code = mk.stock_code AND k.session_date = CAST(mk.date AS DATE) AND k.session_date >= DATE '1993-01-01'))"""
 
 
-@add("s11_load_backtest_data", f"{_LOADED} SELECT stock_code, count(*) AS bars, min(date) AS first_date, max(date) AS last_date, round(sum(close), 4) AS closes FROM ld WHERE timeframe = '1d' GROUP BY stock_code")
+@add("s11_load_backtest_data", f"{_LOADED} SELECT {_BARS_SQL} FROM ld WHERE timeframe = '1d'")
 def _(spark, d):
-    b = K.load_backtest_data(market(spark, d), ["1d"], symbols(spark, d), "1993-01-01", "1997-12-31", strict=False).bars
-    return b.groupBy("stock_code").agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.sum("close"), 4).alias("closes"))
+    return bar_rows(M.load_backtest(stored_market(spark, d)[0], ["1d"], symbols(spark, d), "1993-01-01", "1997-12-31").bars)
 
 
-@add("s12_load_multi_timeframe", f"{_LOADED} SELECT timeframe, stock_code, count(*) AS bars, round(sum(volume), 4) AS volume FROM ld GROUP BY timeframe, stock_code")
+@add("s12_load_multi_timeframe", f"{_LOADED} SELECT {_BARS_SQL} FROM ld")
 def _(spark, d):
-    b = K.load_backtest_data(market(spark, d), ["1d", "60m"], symbols(spark, d), "1993-01-01", "1997-12-31", strict=False).bars
-    return b.groupBy("timeframe", "stock_code").agg(F.count("*").alias("bars"), F.round(F.sum("volume"), 4).alias("volume"))
+    return bar_rows(M.load_backtest(stored_market(spark, d)[0], ["1d", "60m"], symbols(spark, d), "1993-01-01", "1997-12-31").bars)
 
 
 def health_sql(mk: str) -> str:
@@ -277,9 +297,10 @@ def local(spark, d):
 def _refilled(spark, d, mode: str):
     staged, own = local(spark, d)
     wanted = K.expected_keys(symbols(spark, d), ["1d", "60m"])
-    before = K.with_missing(K.audit_market(own), wanted)
-    after, plan = K.refill(own, staged, before, LOW, mode)
-    return K.refill_report(plan, before, K.with_missing(K.audit_market(after), wanted)).select("stock_code", "timeframe", "action", "before_rows", "after_rows", "new_rows")
+    held, folder = stored_market(spark, d, own)
+    before = T.written(K.with_missing(K.audit_market(held), wanted))
+    plan = M.refill(spark, folder, staged, before, LOW, mode)
+    return K.refill_report(plan, before, K.with_missing(K.audit_market(M.read_market(spark, folder)), wanted)).select("stock_code", "timeframe", "action", "before_rows", "after_rows", "new_rows")
 
 
 @add("s16_smart_refill", f"{_LOCAL} SELECT stock_code, timeframe, action, before_rows, CASE action WHEN 'fetch' THEN staged ELSE before_rows END AS after_rows, CASE action WHEN 'fetch' THEN staged - before_rows ELSE 0 END AS new_rows FROM pl")
@@ -292,10 +313,20 @@ def _(spark, d):
     return _refilled(spark, d, "force")
 
 
-@add("s17_update_timeframe", f"{_LOCAL}, un AS (SELECT timeframe, stock_code, date FROM lc UNION SELECT timeframe, stock_code, date FROM va WHERE timeframe = '60m' AND date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01') SELECT timeframe, stock_code, count(*) AS bars FROM un GROUP BY timeframe, stock_code")
+@add("s17_update_timeframe", f"{_LOCAL}, un AS (SELECT * FROM lc UNION SELECT * FROM va WHERE timeframe = '60m' AND date >= TIMESTAMP '1992-01-01' AND date < TIMESTAMP '1999-01-01') SELECT {_BARS_SQL} FROM un")
 def _(spark, d):
     staged, own = local(spark, d)
-    return K.update_from_staging(own, staged, "60m", "1992-01-01", "1998-12-31").groupBy("timeframe", "stock_code").agg(F.count("*").alias("bars"))
+    folder = stored_market(spark, d, own)[1]
+    M.update(spark, folder, staged, "60m", "1992-01-01", "1998-12-31")
+    return bar_rows(M.read_market(spark, folder))
+
+
+@add("s03_upsert", f"{_MK}, va AS (SELECT * FROM mk WHERE date IS NOT NULL) SELECT timeframe, stock_code, date, {', '.join(f'round({c}, 6) AS {c}' for c in _BAR[2:5])}, round(CASE WHEN month(date) >= 6 THEN close * 2 ELSE close END, 6) AS close, round(volume, 6) AS volume, round(amount, 6) AS amount FROM va")
+def _(spark, d):
+    rows = market(spark, d).where("date IS NOT NULL")
+    folder = stored_market(spark, d, rows.where(F.month("date") <= 9))[1]
+    M.upsert(spark, folder, rows.where(F.month("date") >= 6).withColumn("close", F.col("close") * 2))
+    return bar_rows(M.read_market(spark, folder))
 
 
 @add("a45_coverage_frame", f"{_MK}, {health_sql('mk')} SELECT coalesce(nullif(stock_name, ''), au.stock_code) || ' · ' || timeframe AS sample, round(coverage_ratio, 6) AS coverage, status, expected_count - actual_count AS missing FROM au LEFT JOIN nms USING (stock_code)")
