@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from barlab.functions import labels
 from barlab.functions.scalars import metric_safe_reason
+from barlab.operators.ranks import ordinals
 from barlab.operators.stats import ratio
+from barlab.operators.tables import written
 
 
 def _zero(c: Column) -> Column:
@@ -97,8 +99,10 @@ def reject_reasons(decisions: DataFrame) -> DataFrame:
     reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("unknown"))
     priority = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in REASON_PRIORITY.items() for x in p)), F.col("reason")), F.lit(500))
     g = decisions.where("status = 'rejected'").groupBy(reason.alias("reason")).agg(F.count("*").alias("orders"))
-    g = g.withColumns({"label": labels.label(F.col("reason"), labels.REASONS), "share": F.col("orders") / F.sum("orders").over(Window.partitionBy())})
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("orders"), priority, "label"))).select("rank", "reason", "label", "orders", "share")
+    g = written(g.withColumns({"label": labels.label(F.col("reason"), labels.REASONS), "_priority": priority}))
+    rejected = g.agg(F.sum("orders").alias("_all"))  # one row
+    g = ordinals(g, [], [F.desc("orders"), "_priority", "label"]).withColumn("rank", (F.col("place") + 1).cast("int"))
+    return g.crossJoin(F.broadcast(rejected)).select("rank", "reason", "label", "orders", (F.col("orders") / F.col("_all")).alias("share"))
 
 
 def coverage_frame(audit: DataFrame, names: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ _DOM = " AND ".join(f"b.{c} {'>=' if s == 'max' else '<='} a.{c}" for c, s in W.
 
 @add("t03_pareto_front", f"{_SWEEP} SELECT case_name FROM sw a WHERE NOT EXISTS (SELECT 1 FROM sw b WHERE {_DOM})")
 def _(spark, d):
-    return W.pareto_layer(sweep_table(spark, d).cache()).select("case_name")
+    return W.pareto_layer(sweep_table(spark, d)).select("case_name")
 
 
 _CHAINS = f"""{_SWEEP.replace('WITH ', 'WITH RECURSIVE ', 1)}, dom AS (SELECT b.case_name AS better, a.case_name AS worse FROM sw a JOIN sw b ON {_DOM}),
@@ -282,8 +282,8 @@ _RANKED = f"{_CHAINS}, {_SCORE[len(_SWEEP) + 2:]}, rk AS (SELECT sc.*, pareto_ra
 
 @add("t05_risk_adjusted_ranks", f"{_SCORE} SELECT case_name, row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name) AS risk_adjusted_rank FROM sc")
 def _(spark, d):
-    r = W.risk_adjusted_scores(sweep_table(spark, d))
-    return r.select("case_name", F.expr("row_number() OVER (ORDER BY risk_adjusted_score DESC, case_name)").cast("long").alias("risk_adjusted_rank"))
+    r = W.risk_ranks(W.risk_adjusted_scores(sweep_table(spark, d)))
+    return r.select("case_name", F.col("risk_adjusted_rank").cast("long").alias("risk_adjusted_rank"))
 
 
 @add("t01_rank_sweep", f"{_RANKED} SELECT case_name, sweep_rank, risk_adjusted_rank, pareto_rank, pareto_rank = 1 AS is_pareto_efficient FROM rk")

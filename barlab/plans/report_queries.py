@@ -21,7 +21,7 @@ from barlab.operators.equity import drawdown_statistics, period_returns, return_
 from barlab.plans.audit_queries import _CURVE, _DIRTY, _PATH, _PERIODS, _RANKED, _RSTAT, curve, dirty, sweep_table
 from barlab.plans.feature_queries import TREND_EVENTS, WEEK, rounded, rsql
 from barlab.plans.inputs import table, week_bars
-from barlab.plans.trade_queries import ORDERS, TRADES, _match, _sim, outcomes, stats_sql, trend_orders, with_fractions
+from barlab.plans.trade_queries import EXPECTANCY, ORDERS, STATS, TRADES, _match, _sim, outcomes, stats_sql, trend_orders, with_fractions
 
 Q: dict = {}
 S: dict = {}
@@ -206,10 +206,11 @@ def sweep_trades(spark, d):
 _SW = ["trade_count", "win_rate", "total_return", "avg_return", "max_drawdown", "profit_factor", "avg_r_multiple"]
 
 
-@add("p12_parameter_sweep", f"{_CASES}, {stats_sql('case_name')} SELECT case_name, {rsql(_SW)}, row_number() OVER (ORDER BY total_return DESC, case_name) AS sweep_rank FROM stat")
+@add("p12_parameter_sweep", f"{_CASES}, {stats_sql('case_name')} SELECT case_name, {rsql(STATS)}, row_number() OVER (ORDER BY total_return DESC, max_drawdown DESC, trade_count DESC, case_name) AS sweep_rank FROM (SELECT *, {EXPECTANCY} AS positive_expectancy_probability FROM stat) y")
 def _(spark, d):
-    s = S_.trade_statistics(sweep_trades(spark, d)[0], ["case_name"])
-    return rounded(s.withColumn("sweep_rank", F.expr("row_number() OVER (ORDER BY total_return DESC, case_name)").cast("long")), ["case_name", "sweep_rank"], _SW)
+    s = T.written(S_.trade_statistics(with_fractions(sweep_trades(spark, d)[0]), ["case_name"]))
+    s = W.numbered(s, W.sweep_order(s.columns), "sweep_rank").withColumn("sweep_rank", F.col("sweep_rank").cast("long"))
+    return rounded(s, ["case_name", "sweep_rank"], STATS)
 
 
 @add("a37_case_setup_statistics", f"{_CASES}, {stats_sql('case_name, detector_name, event_type, side')} SELECT case_name, detector_name, event_type, side, {rsql(_SW)} FROM stat")
