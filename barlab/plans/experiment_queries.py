@@ -134,7 +134,7 @@ md AS (SELECT *, 'signal_bar_stop' AS strategy_name, CASE WHEN reason = '' THEN
   CASE WHEN direction = 'long' THEN 'accepted' ELSE 'rejected' END AS status, CASE WHEN direction = 'long' THEN '' ELSE 'side_mode_filtered' END AS reason FROM events_)"""
 _DIST = ["trade_count", "win_rate", "avg_return", "avg_r_multiple", "avg_mae_r", "avg_mfe_r", "avg_holding_bars"]
 _DIST_SQL = " UNION ALL ".join(f"SELECT '{k}' AS dimension, {v} AS bucket, count(*) AS trade_count, avg(CAST(return_pct > 0 AS INT)) AS win_rate, avg(return_pct / 100) AS avg_return, avg(r_multiple) AS avg_r_multiple, avg(mae_r) AS avg_mae_r, avg(mfe_r) AS avg_mfe_r, avg(holding_bars) AS avg_holding_bars FROM (SELECT *, round({k}, 9) AS x FROM trades) GROUP BY ALL" for k, v in _BUCKETS.items())
-_MONTH = {"observation_count": "observation_count", "start_net_value": "start_net_value", "end_net_value": "end_net_value", "return": "ret", "max_drawdown": "max_drawdown"}
+_MONTH = {"observation_count": "observation_count", "start_net_value": "start_net_value", "end_net_value": "end_net_value", "return": "CASE WHEN start_net_value > 0 THEN ret ELSE 0 END", "max_drawdown": "max_drawdown"}
 _TRADE = ["entry_price", "exit_price", "holding_bars", "return_pct", "r_multiple", "mae_pct", "mfe_pct"]
 _TABLES = [
     long_sql("trades", "trades", "order_id", same(_TRADE) | {"entry_price": "fill"}, {"exit_reason": "exit_reason"}), long_sql("order_decisions", "md", "order_id", {}, {"status": "status", "reason": "reason"}), long_sql("filter_decisions", "fl", "order_id", {}, {"status": "status", "reason": "reason"}),
@@ -149,8 +149,7 @@ def run_tables(spark, d) -> dict[str, DataFrame]:
     from barlab.plans.trade_queries import with_fractions
 
     m, t = outcomes(spark, d)
-    t = with_fractions(t).withColumns({k: F.round(k, 9) for k in ("r_multiple", "mae_r", "mfe_r")})
-    return N.run_tables(m.drop("metadata"), filtered(spark, d), t.drop("metadata"))
+    return N.run_tables(m.drop("metadata"), filtered(spark, d), with_fractions(t).drop("metadata"))
 
 
 @add("p11_experiment_tables", f"{_RUN} {' UNION ALL '.join(_TABLES)}")

@@ -169,7 +169,7 @@ S["w25_terminal_rejections"] = f"SELECT terminal_reject, count(*) AS n FROM ({S[
 
 
 # Capital and margin fractions of the trades, and a raw return of twice the return, for the exposure statistics.
-FRACTIONS = {"c": "(0.1037193 + 0.0531471 * (holding_bars % 3))", "g": "(0.1519177 + 0.0737291 * (holding_bars % 3))"}
+FRACTIONS = {"c": "(0.103719313717 + 0.053147129531 * (holding_bars % 3))", "g": "(0.151917726913 + 0.073729137119 * (holding_bars % 3))"}
 
 
 def with_fractions(trades):
