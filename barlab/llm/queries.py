@@ -134,4 +134,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_vocabulary": url_filter.oracle(URL_RULES),
     "op9_line_dedup": line_dedup.ORACLE_SQL,
     "op11_merkle": merkle.oracle(),
+    "op12_repair": repair.oracle(),
 }

@@ -263,3 +263,36 @@ def judge(conversations: DataFrame) -> DataFrame:
         "conv_id", *(zero(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"),
     )
+
+
+def oracle() -> str:
+    """The same in DuckDB SQL: the least way to each state, row by row, in a recursive query."""
+    byte = "list_reduce(range(8), lambda c, b: xor(c >> 1, 3988292384 * (c & 1)), xor(a & 255, x))"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    crc = f"xor(list_reduce(list_transform(string_split({key}, ''), lambda d: CAST(ord(d) AS BIGINT)), lambda a, x: xor(a >> 8, {byte}), 4294967295), 4294967295)"
+    space = " || ".join(f"chr({ord(c)})" for c in _SPACE)
+    steps = ", ".join(f"({p}, '{s}', {q})" for p, to in STEPS.items() for s, q in to.items())
+    closure = ", ".join(f"({p}, {q}, {cell[0]}, '{cell[1]}')" for (p, q), cell in zip(PAIRS, CLOSURE) if cell)
+    way = lambda cost, audit: f"lpad(CAST({cost} AS VARCHAR), 9, '0') || ':' || {audit}"
+    return f"""WITH RECURSIVE hit AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS hit FROM conversations),
+dam AS (SELECT c, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text, unnest(CASE hit WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE hit <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) - 1 AS place, count(*) OVER (PARTITION BY c) AS total, rtrim(text, {space}) AS bare FROM dam),
+seen AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 AS again, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY place) AS before FROM ord),
+r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+step(p, sym, q) AS (VALUES {steps}), ins(p, q, cost, audit) AS (VALUES {closure}), states(p) AS (VALUES (0), (1), (2), (3)),
+ed AS (SELECT c, place, p, p AS q, {DELETE} AS cost, 'D' AS audit FROM r, states
+  UNION ALL SELECT c, place, p, q, CASE fault WHEN 'truncated' THEN {TRUNCATED} ELSE 0 END, 'K' FROM r JOIN step ON sym = initial WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT c, place, p, q, {REROLE} + CASE fault WHEN 'truncated' THEN {TRUNCATED} ELSE 0 END, 'R' FROM r, step WHERE sym IN ('u', 'a') AND fault NOT IN ('blank', 'duplicate')),
+mv AS (SELECT ed.c, ed.place, ed.p, ins.q, ed.cost + ins.cost AS cost, ed.audit || ins.audit AS audit FROM ed JOIN ins ON ins.p = ed.q),
+dp AS (SELECT c, CAST(-1 AS BIGINT) AS place, q, {way('cost', 'audit')} AS best FROM (SELECT DISTINCT c FROM r) x, ins WHERE p = 0
+  UNION ALL SELECT dp.c, mv.place, mv.q, min({way('CAST(substr(best, 1, 9) AS BIGINT) + mv.cost', 'substr(best, 11) || mv.audit')}) FROM dp JOIN mv ON mv.c = dp.c AND mv.place = dp.place + 1 AND mv.p = dp.q GROUP BY dp.c, mv.place, mv.q),
+won AS (SELECT dp.c, min(best) AS best FROM dp JOIN (SELECT DISTINCT c, total FROM r) t ON t.c = dp.c AND dp.place = t.total - 1 WHERE q IN (0, 3) GROUP BY dp.c),
+au AS (SELECT c, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 11) AS audit, length(replace(substr(best, 11), 'D', '')) AS kept FROM won),
+ch AS (SELECT c, audit, kept, unnest(range(1, length(audit) + 1)) AS i FROM au),
+wk AS (SELECT c, i, kept, substr(audit, i, 1) AS e, length(replace(substr(audit, 1, i), 'I', '')) - 1 AS place, length(replace(substr(audit, 1, i), 'D', '')) - 1 AS out FROM ch),
+tu AS (SELECT wk.c, i, CASE WHEN e = 'K' THEN r.role WHEN (out + kept) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE r.text END AS said FROM wk LEFT JOIN r ON r.c = wk.c AND r.place = wk.place WHERE e <> 'D'),
+dg AS (SELECT c, sha256(string_agg(said, chr(10) ORDER BY i)) AS repaired_sha256 FROM tu GROUP BY c),
+ct AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (place > 0 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c)
+SELECT h.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id, c FROM hit) h LEFT JOIN ct USING (c) LEFT JOIN au USING (c) LEFT JOIN dg USING (c)"""

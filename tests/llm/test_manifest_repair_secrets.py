@@ -152,6 +152,16 @@ def test_repair_equals_search(spark, monkeypatch):
     alike(repair.judge(df).collect(), repairs(rows))
 
 
+def test_repair_sql_equals_search():
+    duckdb = pytest.importorskip("duckdb")
+    r, db = random.Random(7), duckdb.connect()
+    said, roles = ["Hi.", "ok", "Yes!", "", "  ", None, "a.", "é.."], ["user", "assistant", "system", "tool", "", None]
+    rows = [(r.choice([None, *range(40)]), r.choice([None, *range(12)]), r.choice(roles), r.choice(said)) for _ in range(400)]
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    alike(db.execute(repair.oracle()).fetchall(), repairs(rows))
+
+
 def test_repair_of_lost_conversations_and_of_long_texts(spark):
     lost = [(k, 0, "user", "Gone.") for k in range(400) if zlib.crc32(f"{k}:0".encode()) % 20 == 0]
     rows = [*lost, (1000, 3, "user", "word " * 200_000 + "end."), (1000, 4, "assistant", "y" * 1_000_000 + "." + " " * 1_000_000)]
