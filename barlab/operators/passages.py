@@ -113,6 +113,6 @@ def sweep_trades(bars: DataFrame, orders: DataFrame, cases: DataFrame, parameter
         tried = paths.drop("max_holding_bars").crossJoin(grid)  # every order has one trade a case: this is the result's size
     tried = tried.withColumn("target_price", F.col("entry_price") + sign * risk * F.col("risk_reward"))
     favorable = (F.col("target_price") > 0) & is_favorable_target(F.col("side"), F.col("entry_price"), F.col("target_price")) & is_favorable_target(F.col("side"), F.col("actual_entry_price"), F.col("target_price"))
-    tried = tried.where(favorable).withColumns(execution_metrics(F.col("actual_entry_price"), F.col("signal_price"), F.col("stop_price"), F.col("target_price"), F.col("_d")))
-    tried = written(_with_exit(tried, c.intrabar_exit_policy))
+    tried = written(_with_exit(tried.where(favorable), c.intrabar_exit_policy))
+    tried = tried.withColumns(execution_metrics(F.col("actual_entry_price"), F.col("signal_price"), F.col("stop_price"), F.col("target_price"), F.col("_d")))
     return settled(tried.withColumn("order_id", F.concat("case_name", F.lit("/"), "order_id")), c)
