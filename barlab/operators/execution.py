@@ -77,13 +77,26 @@ def _trailing(c: Execution) -> dict[str, Column]:
     return {"_line": F.when(armed, line)}
 
 
-def simulate(bars: DataFrame, matched: DataFrame, c: Execution = Execution()) -> DataFrame:
-    """One trade for each filled order: first exit by fixed priority, returns, R and excursions."""
+def _paths(bars: DataFrame, filled: DataFrame, c: Execution) -> DataFrame:
+    """The bars of each filled order's path, with the trailing line (`_line`)."""
     b = completed_bar_average(with_bar_index(bars), c.trailing_ma_period, "ma") if c.trailing_ma_period >= 2 else with_bar_index(bars).withColumn("ma", F.lit(None).cast("double"))
     b = b.select("stock_code", "bar_index", "date", "open", "high", "low", "close", "ma", liquid().alias("_liq"))
-    filled = matched.where("reason = ''")
     keys = filled.select("order_id", "stock_code", "side", "_d", "actual_entry_price", "stop_price", "target_price", "entry_index", F.explode(F.sequence("entry_index", "last_index")).alias("bar_index"))
-    p = keys.join(b, ["stock_code", "bar_index"]).withColumns(_trailing(c))
+    return keys.join(b, ["stock_code", "bar_index"]).withColumns(_trailing(c))
+
+
+def trailing_masks(bars: DataFrame, matched: DataFrame, c: Execution) -> DataFrame:
+    """order_id, bar_index, line, touched of each path bar of the filled orders: the trailing line (null while it is off or
+    not on the profitable side of the entry) and whether a liquid bar trades through it."""
+    p, d = _paths(bars, matched.where("reason = ''"), c), F.col("_d")
+    worst = F.when(d > 0, F.col("low")).otherwise(F.col("high"))
+    return p.select("order_id", "bar_index", F.col("_line").alias("line"), F.coalesce(F.col("_liq") & (d * worst <= d * F.col("_line")), F.lit(False)).alias("touched"))
+
+
+def simulate(bars: DataFrame, matched: DataFrame, c: Execution = Execution()) -> DataFrame:
+    """One trade for each filled order: first exit by fixed priority, returns, R and excursions."""
+    filled = matched.where("reason = ''")
+    p = _paths(bars, filled, c)
     col, d = F.col, F.col("_d")
     beyond = lambda x, level: col("_liq") & F.coalesce(d * x <= d * level, F.lit(False))  # noqa: E731  against the trade
     reach = lambda x, level: col("_liq") & F.coalesce(d * x >= d * level, F.lit(False))  # noqa: E731  for the trade

@@ -27,19 +27,24 @@ class SignalBarStop:
     side_mode: str = "both"
 
 
+def signal_bar_liquidity(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """events with signal_bar_liquid: whether the signal's own bar has volume and amount; an unknown bar counts as liquid."""
+    bar = with_bar_index(bars).select("stock_code", "bar_index", liquid().alias("_liquid"))
+    return events.join(bar, ["stock_code", "bar_index"], "left").withColumn("signal_bar_liquid", F.coalesce("_liquid", F.lit(True))).drop("_liquid")
+
+
 def judge_signals(events: DataFrame, bars: DataFrame, c: SignalBarStop = SignalBarStop()) -> DataFrame:
     """events with `reason`: '' if the event becomes an order, else why it doesn't. Unknown signal bars count as liquid."""
-    bar = with_bar_index(bars).select("stock_code", "bar_index", liquid().alias("_liquid"))
-    e = events.join(bar, ["stock_code", "bar_index"], "left").withColumn("_side", F.lower(F.trim("direction")))
+    e = signal_bar_liquidity(events, bars).withColumn("_side", F.lower(F.trim("direction")))
     priced = (F.col("entry_price") > 0) & (F.col("stop_price") > 0) & (F.col("entry_price") != F.col("stop_price"))
     sound = F.coalesce(priced & F.col("date").isNotNull() & (F.col("bar_index") >= 0) & (normalize_symbol(F.col("stock_code")) != ""), F.lit(False))
-    ok = F.coalesce(F.col("_liquid"), F.lit(True))
+    ok = F.col("signal_bar_liquid")
     allowed = F.col("_side").isin(*SIDES[c.side_mode])
     reason = (
         F.when(sound & ok & allowed, "").when(~F.coalesce(F.col("_side").isin("long", "short"), F.lit(False)), "non_tradable_direction")
         .when(~allowed, "side_mode_filtered").when(~ok, "signal_bar_no_liquidity").otherwise("invalid_signal_order")
     )
-    return e.withColumn("reason", reason).withColumn("order_id", F.concat(F.lit(c.name + ":"), F.coalesce("event_id", F.lit("")))).drop("_liquid", "_side")
+    return e.withColumn("reason", reason).withColumn("order_id", F.concat(F.lit(c.name + ":"), F.coalesce("event_id", F.lit("")))).drop("signal_bar_liquid", "_side")
 
 
 def signal_decisions(judged: DataFrame, c: SignalBarStop = SignalBarStop()) -> DataFrame:

@@ -120,15 +120,14 @@ def _(spark, d):
     return rounded(out, KEYS, ["last_swing_high", "last_swing_low", "structure_score"], ("pivot_high", "pivot_low", "structure_label", "bos_up", "bos_down", "choch_up", "choch_down"))
 
 
-@add("w06_structure_labels", f"{_STRUCTURE} SELECT structure_label, count(*) AS n FROM s GROUP BY structure_label")
+@add("w06_structure_labels", f"{_STRUCTURE} SELECT stock_code, date, structure_label FROM s")
 def _(spark, d):
-    return X.attach_market_structure(week_bars(spark, d)).groupBy("structure_label").agg(F.count("*").alias("n"))
+    return X.attach_market_structure(week_bars(spark, d)).select("stock_code", "date", "structure_label")
 
 
-@add("w07_confirmed_structure_state", f"{_STRUCTURE} SELECT stock_code, max(structure_score) AS top, min(structure_score) AS low, count(last_swing_high) AS with_high, count(last_swing_low) AS with_low FROM s GROUP BY stock_code")
+@add("w07_confirmed_structure_state", f"{_STRUCTURE} SELECT stock_code, date, {rsql(['structure_score', 'last_swing_high', 'last_swing_low'])} FROM s")
 def _(spark, d):
-    s = X.attach_market_structure(week_bars(spark, d))
-    return s.groupBy("stock_code").agg(F.max("structure_score").alias("top"), F.min("structure_score").alias("low"), F.count("last_swing_high").alias("with_high"), F.count("last_swing_low").alias("with_low"))
+    return rounded(X.attach_market_structure(week_bars(spark, d)), KEYS, ["structure_score", "last_swing_high", "last_swing_low"])
 
 
 def _legs(up: str, n: int) -> str:

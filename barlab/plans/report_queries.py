@@ -226,7 +226,7 @@ def _(spark, d):
     return R.union_frames(frames, ["case_name", "dimension", "value", "trade_count"])
 
 
-_PAR = ["win_rate", "avg_return", "max_drawdown", "profit_factor", "avg_r_multiple"]
+_PAR = ["win_rate", "avg_return", "max_drawdown", "profit_factor", "avg_r_multiple", "total_return", "trade_count", "breakeven_win_rate", "win_rate_edge", "return_per_exposure_bar", "avg_mae_r", "avg_mfe_r", "avg_holding_bars", "cvar_95"]
 
 
 @add("a38_parameter_summary", f"""{_CASES}, {stats_sql('case_name')}, obj AS (SELECT *, EXISTS (SELECT 1 FROM stat b WHERE b.total_return >= a.total_return AND b.max_drawdown >= a.max_drawdown AND b.trade_count >= a.trade_count AND (b.total_return > a.total_return OR b.max_drawdown > a.max_drawdown OR b.trade_count > a.trade_count)) AS beaten FROM stat a),
@@ -235,7 +235,7 @@ SELECT parameter, value, count(*) AS cases, round(avg(CAST(NOT beaten AS INT)),
 def _(spark, d):
     t, cases = sweep_trades(spark, d)
     s = T.written(S_.trade_statistics(t, ["case_name"]).join(cases, "case_name"))
-    p = W.parameter_summary(W.pareto_ranks(s.select("case_name", *cases.columns[1:], *_SW)).withColumn("is_pareto_efficient", F.col("pareto_rank") == 1), list(_GRID), _PAR)
+    p = W.parameter_summary(W.pareto_ranks(s.select("case_name", *cases.columns[1:], *dict.fromkeys(_SW + _PAR))).withColumn("is_pareto_efficient", F.col("pareto_rank") == 1), list(_GRID), _PAR)
     return rounded(p, ["parameter", "value", "cases", "best_case"], ["pareto_hit_rate", *(f"{f}_{m}" for m in _PAR for f in ("avg", "median", "std"))])
 
 

@@ -115,6 +115,21 @@ def _(spark, d):
     return t.groupBy("exit_reason").agg(F.count("*").alias("n"), F.round(F.sum("return_pct"), 4).alias("total"))
 
 
+@add("f11_signal_bar_liquidity", f"{TREND_EVENTS} SELECT event_id, month(date) <> 7 AS signal_bar_liquid FROM events_")
+def _(spark, d):
+    bars = week_bars(spark, d)
+    quiet = bars.withColumn("volume", F.when(F.month("date") == 7, 0.0).otherwise(F.col("volume")))
+    return O.signal_bar_liquidity(D.detect_trend(bars), quiet).select("event_id", "signal_bar_liquid")
+
+
+@add("w27_trailing_masks", f"{ORDERS}, {_match(5.0)}, {_sim(trail=0.05, fee=0.0005, slip=5.0)} SELECT order_id, bi AS bar_index, round(line, 6) AS line, coalesce(liq AND dir * (CASE WHEN dir > 0 THEN low ELSE high END) <= dir * line, false) AS touched FROM p2")
+def _(spark, d):
+    c = E.Execution(trailing_drawdown_pct=0.05, fee_rate=0.0005, slippage_bps=5.0)
+    bars, orders = trend_orders(spark, d)
+    m = E.trailing_masks(bars, E.match_entries(bars, orders, c), c)
+    return m.select("order_id", F.col("bar_index").cast("long").alias("bar_index"), F.round("line", 6).alias("line"), "touched")
+
+
 @add("j05_path_metrics", f"{TRADES} SELECT side, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _TR[2:])} FROM trades GROUP BY side")
 def _(spark, d):
     return outcomes(spark, d)[1].groupBy("side").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in _TR[2:]))
@@ -336,9 +351,12 @@ def _(spark, d):
     return rounded(outcomes(spark, d)[0].where("reason = ''"), ["order_id"], ["actual_risk_pct", "actual_chase_pct", "actual_reward_to_risk"])
 
 
-@add("p07_candidates", f"{TRADES} SELECT stock_code, count(*) AS candidates, min(entry_date) AS first_entry, max(exit_date) AS last_exit FROM trades GROUP BY stock_code")
+@add("p07_candidates", f"{TRADES} SELECT m.order_id, m.stock_code, CASE WHEN m.reason = '' THEN 'candidate' ELSE 'rejected' END AS status, m.reason, CASE WHEN m.reason = '' THEN m.entry_date END AS entry_date, exit_date, round(trades.fill, 6) AS entry_price, round(exit_price, 6) AS exit_price FROM m LEFT JOIN trades ON trades.order_id = m.order_id")
 def _(spark, d):
-    return outcomes(spark, d)[1].groupBy("stock_code").agg(F.count("*").alias("candidates"), F.min("entry_date").alias("first_entry"), F.max("exit_date").alias("last_exit"))
+    m, t = outcomes(spark, d)
+    ended = t.select("order_id", "entry_date", "exit_date", F.round("entry_price", 6).alias("entry_price"), F.round("exit_price", 6).alias("exit_price"))
+    asked = m.select("order_id", "stock_code", F.when(F.col("reason") == "", "candidate").otherwise("rejected").alias("status"), "reason")
+    return asked.join(ended, "order_id", "left")
 
 
 @add("u01_union_strategies", f"{ORDERS} SELECT detector_name, count(*) AS n FROM ord GROUP BY detector_name UNION ALL SELECT 'twice', 2 * count(*) FROM ord")
