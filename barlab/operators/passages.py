@@ -77,6 +77,7 @@ def _with_exit(tried: DataFrame, policy: str) -> DataFrame:
     t = t.withColumns({"_at": F.least("_gain.k", "_loss.k"), "_held": F.coalesce(_last(F.filter("_within", lambda e: e["liquid"])), _last(c("_within")))})
     t = t.withColumns({"_k": F.coalesce("_at", "_held.k"), "_won": F.coalesce(c("_gain.k") == c("_at"), F.lit(False)), "_lost": F.coalesce(c("_loss.k") == c("_at"), F.lit(False))})
     t = t.withColumns({"_top": _last(F.filter("up", lambda x: x["k"] <= c("_k")))["level"], "_low": _last(F.filter("down", lambda x: x["k"] <= c("_k")))["level"], "_open": F.when(c("_won"), c("_gain.open")).otherwise(c("_loss.open"))})
+    t = written(t.drop("up", "down", "ends", "_within"))  # the look-ups in one stage, what follows from them in the next
     wins = c("_won") if policy == "optimistic" else c("_won") & ~c("_lost")
     kinds = F.when(c("_at").isNull(), 0).when(c("_lost") & (c("_open") <= stop), 1).when(c("_won") & (c("_open") >= target), 2).when(wins, 3).otherwise(4)
     t = t.withColumn("_kind", kinds)
@@ -85,7 +86,7 @@ def _with_exit(tried: DataFrame, policy: str) -> DataFrame:
     date = F.when(c("_kind") == 0, c("_held.date")).when(c("_won"), c("_gain.date")).otherwise(c("_loss.date"))
     extremes = F.when(d > 0, c("_top")).otherwise(-c("_low")).alias("hi"), F.when(d > 0, c("_low")).otherwise(-c("_top")).alias("lo")
     e = F.struct(reason.alias("reason"), price.alias("price"), (c("entry_index") + c("_k")).alias("i"), date.alias("date"), *extremes)
-    return t.withColumn("e", e).drop("up", "down", "ends", "_gain", "_loss", "_within", "_at", "_held", "_k", "_won", "_lost", "_top", "_low", "_open", "_kind")
+    return t.withColumn("e", e).drop("_gain", "_loss", "_at", "_held", "_k", "_won", "_lost", "_top", "_low", "_open", "_kind")
 
 
 def sweep_trades(bars: DataFrame, orders: DataFrame, cases: DataFrame, parameters: Sequence[str] = (), c: Execution = Execution()) -> DataFrame:
@@ -113,6 +114,6 @@ def sweep_trades(bars: DataFrame, orders: DataFrame, cases: DataFrame, parameter
         tried = paths.drop("max_holding_bars").crossJoin(grid)  # every order has one trade a case: this is the result's size
     tried = tried.withColumn("target_price", F.col("entry_price") + sign * risk * F.col("risk_reward"))
     favorable = (F.col("target_price") > 0) & is_favorable_target(F.col("side"), F.col("entry_price"), F.col("target_price")) & is_favorable_target(F.col("side"), F.col("actual_entry_price"), F.col("target_price"))
-    tried = written(_with_exit(tried.where(favorable), c.intrabar_exit_policy))
+    tried = _with_exit(tried.where(favorable), c.intrabar_exit_policy)
     tried = tried.withColumns(execution_metrics(F.col("actual_entry_price"), F.col("signal_price"), F.col("stop_price"), F.col("target_price"), F.col("_d")))
     return settled(tried.withColumn("order_id", F.concat("case_name", F.lit("/"), "order_id")), c)
