@@ -5,7 +5,8 @@ shingles, linked through their anchors, propose copies, of which those of simila
 What they don't tie is completed exactly: two sets of similarity 0.8 or more share an element among the first
 fifth (and one) of each, in any order that holds for all sets, so a join on these prefixes finds every such
 pair. Shingles that a sample of the documents shows to be common come last in the order: that keeps the join
-small and has no bearing on the result. Candidate pairs are verified by the whole sets.
+small and has no bearing on the result. Candidate pairs are held against each other by bitmaps first, which
+bound what they can share from above; only what passes is verified by the whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from barlab.llm.substring_dedup import _rolled, _word_hashes
 
 WORDS = 5
 _SAMPLE, _COMMON = 20_000, 4
+_BITS = 1024  # buckets of a set's bitmap
+_PROFILE = "doc_id long, t struct<a: long, b: long>, node long, n int, fp long, prefix array<long>, bits array<long>"
+_T, _DOC, _SAME = "barlab near t", "barlab near doc", "barlab near same"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -55,7 +59,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _common(texts: DataFrame) -> np.ndarray:
     """The shingles that several documents of a sample have, sorted."""
     rows = texts.count()
-    some = texts.where(F.pmod(F.col("t.b"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, _SAMPLE / max(rows, 1))))
+    some = texts.where(F.pmod(F.col("t.b"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, _SAMPLE / max(rows, 1)))).dropDuplicates(["t"])
     each = some.select(F.col("t.a").alias("node"), "text").mapInArrow(_sets, "node long, set array<long>").select(F.explode("set").alias("key"))
     often = each.groupBy("key").count().where(F.col("count") >= _COMMON)
     return np.sort(np.array([r.key for r in often.select("key").toLocalIterator()], np.int64))
@@ -72,16 +76,30 @@ def _profile(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 prefix = np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1].copy() if len(s) else s
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 fp = np.uint64(simhash.fingerprint((text or "").encode(), WORDS)).view(np.int64)
-                rows.append((int.from_bytes(digest[:8], "big", signed=True), len(s), fp, prefix))
-            node, n, fp, prefix = zip(*rows)
-            columns = [b.column("t"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(list(prefix))]
-            yield pa.RecordBatch.from_arrays(columns, ["t", "node", "n", "fp", "prefix"])
+                held = np.zeros(_BITS, bool)
+                held[s & (_BITS - 1)] = True
+                rows.append((int.from_bytes(digest[:8], "big", signed=True), len(s), fp, prefix, np.packbits(held).view(np.int64)))
+            node, n, fp, prefix, bits = zip(*rows)
+            columns = [b.column("doc_id"), b.column("t"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(list(prefix)), _lists(list(bits))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "node", "n", "fp", "prefix", "bits"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of similarity 0.8 or more: 9 x shared >= 4 x both sizes."""
+def _possible(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs that may be of similarity 0.8 or more: elements in a bucket that the other set leaves empty aren't shared."""
+    mine, its = (first.select(F.col("node").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("bits" + k)) for k in "ab")
+    alone = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    most = F.least(F.col("na") - alone("bitsa", "bitsb"), F.col("nb") - alone("bitsb", "bitsa"))
+    return stored(pairs.join(mine, "a").join(its, "b").where(most * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b"))
+
+
+def _verified(pairs: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 0.8 or more: 9 x shared >= 4 x both sizes. Sets are made for pairs that may be such only."""
+    pairs = _possible(pairs, first)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = small_side(stored(first.join(ends, "node", "left_semi").select("node", "t")))
+    sets = stored(texts.join(wanted, "t").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, set array<long>"))
     mine, its = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     alike = F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4
     return pairs.join(mine, "a").join(its, "b").where(alike).select("a", "b")
@@ -97,20 +115,17 @@ def _proposed(first: DataFrame) -> DataFrame:
 
 
 def links(first: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) pairs of similarity 0.8 or more, enough to connect each component; first: node, n, fp, prefix, t, once per set.
+    """(a, b) pairs of similarity 0.8 or more, enough to connect each component; first: node, n, fp, prefix, bits, t, once per set.
 
     The pairs that fingerprints propose are verified first. Every member of a shared prefix shingle is held against its smallest set first; what that ties into one
     component isn't paired again, so a large group of near copies stays linear. The others are paired in full."""
-    keys = stored(first.select("node", "n", F.posexplode("prefix").alias("at", "key")))
+    keys = first.select("node", "n", F.posexplode("prefix").alias("at", "key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     met = stored(keys.join(small_side(stored(shared)), "key"))
     proposed = stored(_proposed(first))
-    nodes = met.select("node").union(proposed.select("a")).union(proposed.select("b")).distinct()
-    wanted = first.join(nodes, "node", "left_semi").select("node", "t")
-    sets = stored(texts.join(wanted, "t").select("node", "text").mapInArrow(_sets, "node long, set array<long>"))
     least = met.groupBy("key").agg(F.min(F.struct("n", "node")).alias("m")).select("key", F.col("m.node").alias("a"), F.col("m.n").alias("m"))
     star = met.join(least, "key").where("a <> node AND 5L * m >= 4L * n").select("a", F.col("node").alias("b")).union(proposed).distinct()
-    tied = stored(_verified(star, sets))
+    tied = stored(_verified(star, first, texts))
     group = stored(components(tied))
     now = met.join(group, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -119,8 +134,11 @@ def links(first: DataFrame, texts: DataFrame) -> DataFrame:
     # What a pair can share: before this shingle as many as precede it in either, from it on as many as follow in either.
     most = F.least("ata", "atb") + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     near = (F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")) & (most * 9 >= (F.col("na") + F.col("nb")) * 4)
-    pairs = a.join(b, "key").where(near).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    return tied.union(_verified(pairs, sets))
+    # All that a pair shares up to the last prefix shingle they share is in both prefixes, so it is counted.
+    last = [F.max("ata").alias("ata"), F.max("atb").alias("atb"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("k")]
+    pairs = a.join(b, "key").where(near).groupBy(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).agg(*last)
+    pairs = pairs.where("9 * (k + least(na - ata, nb - atb) - 1) >= 4 * (na + nb)").select("a", "b")
+    return tied.union(_verified(pairs, first, texts))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -131,18 +149,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     of rows that repeat a doc_id those of other groups stay."""
     conf_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("t"), "text")
-    texts = stored(rows.select("t", "text").dropDuplicates(["t"]))
-    profile = stored(texts.mapInArrow(_profile(_common(texts)), "t struct<a: long, b: long>, node long, n int, fp long, prefix array<long>"))
-    first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "fp", "prefix")).alias("p")).select("node", "p.t", "p.n", "p.fp", "p.prefix")
-    group = stored(components(links(stored(first), texts)))
-    groups = profile.select("t", "node").join(group, "node", "left").select("t", F.coalesce("component", "node").alias("c"))
-    same = rows.select("doc_id", "t").join(groups, "t").groupBy("c", "doc_id", "t").agg(F.count("*").alias("n"))
-    best = same.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m.t").alias("_u"), F.lit(True).alias("stays"))
-    once = stored(same.select("doc_id", "t", "n").join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_u")), "left").select("doc_id", "t", "n", "stays"))
-    marked = docs.withColumn("_t", _same_text())
-    gone = once.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"))
-    again = once.where("stays AND n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"))
-    row = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u"))
+    texts = rows.select("t", "text")
+    profile = stored(rows.mapInArrow(_profile(_common(texts)), _PROFILE))
+    first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "fp", "prefix", "bits")).alias("p")).select("node", "p.*")
+    group = small_side(stored(components(links(stored(first), texts))))
+    same = profile.select("doc_id", "t", "node").join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c"), "doc_id", "t").agg(F.count("*").alias("n"))
+    best = same.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("m")).select(F.col("m.doc_id").alias(_DOC), F.col("m.t").alias(_SAME), F.lit(True).alias("stays"))
+    once = stored(same.select("doc_id", "t", "n").join(best, F.col("doc_id").eqNullSafe(F.col(_DOC)) & (F.col("t") == F.col(_SAME)), "left").select("doc_id", "t", "n", "stays"))
+    marked = docs.withColumn(_T, _same_text())
+    gone = once.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias(_DOC), F.col("t").alias(_SAME))
+    again = once.where("stays AND n > 1").select(F.col("doc_id").alias(_DOC), F.col("t").alias(_SAME))
+    row = F.col("doc_id").eqNullSafe(F.col(_DOC)) & (F.col(_T) == F.col(_SAME))
     single = marked.join(small_side(stored(gone)), row, "left_anti")
-    repeated = marked.join(small_side(stored(again)), row, "left_semi").dropDuplicates(["doc_id", "_t"])
-    return single.union(repeated).drop("_t")
+    repeated = marked.join(small_side(stored(again)), row, "left_semi").dropDuplicates(["doc_id", _T])
+    return single.union(repeated).drop(_T)
