@@ -23,7 +23,7 @@ def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one if Spark runs in one JVM (as in tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isEmpty():
@@ -40,6 +40,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it whatever it holds, dots and back-quotes too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with value evaluated once."""
     return F.transform(F.array(value), body)[0]

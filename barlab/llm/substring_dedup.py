@@ -4,7 +4,8 @@ A window is `WINDOW` consecutive words. Of every document the index holds the ha
 `ANCHOR` words, chosen by the words alone (the least hash in each stretch of WINDOW - ANCHOR + 1 of them), so
 two equal windows always hold an equal anchor. Once a second document has an anchor, the index also holds the
 128-bit digests of all windows around it. Both kinds are kept in sorted immutable runs, bucketed by hash: each
-batch of documents is merge-joined with the runs of the batches before, its candidate windows are verified by
+batch of documents is merge-joined with each run of the batches before as it lies, without a shuffle or sort of
+the run; its candidate windows are verified by
 their digests, and its entries become new runs. When there are more than a few, they are compacted into one.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -173,15 +175,33 @@ class Index:
             by = ", ".join(keys)
             spark.sql(f"CREATE TABLE IF NOT EXISTS {run} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}/{run}'")
 
-    def read(self, kind: str) -> DataFrame:
-        """The entries of all runs of a kind, one for each hash."""
-        return self._least(kind, [self.spark.table(run) for k, run in self.runs if k == kind])
+    def beside(self, kind: str, rows: DataFrame) -> DataFrame:
+        """rows, one for each hash, with `known`, the least document of the hash in any run (and for anchors `shared`), else null.
+
+        The rows are dealt as the runs' buckets are, so that runs are neither shuffled nor sorted (see `in_order`)."""
+        schema, keys = self.KINDS[kind]
+        out = rows if partitions(self.spark) == self.buckets else rows.repartition(self.buckets, *keys)
+        mine = [run for k, run in self.runs if k == kind]
+        for i, run in enumerate(mine):
+            out = out.join(self.spark.table(run).withColumnsRenamed({"doc_id": f"known{i}", "shared": f"shared{i}"}), keys, "left")
+        held = lambda name, least, type_: least(F.array(*[F.col(f"{name}{i}") for i in range(len(mine))])) if mine else F.lit(None).cast(type_)
+        more = [held("shared", F.array_max, "boolean").alias("shared")] if kind == "anchors" else []
+        return out.select(*rows.columns, held("known", F.array_min, "long").alias("known"), *more)
+
+    @contextmanager
+    def in_order(self) -> Iterator[None]:
+        """Plans made within read a bucket of one file, as every run's is, in the order it was written in."""
+        name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
 
     def _least(self, kind: str, parts: list[DataFrame]) -> DataFrame:
         schema, keys = self.KINDS[kind]
-        if len(parts) == 1:
-            return parts[0]
-        every = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+        every = reduce(DataFrame.unionByName, parts)
         shared = [F.max("shared").alias("shared")] if kind == "anchors" else []
         return every.groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), *shared)
 
@@ -192,15 +212,30 @@ class Index:
         return kind, run
 
     def commit(self, **entries: DataFrame) -> None:
-        """Adds a run of each kind; where there are then more than `most_runs` of a kind, they become one."""
+        """Adds a run of each kind; where there are then more than `most_runs` of a kind, they become one and go."""
+        seen = {run for _, run in self.runs}
         for kind, rows in entries.items():
             own = [r for r in self.runs if r[0] == kind] + [self._write(kind, rows)]
+            seen |= {run for _, run in own}
             if len(own) > self.most_runs:
                 own = [self._write(kind, self._least(kind, [self.spark.table(run) for _, run in own]))]
             self.runs = [r for r in self.runs if r[0] != kind] + own
         self.version += 1
         rows = [(self.version, self.buckets, kind, run) for kind, run in self.runs] or [(self.version, self.buckets, "", "")]
         self.spark.createDataFrame(rows, "version int, buckets int, kind string, run string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        gone = seen - {run for _, run in self.runs}
+        self._forget(gone)
+        for run in gone:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{run}")
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _forget(self, runs: Iterable[str]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+
+    def close(self) -> None:
+        """Takes the runs' names out of the catalog; their files stay, and the folder can be opened again."""
+        self._forget(run for _, run in self.runs)
 
 
 def _some(docs: DataFrame, ids: DataFrame, most_rows: int = 500_000) -> DataFrame:
@@ -218,9 +253,9 @@ def _removed(batch: DataFrame, anchors: DataFrame, texts: DataFrame, index: Inde
     """doc_id, at of the windows of a batch that a document with a smaller doc_id holds; adds the batch to the index.
 
     batch: doc_id, text; anchors: doc_id, hash of the batch; texts: doc_id, text of all documents up to now."""
-    old = index.read("anchors").withColumnsRenamed({"doc_id": "old", "shared": "was_shared"})
     own = anchors.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("several"))
-    seen = stored(own.join(old, "hash", "left"))
+    with index.in_order():
+        seen = stored(index.beside("anchors", own).withColumnsRenamed({"known": "old", "shared": "was_shared"}))
     again = small_side(stored(seen.where("several OR old IS NOT NULL").select("hash")))
     found = _holding(batch, anchors.join(again, "hash").select("doc_id", "hash")).mapInArrow(_candidates, WINDOWS)
     starts = stored(found)
@@ -230,8 +265,8 @@ def _removed(batch: DataFrame, anchors: DataFrame, texts: DataFrame, index: Inde
         late = _holding(texts, seen.where("old IS NOT NULL AND NOT was_shared").select(F.col("old").alias("doc_id"), "hash"))
         every = every.unionByName(late.mapInArrow(_candidates, WINDOWS).select("doc_id", "h1", "h2", F.lit(0).alias("mine")))
     both = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("mine").alias("n"))
-    known = index.read("windows").withColumnRenamed("doc_id", "known")
-    owner = stored(both.join(known, ["h1", "h2"], "left").select("h1", "h2", "last", "n", F.least("first", "known").alias("first")))
+    with index.in_order():
+        owner = stored(index.beside("windows", both).select("h1", "h2", "last", "n", F.least("first", "known").alias("first")))
     index.commit(
         anchors=seen.select("hash", F.least("old", "doc_id").alias("doc_id"), (F.col("several") | F.col("old").isNotNull()).alias("shared")),
         windows=owner.select("h1", "h2", F.col("first").alias("doc_id")),
@@ -253,7 +288,7 @@ def dedup(docs: DataFrame, batches: int = 1, text: bool = False, index: Index |
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs if history is None else history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(docs)
-    index = index or Index(spark, scratch(spark))
+    own, index = index is None, index or Index(spark, scratch(spark))
     profile = stored(profiles(docs))
     whole = profile.where("doc_id IS NOT NULL AND n_words >= %d" % WINDOW)
     copies = whole.groupBy("whole").agg(F.min("doc_id").alias("first_doc"), F.min_by("anchors", "doc_id").alias("anchors"), F.count("*").alias("n"))
@@ -266,6 +301,8 @@ def dedup(docs: DataFrame, batches: int = 1, text: bool = False, index: Index |
         inside = F.lit(True) if low is None else F.col("doc_id") > int(low)
         inside = inside if high is None else inside & (F.col("doc_id") <= int(high))
         gone.append(stored(_removed(docs.where(inside), firsts.where(inside), texts, index)))
+    if own:
+        index.close()
     starts = reduce(DataFrame.unionByName, gone).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     starts = stored(starts)
     cut = _some(docs, starts.select("doc_id")).join(starts, "doc_id").select("doc_id", "text", "starts")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import conf_batches, flat, small_batches
+from barlab.llm.common import conf_batches, flat, quoted, small_batches
 from barlab.llm.terms import hashed_terms
 
 BITS = 22
@@ -142,8 +142,10 @@ def score(docs: DataFrame, machine: Machine, keys: list[str], name: str = "toxic
     """The key columns and `name` (toxicity, 0 to 1) of every row, over whole texts; null and empty texts get the bias. No shuffle."""
     conf_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    rows = docs.select(*dict.fromkeys([*keys, "text"]))
-    return rows.mapInArrow(_scorer(machine, keys, name), ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{name}` double")
+    # Within the map columns go by number: it takes no names with dots.
+    rows = docs.select(*map(quoted, keys), F.col("text")).toDF(*(f"c{i}" for i in range(len(keys))), "text")
+    taken = [f"c{i}" for i in range(len(keys))]
+    return rows.mapInArrow(_scorer(machine, taken, "score"), ", ".join(f"{c} {kinds[k]}" for c, k in zip(taken, keys)) + ", score double").toDF(*keys, name)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column, most: int) -> DataFrame:

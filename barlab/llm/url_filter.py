@@ -95,6 +95,9 @@ def terms_of(table: DataFrame, most: int = 100_000) -> tuple[list[str], list[str
     return sorted(r.term for r in rows if r.weight >= 1), sorted(r.term for r in rows if r.weight < 1)
 
 
+_HITS = "barlab url hits"
+
+
 def filter_urls(
     pages: DataFrame, rules: Sequence[Rule] = (), *, strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, least_soft: int = 2
 ) -> DataFrame:
@@ -106,15 +109,15 @@ def filter_urls(
     host, path = F.col("host"), F.col("path")
     text, verdict = rule_of(host, path, rules)
     out = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    out = out.withColumns({"rule": text, "_hits": vocabulary_hits(strict, soft)(F.col("url"))})
-    bad = (F.col("_hits.strict_hits") >= 1) | (F.col("_hits.soft_hits") >= least_soft)
+    out = out.withColumns({"rule": text, _HITS: vocabulary_hits(strict, soft)(F.col("url"))})
+    bad = (F.col(_HITS).strict_hits >= 1) | (F.col(_HITS).soft_hits >= least_soft)
     return out.withColumns(
         {
-            "strict_hits": F.col("_hits.strict_hits"),
-            "soft_hits": F.col("_hits.soft_hits"),
+            "strict_hits": F.col(_HITS).strict_hits,
+            "soft_hits": F.col(_HITS).soft_hits,
             "verdict": F.coalesce(verdict, F.when(bad, "block").otherwise("allow")),
         }
-    ).drop("_hits")
+    ).drop(_HITS)
 
 
 def oracle(rules: Sequence[Rule], strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, least_soft: int = 2) -> str:

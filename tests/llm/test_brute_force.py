@@ -1,13 +1,16 @@
 """The corpus operators against plain Python: long words and runs, edit bounds, indexes over several calls, scores, recall."""
 
 import base64
+import glob
 import hashlib
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from barlab.llm import ann, bpe, decontaminate, line_dedup, quality, queries, simhash, substring_dedup, toxicity, words as cut
 from barlab.llm.common import scratch
@@ -120,6 +123,11 @@ def test_substring_index_over_calls_and_compaction(spark):
         history = spark.createDataFrame(past, DOCS) if past else None
         got |= {x.doc_id: x for x in substring_dedup.dedup(spark.createDataFrame(part, DOCS), batches=1 + call % 2, index=index, history=history).collect()}
         assert all(sum(k == kind for k, _ in index.runs) <= 2 for kind in index.KINDS)
+    held = {run for _, run in index.runs}
+    assert {Path(p).name for p in glob.glob(f"{path}/barlab_*")} == held  # what compaction replaced is gone
+    assert held <= {t.name for t in spark.catalog.listTables()}
+    index.close()
+    assert not held & {t.name for t in spark.catalog.listTables()}
     first = {}
     for d, w in sorted(texts.items()):
         gone = set()
@@ -130,6 +138,27 @@ def test_substring_index_over_calls_and_compaction(spark):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), d
 
 
+def test_runs_are_merge_joined_as_they_lie(spark):
+    index, want = substring_dedup.Index(spark, scratch(spark), buckets=8), {}
+    for call in range(2):
+        rows = [(h, h * 10 + call, False) for h in range(call, 400, call + 2)]
+        want |= {h: min(d, want.get(h, d)) for h, d, _ in rows}
+        index.commit(anchors=spark.createDataFrame(rows, substring_dedup.Index.KINDS["anchors"][0]))
+    own = spark.range(500).withColumnRenamed("id", "hash").groupBy("hash").agg(F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with index.in_order():
+            out = index.beside("anchors", own)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert {r.hash: r.known for r in out.collect()} == {h: want.get(h) for h in range(500)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One exchange and one sort, those of the new rows; none between a run's scan and its join.
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("+- Sort ") + plan.count(":- Sort ") == 1, plan
+    index.close()
+
+
 def test_toxicity_score_is_the_pair_sum_and_screens_neutral_terms(spark):
     r = random.Random(3)
     two = [" ".join([x, y, *r.choices(["ee", "ff", "gg"], k=2)]) for _ in range(300) for x, y in [r.choice([("aa", "bb"), ("aa", "dd"), ("cc", "bb"), ("cc", "dd")])]]
@@ -186,10 +215,11 @@ def test_pipeline_keeps_columns_that_clash_and_rows_without_id(spark):
     import corpus_pipeline
 
     rows = [(1, words(40, 1)), (None, words(40, 2)), (2, words(40, 3) + "\n" + words(12, 9)), (3, words(40, 4) + "\n" + words(12, 9))]
-    d = spark.createDataFrame(rows, DOCS).selectExpr("*", "7 AS n_items", "'i' AS items", "8 AS n_lines", "9 AS n_removed", "0.5D AS toxicity", "'t' AS _text", "'g' AS _gone", "1 AS label", "2 AS n_chars")
+    d = spark.createDataFrame(rows, DOCS).selectExpr("*", "7 AS n_items", "'i' AS items", "8 AS n_lines", "9 AS n_removed", "0.5D AS toxicity", "'t' AS _text", "'g' AS _gone", "1 AS label", "2 AS n_chars", "3 AS _t", "4 AS _d", "5 AS _u", "6 AS `a.b`")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, "/root/testdata/sf0.001")
         assert out.columns == d.columns
+        assert {(r._t, r._d, r._u, r["a.b"]) for r in out.collect()} == {(3, 4, 5, 6)}
         d = spark.createDataFrame(out.collect(), out.schema)
     got = d.collect()
     assert {(r.n_items, r["items"], r.n_lines, r.n_removed, r.toxicity, r._text, r._gone, r.label) for r in got} == {(7, "i", 8, 9, 0.5, "t", "g", 1)}

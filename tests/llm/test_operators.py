@@ -28,10 +28,10 @@ def test_url_rules_and_vocabulary(spark):
         (1, "http://A.Example.com/en/7x", "allow", "example.com/en/7"), (2, "https://x.com/en/1", "block", "com/en/"), (3, None, "allow", None), (4, "no scheme", "allow", None), (5, "", "allow", None),
         (6, "http://my-casino.io/", "block", None), (7, "http://casinos.io/", "allow", None), (8, "http://cheap.io/win", "block", None), (9, "http://cheap.io/cheap", "allow", None), (1, "http://A.Example.com/en/7x", "allow", "example.com/en/7"),
     ]
-    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").selectExpr("*", "'clash' AS host", "0 AS verdict")
+    df = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").selectExpr("*", "'clash' AS host", "0 AS verdict", "1 AS _hits")
     got = url_filter.filter_urls(df, queries.URL_RULES).collect()
     assert sorted((r.page_id, r.verdict, r.rule) for r in got) == sorted(((r[0], r[2], r[3]) for r in rows), key=lambda r: (r[0], r[1], r[2]))
-    assert {r.host for r in got if r.page_id == 1} == {"a.example.com"}
+    assert {r.host for r in got if r.page_id == 1} == {"a.example.com"} and {r._hits for r in got} == {1}
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
