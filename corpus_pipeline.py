@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.llm import decontaminate, line_dedup, near_dedup, queries, toxicity
-from barlab.llm.common import read, small_side, stored
+from barlab.llm.common import quoted, read, small_side, stored
 
 TOXIC = 0.7
 _SCORE = "barlab toxicity"
@@ -38,7 +38,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = stored(decontaminate.leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(small_side(held), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(held), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
