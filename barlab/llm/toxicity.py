@@ -90,7 +90,10 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, k)))
     lists = got["terms"].combine_chunks()
     rows, t = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
-    one, all_ = np.bincount(t[y[rows] == 1], minlength=1 << BITS), np.bincount(t, minlength=1 << BITS)
+    # From here on a term is its place among the sample's terms, so that memory goes by these and not by all buckets.
+    terms = np.unique(t)
+    t = np.searchsorted(terms, t)
+    one, all_ = np.bincount(t[y[rows] == 1], minlength=len(terms)), np.bincount(t, minlength=len(terms))
     p, n = y.mean(), len(y)
     base = min(max(p, 1 / (n + 1)), n / (n + 1))
     spread = np.sqrt(np.maximum(all_ * base * (1 - base) * (1 - all_ / (n + 1)), 1e-9))
@@ -121,7 +124,7 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_
                 b0 -= float(move[0])
             else:
                 x -= move
-    return Machine(kept, b0, w, v)
+    return Machine(terms[kept], b0, w, v)
 
 
 def _scorer(machine: Machine, keys: list[str], name: str):
