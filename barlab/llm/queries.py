@@ -13,8 +13,8 @@ from barlab.llm.common import read
 URL_RULES = (
     url_filter.Rule("com", "/en/", "block"),
     url_filter.Rule("example.com", "/en/7", "allow"),
-    url_filter.Rule("net", "/de/", "block"),
-    url_filter.Rule("example.net", "/de/8", "allow"),
+    url_filter.Rule("net", "/de/", "allow"),
+    url_filter.Rule("example.net", "/de/8", "block"),
     url_filter.Rule("org", "/es/", "block"),
 )
 

@@ -35,6 +35,15 @@ def test_url_rules_and_vocabulary(spark):
     assert url_filter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_of_the_contract(spark):
+    rows = [
+        ("http://net/de/1", "allow", "net/de/"), ("http://porn.net/de/", "allow", "net/de/"), ("http://a.example.net/de/81", "block", "example.net/de/8"), ("http://example.net/de/8", "block", "example.net/de/8"),
+        ("http://example.net/de/7", "allow", "net/de/"), ("http://example.com/en/6", "block", "com/en/"), ("http://example.com/en/7", "allow", "example.com/en/7"), ("http://x.org/es/9", "block", "org/es/"), ("http://x.org/de/8", "allow", None),
+    ]
+    got = url_filter.filter_urls(spark.createDataFrame([r[:1] for r in rows], "url string"), queries.URL_RULES).collect()
+    assert sorted((r.url, r.verdict, r.rule) for r in got) == sorted(rows, key=lambda r: r[0])
+
+
 def test_chat_round_trip(spark):
     said = "a<|im_end|>\n<\\|x <"
     rows = [(1, 0, "user", said), (1, 1, "assistant", "|im_end|> ok\\"), (1, 1, "assistant", None), (2, None, None, ""), (None, 0, "a\nb%<", "x" * 3_000_000), (2, 5, "assistant", "é" * 10)]
