@@ -150,6 +150,31 @@ def dominance(table: DataFrame, key: str = "case_name") -> DataFrame:
     return a.join(b, (F.col("better") != F.col("worse")) & no_less & more).select("better", "worse")
 
 
+#: Pairs of cases that one task compares.
+PAIRS = 50_000_000
+
+
+def dominated_counts(table: DataFrame, key: str = "case_name", chunk: int = MOST_BROADCAST, pairs: int = PAIRS) -> DataFrame:
+    """(better, dominated): how many cases each case dominates; cases that dominate none are left out.
+
+    The work is all pairs, but none is stored: cases are spread so that a task compares at most about `pairs` of them, each
+    with a broadcast chunk of the others, and counts where it compares. Seconds grow with the square of the cases, a
+    task's memory only up to a chunk."""
+    at = range(len(_scores(table)))
+    cases = written(table.select(F.col(key).alias("better"), *(s.alias(f"_{i}") for i, s in enumerate(_scores(table)))))
+    count = cases.count()
+    placed = written(ordinals(cases, [], ["better"])) if count > chunk else cases.withColumn("place", F.lit(0))
+    tasks = max(1, -(-count * min(count, chunk) // pairs))
+    spread = cases.repartition(tasks) if tasks > 1 else cases
+    found = None
+    for k in range(max(1, -(-count // chunk))):
+        others = placed.where(F.floor(F.col("place") / chunk) == k).select(F.col("better").alias("worse"), *(F.col(f"_{i}").alias(f"_w{i}") for i in at))
+        beats = _all([F.col(f"_{i}") >= F.col(f"_w{i}") for i in at]) & _any([F.col(f"_{i}") > F.col(f"_w{i}") for i in at]) & (F.col("better") != F.col("worse"))
+        one = spread.join(F.broadcast(others), beats).groupBy("better").agg(F.count("*").alias("dominated"))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("better").agg(F.sum("dominated").alias("dominated"))
+
+
 _FALLING = ("monthly_return_std", "ulcer_index")
 
 
