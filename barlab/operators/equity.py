@@ -44,14 +44,14 @@ def drawdown_statistics(curve: DataFrame, key: str = "case_id") -> DataFrame:
 
 
 def period_returns(curve: DataFrame, unit: str = "month", key: str = "case_id") -> DataFrame:
-    """Calendar periods: each starts at the last value of the one before; drawdown within from that start."""
+    """Calendar periods: each starts at the last value of the one before; drawdown within from that start, 0 where nothing is left to lose."""
     w, order = Window.partitionBy(key).orderBy("period"), Window.partitionBy(key, "period").orderBy("date", "step")
     c = curve.where("date IS NOT NULL AND net_value IS NOT NULL").withColumn("period", F.date_trunc(unit, "date").cast("date"))
     g = c.groupBy(key, "period").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.min_by("net_value", "date").alias("_first"), F.max_by("net_value", "date").alias("end_net_value"), F.count("*").alias("observation_count"))
     g = g.withColumn("start_net_value", F.coalesce(F.lag("end_net_value").over(w), "_first")).drop("_first")
     p = price_path(c, key).withColumn("period", F.date_trunc(unit, "date").cast("date")).join(g.select(key, "period", "start_net_value"), [key, "period"])
     p = p.withColumn("_peak", F.greatest("start_net_value", F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    dd = p.groupBy(key, "period").agg(F.least(F.lit(0.0), F.min(F.col("value") / F.col("_peak") - 1)).alias("max_drawdown"))
+    dd = p.groupBy(key, "period").agg(F.least(F.lit(0.0), F.min(F.try_divide("value", "_peak") - 1)).alias("max_drawdown"))
     return g.join(dd, [key, "period"]).withColumn("return", ratio(F.col("end_net_value") - F.col("start_net_value"), F.col("start_net_value")))
 
 

@@ -19,7 +19,7 @@ from barlab.plans import catalog_queries as C
 from barlab.plans.audit_queries import _CURVE, _GRID, _PERIODS, _grid, curve
 from barlab.plans.feature_queries import LIMIT, WEEK
 from barlab.plans.report_queries import _EXPOSURE, exposed, filtered
-from barlab.plans.trade_queries import EXPECTANCY, STATS, TRADES, outcomes, stats_sql
+from barlab.plans.trade_queries import EXPECTANCY, STATS, TRADES, outcomes, stats_sql, trend_signals, with_fractions
 
 Q: dict = {}
 S: dict = {}
@@ -60,16 +60,18 @@ dg AS ({' UNION ALL '.join(f'''SELECT stock_code, '{name}' AS "check", {k} AS pl
 
 def diagnosed(spark, d) -> DataFrame:
     """All twelve checks of every symbol that trades."""
-    m, t = outcomes(spark, d)
-    key = ["stock_code"]
+    seen = trend_signals(spark, d)
+    bars, key = seen[0], ["stock_code"]
+    m, t = outcomes(spark, d, seen=seen)
+    t = T.written(t.drop("metadata"))
     orders = m.groupBy(*key).agg(F.count("*").alias("order_count"), (F.count_if(F.col("reason") == "") / F.count("*")).alias("acceptance_rate"))
-    filters = filtered(spark, d).groupBy(*key).agg((F.count_if(F.col("status") == "rejected") / F.count("*")).alias("strategy_filter_rejection_rate"))
+    filters = filtered(spark, d, seen=seen).groupBy(*key).agg((F.count_if(F.col("status") == "rejected") / F.count("*")).alias("strategy_filter_rejection_rate"))
     by_case = lambda df, c, name: df.select(F.col("case_id").alias("stock_code"), F.col(c).alias(name))
-    months = by_case(period_statistics(period_returns(curve(spark, d))), "period_worst_return", "monthly_worst_return")
-    margin = by_case(R.equity_exposure(exposed(spark, d)), "max_margin_exposure", "max_margin_exposure")
+    months = by_case(period_statistics(period_returns(T.written(curve(spark, d, bars)))), "period_worst_return", "monthly_worst_return")
+    margin = by_case(R.equity_exposure(exposed(spark, d, bars)), "max_margin_exposure", "max_margin_exposure")
     exits = S_.exit_reason_summary(t, key).select(*key, "primary_exit_reason", "primary_exit_reason_rate")
-    covered = A.coverage(*_grid(spark, d)).select(*key, F.col("coverage_ratio").alias("data_weighted_coverage_ratio"))
-    s = T.written(S_.trade_statistics(t, key))
+    covered = A.coverage(*_grid(spark, d, bars)).select(*key, F.col("coverage_ratio").alias("data_weighted_coverage_ratio"))
+    s = T.written(S_.trade_statistics(t, key, wanted=[r[1] for r in P.RULES if r[1] in STATS]))
     for more in (orders, filters, months, margin, exits, covered):
         s = s.join(more, key, "left")
     return T.written(P.diagnostics(s, "stock_code"))
@@ -146,10 +148,9 @@ _TABLES = [
 
 
 def run_tables(spark, d) -> dict[str, DataFrame]:
-    from barlab.plans.trade_queries import with_fractions
-
-    m, t = outcomes(spark, d)
-    return N.run_tables(m.drop("metadata"), filtered(spark, d), with_fractions(t).drop("metadata"))
+    seen = trend_signals(spark, d)
+    m, t = outcomes(spark, d, seen=seen)
+    return N.run_tables(m.drop("metadata"), filtered(spark, d, seen=seen), with_fractions(t).drop("metadata"))
 
 
 @add("p11_experiment_tables", f"{_RUN} {' UNION ALL '.join(_TABLES)}")
@@ -170,11 +171,12 @@ def _(spark, d):
 
 def saved_data(spark, d) -> tuple[str, DataFrame]:
     """The data side of a run, saved: folder and index."""
-    mk, day = C.market(spark, d), C.day_bars(spark, d)
+    mk = T.written(C.market(spark, d))
+    day = C.days_of(mk)
     audit = T.written(K.audit_market(mk))
     days = A.calendar(mk.select("timeframe", F.col("date").alias("at")), ["timeframe"])
     gaps = A.gap_episodes(K.B.drop_illiquid(mk).withColumnRenamed("date", "at"), days, K.KEYS, ["timeframe"])
-    tables = {"data_coverage": audit, "data_gap_episodes": gaps, "data_inventory": C.inventory(spark, d), "limit_filter_audit": A.limit_filter_audit(C.symbols(spark, d), day, K.B.limit_open_dates(day))}
+    tables = {"data_coverage": audit, "data_gap_episodes": gaps, "data_inventory": C.inventory(spark, d, mk), "limit_filter_audit": A.limit_filter_audit(C.symbols(spark, d, day), day, K.B.limit_open_dates(day))}
     folder = f"{T.shared_folder(spark)}/data-{uuid.uuid4().hex}"
     return folder, T.save_tables(tables, folder)
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from barlab.operators import features as X
 from barlab.operators import portfolio as P
 from barlab.operators import stats as S_
+from barlab.operators import tables as T
 from barlab.plans.feature_queries import WEEK, _land, _scan, rounded, rsql
 from barlab.plans.inputs import week_bars
-from barlab.plans.trade_queries import ORDERS, TRADES, _match, outcomes, stats_sql
+from barlab.plans.trade_queries import ORDERS, TRADES, _match, outcomes, stats_sql, trend_signals
 
 Q: dict = {}
 S: dict = {}
@@ -38,8 +39,8 @@ def _(spark, d):
     return rounded(t.withColumn("entry_index", F.col("entry_index").cast("long")), ["stock_code", "entry_index", "exit_date", "exit_reason"], ["return_pct"])
 
 
-def candidates(spark, d):
-    t = outcomes(spark, d)[1].drop("metadata")
+def candidates(spark, d, seen=None):
+    t = outcomes(spark, d, seen=seen)[1].drop("metadata")
     return t.select(F.lit("all").alias("case_id"), "stock_code", "order_id", "strategy_name", "side", F.col("event_type").alias("sector"), (F.col("risk_per_share") / F.col("entry_price")).alias("risk_fraction"), "entry_date", "exit_date", "entry_price", "return_pct")
 
 
@@ -47,8 +48,9 @@ def candidates(spark, d):
 mk AS (SELECT tl.date, pos.u, b.close FROM tl JOIN pos ON tl.date >= entry_date AND tl.date < exit_date ASOF JOIN bars b ON b.stock_code = pos.stock_code AND tl.date >= b.date)
 SELECT tl.date, round(coalesce(sum(u * close), 0), 4) AS position_value, count(u) AS open_positions FROM tl LEFT JOIN mk USING (date) GROUP BY tl.date""")
 def _(spark, d):
-    p = candidates(spark, d).withColumn("allocation", F.lit(100.0))
-    m = P.mark_positions(p, week_bars(spark, d))
+    seen = trend_signals(spark, d)
+    p = T.written(candidates(spark, d, seen).withColumn("allocation", F.lit(100.0)))  # three passes follow
+    m = P.mark_positions(p, seen[0])
     return m.select("date", (F.round("position_value", 4) + 0.0).alias("position_value"), "open_positions")
 
 
