@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.operators import audit as A
+from barlab.operators import detectors as D
 from barlab.operators import ranks
 
 
@@ -37,3 +38,10 @@ def test_both_ways_of_coverage_agree(spark):
     assert kept(A.gap_episodes(actual, days)) == kept(A.gap_episodes(actual, days, block=1))
     a = A.coverage(actual, days).where("stock_code = 'a'").first()
     assert (a.expected_count, a.actual_count, a.max_gap, a.max_gap_start.day, a.max_gap_end.day, a.gap_count, a.first_missing.day, a.last_missing.day) == (9, 3, 2, 3, 4, 3, 3, 10)
+
+
+def test_trend_detection_shares_windows_and_shuffles(spark):
+    bars = spark.sql("SELECT concat(id % 2, '.SZ') AS stock_code, timestamp_ntz '2020-01-01' + make_dt_interval(cast(id AS int)) AS date, 1D + id % 5 AS open, 9D AS high, 1D AS low, 1D + id % 7 AS close, 1D AS volume, 1D AS amount, cast(id AS int) AS bar_index FROM range(60)")
+    text = plan(spark, D.detect_trend(bars))
+    assert "hashpartitioning(stock_code" in text and not re.search(r"hashpartitioning\(stock_code#\d+, _block", text)
+    assert len(re.findall(r"regr_slope\(.*sum\(_st", text)) == 1  # one window has both the slope and the score; two had them before
