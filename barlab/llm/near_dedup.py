@@ -4,8 +4,8 @@ A document is the set of hashes of its lower-cased `WORDS`-word shingles. SimHas
 shingles, linked through their anchors, propose copies, of which those of similarity 0.8 or more are tied.
 What they don't tie is completed exactly: two sets of similarity 0.8 or more share an element among the first
 fifth (and one) of each, in any order that holds for all sets, so a join on these prefixes finds every such
-pair. Shingles that a sample of the documents shows to be common come last in the order: that keeps the join
-small and has no bearing on the result. Candidate pairs are held against each other by bitmaps first, which
+pair. Shingles that a fixed share of the documents shows to be common come last in the order, the commonest at
+the end: that keeps the join's groups small at any size and has no bearing on the result. Candidate pairs are held against each other by bitmaps first, which
 bound what they can share from above; only what passes is verified by the whole sets.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from barlab.llm.components import components
 from barlab.llm.substring_dedup import _rolled, _word_hashes
 
 WORDS = 5
-_SAMPLE, _COMMON = 20_000, 4
+_SHARE, _COMMON, _MOST = 4, 3, 1 << 21  # one document in _SHARE shows which shingles _COMMON sets or more have, _MOST at most
 _BITS = 1024  # buckets of a set's bitmap
 _PROFILE = "doc_id long, t struct<a: long, b: long>, node long, n int, fp long, prefix array<long>, bits array<long>"
 _T, _DOC, _SAME = "barlab near t", "barlab near doc", "barlab near same"
@@ -56,24 +57,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), _lists([shingles(t) for t in b.column("text").to_pylist()])], ["node", "set"])
 
 
-def _common(texts: DataFrame) -> np.ndarray:
-    """The shingles that several documents of a sample have, sorted."""
-    rows = texts.count()
-    some = texts.where(F.pmod(F.col("t.b"), F.lit(1_000_003)) < F.lit(1_000_003 * min(1.0, _SAMPLE / max(rows, 1)))).dropDuplicates(["t"])
-    each = some.select(F.col("t.a").alias("node"), "text").mapInArrow(_sets, "node long, set array<long>").select(F.explode("set").alias("key"))
-    often = each.groupBy("key").count().where(F.col("count") >= _COMMON)
-    return np.sort(np.array([r.key for r in often.select("key").toLocalIterator()], np.int64))
-
-
-def _profile(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's shingles with one of 64 bits that stands for the set."""
+    for b in small_batches(batches, "text", 2 << 20):
+        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        marks = [np.uint64(1) << np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()) % 64) for s in sets]
+        mark = np.repeat(np.array(marks, np.uint64), [len(s) for s in sets]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(mark)], ["key", "mark"])
+
+
+def _common(texts: DataFrame, most: int = _MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several sets have, sorted, and how many of 64 bits their sets take. A fixed share of the documents
+    is looked at, so what counts as common doesn't rise with the table until `most` shingles are."""
+    some = texts.where(F.pmod("t.b", F.lit(_SHARE)) == 0).select("text")
+    each = some.mapInArrow(_marked, "key long, mark long").groupBy("key").agg(F.bit_count(F.bit_or("mark")).alias("level"))
+    often = stored(each.where(F.col("level") >= _COMMON))
+    wanted = F.lit(True)
+    for row in often.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if row["count"] > most:
+            part = F.pmod("key", F.lit(1 << 20)) < most * (1 << 20) // row["count"]
+            wanted = (F.col("level") > row["level"]) | ((F.col("level") == row["level"]) & part)
+            break
+        most -= row["count"]
+    got = often.where(wanted).toArrow()
+    key, level = got["key"].to_numpy(), got["level"].to_numpy()
+    order = np.argsort(key)
+    return key[order], level[order].astype(np.uint8)
+
+
+def _profile(common: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, levels = common.value
         for b in small_batches(batches, "text", 2 << 20):
             rows = []
             for text in b.column("text").to_pylist():
                 s = shingles(text)
-                at = np.searchsorted(common, s)
-                late = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
-                prefix = np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1].copy() if len(s) else s
+                late = np.zeros(len(s), np.uint8)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    late = np.where(keys[at] == s, levels[at], late)
+                prefix = s[np.argsort(late, kind="stable")][: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) else s
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 fp = np.uint64(simhash.fingerprint((text or "").encode(), WORDS)).view(np.int64)
                 held = np.zeros(_BITS, bool)
@@ -150,7 +173,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     conf_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _same_text().alias("t"), "text")
     texts = rows.select("t", "text")
-    profile = stored(rows.mapInArrow(_profile(_common(texts)), _PROFILE))
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts))
+    profile = stored(rows.mapInArrow(_profile(common), _PROFILE))
     first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "fp", "prefix", "bits")).alias("p")).select("node", "p.*")
     group = small_side(stored(components(links(stored(first), texts))))
     same = profile.select("doc_id", "t", "node").join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c"), "doc_id", "t").agg(F.count("*").alias("n"))

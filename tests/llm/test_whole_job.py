@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from barlab.llm import decontaminate, near_dedup
 
 DOCS = "doc_id long, text string"
@@ -59,6 +61,17 @@ def test_near_dedup_judges_rows_not_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, a), (1, b), (2, c), (2, words(40, 4)), (4, "")], key=str)
 
 
+def test_near_dedup_finds_common_shingles_at_any_size(spark):
+    """Passages of 64 documents each come last in the order, however many documents there are besides; one set's copies don't count."""
+    passage = lambda g: " ".join(f"p{g}x{i}" for i in range(5))
+    held = [(f"{passage(g)} own{g} of{i}",) for g in range(50) for i in range(64)] + [("alone " + passage(99),)] * 64
+    rows = spark.createDataFrame(held, "text string").union(spark.range(250_000).selectExpr("concat_ws(' ', 'a' || id, 'b' || id, 'c' || id, 'd' || id, 'e' || id)"))
+    found = set(np.ravel(near_dedup._common(rows.select(near_dedup._same_text().alias("t"), "text"))[0]).tolist())
+    assert sum(near_dedup.shingles(passage(g))[0] in found for g in range(50)) >= 48
+    assert not found & set(near_dedup.shingles(held[-1][0]).tolist())
+    assert len(near_dedup._common(rows.select(near_dedup._same_text().alias("t"), "text"), most=10)[0]) < 50
+
+
 def test_decontamination_looks_at_every_copy(spark):
     item = "if one crate holds 12 apples then how many apples do 12 such crates hold when none of them is lost"
     odd = item.replace("12 apples", "30 apples").replace("12 such", "45 such")
