@@ -3,8 +3,8 @@
 A word starts as the array of its bytes' ids; the fold merges the leftmost pair of least rank, looked up by
 the pair's ids. Every distinct word of a bounded dictionary of frequent words is folded once; the rest, each
 once a document, are folded where they occur, so the result doesn't depend on the dictionary. Texts are cut
-into words and joined with the dictionary's ids columnwise, without a shuffle; decoding concatenates the
-binary pieces of the ids. Map lookups in Spark scan the map, so a literal map is an array of small maps.
+into words and joined with the dictionary's ids columnwise, without a shuffle; decoding joins the
+pieces of the ids. Map lookups in Spark scan the map, so a literal map is an array of small maps.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ MANY = 2_000_000_000
 LONG = 96  # bytes from which a word is cut where no token spans, and merged by rounds
 _CHAR = 0x20000  # a token is the character of this code point plus its id while it is part of a long word
 _SHIFT = 1 << 20
-STRETCH = 256  # ids whose pieces are concatenated at a time
+STRETCH = 1 << 16  # ids whose pieces are joined at a time
 _PIECES = "barlab bpe pieces"
 
 
@@ -57,11 +57,11 @@ class Vocabulary:
         return {r[t[:i]] * _SHIFT + r[t[i:]]: n for t, n in r.items() for i in range(1, len(t)) if t[:i] in r and t[i:] in r}
 
     def pieces(self, spark: SparkSession) -> Column:
-        """Literal array: at each id its bytes, null where there is no such id."""
+        """Literal array: at each id its bytes in hex, null where there is no such id."""
         listed = [None] * (max(self.ranks.values(), default=-1) + 1)
         for t, r in self.ranks.items():
-            listed[r] = t
-        return literal(spark.createDataFrame([(listed,)], "pieces array<binary>"))
+            listed[r] = t.hex()
+        return literal(spark.createDataFrame([(listed,)], "pieces array<string>"))
 
 
 @dataclass(frozen=True)
@@ -278,15 +278,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictiona
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Adds decoded (binary): the binary pieces of a row's ids concatenated, in runs of STRETCH and then these, so that a
-    long row isn't copied once for each id. An id that the vocabulary doesn't have adds nothing, null ids give null;
+    """Adds decoded (binary): the pieces of a row's ids, in hex, joined and read back, in runs of STRETCH and then these, so that
+    nothing is copied once for each id. An id that the vocabulary doesn't have adds nothing, null ids give null;
     a column of that name is replaced."""
-    none = F.lit(b"")
     ready = encoded.drop("decoded").withColumn(_PIECES, vocabulary.pieces(encoded.sparkSession))
     starts = F.sequence(F.lit(1), F.size("ids"), F.lit(STRETCH))
 
     def joined(pieces: Column) -> Column:
-        run = lambda at: F.aggregate(F.slice("ids", at, F.lit(STRETCH)), none, lambda a, i: F.concat(a, F.coalesce(F.get(pieces, i), none)))
-        return F.when(F.size("ids") > 0, F.aggregate(F.transform(starts, run), none, lambda a, x: F.concat(a, x))).when(F.size("ids") == 0, none)
+        run = lambda ids: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+        runs = F.aggregate(F.transform(starts, lambda at: run(F.slice("ids", at, F.lit(STRETCH)))), F.lit(b""), lambda a, x: F.concat(a, x))
+        return F.when(F.size("ids") > STRETCH, runs).otherwise(run(F.col("ids")))
 
     return ready.withColumn("decoded", let(F.col(_PIECES), joined)).drop(_PIECES)

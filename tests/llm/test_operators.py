@@ -120,6 +120,17 @@ def test_simhash_anchors_cover_and_crowds_stay_exact(spark):
     assert few == many
 
 
+def test_bpe_decoding_takes_no_copy_for_each_id(spark):
+    v = queries.vocabulary()
+    many = list(range(0, 40_000)) * 4
+    rows = [(1, many), (2, []), (3, None), (4, [5, 10_000_000, -1, None, 7])]
+    by_id = {r: t for t, r in v.ranks.items()}
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), v).collect()}
+    assert got == {1: b"".join(by_id[i] for i in many), 2: b"", 3: None, 4: by_id[5] + by_id[7]}
+    plan = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), v)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") == 1  # over runs of ids, none over the ids of a run
+
+
 def test_bpe_equals_the_library(spark):
     tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     v = queries.vocabulary()
