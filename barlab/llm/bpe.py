@@ -165,18 +165,19 @@ def fold_word(word: Column, ranks: RankMap) -> Column:
     return let(F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c)), merged)
 
 
-def _ready(vocabulary: Vocabulary) -> Dictionary:
-    """The tokens themselves: as whole words they need no merges."""
+def _ready(vocabulary: Vocabulary) -> tuple[pa.Array, pa.Array]:
+    """The tokens themselves and their ids: as whole words they need no merges."""
     own = [(t, r) for t, r in vocabulary.ranks.items() if len(t) <= MOST_BYTES]
-    return Dictionary([t for t, _ in own], np.ones(len(own), np.int64), np.array([r for _, r in own]))
+    ids = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1), pa.int32()), pa.array([r for _, r in own], pa.int32()))
+    return pa.array([t for t, _ in own], pa.large_binary()), ids
 
 
-def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFrame:
+def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int, ranks: RankMap | None = None) -> DataFrame:
     """key, value: ids of the corpus's most frequent words that are no tokens, at most `most` of them.
 
     Counts cover all documents. A threshold on the count, from a histogram of some hundred rows, decides."""
     spark = docs.sparkSession
-    tokens, pattern = spark.sparkContext.broadcast(_ready(vocabulary)), vocabulary.pattern
+    tokens, pattern = spark.sparkContext.broadcast(Dictionary([_ready(vocabulary)])), vocabulary.pattern
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text", 4 << 20):
@@ -195,25 +196,29 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, most: int) -> DataFr
 
     words = docs.select("text").mapInArrow(count, "key string, n long")
     words = stored(words.groupBy("key").agg(F.sum("n").alias("count")).where("count > 1"))
+    tokens.destroy()
     level = F.floor(F.log2("count") * 8).cast("int")
     got, least = 0, MANY
     for row in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
         if (got := got + row["count"]) > most:
             break
         least = row["level"]
-    ranks = RankMap.of(vocabulary, spark)
+    ranks = ranks or RankMap.of(vocabulary, spark)
     chosen = words.where(level >= least).repartition(F.col("key")).withColumn("_ranks", ranks.column)
     return chosen.select("key", ranks.bound("_ranks", lambda r: fold_word(F.col("key"), r)).alias("value"))
 
 
-def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int) -> Dictionary:
-    """The vocabulary's tokens and the frequent words, at most `most`, with their ids: some 40 bytes each."""
-    own = _ready(vocabulary)
-    got = frequent_words(docs, vocabulary, most).toArrow().combine_chunks()
-    tokens = [t for t in vocabulary.ranks if len(t) <= MOST_BYTES]
-    values = got["value"].combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
-    words = got["key"].cast(pa.large_binary()).to_pylist()
-    return Dictionary(tokens + words, np.concatenate([np.ones(len(tokens), np.int64), values.value_lengths().to_numpy()]), np.concatenate([own.ids, values.flatten().to_numpy()]))
+def dictionary(docs: DataFrame, vocabulary: Vocabulary, most: int, ranks: RankMap | None = None) -> Dictionary:
+    """The vocabulary's tokens and the frequent words, at most `most`, with their ids: some 40 bytes each. The words
+    pass through the driver batch by batch and never as Python's objects."""
+    got = frequent_words(docs, vocabulary, most, ranks).toArrow().to_batches()[::-1]
+
+    def parts() -> Iterator[tuple[pa.Array, pa.Array]]:
+        yield _ready(vocabulary)
+        while got:
+            yield got[-1].column("key"), got.pop().column("value")
+
+    return Dictionary(parts())
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictionary_words: int = 1 << 20) -> DataFrame:
@@ -224,12 +229,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictiona
     are folded; one of LONG bytes or more that tokens span throughout takes a pass for each distinct merge."""
     spark = docs.sparkSession
     conf_batches(spark)
-    known, pattern, kinds = spark.sparkContext.broadcast(dictionary(docs, vocabulary, dictionary_words)), vocabulary.pattern, dict(docs.dtypes)
+    ranks = RankMap.of(vocabulary, spark)
+    known, pattern, kinds = spark.sparkContext.broadcast(dictionary(docs, vocabulary, dictionary_words, ranks)), vocabulary.pattern, dict(docs.dtypes)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = known.value
         sizes = np.diff(words.first)
-        for b in small_batches(batches, "text", 2 << 20):
+        for b in small_batches(batches, "text", 1 << 20):
             data, off = flat(b.column("text"))
             starts = word_starts(data, off, pattern)
             ends = np.append(starts[1:], len(data))[: len(starts)]
@@ -269,7 +275,6 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, keep: list[str], dictiona
 
     schema = ", ".join([*(f"_k{i} {kinds[k]}" for i, k in enumerate(keep)), "_parts array<struct<ids: array<int>, then: int>>", "_rest array<string>"])
     found = docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(look_up, schema)
-    ranks = RankMap.of(vocabulary, spark)
     folded = ranks.bound("_ranks", lambda r: F.transform("_rest", lambda w: fold_word(w, r)))
     nothing = F.array().cast("array<int>")
     join = lambda f: F.flatten(F.transform("_parts", lambda p: F.concat(p["ids"], F.coalesce(F.get(f, p["then"]), nothing))))

@@ -175,6 +175,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     texts = rows.select("t", "text")
     common = docs.sparkSession.sparkContext.broadcast(_common(texts))
     profile = stored(rows.mapInArrow(_profile(common), _PROFILE))
+    common.destroy()
     first = profile.groupBy("node").agg(F.min(F.struct("t", "n", "fp", "prefix", "bits")).alias("p")).select("node", "p.*")
     group = small_side(stored(components(links(stored(first), texts))))
     same = profile.select("doc_id", "t", "node").join(group, "node", "left").groupBy(F.coalesce("component", "node").alias("c"), "doc_id", "t").agg(F.count("*").alias("n"))

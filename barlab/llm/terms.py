@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -27,7 +29,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _PIECE = 1 << 20
-_UP, _DOWN = _powers(_BASE, _PIECE + 1), _powers(pow(_BASE, -1, 1 << 64), _PIECE + 1)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """16 MB, made where texts are hashed only: the driver hashes none."""
+    return _powers(_BASE, _PIECE + 1), _powers(pow(_BASE, -1, 1 << 64), _PIECE + 1)
 
 
 def hashed_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +42,7 @@ def hashed_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     (a word of over 1 MB is cut there)."""
     rows, hashes = [], []
     starts = offsets[:-1]
+    up, down = _tables()
     at = 0
     while at < len(data):
         to = min(len(data), at + _PIECE)
@@ -50,8 +58,8 @@ def hashed_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         first[cuts] = inside[cuts]
         last = inside & np.append(~inside[1:] | first[1:], True)
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        total = np.cumsum(part.astype(np.uint64) * _UP[: len(part)], dtype=np.uint64)
-        h = (total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))) * _DOWN[s]
+        total = np.cumsum(part.astype(np.uint64) * up[: len(part)], dtype=np.uint64)
+        h = (total[e - 1] - np.where(s > 0, total[s - 1], np.uint64(0))) * down[s]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)

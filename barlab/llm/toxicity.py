@@ -20,6 +20,8 @@ from barlab.llm.common import conf_batches, flat, quoted, small_batches
 from barlab.llm.terms import hashed_terms
 
 BITS = 22
+_PIECE = 1 << 17  # of the sample's terms that are looked at together
+_ROWS = 256  # of the sample, and terms of its pairs, that are counted together
 
 
 @dataclass(frozen=True)
@@ -57,26 +59,45 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("label"), terms], ["label", "terms"])
 
 
+def _places(values: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values are among the sorted `kept`, and at which places of these; piece by piece, as hits may be few."""
+    where, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(values) if len(kept) else 0, _PIECE):
+        part = values[i : i + _PIECE]
+        at = np.minimum(np.searchsorted(kept, part), len(kept) - 1)
+        hit = np.flatnonzero(kept[at] == part)
+        where.append(hit + i)
+        places.append(at[hit])
+    return np.concatenate(where), np.concatenate(places)
+
+
 def _paired(rows: np.ndarray, t: np.ndarray, y: np.ndarray, all_: np.ndarray, one: np.ndarray, least_df: int, least_z: float, most: int) -> np.ndarray:
     """Terms of pairs that more (or fewer) rows of class 1 have together than the higher (lower) rate of the two would give."""
     often = np.sort(np.argsort(-all_, kind="stable")[:most])
     often = often[all_[often] >= least_df]
-    at = np.minimum(np.searchsorted(often, t), max(0, len(often) - 1))
-    hit = often[at] == t if len(often) else np.zeros(len(t), bool)
-    x = np.zeros((len(y), len(often)), np.float32)
-    x[rows[hit], at[hit]] = 1
-    both, both_one = x.T @ x, x[y == 1].T @ x[y == 1]
+    # Counts are whole numbers far below 2^24, so sums of float32 by rows are exact.
+    both, both_one = np.zeros((2, len(often), len(often)), np.float32)
+    ends = np.searchsorted(rows, np.arange(0, len(y) + _ROWS, _ROWS))
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        hit, at = _places(t[a:b], often)
+        mine = y[i * _ROWS : (i + 1) * _ROWS] == 1
+        x = np.zeros((len(mine), len(often)), np.float32)
+        x[rows[a:b][hit] - i * _ROWS, at] = 1
+        both += x.T @ x
+        both_one += x[mine].T @ x[mine]
     rate = one[often] / all_[often]
-    high, low = np.maximum(rate[:, None], rate[None, :]), np.minimum(rate[:, None], rate[None, :])
-    floor = 1 / (len(y) + 1)
+    floor, odd = 1 / (len(y) + 1), np.zeros(len(often), bool)
 
-    def beyond(p: np.ndarray, sign: int) -> np.ndarray:
+    def beyond(k: np.ndarray, k_one: np.ndarray, p: np.ndarray, sign: int) -> np.ndarray:
         p = np.clip(p, floor, 1 - floor)
-        return sign * (both_one - both * p) / np.sqrt(np.maximum(both * p * (1 - p), 1e-9)) >= least_z
+        return sign * (k_one - k * p) / np.sqrt(np.maximum(k * p * (1 - p), 1e-9)) >= least_z
 
-    odd = (both >= 2 * least_df) & (beyond(high, 1) | beyond(low, -1))
-    np.fill_diagonal(odd, False)
-    return often[odd.any(1)]
+    np.fill_diagonal(both, 0)
+    for i in range(0, len(often), _ROWS):
+        k, k_one, own = both[i : i + _ROWS], both_one[i : i + _ROWS], rate[i : i + _ROWS, None]
+        found = beyond(k, k_one, np.maximum(own, rate), 1) | beyond(k, k_one, np.minimum(own, rate), -1)
+        odd[i : i + _ROWS] = ((k >= max(1, 2 * least_df)) & found).any(1)
+    return often[odd]
 
 
 def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_z: float = 6.0, pair_terms: int = 1024, k: int = 4, epochs: int = 300, seed: int = 7) -> Machine:
@@ -89,11 +110,18 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_
     if not len(y):
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, k)))
     lists = got["terms"].combine_chunks()
-    rows, t = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+    del got
+    # Whatever is as long as the sample's terms is of 4 bytes each and made piece by piece: all this is the driver's memory.
+    rows, t = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().copy()
+    del lists
     # From here on a term is its place among the sample's terms, so that memory goes by these and not by all buckets.
-    terms = np.unique(t)
-    t = np.searchsorted(terms, t)
-    one, all_ = np.bincount(t[y[rows] == 1], minlength=len(terms)), np.bincount(t, minlength=len(terms))
+    terms = np.unique(t).astype(np.int64)
+    one, all_ = np.zeros((2, len(terms)), np.int64)
+    for i in range(0, len(t), _PIECE):
+        at = np.searchsorted(terms, t[i : i + _PIECE])
+        t[i : i + _PIECE] = at
+        np.add.at(all_, at, 1)
+        np.add.at(one, at[y[rows[i : i + _PIECE]] == 1], 1)
     p, n = y.mean(), len(y)
     base = min(max(p, 1 / (n + 1)), n / (n + 1))
     spread = np.sqrt(np.maximum(all_ * base * (1 - base) * (1 - all_ / (n + 1)), 1e-9))
@@ -101,9 +129,9 @@ def fit(rows: DataFrame, *, least_df: int = 3, least_z: float = 4.5, least_pair_
     kept = np.flatnonzero(np.abs(z) >= least_z)
     kept = np.union1d(kept, _paired(rows, t, y, all_, one, least_df, least_pair_z, pair_terms))
     bias = float(np.log(base / (1 - base)))
-    at = np.searchsorted(kept, t)
-    hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == t) if len(kept) else np.zeros(len(t), bool)
-    r, f = rows[hit], at[hit]
+    hit, f = _places(t, kept)
+    r = rows[hit].astype(np.int64)
+    del rows, t
     # Full-batch Adam on the regularised log loss; the sparse pairs (r, f) stand for the design matrix.
     rng = np.random.default_rng(seed)
     w, v, b0 = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), k)), bias

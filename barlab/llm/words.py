@@ -5,15 +5,19 @@ left to the regex module."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from barlab.llm.common import flat
+
 #: Fixed value: the pattern that the vectorised cut stands for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = 1 << 19
+_LITTLE = 1 << 16  # stretches up to this size need no tables for whole pieces (the driver's have no more)
 #: Words of more bytes are not hashed: they count as unlike all others.
 MOST_BYTES = 255
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -120,7 +124,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
         part = data[lo:hi].astype(np.uint64) + np.uint64(1)
         a, b = starts[i:j] - lo, ends[i:j] - lo
         for k, base in enumerate(_BASES):
-            up, down = _powers(base, PIECE)
+            up, down = _powers(base, PIECE if hi - lo > _LITTLE else _LITTLE)
             total = np.append(np.uint64(0), np.cumsum(part * up[: len(part)], dtype=np.uint64))
             x = (total[b] - total[a]) * down[a]
             x ^= x >> np.uint64(31)
@@ -133,14 +137,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 class Dictionary:
     """Words with the ids of their tokens, found by hash in an open table of int32 slots."""
 
-    def __init__(self, words: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        off = np.append(0, np.cumsum([len(w) for w in words])).astype(np.int64)
-        self.a, self.b = span_hashes(np.frombuffer(b"".join(words), np.uint8), off[:-1], off[1:])
-        self.first = np.append(0, np.cumsum(sizes)).astype(np.int64)
-        self.ids = np.asarray(ids, np.int32)
-        self.mask = (1 << max(4, 2 * len(words)).bit_length()) - 1
+    def __init__(self, parts: Iterable[tuple[pa.Array, pa.Array]]) -> None:
+        """parts: words as strings or bytes, and a list of ids of each; a part is let go when it is read."""
+        a, b, sizes, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for words, values in parts:
+            for i in range(0, len(words), 1 << 12):
+                data, off = flat(words.slice(i, 1 << 12))
+                for out, h in zip((a, b), span_hashes(data, off[:-1], off[1:])):
+                    out.append(h)
+            sizes.append(values.value_lengths().to_numpy().astype(np.int64))
+            ids.append(values.flatten().to_numpy().astype(np.int32))
+        self.a, self.b, self.first, self.ids = np.concatenate(a), np.concatenate(b), np.cumsum(np.concatenate(sizes)), np.concatenate(ids)
+        if len(self.ids) < 1 << 31:
+            self.first = self.first.astype(np.int32)
+        if self.ids.max(initial=0) < 1 << 16:
+            self.ids = self.ids.astype(np.uint16)
+        n = len(self.a)
+        self.mask = (1 << max(4, 2 * n).bit_length()) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
-        left, at = np.arange(len(words)), (self.a & np.uint64(self.mask)).astype(np.int64)
+        left, at = np.arange(n), (self.a & np.uint64(self.mask)).astype(np.int64)
         self.probes = 0
         while len(left):
             self.probes += 1

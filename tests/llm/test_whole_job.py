@@ -1,10 +1,12 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from barlab.llm import decontaminate, near_dedup
+from barlab.llm import bpe, decontaminate, near_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -91,3 +93,57 @@ def test_decontamination_by_any_case_and_context(spark):
     ]
     got = {r.doc_id: r["items"] for r in decontaminate.judge(spark.createDataFrame(rows, DOCS), bench).collect()}
     assert got == {1: "1", 2: "2", 3: "3", 4: "4", 5: "", 6: "", 7: "", 8: "1", 9: ""}
+
+
+class Arrow:
+    """Stands for a DataFrame that comes to the driver as this Arrow table."""
+
+    def __init__(self, table):
+        self.table, self.sparkSession = table, None
+
+    select = mapInArrow = lambda self, *_: self
+
+    def toArrow(self):  # noqa: N802
+        return self.table
+
+
+def peak(run):
+    """Bytes that Python and numpy took at most while run ran."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_fit_takes_little_of_the_driver(monkeypatch):
+    """The largest sample, with as many terms as documents of some KB have."""
+    monkeypatch.setattr(toxicity, "conf_batches", lambda _: None)
+    rng = np.random.default_rng(3)
+    y = (rng.random(6000) < 0.2).astype(np.int32)
+    lists = [np.unique(np.append(rng.zipf(1.3, 700) % (1 << toxicity.BITS), [7777] * k)) for k in y]
+    terms = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(t) for t in lists])), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+    fitted = []
+    assert peak(lambda: fitted.append(toxicity.fit(Arrow(pa.table({"label": pa.array(y), "terms": terms})), epochs=5))) < 60e6
+    assert 7777 in fitted[0].terms
+
+
+def test_bpe_dictionary_takes_little_of_the_driver(monkeypatch):
+    """Some 100 bytes a word, in batches as Spark sends them; every word is found with its ids."""
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)}, "")
+    table = pa.table({"key": [f"word{i}é" for i in range(200_000)], "value": pa.array([[i, 1, 2] for i in range(200_000)], pa.list_(pa.int32()))})
+    monkeypatch.setattr(bpe, "frequent_words", lambda *_: Arrow(pa.Table.from_batches(table.to_batches(1000))))
+    made = []
+    assert peak(lambda: made.append(bpe.dictionary(None, v, 1 << 20))) < 28e6
+    raw = np.frombuffer("word70000éa".encode(), np.uint8)
+    at = made[0].find(*bpe.span_hashes(raw, np.array([0, 11]), np.array([11, 12])))
+    assert [made[0].ids[made[0].first[k] : made[0].first[k + 1]].tolist() for k in at] == [[70_000, 1, 2], [97]]
+
+
+def test_bpe_makes_its_rank_map_once(spark, monkeypatch):
+    v = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256}, r"\p{L}+|\P{L}+")
+    made, of = [], bpe.RankMap.of.__func__
+    monkeypatch.setattr(bpe.RankMap, "of", classmethod(lambda cls, *a: made.append(a) or of(cls, *a)))
+    got = bpe.encode(spark.createDataFrame([(1, "abab cab"), (2, None), (2, "abab")], DOCS), v, keep=["doc_id"]).collect()
+    assert sorted((r.doc_id, r.ids) for r in got) == [(1, [256, 256, 32, 99, 256]), (2, []), (2, [256, 256])] and len(made) == 1
