@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.operators.stats import ratio
@@ -17,11 +17,18 @@ def price_path(curve: DataFrame, key: str = "case_id") -> DataFrame:
     return curve.select(key, "date", F.explode(kept).alias("x")).select(key, "date", "x.step", "x.value", "x.kind")
 
 
+def _fall(value: Column, peak: Column) -> Column:
+    """value / peak - 1 as IEEE has it, of a value that is not above its peak. A compounded value may run down to 0 from
+    below before it was ever above: then the peak is 0, and the fall is not a number, or infinite from a value below 0."""
+    lost = F.when(value < 0, float("-inf")).otherwise(float("nan"))
+    return F.when(peak == 0, lost).otherwise(value / peak) - 1
+
+
 def drawdown_curve(curve: DataFrame, key: str = "case_id") -> DataFrame:
     """price_path with peak and drawdown."""
     w = Window.partitionBy(key).orderBy("date", "step").rowsBetween(Window.unboundedPreceding, 0)
     p = price_path(curve, key).withColumn("peak", F.max("value").over(w))
-    return p.withColumn("drawdown", F.col("value") / F.col("peak") - 1)
+    return p.withColumn("drawdown", _fall(F.col("value"), F.col("peak")))
 
 
 def drawdown_episodes(curve: DataFrame, key: str = "case_id", limit: int | None = None) -> DataFrame:
